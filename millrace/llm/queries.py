@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import language, packing, simhash
+from millrace.llm import language, packing, simhash, substring
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_language_id": language.op4_language_id,
     "op7_simhash_dedup": simhash.op7_simhash_dedup,
+    "op10_substring_dedup": substring.op10_substring_dedup,
 }
 SQL: dict[str, str] = {}
