@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import language, packing, simhash, substring
+from millrace.llm import decontaminate, language, packing, simhash, substring
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_language_id": language.op4_language_id,
+    "op6_decontamination": decontaminate.op6_decontamination,
     "op7_simhash_dedup": simhash.op7_simhash_dedup,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_decontamination": decontaminate.OP6_SQL}
