@@ -8,6 +8,7 @@ their own document only: the operator needs no shuffle and no state besides a bo
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,37 +24,68 @@ from millrace.llm.common import read_table, text_column
 
 END_ID = 1
 SEQUENCE = 2048
-#: Words whose ids a worker remembers; the cache starts anew when it is full.
-CACHE_WORDS = 200_000
+#: Words and stems of a generation that a worker remembers, over all its tasks; those used since pass to the next.
+CACHE_WORDS = 600_000
+#: ASCII marks that the tokenizer never joins to a letter or digit before them (an apostrophe it may).
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long, bucket int, ids array<int>"
 
 
 @lru_cache(2)
 def _tokenizer(path: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
     return Tokenizer.from_file(path)
 
 
 class WordEncoder:
-    """ids of whole texts, word by word: the tokenizer drops white space and no token spans it."""
+    """ids of whole texts, word by word: the tokenizer drops white space and no token spans it.
+
+    A word is encoded once and remembered; one that ends in marks is its stem's ids and its marks' ids.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+        self.tokenizer, self.known, self.older = _tokenizer(path), {}, {}
+
+    def _learn(self, new: list[bytes]) -> None:
+        known, parts, cut_at = self.known, set(), []
+        for w in new:
+            stem = w.rstrip(MARKS)
+            if 0 < len(stem) < len(w) and stem[-1:].isalnum() and b"<|" not in w:
+                cut_at.append((w, len(stem)))
+                parts.add(stem)
+                parts.add(w[len(stem) :])
+            else:
+                parts.add(w)
+        older = self.older
+        known.update((w, older[w]) for w in parts if w in older and w not in known)
+        unknown = [w for w in parts if w not in known]
+        for lo in range(0, len(unknown), 512):
+            some = unknown[lo : lo + 512]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
+                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for w, at in cut_at:
+            known[w] = known[w[:at]] + known[w[at:]]
 
     def __call__(self, text: bytes) -> np.ndarray:
-        parts = text.split()
+        parts = (text if b"<|" in text else text.lower()).split()  # the tokenizer folds case, but not of its special tokens
         known = self.known
-        new = list({w for w in parts if w not in known})
+        new = {w for w in parts if w not in known}
         if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(parts))
-            for lo in range(0, len(new), 4096):
-                some = new[lo : lo + 4096]
-                for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
+            older = self.older
+            if len(known) + 2 * len(new) > CACHE_WORDS:
+                self.older = older = known
+                self.known = known = {}
+                new = set(parts)
+            known.update((w, older[w]) for w in new if w in older)
+            self._learn([w for w in new if w not in known])
         return np.frombuffer(b"".join([known[w] for w in parts]), dtype="<u4")
 
 
+@lru_cache(2)
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
 def cut(n: int, most: int = SEQUENCE) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` ids: ``most`` as often as it fits, then the binary digits of the rest."""
     pieces, at = [], 0
@@ -69,7 +101,7 @@ def cut(n: int, most: int = SEQUENCE) -> list[tuple[int, int]]:
 
 def _pack(path: str, most: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(path)
+        encode = _encoder(path)
         for batch in batches:
             text = text_column(batch, "text")
             ids_of = batch.column(batch.schema.get_field_index("doc_id"))
