@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, language, packing, simhash, substring
+from millrace.llm import chat, decontaminate, kneser_ney, language, packing, rules, simhash, substring
 
 QUERIES = {
+    "op1_quality_classifier": kneser_ney.op1_quality_classifier,
+    "op2_quality_rules": rules.op2_quality_rules,
     "op3_packing": packing.op3_packing,
     "op4_language_id": language.op4_language_id,
+    "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_simhash_dedup": simhash.op7_simhash_dedup,
     "op10_substring_dedup": substring.op10_substring_dedup,
