@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, decontaminate, gru, kneser_ney, language, packing, rules, simhash, substring
+from millrace.llm import chat, decontaminate, gru, kneser_ney, language, packing, rules, simhash, substring, suffix
 
 QUERIES = {
     "op1_quality_classifier": kneser_ney.op1_quality_classifier,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_simhash_dedup": simhash.op7_simhash_dedup,
+    "op8_suffix_dedup": suffix.op8_suffix_dedup,
     "op9_lm_scoring": gru.op9_lm_scoring,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
