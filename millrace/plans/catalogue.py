@@ -1,6 +1,698 @@
-"""Every registered query of the engine's own operators, with its SQL."""
+"""Every registered query of the engine's own operators, with its SQL.
+
+Derived decimals are rounded on both sides: six places, sums two.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from millrace import table as tables
+from millrace.functions import projections as P
+from millrace.functions import scalars as S
+from millrace.operators import aggregates as A
+from millrace.operators import changes, columns, joins, rows, sequences, serving, shapes
+from millrace.plans.standins import addresses, points, sql, table, tickets, tracks, triangles
+from millrace.sources import generate
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(text: str | None = None, *layers: str):
+    """Registers the decorated function by its name, with its SQL (over the named layers) if it has one."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if text:
+            SQL[fn.__name__] = sql(text, *layers) if layers else text
+        return fn
+
+    return add
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n)
+
+
+def _shown(df: DataFrame, *names: str) -> DataFrame:
+    """Missing integers as -1, as in the SQL."""
+    return df.withColumns({n: F.coalesce(n, F.lit(-1)) for n in names})
+
+
+# Filters
+
+
+@query("select * from orders where o_custkey in (1, 7, 42, 99)")
+def filter_int_in(spark, d):
+    return rows.filter_equal(table(spark, d, "orders"), "o_custkey", [1, 7, 42, 99])
+
+
+@query("select o_orderkey, o_orderstatus from orders where o_custkey not in (1, 7, 42, 99)")
+def filter_not_in(spark, d):
+    return rows.filter_equal(table(spark, d, "orders"), "o_custkey", [1, 7, 42, 99], keep=False).select("o_orderkey", "o_orderstatus")
+
+
+@query("select * from lineitem where abs(l_discount - 0.05) < 1e-6")
+def filter_float_eps(spark, d):
+    return rows.filter_equal(table(spark, d, "lineitem"), "l_discount", [0.05])
+
+
+@query("select c_custkey, c_name from customer where c_mktsegment = 'BUILDING'")
+def filter_string(spark, d):
+    return rows.filter_equal(table(spark, d, "customer"), "c_mktsegment", ["BUILDING"]).select("c_custkey", "c_name")
+
+
+@query("select * from points where x between -0.1 and 0.1 and y between -0.2 and 0.2", "points")
+def filter_bbox(spark, d):
+    return rows.filter_bbox(points(spark, d), -0.1, 0.1, -0.2, 0.2)
+
+
+@query(
+    "select p.* from points p, (select min(x) a, max(x) b, min(y) c, max(y) d from points where grp = 3) q where p.x > a and p.x < b and p.y > c and p.y < d", "points"
+)
+def reduce_by_bbox(spark, d):
+    p = points(spark, d)
+    return rows.filter_bbox_of(p, p.where("grp = 3"))
+
+
+@query("select c_custkey, a, b from (select c_custkey, c_acctbal a, c_nationkey - 20 b from customer) where a > 0 or b > 0")
+def filter_any_positive(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("a"), (F.col("c_nationkey") - 20).alias("b"))
+    return rows.filter_any_positive(c, "a", "b")
+
+
+_GREEDY = """, recursive_thin as (
+  select shape_row_id, event_id, x, y, rn, x lx, y ly, true keep from numbered where rn = 1
+  union all
+  select n.shape_row_id, n.event_id, n.x, n.y, n.rn, case when abs(n.x - t.lx) < 2 and abs(n.y - t.ly) < 20 * 2 then t.lx else n.x end,
+    case when abs(n.x - t.lx) < 2 and abs(n.y - t.ly) < 20 * 2 then t.ly else n.y end, not (abs(n.x - t.lx) < 2 and abs(n.y - t.ly) < 20 * 2)
+  from numbered n join recursive_thin t on n.shape_row_id = t.shape_row_id and n.rn = t.rn + 1
+) select shape_row_id, event_id from recursive_thin where keep"""
+
+
+@query()
+def greedy_distance(spark, d):
+    t = tracks(spark, d).withColumn("y", F.col("y") / 20)
+    parts = tables.runs_to_arrays(t, ["shape_row_id"], "x", ["y", "event_id"])
+    return parts.select("shape_row_id", F.explode(rows.thin(F.col("points"), 2.0)).alias("p")).select("shape_row_id", "p.event_id")
+
+
+SQL["greedy_distance"] = (
+    sql("", "tracks").rstrip().replace("with tracks", "with recursive tracks", 1)
+    + ", numbered as (select *, row_number() over (partition by shape_row_id order by x) rn from tracks)"
+    + _GREEDY
+)
+
+
+@query("select c_custkey from customer where c_nationkey not in (select n_nationkey from nation where n_regionkey = 2)")
+def anti_join(spark, d):
+    n = table(spark, d, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("c_nationkey"))
+    return rows.without(table(spark, d, "customer"), n, ["c_nationkey"]).select("c_custkey")
+
+
+# Columns and scalars
+
+
+@query("select p_partkey, cast(regexp_extract(p_brand, '([0-9]+)', 1) as int) brand, p_size from part")
+def columns_atoi(spark, d):
+    t = table(spark, d, "part").select("p_partkey", F.concat(F.regexp_extract("p_brand", "([0-9]+)", 1), F.lit("abc")).alias("brand"), "p_size", "p_type")
+    return columns.edit_columns(t, remove=["p_type"], to_int=["brand"])
+
+
+@query("select event_id, hour(ts) * 3600 + minute(ts) * 60 + second(ts) secs from events")
+def int_from_time(spark, d):
+    t = table(spark, d, "events").select("event_id", F.date_format("ts", "H:mm:ss").alias("secs"))
+    return columns.edit_columns(t, to_seconds=["secs"])
+
+
+@query("select p_partkey, p_brand || ' ' || p_type || ' ' || p_size label from part")
+def strcat(spark, d):
+    return columns.concat_text(table(spark, d, "part"), ["p_brand", "p_type", "p_size"], "label").select("p_partkey", "label")
+
+
+@query("select c_custkey, c_name || '.' c_name from customer")
+def trim_whitespace(spark, d):
+    t = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("  "), "c_name", F.lit(".   ")).alias("c_name"))
+    return columns.trim_spaces(t, "c_name")
+
+
+@query("select row_id, round((x - a) / (b - a) * 10, 6) x from points, (select min(x) a, max(x) b from points)", "points")
+def normalize(spark, d):
+    return columns.normalize(points(spark, d), ["x"], 10.0).select("row_id", _r("x").alias("x"))
+
+
+@query("select row_id, round(100 + (x - a) / (b - a) * 100, 6) x, round(50 + (y - c) / (e - c) * -50, 6) y from points, (select min(x) a, max(x) b, min(y) c, max(y) e from points)", "points")
+def bounds_rescale(spark, d):
+    return columns.rescale_bounds(points(spark, d), 100, 50, 200, 0).select("row_id", _r("x").alias("x"), _r("y").alias("y"))
+
+
+@query("select row_id, round((x + 1) * 3, 6) x, round((y - 2) * 4, 6) y from points", "points")
+def scale_offset(spark, d):
+    return columns.transform(points(spark, d), {"x": 1.0, "y": -2.0}, {"x": 3.0, "y": 4.0}).select("row_id", _r("x").alias("x"), _r("y").alias("y"))
+
+
+@query("select id, dayofweek(strptime(cast(date_of_infraction as varchar), '%Y%m%d')) sunday, isodow(strptime(cast(date_of_infraction as varchar), '%Y%m%d')) - 1 monday from tickets", "tickets")
+def add_wday(spark, d):
+    c = F.col("date_of_infraction")
+    return tickets(spark, d).select("id", S.weekday(c).cast("long").alias("sunday"), S.weekday(c, "monday").cast("long").alias("monday"))
+
+
+@query("select id, case when location1 in ('OP', 'OPP') then 1 else 0 end is_opp from tickets", "tickets")
+def is_opp(spark, d):
+    return tickets(spark, d).select("id", A.is_opposite(F.col("location1")).alias("is_opp"))
+
+
+_RULES = [(1, "ECONOMY", 1.0, 0.0, 0.0, 1.0), (2, "PROMO", 0.0, 1.0, 0.0, 0.5), (3, "ECONOMY", 0.25, 0.5, 0.75, 1.0)]
+
+
+@query(
+    """select p_partkey, case split_part(p_type, ' ', 1) when 'ECONOMY' then 0.25::double else 0.0 end red, case split_part(p_type, ' ', 1) when 'ECONOMY' then 0.5::double when 'PROMO' then 1.0 else 0.0 end green,
+  case split_part(p_type, ' ', 1) when 'ECONOMY' then 0.75::double else 0.0 end blue, case split_part(p_type, ' ', 1) when 'PROMO' then 0.5::double else 1.0 end alpha from part"""
+)
+def color_rules(spark, d):
+    rules = spark.createDataFrame(_RULES, "rule int, kind string, red double, green double, blue double, alpha double")
+    t = table(spark, d, "part").select("p_partkey", F.split("p_type", " ")[0].alias("kind"))
+    return columns.colour_by_rules(t, rules, "kind").drop("kind")
+
+
+@query("select row_id, round(0.30 * abs(x) + 0.59 * abs(y) + 0.11 * 0.5, 6) red, round(0.30 * abs(x) + 0.59 * abs(y) + 0.11 * 0.5, 6) blue from points", "points")
+def grayscale(spark, d):
+    t = points(spark, d).select("row_id", F.abs("x").alias("red"), F.abs("y").alias("green"), F.lit(0.5).alias("blue"))
+    return columns.grayscale(t).select("row_id", _r("red").alias("red"), _r("blue").alias("blue"))
+
+
+@query("select row_id, round((x - a) / (b - a), 6) red from points, (select min(x) a, max(x) b from points)", "points")
+def color_from_number(spark, d):
+    return columns.colour_by_number(points(spark, d), "x").select("row_id", _r("red").alias("red"))
+
+
+@query("select id, round(least(1.0, 0.8 * (wday_1 * n / t) + 0.2), 6) alpha from (select address_id id, count(*) filter (dayofweek(strptime(cast(date_of_infraction as varchar), '%Y%m%d')) = 1) wday_1 from tickets group by 1), (select count(distinct address_id) n, 10000::double t from tickets)", "tickets")
+def color_by_wday(spark, d):
+    t = A.totals_by_weekday(tickets(spark, d), "address_id").withColumnRenamed("address_id", "id")
+    return columns.colour_by_activity(t, "wday_1", 10000).select("id", _r("alpha").alias("alpha"))
+
+
+_HAVERSINE = "2 * 6372797.560856 * asin(least(1.0, sqrt(pow(sin(radians(y * 10 - 43.6) / 2), 2) + cos(radians(43.6)) * cos(radians(y * 10)) * pow(sin(radians(x * 10 + 79.4) / 2), 2))))"
+
+
+@query(f"select row_id, round({_HAVERSINE} / 1000, 3) km, round(sqrt(x * x + y * y), 6) planar from points", "points")
+def distances(spark, d):
+    c = F.col
+    km = S.haversine(F.lit(-79.4), F.lit(43.6), c("x") * 10, c("y") * 10) / 1000
+    return points(spark, d).select("row_id", _r(km, 3).alias("km"), _r(S.planar(F.lit(0.0), F.lit(0.0), c("x"), c("y"))).alias("planar"))
+
+
+@query("select row_id, round(cos(radians(y * 100)) * cos(radians(x * 300)), 6) px, round(sin(radians(y * 100)), 6) py, round(cos(radians(y * 100)) * sin(radians(x * 300)), 6) pz from points", "points")
+def to_planet(spark, d):
+    x, y, z = S.unit_sphere(F.col("x") * 300, F.col("y") * 100)
+    return points(spark, d).select("row_id", _r(x).alias("px"), _r(y).alias("py"), _r(z).alias("pz"))
+
+
+def _forward_sql(lon: str, lat: str, zone_meridian: str) -> str:
+    """The forward series over wgs84 in SQL, for a northern point."""
+    e = P.Grid.of("wgs84").ecc
+    q = e / (1 - e)
+    m0, m2, m4, m6 = P.Grid.of("wgs84").arc()
+    return f"""select row_id, round(0.9996 * n * a * (1 + (1 - t + c) * a * a / 6 + (5 - 18 * t + t * t + 72 * c - 58 * {q}) * a * a * a * a / 120) + 500000.0, 3) easting,
+  round(0.9996 * (m + n * tan(phi) * a * a * (0.5 + (5 - t + 9 * c + 4 * c * c) * a * a / 24 + (61 - 58 * t + t * t + 600 * c - 330 * {q}) * a * a * a * a / 720)), 3) northing
+  from (select row_id, phi, 6378137.0 / sqrt(1 - {e} * sin(phi) * sin(phi)) n, tan(phi) * tan(phi) t, {q} * cos(phi) * cos(phi) c, cos(phi) * radians({lon} - ({zone_meridian})) a,
+    6378137.0 * ({m0} * phi - {m2} * sin(2 * phi) + {m4} * sin(4 * phi) - {m6} * sin(6 * phi)) m
+  from (select row_id, x, y, radians({lat}) phi from points))"""
+
+
+@query(_forward_sql("(-81 + x)", "(43.5 + y)", "-81"), "points")
+def latlon_to_utm(spark, d):
+    e, n, _ = P.from_lon_lat(F.col("x") - 81, F.col("y") + 43.5, P.Grid.of("wgs84"), F.lit(17))
+    return points(spark, d).select("row_id", _r(e, 3).alias("easting"), _r(n, 3).alias("northing"))
+
+
+@query("select row_id, round(x - 81, 6) lon, round(y + 43.5, 6) lat from points", "points")
+def utm_to_latlon(spark, d):
+    grid = P.Grid.of("wgs84")
+    e, n, z = P.from_lon_lat(F.col("x") - 81, F.col("y") + 43.5, grid, F.lit(17))
+    lon, lat = P.to_lon_lat(F.col("e"), F.col("n"), F.lit(17), grid)
+    return points(spark, d).select("row_id", e.alias("e"), n.alias("n")).select("row_id", _r(lon).alias("lon"), _r(lat).alias("lat"))
+
+
+@query("select row_id, round(x - 79.5, 6) lon, round(y + 43.5, 6) lat from points", "points")
+def mtm_round_trip(spark, d):
+    grid = P.Grid.of("nad83", mtm=True)
+    e, n, z = P.from_lon_lat(F.col("x") - 79.5, F.col("y") + 43.5, grid, F.lit(10))
+    lon, lat = P.to_lon_lat(F.col("e"), F.col("n"), F.lit(10), grid)
+    return points(spark, d).select("row_id", e.alias("e"), n.alias("n")).select("row_id", _r(lon).alias("lon"), _r(lat).alias("lat"))
+
+
+# Order, sets, duplicates
+
+
+@query("select * from (select *, row_number() over (partition by o_custkey order by o_orderkey) rn from orders) where rn = 1".replace("select * from (", "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from ("))
+def unique_first(spark, d):
+    return rows.unique_first(table(spark, d, "orders"), "o_custkey", ["o_orderkey"])
+
+
+@query("select o_orderkey, o_custkey from (select *, row_number() over (partition by o_custkey order by o_orderkey desc) rn from orders) where rn = 1")
+def unique_last(spark, d):
+    return rows.unique_first(table(spark, d, "orders"), "o_custkey", ["o_orderkey"], last=True).select("o_orderkey", "o_custkey")
+
+
+@query("select c_custkey, c_nationkey from customer order by c_nationkey desc, c_custkey limit 100")
+def sort_top(spark, d):
+    return rows.top(table(spark, d, "customer").select("c_custkey", "c_nationkey"), 100, F.col("c_nationkey").desc(), "c_custkey")
+
+
+@query("select n_nationkey k, n_name name from nation union all select s_nationkey, s_name from supplier")
+def append_union(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    return rows.append(n, table(spark, d, "supplier").select("s_nationkey", "s_name"))
+
+
+@query("select c_nationkey k from customer union select s_nationkey from supplier")
+def union_distinct(spark, d):
+    return rows.union_distinct(table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select("s_nationkey"))
+
+
+@query("select c_nationkey k from customer where c_acctbal > 5000 intersect select s_nationkey from supplier where s_acctbal < 0")
+def intersect_rows(spark, d):
+    return table(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_nationkey").alias("k")).intersect(table(spark, d, "supplier").where("s_acctbal < 0").select("s_nationkey"))
+
+
+@query("select c_custkey k from customer except select o_custkey from orders")
+def except_rows(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").select("o_custkey"))
+
+
+@query("select user_id, event_id, ts, sum(new) over (partition by user_id order by ts, event_id) run from (select *, case when event_type is distinct from lag(event_type) over (partition by user_id order by ts, event_id) then 1 else 0 end new from events)".replace("sum(new) over (partition by user_id order by ts, event_id) run", "cast(sum(new) over (partition by user_id order by ts, event_id) as bigint) run"))
+def islands(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
+    return tables.islands(e, ["event_type"], ["ts", "event_id"], within=["user_id"]).drop("event_type")
+
+
+# Joins
+
+
+def _customers(spark, d):
+    return table(spark, d, "customer").where("c_custkey % 3 = 0").select("c_custkey", "c_name", "c_nationkey")
+
+
+def _orders(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey")
+
+
+_C3 = "(select c_custkey, c_name, c_nationkey from customer where c_custkey % 3 = 0)"
+
+
+@query(f"select o_orderkey, o_custkey, coalesce(c_custkey, -1) c_custkey, c_name, coalesce(c_nationkey, -1) c_nationkey from orders left join {_C3} on o_custkey = c_custkey")
+def join_left(spark, d):
+    return _shown(joins.join_tables(_orders(spark, d), _customers(spark, d), "o_custkey", "c_custkey", "left"), "c_custkey", "c_nationkey")
+
+
+@query(f"select o_orderkey, o_custkey, c_custkey, c_name, c_nationkey from orders join {_C3} on o_custkey = c_custkey")
+def join_inner(spark, d):
+    return joins.join_tables(_orders(spark, d), _customers(spark, d), "o_custkey", "c_custkey", "inner")
+
+
+@query(f"select coalesce(o_orderkey, -1) o_orderkey, coalesce(o_custkey, c_custkey) o_custkey, c_custkey, c_name, c_nationkey from orders right join {_C3} on o_custkey = c_custkey")
+def join_right(spark, d):
+    return _shown(joins.join_tables(_orders(spark, d), _customers(spark, d), "o_custkey", "c_custkey", "right"), "o_orderkey")
+
+
+@query(f"select o_orderkey, o_custkey, coalesce(c_custkey, 0) c_custkey, coalesce(c_name, '') c_name, coalesce(c_nationkey, 0) c_nationkey from orders left join {_C3} on o_custkey = c_custkey")
+def join_left_zero(spark, d):
+    return joins.join_tables(_orders(spark, d), _customers(spark, d), "o_custkey", "c_custkey", "left", zero=True)
+
+
+@query("select s_suppkey, c_custkey first_customer from supplier left join (select c_nationkey, min(c_custkey) c_custkey from customer group by 1) on s_nationkey = c_nationkey")
+def lookup_first_wins(spark, d):
+    return joins.lookup(table(spark, d, "supplier"), table(spark, d, "customer"), "s_nationkey", "c_nationkey", {"c_custkey": "first_customer"}, ["c_custkey"]).select("s_suppkey", "first_customer")
+
+
+@query(
+    """select c.c_custkey, coalesce(a.s_suppkey, b.s_suppkey) supplier from customer c
+  left join (select 'Customer#' || right('000000000' || s_suppkey, 9) k, s_suppkey from supplier) a on c.c_name = a.k
+  left join (select cast(s_nationkey as varchar) k, min(s_suppkey) s_suppkey from supplier group by 1) b on cast(c.c_nationkey as varchar) = b.k"""
+)
+def lookup_fallback(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("Customer#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("name"), F.col("s_nationkey").cast("string").alias("nation"))
+    c = table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_nationkey").cast("string").alias("nation_key"))
+    a = joins.lookup(c, s, "c_name", "name", {"s_suppkey": "a"}, ["s_suppkey"])
+    b = joins.lookup(a, s, "nation_key", "nation", {"s_suppkey": "b"}, ["s_suppkey"])
+    return b.select("c_custkey", F.coalesce("a", "b").alias("supplier"))
+
+
+@query("select id, address_id from tickets where address_id < 40 union all select t.id, b.id from tickets t join addresses a on t.address_id = a.id join addresses b on a.street_id = b.street_id and a.side = b.side and a.id <> b.id where t.address_id < 40 and a.id < 60 and b.id < 60", "tickets", "addresses")
+def self_dup_join(spark, d):
+    a = addresses(spark, d).where("id < 60").withColumn("shared", F.struct("street_id", "side"))
+    return joins.duplicate_for_shared_key(tickets(spark, d).where("address_id < 40").select("id", "address_id"), a, "id", "shared", "address_id")
+
+
+_BARY = """select p.row_id, count(t.polygon_id) hits, coalesce({pick}(t.polygon_id), -1) hit from points p left join triangles t
+  on ((cx - ax) * (p.y - ay) is not null
+  and ((p.x - ax) * ("by" - ay) - (bx - ax) * (p.y - ay)) / ((cx - ax) * ("by" - ay) - (bx - ax) * (cy - ay)) > 0
+  and ((cx - ax) * (p.y - ay) - (p.x - ax) * (cy - ay)) / ((cx - ax) * ("by" - ay) - (bx - ax) * (cy - ay)) > 0
+  and ((p.x - ax) * ("by" - ay) - (bx - ax) * (p.y - ay)) / ((cx - ax) * ("by" - ay) - (bx - ax) * (cy - ay)) + ((cx - ax) * (p.y - ay) - (p.x - ax) * (cy - ay)) / ((cx - ax) * ("by" - ay) - (bx - ax) * (cy - ay)) < 1)
+  group by 1"""
+
+
+@query(_BARY.format(pick="min"), "points", "triangles")
+def point_in_triangle(spark, d):
+    return joins.point_in_triangle(points(spark, d), triangles(spark, d), "polygon_id", 0.05).select("row_id", "hits", F.coalesce("hit", F.lit(-1)).alias("hit"))
+
+
+@query(_BARY.format(pick="max"), "points", "triangles")
+def point_in_triangle_last(spark, d):
+    return joins.point_in_triangle(points(spark, d), triangles(spark, d), "polygon_id", 0.05, last=True).select("row_id", "hits", F.coalesce("hit", F.lit(-1)).alias("hit"))
+
+
+@query("select a.row_id, b.row_id other from points a join points b on abs(a.x - b.x) <= 0.01 and abs(a.y - b.y) <= 0.01", "points")
+def range_box(spark, d):
+    p = points(spark, d)
+    return joins.within_box(p.select("row_id", "x", "y"), p, 0.01, {"row_id": "other", "x": "x2", "y": "y2"}).select("row_id", "other")
+
+
+_NEAREST = "select row_id, nearest, round(distance, 6) distance from (select a.row_id, b.row_id nearest, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) distance, row_number() over (partition by a.row_id order by sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.row_id) rn from points a join points b on {on}) where rn = 1"
+
+
+@query(_NEAREST.format(on="a.row_id <> b.row_id"), "points")
+def nearest_neighbour(spark, d):
+    p = points(spark, d)
+    return joins.nearest(p, p, "row_id", "row_id", 0.02, same_layer=True, rounds=6).withColumn("distance", _r("distance"))
+
+
+@query("select row_id, round(greatest(min(distance), 0.00005), 6) radius from (select a.row_id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) distance from points a join points b on a.row_id <> b.row_id) group by 1", "points")
+def nn_radius(spark, d):
+    p = points(spark, d)
+    return joins.nearest(p, p, "row_id", "row_id", 0.02, same_layer=True, rounds=6).select("row_id", _r(F.greatest("distance", F.lit(0.00005))).alias("radius"))
+
+
+def _segments(spark, d):
+    w = Window.partitionBy("grp").orderBy("row_id")
+    p = points(spark, d).where("row_id % 10 = 0")
+    return p.select(F.col("row_id").alias("segment_id"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2")).where("x2 is not null")
+
+
+@query(
+    """, seg as (select * from (select row_id segment_id, x x1, y y1, lead(x) over w x2, lead(y) over w y2 from points where row_id % 10 = 0 window w as (partition by grp order by row_id)) where x2 is not null),
+  near as (select p.row_id, p.x, p.y, segment_id, x1, y1, x2, y2, greatest(0.0, least(1.0, ((p.x - x1) * (x2 - x1) + (p.y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) t from points p, seg),
+  gap as (select *, sqrt(pow(x - (x1 + t * (x2 - x1)), 2) + pow(y - (y1 + t * (y2 - y1)), 2)) d from near),
+  best as (select * from (select *, row_number() over (partition by row_id order by d, segment_id) rn from gap where d <= 0.05) where rn = 1)
+  select p.row_id, coalesce(b.segment_id, -1) segment_id, round(x1 + t * (x2 - x1), 6) snapped_x, round(y1 + t * (y2 - y1), 6) snapped_y, round(d, 6) distance from points p left join best b using (row_id)""",
+    "points",
+)
+def snap_to_segment(spark, d):
+    s = joins.snap_to_segments(points(spark, d), _segments(spark, d), "row_id", 0.05, 0.05)
+    return s.select("row_id", F.coalesce("segment_id", F.lit(-1)).alias("segment_id"), _r("snapped_x").alias("snapped_x"), _r("snapped_y").alias("snapped_y"), _r("distance").alias("distance"))
+
+
+SQL["snap_to_segment"] = SQL["snap_to_segment"].replace(") , seg", "), seg")
+
+
+@query()
+def align_to_lines(spark, d):
+    p = points(spark, d)
+    lines = p.where("row_id % 10 = 0").select(F.col("grp").alias("line"), F.col("row_id").alias("seq"), "x", "y")
+    return joins.align_to_lines(p.select("row_id", "x", "y"), lines, "row_id", 0.05, 0.05).select("row_id", "line", _r("distance").alias("distance"), _r("along").alias("along"))
+
+
+# Aggregates
+
+
+@query("select l_returnflag as value, count(*) n from lineitem group by 1")
+def value_counts(spark, d):
+    return A.value_counts(table(spark, d, "lineitem"), "l_returnflag")
+
+
+@query(
+    """select 'l_quantity' as name, min(l_quantity) low, max(l_quantity) high, -1 longest, -1::bigint n_longest from lineitem
+  union all select 'l_extendedprice', min(l_extendedprice), max(l_extendedprice), -1, -1 from lineitem
+  union all select 'l_linestatus', null, null, max(length(l_linestatus)), count(*) filter (length(l_linestatus) = (select max(length(l_linestatus)) from lineitem)) from lineitem"""
+)
+def bounds_report(spark, d):
+    return _shown(A.bounds_report(table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_linestatus")), "longest", "n_longest")
+
+
+@query("select grp, corner, round(case when corner in (0, 3) then a - (b - a) * 0.05 else b + (b - a) * 0.05 end, 6) x, round(case when corner < 2 then c - (e - c) * 0.05 else e + (e - c) * 0.05 end, 6) y from (select grp, min(x) a, max(x) b, min(y) c, max(y) e from points group by 1), (select unnest([0, 1, 2, 3])::int corner)", "points")
+def bbox_polygon(spark, d):
+    return A.bbox_polygon(points(spark, d), ["grp"], 0.1).select("grp", "corner", _r("x").alias("x"), _r("y").alias("y"))
+
+
+def _totals_sql(weekday: int, minute: int) -> str:
+    opp, meter = "location1 in ('OP', 'OPP')", "infraction_code in (1, 207, 210, 312)"
+    day, at = "dayofweek(strptime(cast(date_of_infraction as varchar), '%Y%m%d'))", "(time_of_infraction // 100 * 60 + time_of_infraction % 100)"
+    cols = []
+    for side, a in (("at", f"not {opp}"), ("op", opp)):
+        for kind, k in (("tickets", f"not {meter}"), ("meter_tickets", meter)):
+            cols.append(f"count(*) filter ({a} and {k}) num_{side}_{kind}")
+            for h in (1, 3, 6):
+                if minute + h * 60 <= 1440:
+                    w = f"{day} = {weekday} and {at} > {minute} and {at} < {minute + h * 60}"
+                else:
+                    w = f"{day} = {(weekday + 1) % 7} and {at} > {minute - 1440} and {at} < {minute - 1440 + h * 60}"
+                cols.append(f"count(*) filter ({a} and {k} and {w}) num_{side}_{kind}_within_{h}h")
+    names = [c.rpartition(" ")[2] for c in cols]
+    return f", t as (select address_id, {', '.join(cols)} from tickets group by 1) select a.*, {', '.join(f'coalesce({n}, 0) {n}' for n in names)} from addresses a left join t on a.id = t.address_id"
+
+
+@query(_totals_sql(2, 600), "tickets", "addresses")
+def ticket_totals(spark, d):
+    return A.ticket_totals(addresses(spark, d), tickets(spark, d), 2, 600)
+
+
+@query(_totals_sql(6, 1290), "tickets", "addresses")
+def ticket_lookahead(spark, d):
+    return A.ticket_totals(addresses(spark, d), tickets(spark, d), 6, 1290)
+
+
+@query(
+    "select address_id, count(*) n, round(sum(set_fine_amount), 2) fines, " + ", ".join(f"count(*) filter (dayofweek(strptime(cast(date_of_infraction as varchar), '%Y%m%d')) = {k}) wday_{k}" for k in range(7)) + " from tickets group by 1", "tickets"
+)
+def totals_by_weekday(spark, d):
+    return A.totals_by_weekday(tickets(spark, d), "address_id")
+
+
+@query("select address_id, count(*) filter (location1 = 'AT') num_at, count(*) filter (location1 <> 'AT') num_op from tickets group by 1", "tickets")
+def totals_by_side(spark, d):
+    return A.totals_by_side(tickets(spark, d), "address_id")
+
+
+def _hist(spark, d):
+    t = tickets(spark, d).withColumns({"is_opp": A.is_opposite(F.col("location1")), "wday": S.weekday(F.col("date_of_infraction")), "geo_id": F.col("address_id") % 20})
+    return A.half_hour_histogram(t, ["geo_id", "is_opp", "infraction_code", "wday"])
+
+
+_SLOTS = """, t as (select address_id % 20 geo_id, case when location1 in ('OP', 'OPP') then 1 else 0 end is_opp, infraction_code, dayofweek(strptime(cast(date_of_infraction as varchar), '%Y%m%d')) wday,
+  cast((time_of_infraction // 100 * 60 + time_of_infraction % 100) // 30 as int) slot from tickets),
+  g as (select geo_id, is_opp, infraction_code, wday, count(*) tickets_all_day from t group by all),
+  c as (select geo_id, is_opp, infraction_code, wday, slot, count(*) n from t group by all),
+  h as (select g.geo_id, g.is_opp, g.infraction_code, g.wday, g.tickets_all_day, s.slot, coalesce(c.n, 0) n, max(coalesce(c.n, 0)) over (partition by g.geo_id, g.is_opp, g.infraction_code, g.wday) most
+    from g cross join (select unnest(range(48))::int slot) s left join c on c.geo_id = g.geo_id and c.is_opp = g.is_opp and c.infraction_code = g.infraction_code and c.wday = g.wday and c.slot = s.slot),
+  p as (select geo_id, is_opp, infraction_code, cast(wday as int) wday, tickets_all_day, string_agg(chr(cast(32 + least(n, 94) as int)), '' order by slot) half_hourly,
+    string_agg(substr(' .,-=+*%0#', cast(floor(n / greatest(most, 1) * 9) as int) + 1, 1), '' order by slot) symbols from h group by geo_id, is_opp, infraction_code, wday, tickets_all_day)"""
+
+
+@query(_SLOTS + " select geo_id, is_opp, infraction_code, wday, tickets_all_day, half_hourly from p", "tickets")
+def halfhour_hist(spark, d):
+    return _hist(spark, d).select("geo_id", "is_opp", "infraction_code", "wday", "tickets_all_day", A.as_printable(F.col("slots")).alias("half_hourly"))
+
+
+@query(_SLOTS + " select geo_id, is_opp, infraction_code, wday, symbols from p", "tickets")
+def halfhour_symbols(spark, d):
+    return _hist(spark, d).select("geo_id", "is_opp", "infraction_code", "wday", A.as_symbols(F.col("slots")).alias("symbols"))
+
+
+@query(_SLOTS + " select p.geo_id, p.is_opp, p.infraction_code, p.wday, substr(p.half_hourly || coalesce(q.half_hourly, repeat(' ', 48)), 47, 6) ahead from p left join p q on p.geo_id = q.geo_id and p.is_opp = q.is_opp and p.infraction_code = q.infraction_code and q.wday = (p.wday + 1) % 7", "tickets")
+def next3h_wrap(spark, d):
+    h = _hist(spark, d).withColumn("half_hourly", A.as_printable(F.col("slots"))).drop("slots", "tickets_all_day")
+    both = A.with_tomorrow(h, ["geo_id", "is_opp", "infraction_code"])
+    return both.select("geo_id", "is_opp", "infraction_code", "wday", A.next_slots(F.col("half_hourly"), F.col("tomorrow"), 46).alias("ahead"))
+
+
+for _name in ("halfhour_hist", "halfhour_symbols", "next3h_wrap", "ticket_totals", "ticket_lookahead"):
+    SQL[_name] = SQL[_name].replace(") , t as", "), t as")
+
+
+@query("select label, w as window, round(sqrt(avg(v * v)), 6) rms from (select label, v, (row_number() over (partition by label order by vec_id, k) - 1) // 64 w from (select label, vec_id, unnest(range(64)) k, cast(unnest(embedding) as double) v from embeddings)) group by 1, 2")
+def rms(spark, d):
+    e = table(spark, d, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("k", "v")).withColumns({"at": F.struct("vec_id", "k"), "v": F.col("v").cast("double")})
+    return A.rms(e, "label", "at", "v", 64).select("label", "window", _r("rms").alias("rms"))
+
+
+@query("select shape_row_id, count(*) n, round(sum(x), 2) sx from tracks group by 1", "tracks")
+def group_shapes(spark, d):
+    g = A.group_shapes(tracks(spark, d), "shape_row_id", "event_id")
+    return g.select("shape_row_id", F.size("points").cast("long").alias("n"), _r(F.aggregate("points", F.lit(0.0), lambda a, p: a + p["x"]), 2).alias("sx"))
+
+
+@query("select n_regionkey, count(*) suppliers, round(avg(s_acctbal), 2) mean, min(s_acctbal) low, max(s_acctbal) high from supplier join nation on s_nationkey = n_nationkey group by 1")
+def sql_passthrough(spark, d):
+    s, n = table(spark, d, "supplier"), table(spark, d, "nation")
+    return spark.sql(
+        "select n_regionkey, count(*) suppliers, round(avg(s_acctbal), 2) mean, min(s_acctbal) low, max(s_acctbal) high from {s} join {n} on s_nationkey = n_nationkey group by 1", s=s, n=n
+    )
+
+
+# Sequences
+
+
+@query("select id, coalesce(lag(id) over w, -1) previous, coalesce(lead(id) over w, -1) as next from addresses window w as (partition by street_id, side order by numeric_address, id)", "addresses")
+def neighbour_lag_lead(spark, d):
+    return _shown(sequences.neighbours(addresses(spark, d), ["street_id", "side"], ["numeric_address", "id"], "id").select("id", "previous", "next"), "previous", "next")
+
+
+@query(
+    "select event_id, round(sum(step) over (partition by shape_row_id order by x, event_id rows unbounded preceding), 2) along from (select *, coalesce(sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2)), 0) step from tracks window w as (partition by shape_row_id order by x, event_id))",
+    "tracks",
+)
+def cumulative_distance(spark, d):
+    return sequences.running_distance(tracks(spark, d), ["shape_row_id"], ["x", "event_id"]).select("event_id", _r("along", 2).alias("along"))
+
+
+@query("select event_id, cast(sum(fell) over (partition by shape_row_id order by x, event_id) as bigint) trip from (select *, case when y < lag(y) over (partition by shape_row_id order by x, event_id) then 1 else 0 end fell from tracks)", "tracks")
+def trip_split(spark, d):
+    return sequences.split_trips(tracks(spark, d), "shape_row_id", ["x", "event_id"], "y").select("event_id", "trip")
+
+
+@query(
+    """, a as (select *, atan2(lead(y) over w - y, lead(x) over w - x) a from tracks window w as (partition by shape_row_id order by x, event_id)),
+  b as (select *, coalesce(a, lag(a) over (partition by shape_row_id order by x, event_id), 0) g from a)
+  select event_id, round(x + 0.5 * cos(g + pi() / 2), 6) left_x, round(y - 0.5 * sin(g + pi() / 2), 6) right_y from b""",
+    "tracks",
+)
+def offset_polyline(spark, d):
+    o = sequences.offset_lines(tracks(spark, d), ["shape_row_id"], ["x", "event_id"], 0.5)
+    return o.select("event_id", _r("left_x").alias("left_x"), _r("right_y").alias("right_y"))
+
+
+SQL["offset_polyline"] = SQL["offset_polyline"].replace(") , a as", "), a as")
+
+
+@query("select shape_row_id, round(sum(x * ny - nx * y) / 2, 2) area from (select *, lead(x) over w nx, lead(y) over w ny from tracks window w as (partition by shape_row_id order by x, event_id)) group by 1", "tracks")
+def winding_area(spark, d):
+    return sequences.signed_area(tracks(spark, d), ["shape_row_id"], ["x", "event_id"]).select("shape_row_id", _r("area", 2).alias("area"))
+
+
+@query("select event_id, lo + hi - event_id as seq from (select event_id, min(event_id) over (partition by shape_row_id) lo, max(event_id) over (partition by shape_row_id) hi from tracks)", "tracks")
+def reverse_ring(spark, d):
+    t = tracks(spark, d).withColumn("seq", F.col("event_id"))
+    return sequences.orient(t, ["shape_row_id"], "seq", "reverse").select("event_id", "seq")
+
+
+@query()
+def chain_streets(spark, d):
+    n = table(spark, d, "nation")
+    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    s = n.select(F.col("n_regionkey").alias("street"), F.col("n_nationkey").alias("from_node"), F.lead("n_nationkey").over(w).alias("to_node"), F.lit(1.0).alias("length")).where("to_node is not null")
+    return sequences.chain_segments(s, n.groupBy(F.col("n_regionkey").alias("street")).agg(F.min("n_nationkey").alias("node")))
+
+
+# Shapes
+
+
+@query()
+def simplify(spark, d):
+    return shapes.simplify(tracks(spark, d), ["shape_row_id"], "x", 5.0).select("shape_row_id", "event_id")
+
+
+@query()
+def loop_overlap(spark, d):
+    p = points(spark, d).select("grp", F.col("row_id").alias("seq"), "x", "y")
+    first = p.groupBy("grp").agg(F.min(F.struct("seq", "x", "y")).alias("f"), F.max("seq").alias("m")).select("grp", (F.col("m") + 1).alias("seq"), "f.x", "f.y")
+    return shapes.cut_overlap(p.union(first), ["grp"], "seq", 1e-6).select("grp", "seq")
+
+
+def _rings(spark, d):
+    """A star-shaped ring per group: points by their angle around the origin."""
+    p = points(spark, d).withColumn("a", F.atan2("y", "x")).where("x <> 0 or y <> 0")
+    return p.withColumn("seq", F.row_number().over(Window.partitionBy("grp").orderBy("a", "row_id"))).select("grp", F.lit(0).alias("part"), "seq", "x", "y")
+
+
+_RING_AREA = ", r as (select grp, x, y, row_number() over (partition by grp order by atan2(y, x), row_id) s from points where x <> 0 or y <> 0), n as (select *, coalesce(lead(x) over w, first_value(x) over w) nx, coalesce(lead(y) over w, first_value(y) over w) ny from r window w as (partition by grp order by s))"
+
+
+@query(_RING_AREA + " select grp, round(abs(sum(x * ny - nx * y)) / 2, 6) area from n group by 1", "points")
+def tessellate(spark, d):
+    t = shapes.tessellate(_rings(spark, d), "grp", "part", "seq")
+    corners = t.groupBy("grp", "triangle").agg(F.array_sort(F.collect_list(F.struct("corner", "x", "y"))).alias("p"))
+    x, y = lambda k: F.col("p")[k]["x"], lambda k: F.col("p")[k]["y"]
+    twice = (x(1) - x(0)) * (y(2) - y(0)) - (x(2) - x(0)) * (y(1) - y(0))
+    return corners.groupBy("grp").agg(_r(F.sum(F.abs(twice)) / 2).alias("area"))
+
+
+@query()
+def clip_shapes(spark, d):
+    return shapes.clip(_rings(spark, d), "grp", "seq", [(-0.1, -0.1), (0.1, -0.1), (0.1, 0.1), (-0.1, 0.1)]).select("grp", "part", "seq", _r("x").alias("x"), _r("y").alias("y"))
+
+
+@query()
+def dissolve_shapes(spark, d):
+    t = shapes.tessellate(_rings(spark, d), "grp", "part", "seq")
+    return shapes.dissolve(t, ["grp"], "triangle", "corner")
+
+
+@query()
+def voronoi_cells(spark, d):
+    return shapes.voronoi(points(spark, d).where("row_id % 5 = 0"), "grp", "row_id", (-1.0, -1.0, 1.0, 1.0))
+
+
+@query()
+def fft_ratio(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v"))
+    return shapes.fft_share(e, "vec_id", "k", "v", 32, 4).withColumn("ratio", _r("ratio"))
+
+
+@query("select row_id, x, y from points where grp = 1 union all select row_id, x + dx, y + dy from points, (select case when bx - ax <= by_ - ay then bx - cx else 0 end dx, case when bx - ax <= by_ - ay then 0 else by_ - cy end dy from (select min(x) ax, max(x) bx, min(y) ay, max(y) by_ from points where grp = 1), (select min(x) cx, min(y) cy from points where grp = 2)) where grp = 2".replace("select row_id, x, y from points where grp = 1", "select row_id, round(x, 6) x, round(y, 6) y from points where grp = 1").replace("select row_id, x + dx, y + dy", "select row_id, round(x + dx, 6), round(y + dy, 6)"), "points")
+def tile_beside(spark, d):
+    p = points(spark, d)
+    return shapes.place_beside(p.where("grp = 1").select("row_id", "x", "y"), p.where("grp = 2").select("row_id", "x", "y")).select("row_id", _r("x").alias("x"), _r("y").alias("y"))
+
+
+@query("select i::int i, j::int j, round(-1 + i * 0.25, 6) x0, round(-1 + j * 0.25, 6) y0 from (select unnest(range(8)) i), (select unnest(range(8)) j)")
+def tile_grid(spark, d):
+    return generate.tiles(spark, -1, -1, 1, 1, 0.25).select("i", "j", _r("x0").alias("x0"), _r("y0").alias("y0"))
+
+
+@query("select id seq, round(cos(id * 2 * pi() / 50), 6) x, round(sin(id * 2 * pi() / 50), 6) y from (select unnest(range(50)) id)")
+def generate_circle(spark, d):
+    return generate.circle(spark).select("seq", _r("x").alias("x"), _r("y").alias("y"))
+
+
+# Changes and serving
+
+
+_CHANGES = [
+    {"id": 2, "filename": "customer", "search_fields": '{"c_mktsegment": "RENAMED"}', "update_fields": {"note": "twice", "c_nationkey": 99}},
+    {"id": 1, "filename": "customer", "search_fields": {"c_mktsegment": "BUILDING"}, "update_fields": '{"c_mktsegment": "RENAMED"}'},
+    {"id": 3, "filename": "supplier", "search_fields": {"c_custkey": 1}, "update_fields": {"note": "not this table"}},
+]
+
+
+@query("select c_custkey, case when c_mktsegment = 'BUILDING' then 'RENAMED' else c_mktsegment end c_mktsegment, case when c_mktsegment = 'BUILDING' then 99 else c_nationkey end c_nationkey, case when c_mktsegment = 'BUILDING' then 'twice' else '' end note from customer")
+def run_changes(spark, d):
+    return changes.replay(table(spark, d, "customer"), _CHANGES, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "note")
+
+
+@query("select row_id, x, y from points where x between 0.02 - 0.006 and 0.02 + 0.006 and y between -0.01 - 0.006 and -0.01 + 0.006", "points")
+def near_service(spark, d):
+    return serving.near(points(spark, d), -0.01, 0.02, 9.0).select("row_id", "x", "y")
+
+
+@query()
+def near_sides(spark, d):
+    t = ticket_totals(spark, d).withColumns({"x": F.col("id") / 1e4, "y": F.col("numeric_address") / 1e4, "angle": F.lit(0.5), "road_width": F.lit(0.0002), "radius": F.lit(0.0001)})
+    return serving.side_rows(t, least=5).withColumns({c: _r(c) for c in ("x1", "y1", "x2", "y2")})
+
+
+@query()
+def line_risk(spark, d):
+    h = _hist(spark, d).withColumn("half_hourly", A.as_printable(F.col("slots"))).drop("slots")
+    both = A.with_tomorrow(h, ["geo_id", "is_opp", "infraction_code"]).where("wday = 2 and is_opp = 1")
+    return serving.line_risk(both, serving.round_up(600), [5, 9, 29])
+
+
+@query("select n_nationkey k, case when n_nationkey < 3 then 'new' else n_name end name from nation union all select 100, 'new'")
+def upsert(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    return serving.upsert(n, spark.createDataFrame([(0, "new"), (1, "new"), (2, "new"), (100, "new")], "k int, name string"), ["k"])
