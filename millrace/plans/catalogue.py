@@ -17,6 +17,7 @@ from millrace.operators import aggregates as A
 from millrace.operators import changes, columns, joins, rows, sequences, serving, shapes
 from millrace.plans.standins import addresses, points, sql, table, tickets, tracks, triangles
 from millrace.sources import generate
+from millrace.streaming import operators as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,7 +29,7 @@ def query(text: str | None = None, *layers: str):
     def add(fn):
         QUERIES[fn.__name__] = fn
         if text:
-            SQL[fn.__name__] = sql(text, *layers) if layers else text
+            SQL[fn.__name__] = (sql(text, *layers) if layers else text).replace(") , ", "), ")
         return fn
 
     return add
@@ -696,3 +697,44 @@ def line_risk(spark, d):
 def upsert(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
     return serving.upsert(n, spark.createDataFrame([(0, "new"), (1, "new"), (2, "new"), (100, "new")], "k int, name string"), ["k"])
+
+
+# Streams, run over what is there
+
+
+def _event_stream(spark, d):
+    batch = table(spark, d, "events")
+    return spark.readStream.schema(batch.schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("select time_bucket(interval '1 day', ts) as start, event_type, count(*) n, round(sum(value), 2) total from events group by 1, 2")
+def stream_tumbling(spark, d):
+    found = stream.drained(spark, stream.tumbling(_event_stream(spark, d), "ts", "1 day", ["event_type"], "value"))
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("select user_id, max(ts) as ts from events group by 1")
+def stream_latest(spark, d):
+    found = stream.drained(spark, stream.latest(_event_stream(spark, d), "user_id", "ts", "event_id"))
+    return found.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("select event_id, user_id from events")
+def stream_retention(spark, d):
+    return stream.drained(spark, stream.retain(_event_stream(spark, d), "ts", ["event_id"]), "append").select("event_id", "user_id")
+
+
+@query("select event_id from events where ts >= (select max(ts) from events) - interval 6 hours")
+def recent_events(spark, d):
+    return stream.recent(table(spark, d, "events"), "ts", "6 hours").select("event_id")
+
+
+@query(
+    """, f as (select *, case when y < lag(y) over w then 1 else 0 end fell from tracks window w as (partition by shape_row_id order by x, y)),
+  t as (select *, sum(fell) over (partition by shape_row_id order by x, y) trip from f),
+  m as (select shape_row_id, trip, count(*) n, max(trip) over (partition by shape_row_id) lasting from t group by 1, 2)
+  select cast(shape_row_id as varchar) vehicle, cast(trip as bigint) trip, n from m where trip < lasting""",
+    "tracks",
+)
+def stream_trips(spark, d):
+    return stream.drained(spark, stream.trips(_event_stream(spark, d), "user_id", "ts", "value"), "append").select("vehicle", "trip", "n")
