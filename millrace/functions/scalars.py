@@ -23,8 +23,8 @@ def as_double(text: Column) -> Column:
 
 
 def as_text(value: Column) -> Column:
-    """A double with six decimals."""
-    return F.format_string("%.6f", value.cast("double"))
+    """A double with six decimals; null stays null."""
+    return F.when(value.isNotNull(), F.format_string("%.6f", value.cast("double")))
 
 
 def seconds_of_day(text: Column) -> Column:

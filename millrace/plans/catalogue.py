@@ -326,13 +326,13 @@ def join_left_zero(spark, d):
     return joins.join_tables(_orders(spark, d), _customers(spark, d), "o_custkey", "c_custkey", "left", zero=True)
 
 
-@query("select s_suppkey, c_custkey first_customer from supplier left join (select c_nationkey, min(c_custkey) c_custkey from customer group by 1) on s_nationkey = c_nationkey")
+@query("select s_suppkey, coalesce(c_custkey, -1) first_customer from supplier left join (select c_nationkey, min(c_custkey) c_custkey from customer group by 1) on s_nationkey = c_nationkey")
 def lookup_first_wins(spark, d):
-    return joins.lookup(table(spark, d, "supplier"), table(spark, d, "customer"), "s_nationkey", "c_nationkey", {"c_custkey": "first_customer"}, ["c_custkey"]).select("s_suppkey", "first_customer")
+    return joins.lookup(table(spark, d, "supplier"), table(spark, d, "customer"), "s_nationkey", "c_nationkey", {"c_custkey": "first_customer"}, ["c_custkey"]).select("s_suppkey", F.coalesce("first_customer", F.lit(-1)).alias("first_customer"))
 
 
 @query(
-    """select c.c_custkey, coalesce(a.s_suppkey, b.s_suppkey) supplier from customer c
+    """select c.c_custkey, coalesce(a.s_suppkey, b.s_suppkey, -1) supplier from customer c
   left join (select 'Customer#' || right('000000000' || s_suppkey, 9) k, s_suppkey from supplier) a on c.c_name = a.k
   left join (select cast(s_nationkey as varchar) k, min(s_suppkey) s_suppkey from supplier group by 1) b on cast(c.c_nationkey as varchar) = b.k"""
 )
@@ -341,7 +341,7 @@ def lookup_fallback(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_nationkey").cast("string").alias("nation_key"))
     a = joins.lookup(c, s, "c_name", "name", {"s_suppkey": "a"}, ["s_suppkey"])
     b = joins.lookup(a, s, "nation_key", "nation", {"s_suppkey": "b"}, ["s_suppkey"])
-    return b.select("c_custkey", F.coalesce("a", "b").alias("supplier"))
+    return b.select("c_custkey", F.coalesce("a", "b", F.lit(-1)).alias("supplier"))
 
 
 @query("select id, address_id from tickets where address_id < 40 union all select t.id, b.id from tickets t join addresses a on t.address_id = a.id join addresses b on a.street_id = b.street_id and a.side = b.side and a.id <> b.id where t.address_id < 40 and a.id < 60 and b.id < 60", "tickets", "addresses")

@@ -39,5 +39,6 @@ def tiles(spark: SparkSession, min_x: float, min_y: float, max_x: float, max_y:
 
 def marker(spark: SparkSession, x: float, y: float, size: float) -> DataFrame:
     """Two crossing strokes as two parts of a line strip."""
+    x, y = float(x), float(y)
     rows = [(0, 0, x - size, y), (0, 1, x + size, y), (1, 0, x, y - size), (1, 1, x, y + size)]
     return spark.createDataFrame(rows, "shape_part_id int, seq int, x double, y double")
