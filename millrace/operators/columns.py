@@ -110,3 +110,32 @@ def colour_by_activity(df: DataFrame, count: str, total: int) -> DataFrame:
     share = F.try_divide(F.col(count) * F.col("__n"), F.lit(float(total)))
     zero = F.lit(0.0)
     return df.join(F.broadcast(rows)).withColumns({"red": zero, "green": zero, "blue": zero, "alpha": F.least(F.lit(1.0), 0.8 * share + 0.2)}).drop("__n")
+
+
+def renumber(df: DataFrame, column: str) -> DataFrame:
+    """Ids renumbered from 1 in their order: the distinct ids are numbered and joined back."""
+    from millrace.table import number_in_order
+
+    ids = number_in_order(df.select(F.col(column).alias("__old")).distinct(), "__old", name="__new")
+    return df.join(ids, F.col(column) == F.col("__old")).withColumn(column, F.col("__new")).drop("__old", "__new")
+
+
+def colour_by_cost(df: DataFrame, costs: DataFrame, key: str, cost: str) -> DataFrame:
+    """Grey by the cost's share of the costs' range; red where there is none."""
+    span = costs.agg((F.max(cost) - F.min(cost)).alias("__span"))
+    priced = costs.groupBy(F.col(key).alias("__key")).agg(F.max(cost).alias("__cost")).join(F.broadcast(span))
+    grey = F.try_divide(F.col("__cost"), F.col("__span"))
+    joined = df.join(priced, F.col(key) == F.col("__key"), "left").withColumn("__grey", grey)
+    other = F.coalesce("__grey", F.lit(0.0))
+    return joined.withColumns({"red": F.coalesce("__grey", F.lit(1.0)), "green": other, "blue": other, "alpha": F.lit(1.0)}).drop("__key", "__cost", "__span", "__grey")
+
+
+def colour_from_series(df: DataFrame, series: DataFrame, key: str, order: str) -> DataFrame:
+    """Each vertex takes the colour at the same relative place of the series of its key."""
+    place = lambda t: t.withColumns({"__i": F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1, "__n": F.count("*").over(Window.partitionBy(key))})
+    own = place(df)
+    other = place(series).select(F.col(key).alias("__key"), F.col("__i").alias("__j"), F.col("__n").alias("__m"), *[F.col(c).alias(f"__{c}") for c in COLOUR])
+    sizes = other.groupBy("__key").agg(F.first("__m").alias("__m"))
+    placed = own.join(sizes, F.col(key) == F.col("__key"), "left").drop("__key").withColumn("__at", F.floor(F.col("__i") * F.col("__m") / F.col("__n")))
+    joined = placed.join(other.drop("__m"), (F.col(key) == F.col("__key")) & (F.col("__at") == F.col("__j")), "left")
+    return joined.select(*[F.col(c) for c in df.columns if c not in COLOUR], *[F.col(f"__{c}").alias(c) for c in COLOUR])

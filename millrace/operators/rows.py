@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,7 +100,9 @@ def without(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
 
 def insert_rows(df: DataFrame, rows: DataFrame, at: int, order: str = "__row") -> DataFrame:
     """Rows put before the row numbered ``at``, the later ones renumbered."""
+    from millrace.table import number_in_order
+
     n = rows.count()
     moved = df.withColumn(order, F.when(F.col(order) >= at, F.col(order) + n).otherwise(F.col(order)))
-    w = Window.orderBy(order)
-    return moved.unionByName(rows.withColumn(order, (F.row_number().over(w) - 1 + at).cast("long")))
+    numbered = number_in_order(rows, order, name="__place")
+    return moved.unionByName(numbered.withColumn(order, (F.col("__place") - 1 + at).cast("long")).drop("__place"))

@@ -16,7 +16,7 @@ from millrace.functions import scalars as S
 from millrace.operators import aggregates as A
 from millrace.operators import changes, columns, joins, rows, sequences, serving, shapes
 from millrace.plans.standins import addresses, points, sql, table, tickets, tracks, triangles
-from millrace.sources import generate
+from millrace.sources import feeds, generate
 from millrace.streaming import operators as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -247,6 +247,43 @@ def mtm_round_trip(spark, d):
     return points(spark, d).select("row_id", e.alias("e"), n.alias("n")).select("row_id", _r(lon).alias("lon"), _r(lat).alias("lat"))
 
 
+@query("select c_custkey, dense_rank() over (order by c_nationkey) nation from customer")
+def reset_ids(spark, d):
+    t = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
+    return columns.renumber(t, "nation")
+
+
+@query("select n_nationkey, round(coalesce(m / s, 1.0), 6) red, round(coalesce(m / s, 0.0), 6) green from nation left join (select s_nationkey, max(s_acctbal) m from supplier group by 1) on n_nationkey = s_nationkey, (select max(s_acctbal) - min(s_acctbal) s from supplier)")
+def color_from_cost(spark, d):
+    costs = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_acctbal")
+    return columns.colour_by_cost(table(spark, d, "nation").select("n_nationkey"), costs, "n_nationkey", "s_acctbal").select("n_nationkey", _r("red").alias("red"), _r("green").alias("green"))
+
+
+@query(
+    """, own as (select row_id, grp, row_number() over (partition by grp order by row_id) - 1 i, count(*) over (partition by grp) n from points),
+  ser as (select grp, row_number() over (partition by grp order by row_id) - 1 j, count(*) over (partition by grp) m, abs(x) red from points where row_id % 3 = 0),
+  siz as (select distinct grp, m from ser)
+  select own.row_id, round(ser.red, 6) red from own left join siz using (grp) left join ser on ser.grp = own.grp and ser.j = own.i * siz.m // own.n""",
+    "points",
+)
+def color_from_series(spark, d):
+    p = points(spark, d)
+    series = p.where("row_id % 3 = 0").select("grp", "row_id", F.abs("x").alias("red"), F.lit(0.0).alias("green"), F.lit(0.0).alias("blue"), F.lit(1.0).alias("alpha"))
+    return columns.colour_from_series(p.select("grp", "row_id"), series, "grp", "row_id").select("row_id", _r("red").alias("red"))
+
+
+@query("select c_custkey, trim(replace(replace(c_name, 'Customer#', ''), ' ', '')) || ' Queen St W' address from customer")
+def short_addresses(spark, d):
+    name = F.regexp_replace("c_name", "Customer#", "")
+    return table(spark, d, "customer").select("c_custkey", feeds.short_address(F.concat(F.trim(name), F.lit(" Queen Street West (Parks)"))).alias("address"))
+
+
+@query("select row_number() over (order by o_totalprice, o_orderkey) place, o_orderkey from orders")
+def number_rows(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return tables.number_in_order(o, "o_totalprice", "o_orderkey", name="place").select("place", "o_orderkey")
+
+
 # Order, sets, duplicates
 
 

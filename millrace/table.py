@@ -56,6 +56,20 @@ def number_rows(df: DataFrame, name: str = ROW) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def number_in_order(df: DataFrame, *order: str | Column, name: str = ROW) -> DataFrame:
+    """Numbers the rows 1, 2, 3 ... in ``order`` without putting them in one partition.
+
+    Ranges are sorted where they are, and each gets the count of those before it: one row per partition.
+    """
+    from millrace.plans.session import checkpointed
+
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    placed = checkpointed(ranged.withColumn("__k", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33)))
+    counts = placed.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).drop("__n")
+    return placed.join(F.broadcast(before), "__p").withColumn(name, F.col("__before") + F.col("__k") + 1).drop("__p", "__k", "__before")
+
+
 def islands(df: DataFrame, ids: Sequence[str], order: Sequence[str | Column], name: str = "run", within: Sequence[str] = ()) -> DataFrame:
     """Numbers the maximal runs of equal ``ids`` from 1, in ``order`` within each group of ``within``.
 

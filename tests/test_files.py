@@ -172,3 +172,20 @@ def test_command_line(spark, tmp_path):
     assert (tmp_path / "o.csv").read_text().count("\n") == 4
     with pytest.raises(ValueError, match="no such step"):
         cli.run(spark, f"read {tmp_path}/t.parquet | nothing")
+
+
+def test_feeds(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from millrace.sources import feeds
+
+    (tmp_path / "c.json").write_text('{"carparks": [{"id": "1", "rate": "2.5", "address": "20 Dundas Street East"}, {"id": "2", "rate": "3", "address": "1 King St. W."}]}')
+    df = feeds.read_records(spark, str(tmp_path / "c.json"), "carparks")
+    assert dict(df.dtypes) == {"id": "bigint", "rate": "double", "address": "string"}
+    assert sorted(r[0] for r in df.select(feeds.short_address(F.col("address"))).collect()) == ["1 King St W", "20 Dundas St E"]
+    wkt = 'PROJCS["MTM",GEOGCS["G",DATUM["D",SPHEROID["Clarke",6378206.4,294.9]]], UNIT["Meter",1.0]]'
+    assert feeds.parse_wkt(wkt) == ["PROJCS", "MTM", ["GEOGCS", "G", ["DATUM", "D", ["SPHEROID", "Clarke", 6378206.4, 294.9]]], ["UNIT", "Meter", 1.0]]
+    (tmp_path / "stops.txt").write_text("stop_id,stop_name\n1,A\n")
+    assert feeds.read_transit(spark, str(tmp_path), "stops")["stops"].count() == 1
+    df.createOrReplaceTempView("parks_view")
+    assert feeds.has(spark, "parks_view", "rate") and not feeds.has(spark, "parks_view", "x") and not feeds.has(spark, "no_such")
