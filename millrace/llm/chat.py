@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import read_table
+from millrace.llm.common import lean, read_table
 
 ROLES = ("system", "user", "assistant")
 #: Spellings that are the same role.
@@ -206,11 +206,11 @@ def format_chats(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> Da
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), block.alias("block"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     order = ["conv_id", "block", F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last()]
     sorted_turns = turns.repartition("conv_id", "block").sortWithinPartitions(*order)
-    costs = sorted_turns.select("conv_id", "block", "role").mapInArrow(_costs, _ddl(_COSTS))
-    paths = costs.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(_paths, _ddl(_PATHS))
+    costs = sorted_turns.select("conv_id", "block", "role").mapInArrow(lean(_costs), _ddl(_COSTS))
+    paths = costs.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(lean(_paths), _ddl(_PATHS))
     joined = turns.join(paths, F.col("conv_id").eqNullSafe(F.col("p_conv")) & (F.col("block") == F.col("p_block")))
     ready = joined.select("conv_id", "block", "turn", "role", "text", "entry", "leave", "last", "cost").repartition("conv_id", "block").sortWithinPartitions(*order)
-    return ready.mapInArrow(_render, _ddl(_TURNS))
+    return ready.mapInArrow(lean(_render), _ddl(_TURNS))
 
 
 def rendered(turns: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -35,12 +38,25 @@ def shared_root(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
+def written(df: DataFrame, name: str, by: str | None = None, parts: int = 0) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors.
+
+    With ``by``, it is a table of ``parts`` buckets of that column, which later groupings by it need not shuffle.
+    """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
+    label = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{label}"
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")  # the rows are in the table now: this job's shuffle files go when it ends
+    try:
+        if by:
+            df.write.bucketBy(parts, by).format("parquet").option("path", path).saveAsTable(label)
+        else:
+            df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, before)
+    back = spark.table(label) if by else spark.read.schema(df.schema).parquet(path)
     back._millrace_path = path
     return back
 
@@ -69,7 +85,7 @@ def text_column(batch: pa.RecordBatch, name: str) -> pa.LargeBinaryArray:
     return col.cast(pa.large_binary())
 
 
-def chunks(col: pa.LargeBinaryArray, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(col: pa.LargeBinaryArray, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows [lo, hi) with their bytes and offsets (from 0), about ``most`` bytes at a time; one long text stands alone.
 
     Null texts have no bytes.
@@ -151,13 +167,67 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     return span_hashes(data, starts, ends, base)
 
 
-def rolling(hashes: np.ndarray, width: int, base: int = STEP_A) -> np.ndarray:
-    """The hash of each ``width`` consecutive word hashes, at each word up to the last full window."""
-    n = len(hashes) - width + 1
+def rolling(values: np.ndarray, width: int, base: int = STEP_A) -> np.ndarray:
+    """The hash of each ``width`` consecutive values, at each place up to the last full window: span_hashes by slices."""
+    n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    at = np.arange(n)
-    return span_hashes(hashes, at, at + width, base)
+    up, down = powers(base, len(values) + 1)
+    total = np.empty(len(values) + 1, dtype=np.uint64)
+    total[0] = 0
+    step = values.astype(np.uint64)
+    step += np.uint64(1)
+    step *= up[: len(values)]
+    np.cumsum(step, out=total[1:])
+    out = total[width:] - total[:n]
+    out *= down[:n]
+    return mix(out)
+
+
+def _give_back() -> None:
+    """Returns what this worker no longer uses to the system: workers outlive tasks and share a machine."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(fn):
+    """A function over batches that leaves its worker small when the task ends."""
+
+    def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from fn(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
+def lean_group(fn):
+    """As ``lean``, for a function of one group's table."""
+
+    def run(table: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            return fn(table)
+        finally:
+            _give_back()
+
+    return run
+
+
+def lean_cogroup(fn):
+    """As ``lean``, for a function of two tables."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            return fn(left, right)
+        finally:
+            _give_back()
+
+    return run
 
 
 def ascii_lower(data: np.ndarray) -> np.ndarray:

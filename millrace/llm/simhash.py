@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import read_table, text_column, written
+from millrace.llm.common import lean, read_table, text_column, written
 from millrace.llm.components import components
 
 DISTANCE = 4
@@ -67,7 +67,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of every row; texts without words and null texts have 0."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(_fingerprints), "doc_id long, fp long")
 
 
 @lru_cache(1)
@@ -227,9 +227,9 @@ def _link(most: int | None):
 def near_links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Links (a, b) that connect all fingerprints within DISTANCE; fps: distinct longs in a column fp."""
     spark = fps.sparkSession
-    dealt = fps.select("fp").mapInArrow(_deal, "key int, fp long")
+    dealt = fps.select("fp").mapInArrow(lean(_deal), "key int, fp long")
     schema = "kind int, key int, a long, b long"
-    found = written(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_link(bucket_rows), schema), "simhash-links")
+    found = written(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_link(bucket_rows)), schema), "simhash-links")
     out = found.where("kind = 0").select("a", "b")
     hot = found.where("kind = 1").select("key", F.col("a").alias("fp"))
     if hot.limit(1).count():
@@ -241,7 +241,7 @@ def near_links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS, block_rows: int =
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "fp")
         )
-        more = pairs.repartition("task").sortWithinPartitions("task").mapInArrow(_link_tasks, "a long, b long")
+        more = pairs.repartition("task").sortWithinPartitions("task").mapInArrow(lean(_link_tasks), "a long, b long")
         out = out.union(more)
     return out
 
@@ -288,5 +288,5 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keeps the document with the smallest doc_id of each component. Rows that repeat a doc_id are one document:
     they stay together or go together."""
     found = near_duplicates(docs)
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")
