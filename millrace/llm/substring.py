@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BASE_A, BASE_B, STEP_A, STEP_B, chunks, discard, read_table, rolling, word_hashes, words, written
+from millrace.llm.common import BASE_A, BASE_B, STEP_A, STEP_B, chunks, discard, lean_cogroup, lean_group, read_table, rolling, word_hashes, words, written
 
 WINDOW = 50
 BLOCK = 25
@@ -299,18 +299,18 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, with_text: bool = T
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     keyed = keyed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "th"), F.lit(parts)).cast("int"))
 
-    sent = keyed.select("chunk", "text").groupBy("chunk").applyInArrow(_send_probes(parts, block), _ddl(_PROBES))
-    answers = written(sent.groupBy("bucket").applyInArrow(_find_hits, _ddl(_ANSWERS)), "substring-hits")
+    sent = keyed.select("chunk", "text").groupBy("chunk").applyInArrow(lean_group(_send_probes(parts, block)), _ddl(_PROBES))
+    answers = written(sent.groupBy("bucket").applyInArrow(lean_group(_find_hits), _ddl(_ANSWERS)), "substring-hits")
     del sent
     _release(spark)
-    marked = written(keyed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_mark(parts, block, window), _ddl(_MARKED)), "substring-marked")
+    marked = written(keyed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean_cogroup(_mark(parts, block, window)), _ddl(_MARKED)), "substring-marked", "chunk", parts)
     discard(answers)
     _release(spark)
 
     held = marked.where("starts is not null")
-    windows = held.groupBy("chunk").applyInArrow(_send_windows(parts, window), _ddl(_WINDOWS))
-    sources = windows.groupBy("bucket").applyInArrow(_find_sources, _ddl(_SOURCES))
-    cut = held.groupBy("chunk").cogroup(sources.groupBy("chunk")).applyInArrow(_remove(window, with_text), _RESULT)
+    windows = held.groupBy("chunk").applyInArrow(lean_group(_send_windows(parts, window)), _ddl(_WINDOWS))
+    sources = windows.groupBy("bucket").applyInArrow(lean_group(_find_sources), _ddl(_SOURCES))
+    cut = held.groupBy("chunk").cogroup(sources.groupBy("chunk")).applyInArrow(lean_cogroup(_remove(window, with_text)), _RESULT)
     whole = marked.where("starts is null").select("doc_id", "th", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("binary").alias("kept"))
     return cut.union(whole)
 
@@ -326,12 +326,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A text that loses words becomes its other words, joined by one space; the others stay as they are.
     """
     found = repeated_passages(docs)
-    changed = found.where("n_removed > 0").select(F.col("doc_id").alias("c_id"), "th", F.col("kept").cast("string").alias("kept")).distinct()
-    joined = docs.withColumn("own_th", F.xxhash64("text")).join(changed, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("own_th") == F.col("th")), "left")
-    text = F.coalesce("kept", "text")
-    return (
-        joined.where("kept is null or kept <> ''")
-        .withColumn("n_chars", F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("n_chars")))
-        .withColumn("text", text)
-        .select(*docs.columns)
-    )
+    changed = found.where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("kept").cast("string").alias("__kept")).distinct()
+    joined = docs.withColumn("__own_th", F.xxhash64("text")).join(changed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own_th") == F.col("__th")), "left")
+    new = {"text": F.coalesce("__kept", "text"), "n_chars": F.when(F.col("__kept").isNotNull(), F.length("__kept").cast("long")).otherwise(F.col("n_chars"))}
+    return joined.where("__kept is null or __kept <> ''").select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
