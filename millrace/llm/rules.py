@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import sketch
-from millrace.llm.common import chunks, mix, read_table, rolling, text_column, word_hashes, words, written
+from millrace.llm.common import chunks, lean, mix, read_table, rolling, text_column, word_hashes, words, written
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -24,7 +24,7 @@ MARKS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B,
 CAPITALS = np.zeros(256, bool)
 CAPITALS[0x41:0x5B] = True
 #: Each measure and the slack beyond its fences.
-MEASURES = {"mean_word": 0.5, "symbol_share": 0.02, "mark_share": 0.02, "capital_share": 0.05, "dup_line_share": 0.1, "repeat_share": 0.1}
+MEASURES = {"mean_word": 0.5, "symbol_share": 0.02, "mark_share": 0.02, "capital_share": 0.05, "dup_line_share": 0.35, "repeat_share": 0.3}
 SPREAD = 3.0
 LEAST_GROUP = 50
 BROADCAST_ROWS = 100_000
@@ -87,7 +87,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measures(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("binary").alias("text")).mapInArrow(_measure, schema)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(_measure), schema)
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     return found.withColumns(
         {
