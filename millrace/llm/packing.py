@@ -9,6 +9,7 @@ their own document only: the operator needs no shuffle and no state besides a bo
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm.common import read_table, text_column
+from millrace.llm.common import lean, read_table, text_column
 
 END_ID = 1
 SEQUENCE = 2048
 #: Words and stems of a generation that a worker remembers, over all its tasks; those used since pass to the next.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 #: ASCII marks that the tokenizer never joins to a letter or digit before them (an apostrophe it may).
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long, bucket int, ids array<int>"
@@ -45,6 +46,30 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer, self.known, self.older = _tokenizer(path), {}, {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Words of letters alone are one unit each to the tokenizer: they go joined, and the ids that end a word part them."""
+        known, single, odd = self.known, [], []
+        for w in words:
+            t = w.decode("utf-8", "replace")
+            (single if (t.isalpha() if t.isascii() else unicodedata.normalize("NFC", t.lower()).isalpha()) else odd).append((w, t))
+        for lo in range(0, len(single), 256):
+            some = single[lo : lo + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(some):
+                raw, at = ids.tobytes(), 0
+                for (w, _), e in zip(some, (stop * 4).tolist()):
+                    known[w] = raw[at:e]
+                    at = e
+            else:
+                odd += some
+        for lo in range(0, len(odd), 512):
+            some = odd[lo : lo + 512]
+            for (w, _), e in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)):
+                known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def _learn(self, new: list[bytes]) -> None:
         known, parts, cut_at = self.known, set(), []
@@ -58,27 +83,22 @@ class WordEncoder:
                 parts.add(w)
         older = self.older
         known.update((w, older[w]) for w in parts if w in older and w not in known)
-        unknown = [w for w in parts if w not in known]
-        for lo in range(0, len(unknown), 512):
-            some = unknown[lo : lo + 512]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        self._encode([w for w in parts if w not in known])
         for w, at in cut_at:
             known[w] = known[w[:at]] + known[w[at:]]
 
     def __call__(self, text: bytes) -> np.ndarray:
         parts = (text if b"<|" in text else text.lower()).split()  # the tokenizer folds case, but not of its special tokens
-        known = self.known
-        new = {w for w in parts if w not in known}
-        if new:
-            older = self.older
-            if len(known) + 2 * len(new) > CACHE_WORDS:
-                self.older = older = known
-                self.known = known = {}
+        found = list(map(self.known.get, parts))
+        if None in found:
+            new = {w for w, x in zip(parts, found) if x is None}
+            if len(self.known) + 2 * len(new) > CACHE_WORDS:
+                self.older, self.known = self.known, {}
                 new = set(parts)
-            known.update((w, older[w]) for w in new if w in older)
-            self._learn([w for w in new if w not in known])
-        return np.frombuffer(b"".join([known[w] for w in parts]), dtype="<u4")
+            self.known.update((w, self.older[w]) for w in new if w in self.older)
+            self._learn([w for w in new if w not in self.known])
+            found = map(self.known.__getitem__, parts)
+        return np.frombuffer(b"".join(found), dtype="<u4")
 
 
 @lru_cache(2)
@@ -144,7 +164,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, most: int = SEQUENCE, wi
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     schema = SCHEMA if with_ids else SCHEMA.rpartition(", ids")[0]
-    pieces = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_pack(path, most, with_ids), schema)
+    pieces = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(_pack(path, most, with_ids)), schema)
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id())
 
 
