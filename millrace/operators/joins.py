@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.plans.session import checkpointed
+
 
 def join_tables(left: DataFrame, right: DataFrame, left_on: str, right_on: str, how: str = "left", zero: bool = False) -> DataFrame:
     """Left, inner or right; a right column whose name the left has is left out. With ``zero``, misses are 0 and ""."""
@@ -58,11 +60,12 @@ def cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))
 
 
-def point_in_triangle(points: DataFrame, triangles: DataFrame, order: str, cell: float, last: bool = False) -> DataFrame:
+def point_in_triangle(points: DataFrame, triangles: DataFrame, order: str, cell: float, last: bool = False, point_id: str | None = None) -> DataFrame:
     """Adds hits (triangles that hold the point strictly inside) and hit, the first one's ``order`` (or the last's).
 
     triangles: ax, ay, bx, by, cx, cy. A triangle is dealt to the cells of its bounds, a point to its own cell; the
     barycentric test follows. Points without a triangle have 0 and null. ``cell`` should be near a triangle's size.
+    ``point_id`` names a unique column; without one the points are numbered and checkpointed.
     """
     bounds = lambda f, *c: f(*[F.col(x) for x in c])
     dealt = (
@@ -70,7 +73,8 @@ def point_in_triangle(points: DataFrame, triangles: DataFrame, order: str, cell:
         .withColumn("__cx", F.explode(cells(bounds(F.least, "ax", "bx", "cx"), bounds(F.greatest, "ax", "bx", "cx"), cell)))
         .withColumn("__cy", F.explode(cells(bounds(F.least, "ay", "by", "cy"), bounds(F.greatest, "ay", "by", "cy"), cell)))
     )
-    keyed = points.withColumns({"__px": F.floor(F.col("x") / cell).cast("long"), "__py": F.floor(F.col("y") / cell).cast("long"), "__id": F.monotonically_increasing_id()})
+    keyed = points.withColumns({"__px": F.floor(F.col("x") / cell).cast("long"), "__py": F.floor(F.col("y") / cell).cast("long"), "__id": F.col(point_id) if point_id else F.monotonically_increasing_id()})
+    keyed = keyed if point_id else checkpointed(keyed)
     c = F.col
     v0x, v0y, v1x, v1y, v2x, v2y = c("cx") - c("ax"), c("cy") - c("ay"), c("bx") - c("ax"), c("by") - c("ay"), c("x") - c("ax"), c("y") - c("ay")
     cross = v0x * v1y - v1x * v0y
@@ -93,31 +97,29 @@ def within_box(left: DataFrame, right: DataFrame, reach: float, names: Mapping[s
     return met.where((F.abs(F.col("x") - F.col("x2")) <= reach) & (F.abs(F.col("y") - F.col("y2")) <= reach)).drop("__lx", "__ly", "__cx", "__cy")
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float, same_layer: bool = False, rounds: int = 12) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float, same_layer: bool = False) -> DataFrame:
     """(left_id, nearest, distance) of the nearest right point; ties go to the smaller id. ids must be unique.
 
     Each round looks in the three by three cells around the points still open, with cells twice as large as before;
-    a find within one cell's size is final, as nothing outside can be nearer. What is left after ``rounds`` has no
-    neighbour within cell * 2**rounds and is met with the other layer's extent, as one last round.
+    a find within one cell's size is final, as nothing outside can be nearer. Rounds are checkpointed and end when no
+    point is open, or when a cell spans both layers (a lone point has no neighbour and no row).
     """
     r = right.select(F.col(right_id).alias("__r"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    open_ = left.select(F.col(left_id).alias("__l"), "x", "y")
+    open_ = checkpointed(left.select(F.col(left_id).alias("__l"), "x", "y"))
+    ends = open_.select("x", "y").union(r.select("x2", "y2")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    extent = max((e for e in ends if e is not None), default=0.0)
     done, size = None, cell
     other = (F.col("__l") != F.col("__r")) if same_layer else F.lit(True)
-    extent = r.agg(F.max(F.greatest(F.abs("x2"), F.abs("y2")))).first()[0]
-    for k in range(rounds + 1):
-        final = k == rounds or (extent is not None and size > 2 * extent)
-        met = within_box(open_, r, float("inf") if final and extent is None else size, {"__r": "__r", "x2": "x2", "y2": "y2"}) if not final else open_.join(r)
+    while True:
+        met = within_box(open_, r, size, {"__r": "__r", "x2": "x2", "y2": "y2"}).where(other)
         gap = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
-        best = met.where(other).groupBy("__l").agg(F.min(F.struct(gap.alias("d"), F.col("__r").alias("id"))).alias("m"))
-        found = best if final else best.where(F.col("m.d") <= size)
-        found = found.select("__l", F.col("m.id").alias("nearest"), F.col("m.d").alias("distance"))
+        best = met.groupBy("__l").agg(F.min(F.struct(gap.alias("d"), F.col("__r").alias("id"))).alias("m"))
+        found = checkpointed(best.where(F.col("m.d") <= size).select("__l", F.col("m.id").alias("nearest"), F.col("m.d").alias("distance")))
         done = found if done is None else done.union(found)
-        if final:
-            break
-        open_ = open_.join(found, "__l", "left_anti")
+        open_ = checkpointed(open_.join(found, "__l", "left_anti"))
+        if size > 2 * extent or open_.isEmpty():
+            return done.withColumnRenamed("__l", left_id)
         size *= 2
-    return done.withColumnRenamed("__l", left_id)
 
 
 def snap_to_segments(points: DataFrame, segments: DataFrame, point_id: str, reach: float, cell: float) -> DataFrame:

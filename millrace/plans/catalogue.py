@@ -397,12 +397,12 @@ _BARY = """select p.row_id, count(t.polygon_id) hits, coalesce({pick}(t.polygon_
 
 @query(_BARY.format(pick="min"), "points", "triangles")
 def point_in_triangle(spark, d):
-    return joins.point_in_triangle(points(spark, d), triangles(spark, d), "polygon_id", 0.05).select("row_id", "hits", F.coalesce("hit", F.lit(-1)).alias("hit"))
+    return joins.point_in_triangle(points(spark, d), triangles(spark, d), "polygon_id", 0.05, point_id="row_id").select("row_id", "hits", F.coalesce("hit", F.lit(-1)).alias("hit"))
 
 
 @query(_BARY.format(pick="max"), "points", "triangles")
 def point_in_triangle_last(spark, d):
-    return joins.point_in_triangle(points(spark, d), triangles(spark, d), "polygon_id", 0.05, last=True).select("row_id", "hits", F.coalesce("hit", F.lit(-1)).alias("hit"))
+    return joins.point_in_triangle(points(spark, d), triangles(spark, d), "polygon_id", 0.05, last=True, point_id="row_id").select("row_id", "hits", F.coalesce("hit", F.lit(-1)).alias("hit"))
 
 
 @query("select a.row_id, b.row_id other from points a join points b on abs(a.x - b.x) <= 0.01 and abs(a.y - b.y) <= 0.01", "points")
@@ -417,13 +417,13 @@ _NEAREST = "select row_id, nearest, round(distance, 6) distance from (select a.r
 @query(_NEAREST.format(on="a.row_id <> b.row_id"), "points")
 def nearest_neighbour(spark, d):
     p = points(spark, d)
-    return joins.nearest(p, p, "row_id", "row_id", 0.02, same_layer=True, rounds=6).withColumn("distance", _r("distance"))
+    return joins.nearest(p, p, "row_id", "row_id", 0.02, same_layer=True).withColumn("distance", _r("distance"))
 
 
 @query("select row_id, round(greatest(min(distance), 0.00005), 6) radius from (select a.row_id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) distance from points a join points b on a.row_id <> b.row_id) group by 1", "points")
 def nn_radius(spark, d):
     p = points(spark, d)
-    return joins.nearest(p, p, "row_id", "row_id", 0.02, same_layer=True, rounds=6).select("row_id", _r(F.greatest("distance", F.lit(0.00005))).alias("radius"))
+    return joins.nearest(p, p, "row_id", "row_id", 0.02, same_layer=True).select("row_id", _r(F.greatest("distance", F.lit(0.00005))).alias("radius"))
 
 
 def _segments(spark, d):

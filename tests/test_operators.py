@@ -71,8 +71,9 @@ def test_point_in_triangle(spark):
 def test_nearest_far_and_empty(spark):
     a = spark.createDataFrame([(1, 0.0, 0.0), (2, 1000.0, 0.0)], "a int, x double, y double")
     b = spark.createDataFrame([(7, 1.0, 0.0), (6, -1.0, 0.0)], "b int, x double, y double")
-    assert values(joins.nearest(a, b, "a", "b", 0.5, rounds=3), "a", "nearest") == [(1, 6), (2, 7)]
-    assert joins.nearest(a, b.limit(0), "a", "b", 0.5, rounds=2).count() == 0
+    assert values(joins.nearest(a, b, "a", "b", 0.5), "a", "nearest") == [(1, 6), (2, 7)]
+    assert joins.nearest(a, b.limit(0), "a", "b", 0.5).count() == 0
+    assert joins.nearest(a.limit(1), a.limit(1), "a", "a", 0.5, same_layer=True).count() == 0
 
 
 def test_snap(spark):
