@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BASE_A, BASE_B, chunks, discard, mix, powers, read_table, span_hashes, written
+from millrace.llm.common import BASE_A, BASE_B, chunks, discard, lean_cogroup, lean_group, mix, powers, read_table, rolling, span_hashes, written
 from millrace.llm.substring import _among, _binary, _ddl, _ids, _inside, _release, _split
 
 WINDOW = 50
 GRAM = 24
 HOT = 2000
 #: Bytes of snippets that a bucket sorts at a time (more only if one anchor has more).
-SORT_BYTES = 2 << 20
+SORT_BYTES = 1 << 19
 
 
 def slide_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -45,8 +45,7 @@ def anchors(data: np.ndarray) -> np.ndarray:
     """The anchor of the window at each byte up to the last full one."""
     if len(data) < WINDOW:
         return np.zeros(0, np.uint64)
-    at = np.arange(len(data) - GRAM + 1)
-    return slide_min(span_hashes(data, at, at + GRAM, BASE_A), WINDOW - GRAM + 1)
+    return slide_min(rolling(data, GRAM, BASE_A), WINDOW - GRAM + 1)
 
 
 def _route(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -102,11 +101,11 @@ def _find_repeats(table: pa.Table) -> pa.Table:
     return _rows(rows, _ANSWERS)
 
 
-_MARKED = pa.schema([("chunk", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n_bytes", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.binary()), ("starts", pa.binary())])
+_MARKED = pa.schema([("chunk", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n_bytes", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.binary()), ("snippets", pa.binary())])
 
 
 def _mark(buckets: int):
-    """Texts with candidate windows are kept with these, as (first, last + 1, hot); the others are done."""
+    """Texts with candidate windows are kept with these, as snippets (first window, windows, bucket); the others are done."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -118,7 +117,7 @@ def _mark(buckets: int):
         hot = np.concatenate([np.zeros(0, bool), *(np.unpackbits(x, count=len(h)).astype(bool) for h, x in parts)])
         order = np.argsort(hits)
         hits, hot = hits[order], hot[order]
-        sizes, sha, text_out, starts_out = [], [], [], []
+        sizes, sha, text_out, out = [], [], [], []
         for lo, hi, data, offsets in chunks(texts):
             sizes.append(np.diff(offsets))
             at = np.flatnonzero(_inside(offsets, WINDOW)) if len(hits) else np.zeros(0, np.int64)
@@ -126,12 +125,15 @@ def _mark(buckets: int):
             first = _breaks(keys, at, offsets)
             routes = _route(keys[first], buckets)
             ok = _among(routes, hits)
-            heat = np.zeros(len(first), np.int32)
+            heat = np.zeros(len(first), bool)
             if len(hits):
                 heat[ok] = hot[np.searchsorted(hits, routes[ok])]
-            runs = np.stack([at[first], at[np.append(first[1:], len(at)) - 1] + 1], axis=1) if len(first) else np.zeros((0, 2), np.int64)
-            runs, heat = runs[ok], heat[ok]
-            bounds = np.searchsorted(runs[:, 0], offsets)
+            count = np.diff(np.append(first, len(at)))
+            begin, count, bucket = at[first[ok]], count[ok], (routes[ok] >> np.uint64(32)).astype(np.int64)
+            if heat.any():
+                begin, count, bucket = _by_window(data, begin, count, bucket, heat[ok], buckets)
+            bounds = np.searchsorted(begin, offsets)
+            packed = np.stack([begin - np.repeat(offsets[:-1], np.diff(bounds)), count, bucket], axis=1).astype(np.int32)
             raw = data.tobytes()
             for i in range(hi - lo):
                 s, e = bounds[i], bounds[i + 1]
@@ -139,45 +141,42 @@ def _mark(buckets: int):
                 if s < e:
                     sha.append(None)
                     text_out.append(text)
-                    starts_out.append(_joined(runs[s:e] - offsets[i], heat[s:e]).tobytes())
+                    out.append(_pack(packed[s:e]))
                 else:
                     sha.append(hashlib.sha256(text).hexdigest())
                     text_out.append(None)
-                    starts_out.append(None)
+                    out.append(None)
         return pa.Table.from_arrays(
-            [pa.array(np.full(left.num_rows, chunk, np.int32)), left.column("doc_id"), left.column("th"), pa.array(np.concatenate(sizes)), pa.array(sha, pa.string()), pa.array(text_out, pa.binary()), pa.array(starts_out, pa.binary())], schema=_MARKED
+            [pa.array(np.full(left.num_rows, chunk, np.int32)), left.column("doc_id"), left.column("th"), pa.array(np.concatenate(sizes)), pa.array(sha, pa.string()), pa.array(text_out, pa.binary()), pa.array(out, pa.binary())], schema=_MARKED
         )
 
     return run
 
 
-def _joined(runs: np.ndarray, heat: np.ndarray) -> np.ndarray:
-    """Touching runs of one heat become one."""
-    new = np.flatnonzero(np.concatenate([[True], (runs[1:, 0] != runs[:-1, 1]) | (heat[1:] != heat[:-1])]))
-    return np.stack([runs[new, 0], runs[np.append(new[1:], len(runs)) - 1, 1], heat[new]], axis=1).astype(np.int32)
+def _pack(snippets: np.ndarray) -> bytes:
+    """Rows (first window, windows, bucket) in planes: the gap to the snippet before, mostly 0, and small numbers."""
+    begin, count, bucket = snippets.T
+    gap = begin - np.concatenate([[0], (begin + count)[:-1]])
+    return b"".join(x.astype(np.uint32).tobytes() for x in (gap, count, bucket))
 
 
-def _snippets(table: pa.Table):
-    """Per part of the texts: (key, first window, windows, both hashes, row) of each snippet, with the part's bytes."""
-    starts_col = table.column("starts").combine_chunks()
-    for lo, hi, data, offsets in chunks(_binary(table.column("text"))):
-        runs = [np.frombuffer(starts_col[i].as_py(), np.int32).reshape(-1, 3) + np.array([offsets[i - lo], offsets[i - lo], 0]) for i in range(lo, hi)]
-        both = np.concatenate(runs)
-        size = both[:, 1] - both[:, 0]
-        at = np.repeat(both[:, 0] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        hot = np.repeat(both[:, 2] > 0, size)
-        keys = anchors(data)[at]
-        if hot.any():
-            keys[hot] = span_hashes(data, at[hot], at[hot] + WINDOW, BASE_B)
-        first = _breaks(keys, at, offsets)
-        count = np.diff(np.append(first, len(at)))
-        begin = at[first]
-        stop = begin + count + WINDOW - 1
-        row = lo + np.searchsorted(offsets, begin, side="right") - 1
-        yield keys[first], begin, count, span_hashes(data, begin, stop, BASE_A), span_hashes(data, begin, stop, BASE_B), row, data, offsets, lo
+def _unpack(raw: bytes) -> np.ndarray:
+    gap, count, bucket = np.frombuffer(raw, np.uint32).reshape(3, -1).astype(np.int64)
+    return np.stack([np.cumsum(gap) + np.cumsum(count) - count, count, bucket])
 
 
-_SNIPPETS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("key", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("count", pa.binary()), ("least", pa.binary()), ("multi", pa.binary()), ("text", pa.binary())])
+def _by_window(data: np.ndarray, begin: np.ndarray, count: np.ndarray, bucket: np.ndarray, hot: np.ndarray, buckets: int):
+    """Hot snippets cut into their windows, each with the bucket of its own hash."""
+    n = np.where(hot, count, 1)
+    of = np.repeat(np.arange(len(n)), n)
+    at = begin[of] + np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+    own = hot[of]
+    to = bucket[of]
+    to[own] = (span_hashes(data, at[own], at[own] + WINDOW, BASE_B) >> np.uint64(32)) % np.uint64(buckets)
+    return at, np.where(own, 1, count[of]), to
+
+
+_SNIPPETS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("count", pa.binary()), ("least", pa.binary()), ("multi", pa.binary()), ("text", pa.binary())])
 
 
 def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -186,6 +185,56 @@ def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[at]
 
 
+class Snippets:
+    """The snippets of a chunk, and its distinct ones in the order of (bucket, two content hashes): an order that the
+    chunk finds again when the answers come, so that these name a snippet by its place in its bucket."""
+
+    def __init__(self, table: pa.Table):
+        texts, listed = _binary(table.column("text")), table.column("snippets").combine_chunks()
+        ids = _ids(table.column("doc_id"))
+        begin, count, bucket, a, b, row, parts, base = [], [], [], [], [], [], [], 0
+        for lo, hi, data, offsets in chunks(texts):
+            own = [_unpack(listed[i].as_py()) for i in range(lo, hi)]
+            at = np.concatenate([x[0] + o for x, o in zip(own, offsets)])
+            n = np.concatenate([x[1] for x in own])
+            stop = at + n + WINDOW - 1
+            begin.append(at + base)
+            count.append(n)
+            bucket.append(np.concatenate([x[2] for x in own]))
+            a.append(span_hashes(data, at, stop, BASE_A))
+            b.append(span_hashes(data, at, stop, BASE_B))
+            row.append(np.repeat(np.arange(lo, hi), [x.shape[1] for x in own]))
+            parts.append(data)
+            base += len(data)
+        self.data = np.concatenate(parts)
+        self.offsets = np.concatenate([[0], np.cumsum([len(x.as_buffer()) for x in texts])])
+        self.begin, self.count, row = (np.concatenate(x) for x in (begin, count, row))
+        self.doc = ids[row]
+        bucket, a, b = (np.concatenate(x) for x in (bucket, a, b))
+        self.order = np.lexsort((self.doc, b, a, bucket))
+        x, y, z = bucket[self.order], a[self.order], b[self.order]
+        self.first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])]))
+        self.bucket = x[self.first]
+
+    def groups(self) -> np.ndarray:
+        """The number of the distinct snippet that each one is."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(self.order))))
+        return out
+
+
+def _send_snippets(table: pa.Table) -> pa.Table:
+    chunk, s = table.column("chunk")[0].as_py(), Snippets(table)
+    pick, last = s.order[s.first], s.order[np.append(s.first[1:], len(s.order)) - 1]
+    count, least, multi = s.count[pick], s.doc[pick], s.doc[pick] != s.doc[last]
+    edge = np.flatnonzero(np.concatenate([[True], s.bucket[1:] != s.bucket[:-1]]))
+    rows = []
+    for x, y in zip(edge, np.append(edge[1:], len(pick))):
+        text = _gather(s.data, s.begin[pick[x:y]], count[x:y] + WINDOW - 1)
+        rows.append((int(s.bucket[x]), chunk, count[x:y].astype(np.uint32).tobytes(), least[x:y].tobytes(), np.packbits(multi[x:y]).tobytes(), text.tobytes()))
+    return _rows(rows, _SNIPPETS)
+
+
 def _distinct(a: np.ndarray, b: np.ndarray, doc: np.ndarray, more: np.ndarray):
     """Order, first of each distinct (a, b) in it, the smallest doc of each, whether it has several."""
     order = np.lexsort((doc, b, a))
@@ -195,35 +244,6 @@ def _distinct(a: np.ndarray, b: np.ndarray, doc: np.ndarray, more: np.ndarray):
     return order, at, d[at], (d[at] != d[last]) | np.maximum.reduceat(more[order], at)
 
 
-def _send_snippets(buckets: int):
-    def run(table: pa.Table) -> pa.Table:
-        chunk, ids, parts, texts, base = table.column("chunk")[0].as_py(), _ids(table.column("doc_id")), [], [], 0
-        for keys, begin, count, a, b, row, data, _, _ in _snippets(table):
-            order, at, least, multi = _distinct(a, b, ids[row], np.zeros(len(a), bool))
-            pick = order[at]
-            size = count[pick] + WINDOW - 1
-            texts.append(_gather(data, begin[pick], size))
-            parts.append((keys[pick], a[pick], b[pick], count[pick], least, multi, base + np.concatenate([[0], np.cumsum(size)[:-1]])))
-            base += int(size.sum())
-        keys, a, b, count, doc, more, begin = (np.concatenate(x) for x in zip(*parts))
-        text = np.concatenate(texts)
-        order, at, least, multi = _distinct(a, b, doc, more)
-        pick = order[at]
-        keys, a, b, count, begin = keys[pick], a[pick], b[pick], count[pick].astype(np.uint32), begin[pick]
-        bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        bounds = _split(bucket[by], buckets)
-        rows = []
-        for k, (s, e) in enumerate(zip(bounds[:-1], bounds[1:])):
-            if s < e:
-                mine = by[s:e]
-                own = _gather(text, begin[mine], count[mine].astype(np.int64) + WINDOW - 1)
-                rows.append((k, chunk, keys[mine].tobytes(), a[mine].tobytes(), b[mine].tobytes(), count[mine].tobytes(), least[mine].tobytes(), np.packbits(multi[mine]).tobytes(), own.tobytes()))
-        return _rows(rows, _SNIPPETS)
-
-    return run
-
-
 class Suffixes:
     """Windows of a text, compared by hashes of their prefixes."""
 
@@ -248,9 +268,16 @@ class Suffixes:
         return out
 
     def less(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        e = self.extension(i, j)
-        inner = np.minimum(e, self.width - 1)
-        return (e < self.width) & (self.data[i + inner] < self.data[j + inner])
+        """Suffixes whose windows have one hash are equal; only the others are searched for where they part."""
+        out = np.zeros(len(i), bool)
+        k = np.flatnonzero(self.whole(i) != self.whole(j))
+        i, j = i[k], j[k]
+        e = np.minimum(self.extension(i, j), self.width - 1)
+        out[k] = self.data[i + e] < self.data[j + e]
+        return out
+
+    def whole(self, i: np.ndarray) -> np.ndarray:
+        return (self.total[i + self.width] - self.total[i]) * self.down[i]
 
     def equal(self, i: np.ndarray, j: np.ndarray, part: int = 1 << 16) -> np.ndarray:
         """Verified byte by byte where the hashes agree."""
@@ -289,101 +316,146 @@ class Suffixes:
         return places
 
 
-_SOURCES = pa.schema([("chunk", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("runs", pa.binary()), ("first", pa.binary()), ("count", pa.binary()), ("least", pa.binary())])
+_SOURCES = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("place", pa.binary()), ("runs", pa.binary()), ("first", pa.binary()), ("count", pa.binary()), ("least", pa.binary())])
 
 
-def _repeats(keys: np.ndarray, count: np.ndarray, least: np.ndarray, multi: np.ndarray, begin: np.ndarray, text: np.ndarray):
-    """Per window of the snippets (in order): the smallest document that has it, and whether several have."""
-    size = count + WINDOW - 1
-    data = _gather(text, begin, size)
-    base = np.concatenate([[0], np.cumsum(size)[:-1]])
-    of = np.repeat(np.arange(len(count)), count)
-    at = np.repeat(base - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(of))
-    doc, many = least[of], multi[of]
-    head = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        head = head << np.uint64(8) | data[at + k]
-    key = mix(head) ^ keys[of]
-    order = np.argsort(key)
-    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-    first = np.flatnonzero(new)
-    group = np.diff(np.append(first, len(order)))
-    busy = np.repeat(group > 1, group)
+def _heads(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A key of the first 24 bytes at each place: windows that are equal have equal keys, and few others do."""
+    out = np.zeros(len(at), np.uint64)
+    for part in range(3):
+        head = np.zeros(len(at), np.uint64)
+        for k in range(8):
+            head = head << np.uint64(8) | text[at + 8 * part + k]
+        out = mix(out ^ head)
+    return out
+
+
+def _repeats(text: np.ndarray, at: np.ndarray, size: np.ndarray, doc: np.ndarray, many: np.ndarray):
+    """For windows at ``at``, in groups of ``size`` that have one key: the smallest document of those equal to each, and
+    whether these are several. The windows are laid out anew, sorted by suffix, and equal neighbours are verified."""
+    data = text[(at[:, None] + np.arange(WINDOW)).ravel()]
     suffixes = Suffixes(data)
-    window_of_place = np.full(len(data), -1, np.int64)
-    window_of_place[at] = np.arange(len(at))
-    places = suffixes.sort(at[order[busy]], group[group > 1])
-    windows = window_of_place[places]
-    edge = np.ones(len(places), bool)
-    if len(places) > 1:
-        inner = np.flatnonzero(key[windows[1:]] == key[windows[:-1]]) + 1
-        edge[inner] = ~suffixes.equal(places[inner - 1], places[inner])
-    if len(places):
-        s = np.flatnonzero(edge)
-        lowest, highest = np.minimum.reduceat(doc[windows], s), np.maximum.reduceat(doc[windows], s)
-        several = np.maximum.reduceat(many[windows], s) | (lowest != highest)
-        n = np.diff(np.append(s, len(places)))
-        doc[windows], many[windows] = np.repeat(lowest, n), np.repeat(several, n)
+    windows = suffixes.sort(np.arange(len(at)) * WINDOW, size) // WINDOW
+    group = np.repeat(np.arange(len(size)), size)
+    edge = np.ones(len(windows), bool)
+    inner = np.flatnonzero(group[1:] == group[:-1]) + 1
+    edge[inner] = ~suffixes.equal(windows[inner - 1] * WINDOW, windows[inner] * WINDOW)
+    s = np.flatnonzero(edge)
+    d, m = doc[windows], many[windows]
+    lowest = np.minimum.reduceat(d, s)
+    several = np.maximum.reduceat(m, s) | (lowest != np.maximum.reduceat(d, s))
+    n = np.diff(np.append(s, len(windows)))
+    doc, many = doc.copy(), many.copy()
+    doc[windows], many[windows] = np.repeat(lowest, n), np.repeat(several, n)
     return doc, many
 
 
 def _sort_bucket(table: pa.Table) -> pa.Table:
-    chunk = table.column("chunk").to_pylist()
+    bucket, chunk = table.column("bucket")[0].as_py(), table.column("chunk").to_pylist()
     read = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(name)]
-    key, a, b, count, least = read("key", np.uint64), read("a", np.uint64), read("b", np.uint64), read("count", np.uint32), read("least", np.int64)
-    multi = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(p)).astype(bool) for x, p in zip(table.column("multi"), key)]
-    lens = [len(x) for x in key]
-    sizes = np.concatenate(count).astype(np.int64) + WINDOW - 1
-    text = np.concatenate(read("text", np.uint8))
-    all_a, all_b = np.concatenate(a), np.concatenate(b)
-    order, at, low, many = _distinct(all_a, all_b, np.concatenate(least), np.concatenate(multi))
-    unique = np.empty(len(all_a), np.int64)
+    count, least, texts = read("count", np.uint32), read("least", np.int64), read("text", np.uint8)
+    multi = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(p)).astype(bool) for x, p in zip(table.column("multi"), count)]
+    lens = [len(x) for x in count]
+    a, b = [], []
+    for n, t in zip(count, texts):  # the hashes are found again: text is all that travels
+        end = np.cumsum(n.astype(np.int64) + WINDOW - 1)
+        begin = np.concatenate([[0], end[:-1]])
+        a.append(span_hashes(t, begin, end, BASE_A))
+        b.append(span_hashes(t, begin, end, BASE_B))
+    counts, text = np.concatenate(count).astype(np.int64), np.concatenate(texts)
+    begins = np.concatenate([[0], np.cumsum(counts + WINDOW - 1)[:-1]])
+    order, at, low, many = _distinct(np.concatenate(a), np.concatenate(b), np.concatenate(least), np.concatenate(multi))
+    unique = np.empty(len(counts), np.int64)
     unique[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
     pick = order[at]
-    keys, counts, begin = np.concatenate(key)[pick], np.concatenate(count)[pick].astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]])[pick]
-    by = np.argsort(keys, kind="stable")
-    new = np.flatnonzero(np.concatenate([[True], keys[by][1:] != keys[by][:-1]]))
-    up_to = np.cumsum(counts[by] + WINDOW - 1)
-    run_of, run_first, run_count, run_least = [], [], [], []
-    g = 0
-    while g < len(new):
-        done = up_to[new[g] - 1] if new[g] else 0
-        end = int(np.searchsorted(up_to, done + SORT_BYTES))
-        g_next = max(g + 1, int(np.searchsorted(new, end, side="right")) - 1)
-        if end >= len(by):
-            g_next = len(new)
-        mine = by[new[g] : new[g_next] if g_next < len(new) else len(by)]
-        doc, several = _repeats(keys[mine], counts[mine], low[mine], many[mine], begin[mine], text)
-        of = np.repeat(np.arange(len(mine)), counts[mine])
-        window = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(counts[mine])[:-1]]), counts[mine])
-        w = np.flatnonzero(several)
-        if len(w):
-            s = np.flatnonzero(np.concatenate([[True], (np.diff(w) != 1) | (np.diff(of[w]) != 0) | (np.diff(doc[w]) != 0)]))
-            run_of.append(mine[of[w[s]]])
-            run_first.append(window[w[s]])
-            run_count.append(np.diff(np.append(s, len(w))))
-            run_least.append(doc[w[s]])
-        g = g_next
-    if not run_of:
-        return _SOURCES.empty_table()
-    run_of, run_first, run_count, run_least = (np.concatenate(x) for x in (run_of, run_first, run_count, run_least))
-    by_unique = np.argsort(run_of, kind="stable")
-    run_of, run_first, run_count, run_least = run_of[by_unique], run_first[by_unique].astype(np.uint32), run_count[by_unique].astype(np.uint32), run_least[by_unique]
+    run_of, run_first, run_count, run_least = _sorted_runs(counts[pick], begins[pick], low, many, text)
     where = np.searchsorted(run_of, np.arange(len(at) + 1))
     n_runs = np.diff(where)
     rows, base = [], 0
-    for c, n, x, y in zip(chunk, lens, a, b):
+    for c, n in zip(chunk, lens):
         u = unique[base : base + n]
         base += n
-        keep = n_runs[u] > 0
-        u, x, y = u[keep], x[keep], y[keep]
-        if len(u):
+        place = np.flatnonzero(n_runs[u] > 0)
+        if len(place):
+            u = u[place]
             runs = n_runs[u]
             index = np.repeat(where[u] - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
-            rows.append((c, x.tobytes(), y.tobytes(), runs.astype(np.uint32).tobytes(), run_first[index].tobytes(), run_count[index].tobytes(), run_least[index].tobytes()))
+            rows.append((c, bucket, place.astype(np.uint32).tobytes(), runs.astype(np.uint32).tobytes(), run_first[index].tobytes(), run_count[index].tobytes(), run_least[index].tobytes()))
     return _rows(rows, _SOURCES)
 
 
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each group of ``size``."""
+    return np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+
+
+def _alike(text: np.ndarray, at: np.ndarray, order: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """Which groups hold one window only, over and over: these are sorted as they stand. Their documents are settled here.
+
+    One hash of the whole window tells, and every byte is compared before it is believed.
+    """
+    whole = np.empty(len(at), np.uint64)
+    lo = 0
+    while lo < len(at):  # windows of neighbouring snippets stand together in the text
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 18))))
+        some = at[lo:hi] - at[lo]
+        whole[lo:hi] = span_hashes(text[at[lo] : at[hi - 1] + WINDOW], some, some + WINDOW, BASE_B)
+        lo = hi
+    ordered = whole[order]
+    alike = (np.minimum.reduceat(ordered, first) == np.maximum.reduceat(ordered, first)) & (size > 1)
+    groups = np.flatnonzero(alike)
+    reach, per, g = np.arange(WINDOW), 1 << 16, 0
+    up_to = np.cumsum(size[groups])
+    while g < len(groups):
+        end = max(g + 1, int(np.searchsorted(up_to, (up_to[g - 1] if g else 0) + per, side="right")))
+        own = groups[g:end]
+        n = size[own]
+        windows = order[_spread(first[own], n)]
+        heads = np.repeat(order[first[own]], n)
+        begin = np.cumsum(n) - n
+        equal = (text[at[windows, None] + reach] == text[at[heads, None] + reach]).all(axis=1)
+        alike[own] = np.minimum.reduceat(equal, begin)
+        lowest, highest = np.minimum.reduceat(doc[windows], begin), np.maximum.reduceat(doc[windows], begin)
+        now = np.maximum.reduceat(several[windows], begin) | (lowest != highest)
+        keep = np.repeat(alike[own], n)
+        doc[windows[keep]], several[windows[keep]] = np.repeat(lowest, n)[keep], np.repeat(now, n)[keep]
+        g = end
+    return alike
+
+
+def _sorted_runs(counts: np.ndarray, begins: np.ndarray, low: np.ndarray, many: np.ndarray, text: np.ndarray):
+    """Runs of windows that several documents have, with one smallest document: (snippet, first, windows, document).
+
+    Windows are ordered by key and taken in slices of whole keys, of about SORT_BYTES bytes of their text each.
+    """
+    by_text = np.argsort(begins)
+    counts, begins, low, many = counts[by_text], begins[by_text], low[by_text], many[by_text]
+    of = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    inner = (np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)).astype(np.int32)
+    at = begins[of] + inner
+    key = np.concatenate([_heads(text, at[lo : lo + (1 << 18)]) for lo in range(0, len(at), 1 << 18)])
+    order = np.argsort(key)
+    first = np.flatnonzero(np.concatenate([[True], key[order[1:]] != key[order[:-1]]]))
+    size = np.diff(np.append(first, len(order)))
+    doc, several = low[of], many[of]
+    mixed = ~_alike(text, at, order, first, size, doc, several) & (size > 1)
+    first, size = first[mixed], size[mixed]
+    up_to = np.cumsum(size)
+    g, most = 0, SORT_BYTES // WINDOW
+    while g < len(first):
+        end = max(g + 1, int(np.searchsorted(up_to, (up_to[g - 1] if g else 0) + most, side="right")))
+        n = size[g:end]
+        mine = order[_spread(first[g:end], n)]
+        doc[mine], several[mine] = _repeats(text, at[mine], n, doc[mine], several[mine])
+        g = end
+    w = np.flatnonzero(several)
+    s = np.flatnonzero(np.concatenate([[True], (np.diff(w) != 1) | (np.diff(of[w]) != 0) | (np.diff(doc[w]) != 0)])) if len(w) else w
+    snippet, size = by_text[of[w[s]]], np.diff(np.append(s, len(w)))
+    by_snippet = np.argsort(snippet, kind="stable")
+    at, size = w[s][by_snippet], size[by_snippet]
+    return snippet[by_snippet], inner[at].astype(np.uint32), size.astype(np.uint32), doc[at]
+
+
 _RESULT = "doc_id long, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 _RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
@@ -392,45 +464,42 @@ def _remove(with_text: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _RESULT_ARROW.empty_table()
-        ids = _ids(left.column("doc_id"))
+        s = Snippets(left)
+        bucket_first = np.searchsorted(s.bucket, np.arange(int(s.bucket[-1]) + 2))
+        n_groups = len(s.first)
+        runs = np.zeros(n_groups, np.int64)
+        found = []
+        for bucket, place, n in zip(right.column("bucket").to_pylist(), right.column("place"), right.column("runs")):
+            group = np.frombuffer(place.as_py(), np.uint32).astype(np.int64) + bucket_first[bucket]
+            runs[group] = np.frombuffer(n.as_py(), np.uint32)
+            found.append(group)
         join = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_py(), kind) for x in right.column(name))])
-        ka, kb, runs = join("a", np.uint64), join("b", np.uint64), join("runs", np.uint32).astype(np.int64)
-        r_first, r_count, r_least = join("first", np.uint32).astype(np.int64), join("count", np.uint32).astype(np.int64), join("least", np.int64)
-        begins = np.concatenate([[0], np.cumsum(runs)])[:-1]
-        both = ka ^ mix(kb)
-        order = np.argsort(both)
-        both, ka, kb, runs, begins = both[order], ka[order], kb[order], runs[order], begins[order]
-        removed, spans, sha, kept = [], [], [], []
-        for _, begin, _, a, b, row, data, offsets, _ in _snippets(left):
-            cover = np.zeros(len(data) + 1, np.int64)
-            if len(both):
-                code = a ^ mix(b)
-                at = np.minimum(np.searchsorted(both, code), len(both) - 1)
-                ok = (ka[at] == a) & (kb[at] == b)
-                at, place, own = at[ok], begin[ok], ids[row[ok]]
-                n = runs[at]
-                each = np.repeat(begins[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())) if len(n) else np.zeros(0, np.int64)
-                place, own = np.repeat(place, n), np.repeat(own, n)
-                earlier = r_least[each] < own
-                s = place[earlier] + r_first[each[earlier]]
-                np.add.at(cover, s, 1)
-                np.add.at(cover, s + r_count[each[earlier]] + WINDOW - 1, -1)
-            gone = np.cumsum(cover[:-1]) > 0
-            total = np.concatenate([[0], np.cumsum(gone)])
-            fresh = gone.copy()
-            fresh[1:] &= ~gone[:-1]
-            inner = offsets[:-1][offsets[:-1] < len(data)]
-            fresh[inner] = gone[inner]
-            edges = np.concatenate([[0], np.cumsum(fresh)])
-            removed.append(np.diff(total[offsets]))
-            spans.append(np.diff(edges[offsets]))
-            left_over = data[~gone].tobytes()
-            stay = offsets - total[offsets]
-            for s, e, n in zip(stay[:-1].tolist(), stay[1:].tolist(), removed[-1].tolist()):
-                text = left_over[s:e]
-                sha.append(hashlib.sha256(text).hexdigest())
-                kept.append(text if with_text and n else None)
-        return pa.Table.from_arrays([left.column("doc_id"), left.column("th"), left.column("n_bytes"), pa.array(np.concatenate(removed)), pa.array(np.concatenate(spans)), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], schema=_RESULT_ARROW)
+        first, count, least = join("first", np.uint32).astype(np.int64), join("count", np.uint32).astype(np.int64), join("least", np.int64)
+        arrived = np.concatenate([np.zeros(0, np.int64), *found])
+        begins = np.zeros(n_groups, np.int64)
+        begins[arrived] = np.cumsum(runs[arrived]) - runs[arrived]
+        group = s.groups()
+        n = runs[group]
+        each = np.repeat(begins[group] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        earlier = least[each] < np.repeat(s.doc, n)
+        start = np.repeat(s.begin, n)[earlier] + first[each[earlier]]
+        cover = np.zeros(len(s.data) + 1, np.int32)
+        np.add.at(cover, start, 1)
+        np.add.at(cover, start + count[each[earlier]] + WINDOW - 1, -1)
+        gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
+        total = np.concatenate([[0], np.cumsum(gone)])
+        fresh = gone.copy()
+        fresh[1:] &= ~gone[:-1]
+        inner = s.offsets[:-1][s.offsets[:-1] < len(s.data)]
+        fresh[inner] = gone[inner]
+        removed, spans = np.diff(total[s.offsets]), np.diff(np.concatenate([[0], np.cumsum(fresh)])[s.offsets])
+        left_over, stay = s.data[~gone].tobytes(), s.offsets - total[s.offsets]
+        sha, kept = [], []
+        for b, e, k in zip(stay[:-1].tolist(), stay[1:].tolist(), removed.tolist()):
+            text = left_over[b:e]
+            sha.append(hashlib.sha256(text).hexdigest())
+            kept.append(text if with_text and k else None)
+        return pa.Table.from_arrays([left.column("doc_id"), left.column("th"), left.column("n_bytes"), pa.array(removed), pa.array(spans), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], schema=_RESULT_ARROW)
 
     return run
 
@@ -445,23 +514,24 @@ def repeated_bytes(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = 2 * parts  # a bucket's windows take more memory than a chunk's texts
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     keyed = keyed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "th"), F.lit(parts)).cast("int"))
 
-    sent = keyed.select("chunk", "text").groupBy("chunk").applyInArrow(_send_anchors(parts), _ddl(_PROBES))
-    answers = written(sent.groupBy("bucket").applyInArrow(_find_repeats, _ddl(_ANSWERS)), "suffix-anchors")
+    sent = keyed.select("chunk", "text").groupBy("chunk").applyInArrow(lean_group(_send_anchors(buckets)), _ddl(_PROBES))
+    answers = written(sent.groupBy("bucket").applyInArrow(lean_group(_find_repeats), _ddl(_ANSWERS)), "suffix-anchors")
     del sent
     _release(spark)
-    marked = written(keyed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_mark(parts), _ddl(_MARKED)), "suffix-marked")
+    marked = written(keyed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean_cogroup(_mark(buckets)), _ddl(_MARKED)), "suffix-marked", "chunk", parts)
     discard(answers)
     _release(spark)
 
-    held = marked.where("starts is not null")
-    snippets = held.groupBy("chunk").applyInArrow(_send_snippets(parts), _ddl(_SNIPPETS))
-    sources = snippets.groupBy("bucket").applyInArrow(_sort_bucket, _ddl(_SOURCES))
-    cut = held.groupBy("chunk").cogroup(sources.groupBy("chunk")).applyInArrow(_remove(with_text), _RESULT)
+    held = marked.where("snippets is not null")
+    snippets = held.groupBy("chunk").applyInArrow(lean_group(_send_snippets), _ddl(_SNIPPETS))
+    sources = snippets.groupBy("bucket").applyInArrow(lean_group(_sort_bucket), _ddl(_SOURCES))
+    cut = held.groupBy("chunk").cogroup(sources.groupBy("chunk")).applyInArrow(lean_cogroup(_remove(with_text)), _RESULT)
     zero = F.lit(0).cast("long")
-    whole = marked.where("starts is null").select("doc_id", "th", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256", F.lit(None).cast("binary").alias("kept"))
+    whole = marked.where("snippets is null").select("doc_id", "th", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256", F.lit(None).cast("binary").alias("kept"))
     return cut.union(whole)
 
 
