@@ -191,8 +191,20 @@ def _give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: Rows of a batch between Spark and a worker: whole documents travel, and the default of 10000 is for narrow rows.
+BATCH_ROWS = 1000
+
+
+def _small_batches() -> None:
+    """Lowers the session's batch size to BATCH_ROWS where it stands at its default."""
+    name, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def lean(fn):
     """A function over batches that leaves its worker small when the task ends."""
+    _small_batches()
 
     def run(batches):
         pa.set_memory_pool(pa.system_memory_pool())
@@ -206,6 +218,7 @@ def lean(fn):
 
 def lean_group(fn):
     """As ``lean``, for a function of one group's table."""
+    _small_batches()
 
     def run(table: pa.Table) -> pa.Table:
         pa.set_memory_pool(pa.system_memory_pool())
@@ -219,6 +232,7 @@ def lean_group(fn):
 
 def lean_cogroup(fn):
     """As ``lean``, for a function of two tables."""
+    _small_batches()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         pa.set_memory_pool(pa.system_memory_pool())
@@ -230,6 +244,37 @@ def lean_cogroup(fn):
     return run
 
 
+def _partition_hash(labels: np.ndarray) -> np.ndarray:
+    """Spark's hash of 32-bit integers (Murmur3, seed 42), which hash partitioning takes modulo the partitions."""
+    rotl = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    k = rotl(labels.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = rotl(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def balanced_labels(count: int, partitions: int) -> list[int]:
+    """``count`` distinct integers that hash partitioning deals evenly: as keys, 0 to count - 1 would fall in heaps."""
+    each = -(-count // partitions)
+    tried = np.arange(int(partitions * (each + np.log(partitions) + 3) * 4) + 64, dtype=np.int32)
+    at = np.mod(_partition_hash(tried).astype(np.int64), partitions)
+    order = np.argsort(at, kind="stable")
+    place = np.arange(len(order)) - np.searchsorted(at[order], at[order])
+    chosen = order[place < each]
+    by_round = chosen[np.argsort(place[place < each], kind="stable")].tolist()
+    spare = iter(range(len(tried), len(tried) + count))
+    return [tried[i].item() for i in by_round[:count]] + [next(spare) for _ in range(count - len(by_round))]
+
+
+def labelled(number, labels: list[int]):
+    """The label of a column of numbers from 0."""
+    return F.element_at(F.lit(labels).cast("array<int>"), number + 1)
+
+
 def ascii_lower(data: np.ndarray) -> np.ndarray:
     out = data.copy()
     out[(data >= 0x41) & (data <= 0x5A)] += 0x20

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BASE_A, BASE_B, STEP_A, STEP_B, chunks, discard, lean_cogroup, lean_group, read_table, rolling, word_hashes, words, written
+from millrace.llm.common import BASE_A, BASE_B, STEP_A, STEP_B, balanced_labels, chunks, discard, labelled, lean_cogroup, lean_group, read_table, rolling, word_hashes, words, written
 
 WINDOW = 50
 BLOCK = 25
@@ -297,10 +297,11 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, with_text: bool = T
     spark, block = docs.sparkSession, window // 2
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    keyed = keyed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "th"), F.lit(parts)).cast("int"))
+    keyed = keyed.withColumn("chunk", labelled(F.pmod(F.xxhash64("doc_id", "th"), F.lit(parts)).cast("int"), balanced_labels(parts, parts)))
+    dealt = labelled(F.col("bucket"), balanced_labels(parts, parts))
 
     sent = keyed.select("chunk", "text").groupBy("chunk").applyInArrow(lean_group(_send_probes(parts, block)), _ddl(_PROBES))
-    answers = written(sent.groupBy("bucket").applyInArrow(lean_group(_find_hits), _ddl(_ANSWERS)), "substring-hits")
+    answers = written(sent.withColumn("dealt", dealt).groupBy("dealt").applyInArrow(lean_group(_find_hits), _ddl(_ANSWERS)), "substring-hits")
     del sent
     _release(spark)
     marked = written(keyed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean_cogroup(_mark(parts, block, window)), _ddl(_MARKED)), "substring-marked", "chunk", parts)
@@ -309,7 +310,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, with_text: bool = T
 
     held = marked.where("starts is not null")
     windows = held.groupBy("chunk").applyInArrow(lean_group(_send_windows(parts, window)), _ddl(_WINDOWS))
-    sources = windows.groupBy("bucket").applyInArrow(lean_group(_find_sources), _ddl(_SOURCES))
+    sources = windows.withColumn("dealt", dealt).groupBy("dealt").applyInArrow(lean_group(_find_sources), _ddl(_SOURCES))
     cut = held.groupBy("chunk").cogroup(sources.groupBy("chunk")).applyInArrow(lean_cogroup(_remove(window, with_text)), _RESULT)
     whole = marked.where("starts is null").select("doc_id", "th", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("binary").alias("kept"))
     return cut.union(whole)

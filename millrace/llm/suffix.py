@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BASE_A, BASE_B, chunks, discard, lean_cogroup, lean_group, mix, powers, read_table, rolling, span_hashes, written
+from millrace.llm.common import BASE_A, BASE_B, balanced_labels, chunks, discard, labelled, lean_cogroup, lean_group, mix, powers, read_table, rolling, span_hashes, written
 from millrace.llm.substring import _among, _binary, _ddl, _ids, _inside, _release, _split
 
 WINDOW = 50
@@ -516,10 +516,11 @@ def repeated_bytes(docs: DataFrame, with_text: bool = True) -> DataFrame:
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = 2 * parts  # a bucket's windows take more memory than a chunk's texts
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    keyed = keyed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "th"), F.lit(parts)).cast("int"))
+    keyed = keyed.withColumn("chunk", labelled(F.pmod(F.xxhash64("doc_id", "th"), F.lit(parts)).cast("int"), balanced_labels(parts, parts)))
+    dealt = labelled(F.col("bucket"), balanced_labels(buckets, parts))
 
     sent = keyed.select("chunk", "text").groupBy("chunk").applyInArrow(lean_group(_send_anchors(buckets)), _ddl(_PROBES))
-    answers = written(sent.groupBy("bucket").applyInArrow(lean_group(_find_repeats), _ddl(_ANSWERS)), "suffix-anchors")
+    answers = written(sent.withColumn("dealt", dealt).groupBy("dealt").applyInArrow(lean_group(_find_repeats), _ddl(_ANSWERS)), "suffix-anchors")
     del sent
     _release(spark)
     marked = written(keyed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean_cogroup(_mark(buckets)), _ddl(_MARKED)), "suffix-marked", "chunk", parts)
@@ -528,7 +529,7 @@ def repeated_bytes(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     held = marked.where("snippets is not null")
     snippets = held.groupBy("chunk").applyInArrow(lean_group(_send_snippets), _ddl(_SNIPPETS))
-    sources = snippets.groupBy("bucket").applyInArrow(lean_group(_sort_bucket), _ddl(_SOURCES))
+    sources = snippets.withColumn("dealt", dealt).groupBy("dealt").applyInArrow(lean_group(_sort_bucket), _ddl(_SOURCES))
     cut = held.groupBy("chunk").cogroup(sources.groupBy("chunk")).applyInArrow(lean_cogroup(_remove(with_text)), _RESULT)
     zero = F.lit(0).cast("long")
     whole = marked.where("snippets is null").select("doc_id", "th", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256", F.lit(None).cast("binary").alias("kept"))
