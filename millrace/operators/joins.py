@@ -159,3 +159,19 @@ def align_to_lines(points: DataFrame, vertices: DataFrame, point_id: str, reach:
     joined = snapped.join(starts, "segment_id")
     along = F.col("start") + F.sqrt(F.pow(F.col("snapped_x") - F.col("x1"), 2) + F.pow(F.col("snapped_y") - F.col("y1"), 2))
     return joined.select(*points.columns, F.col("segment_id.line").alias("line"), "distance", along.alias("along"))
+
+
+def cut_at_overlaps(df: DataFrame, shape: str, order: str, reach: float) -> tuple[DataFrame, DataFrame]:
+    """Lines that another line starts on end there.
+
+    Where a shape's first vertex is nearer than ``reach`` to another shape, that one keeps its vertices up to its
+    nearest one (the earliest, if several start on it). Returns the vertices kept, and a connector per pair:
+    (shape, other, x, y, x2, y2). All pairs are judged on the input; ties go to the earlier vertex.
+    """
+    starts = df.groupBy(F.col(shape).alias("__s")).agg(F.min_by(F.struct("x", "y"), order).alias("p")).select("__s", "p.x", "p.y")
+    near = within_box(starts, df, reach, {shape: "__o", order: "__at", "x": "x2", "y": "y2"}).where("__s <> __o")
+    gap = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
+    best = near.select("__s", "__o", "x", "y", F.struct(gap.alias("d"), "__at", "x2", "y2").alias("v")).where(F.col("v.d") < reach).groupBy("__s", "__o", "x", "y").agg(F.min("v").alias("v"))
+    ends = best.groupBy("__o").agg(F.min("v.__at").alias("__end"))
+    kept = df.join(ends, F.col(shape) == F.col("__o"), "left").where(F.col("__end").isNull() | (F.col(order) <= F.col("__end"))).select(*df.columns)
+    return kept, best.select(F.col("__s").alias("shape"), F.col("__o").alias("other"), "x", "y", "v.x2", "v.y2")

@@ -455,6 +455,21 @@ def align_to_lines(spark, d):
     return joins.align_to_lines(p.select("row_id", "x", "y"), lines, "row_id", 0.05, 0.05).select("row_id", "line", _r("distance").alias("distance"), _r("along").alias("along"))
 
 
+_OVERLAPS = """, st as (select * from (select *, row_number() over (partition by grp order by row_id) rn from points) where rn = 1),
+  near as (select st.grp shape, p.grp other, st.x, st.y, p.row_id pl, p.x x2, p.y y2, sqrt(pow(st.x - p.x, 2) + pow(st.y - p.y, 2)) d from st join points p on st.grp <> p.grp and sqrt(pow(st.x - p.x, 2) + pow(st.y - p.y, 2)) < 0.05),
+  best as (select * from (select *, row_number() over (partition by shape, other order by d, pl) k from near) where k = 1)"""
+
+
+@query(_OVERLAPS + " select shape, other, x2, y2 from best", "points")
+def overlap_connectors(spark, d):
+    return joins.cut_at_overlaps(points(spark, d), "grp", "row_id", 0.05)[1].select("shape", "other", "x2", "y2")
+
+
+@query(_OVERLAPS + " select p.row_id, p.grp from points p left join (select other, min(pl) e from best group by 1) b on p.grp = b.other where e is null or p.row_id <= e", "points")
+def reduce_by_overlap(spark, d):
+    return joins.cut_at_overlaps(points(spark, d), "grp", "row_id", 0.05)[0].select("row_id", "grp")
+
+
 # Aggregates
 
 
