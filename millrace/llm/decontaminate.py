@@ -90,7 +90,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tupl
     frequency = index.where(F.col("t") != END_TERM).groupBy("t").agg(F.count("*").alias("f")).join(vocabulary, "t")
     pairs = written(rarest_pairs(items, frequency, window), "decontaminate-pairs")
     probes = bounded(pairs, pairs.count())
-    shifted = index.join(probes, "t").select("doc_id", "th", "row", "pair", "need", (F.col("pos") - F.col("off")).alias("shift"), "off").where("shift >= 0")
+    shifted = index.join(probes, "t").select("doc_id", "th", "row", "pair", "need", (F.col("pos") - F.col("off")).alias("shift"), "off")
     both = shifted.groupBy("doc_id", "th", "row", "pair", "need", "shift").agg(F.count_distinct("off").alias("found"))
     survivors = written(both.where("found = need").select("doc_id", "th", "row", "shift").distinct(), "decontaminate-survivors")
 
