@@ -1,10 +1,13 @@
 """Operators on inputs that only the whole job gets right."""
 
+import math
 import re
 
+import numpy as np
+import pytest
 from llm import cases
 
-from millrace.llm import decontaminate
+from millrace.llm import decontaminate, kneser_ney
 
 
 def fragments():
@@ -36,3 +39,27 @@ def test_op6_finds_items_cut_at_either_end(spark):
     benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
     found = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.hits(cases.table(spark, docs), benchmark).collect()}
     assert found == wanted
+
+
+def test_op1_thresholds_are_of_all_trusted(spark):
+    docs = [(k, cases.text(k) if k % 3 else cases.text(k).upper() + " 12 " * (k % 11), "en" if k % 3 else "xx", "s", 1) for k in range(240)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(240)], "doc_id long, quality int, toxic int")
+    found = kneser_ney.classify(cases.table(spark, docs), labels, trusted=60).collect()
+    for lang in ("en", "xx"):
+        own = sorted(r["perplexity"] for r in found if r["lang"] == lang)
+        (threshold,) = {r["threshold"] for r in found if r["lang"] == lang}
+        assert threshold == pytest.approx(own[math.ceil(0.995 * len(own)) - 1], rel=0.011)
+
+
+def test_op1_tells_letters_beyond_ascii():
+    words = ["мама", "пепе", "ужин", "日本", "中国", "سلام", "كتاب"]
+    seen = set()
+    for w in words:
+        raw = np.frombuffer(w.encode(), np.uint8)
+        codes, begin = kneser_ney.codes(raw, np.array([0, len(raw)]))
+        assert begin.tolist() == [0, len(w) + 1]
+        seen.add(tuple(codes.tolist()))
+    assert len(seen) == len(words)
+    bad = b"ab\xffc\x82" + "é".encode()
+    codes, begin = kneser_ney.codes(np.frombuffer(bad, np.uint8), np.array([0, 5, 7]))
+    assert begin.tolist() == [0, 6, 8]
