@@ -2,7 +2,7 @@
 
 Every document's measures are taken in numpy, the sketches are bucket counts per (language, source), and a
 document is kept if each measure lies within the fences of its own group: the quartiles moved out by three times
-their distance, and a slack. A group of few documents takes the fences of its language, then of the corpus.
+their distance, or the group's outer quantiles where these lie further out. A group of few documents takes the fences of its language, then of the corpus.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ MARKS = np.zeros(256, bool)
 MARKS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 CAPITALS = np.zeros(256, bool)
 CAPITALS[0x41:0x5B] = True
-#: Each measure and the slack beyond its fences.
-MEASURES = {"mean_word": 0.5, "symbol_share": 0.02, "mark_share": 0.02, "capital_share": 0.05, "dup_line_share": 0.35, "repeat_share": 0.3}
+MEASURES = ("mean_word", "symbol_share", "mark_share", "capital_share", "dup_line_share", "repeat_share")
 SPREAD = 3.0
+#: The group's quantiles of this rank, and of 1 less it, are within its fences: the slack where quartiles coincide.
+OUTER = 0.98
 LEAST_GROUP = 50
 BROADCAST_ROWS = 100_000
 
@@ -104,18 +105,19 @@ def measures(docs: DataFrame) -> DataFrame:
 
 def fences(measured: DataFrame) -> DataFrame:
     """(lang, source, low_..., high_... of each measure) for every group of the corpus."""
-    ranks = {"q1": 0.25, "q3": 0.75}
+    ranks = {"q1": 0.25, "q3": 0.75, "lo": 1 - OUTER, "hi": OUTER}
     groups = sketch.sketch(measured, ["lang", "source"], list(MEASURES))
     langs = sketch.merge(groups, ["lang"])
     own = sketch.quantiles(groups, ["lang", "source"], ranks)
-    by_lang = sketch.quantiles(langs, ["lang"], ranks).toDF("l_lang", "l_metric", "l_total", "l_q1", "l_q3")
-    whole = sketch.quantiles(sketch.merge(langs, []), [], ranks).toDF("w_metric", "w_total", "w_q1", "w_q3")
+    by_lang = sketch.quantiles(langs, ["lang"], ranks).toDF("l_lang", "l_metric", "l_total", *[f"l_{q}" for q in ranks])
+    whole = sketch.quantiles(sketch.merge(langs, []), [], ranks).toDF("w_metric", "w_total", *[f"w_{q}" for q in ranks])
     joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric"))).join(whole, F.col("metric") == F.col("w_metric"))
     pick = lambda q: F.when(F.col("total") >= LEAST_GROUP, F.col(q)).when(F.col("l_total") >= LEAST_GROUP, F.col(f"l_{q}")).otherwise(F.col(f"w_{q}"))
-    chosen = joined.select("lang", "source", "metric", pick("q1").alias("q1"), pick("q3").alias("q3"))
-    slack = F.create_map(*[F.lit(x) for pair in MEASURES.items() for x in pair])[F.col("metric")]
-    step = SPREAD * (F.col("q3") - F.col("q1")) + slack
-    ends = chosen.select("lang", "source", "metric", (F.col("q1") - step).alias("low"), (F.col("q3") + step).alias("high"))
+    chosen = joined.select("lang", "source", "metric", *[pick(q).alias(q) for q in ranks])
+    step = SPREAD * (F.col("q3") - F.col("q1"))
+    # widened by the sketch's error, so that values equal to a quantile are within
+    low, high = F.least(F.col("q1") - step, F.col("lo")) / sketch.GAMMA, F.greatest(F.col("q3") + step, F.col("hi")) * sketch.GAMMA
+    ends = chosen.select("lang", "source", "metric", low.alias("low"), high.alias("high"))
     return ends.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col(x))).alias(f"{x}_{m}") for m in MEASURES for x in ("low", "high")])
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from llm import cases
 
-from millrace.llm import decontaminate, kneser_ney
+from millrace.llm import decontaminate, kneser_ney, rules
 
 
 def fragments():
@@ -63,3 +63,13 @@ def test_op1_tells_letters_beyond_ascii():
     bad = b"ab\xffc\x82" + "é".encode()
     codes, begin = kneser_ney.codes(np.frombuffer(bad, np.uint8), np.array([0, 5, 7]))
     assert begin.tolist() == [0, 6, 8]
+
+
+def test_op2_fences_follow_the_group(spark):
+    def lined(i, short):
+        return "\n".join(" ".join(f"w{i:03d}{k * 10 + j:02d}" for j in range(10)) + "\n" + x for k, x in enumerate(short))
+
+    rare, usual = {1, 2}, set(range(300, 330))  # of 200 documents each: 4 and 5 of 12 lines repeated
+    docs = [(i, lined(i, "xxxxxf" if i in rare else "xxxxxx" if i in usual else "abcdef"), "en" if i < 300 else "de", "s", 1) for i in [*range(200), *range(300, 500)]]
+    found = {r["doc_id"]: r["kept"] for r in rules.judge(cases.table(spark, docs)).collect()}
+    assert {i for i, kept in found.items() if not kept} == rare
