@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,11 @@ def shared_root(spark: SparkSession) -> str:
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "/tmp/checkpoints"
     spark.sparkContext.setCheckpointDir(root)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -57,17 +62,29 @@ def written(df: DataFrame, name: str, by: str | None = None, parts: int = 0) ->
     finally:
         spark.conf.set(clean, before)
     back = spark.table(label) if by else spark.read.schema(df.schema).parquet(path)
-    back._millrace_path = path
+    back._millrace_path, back._millrace_table = path, label if by else None
     return back
 
 
 def discard(df: DataFrame) -> None:
     """Removes a table of ``written()`` once nothing reads it any more."""
     spark, path = df.sparkSession, df._millrace_path
+    if df._millrace_table:
+        spark.sql(f"drop table if exists {df._millrace_table}")
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Bytes of text that one worker holds as a group: chunks and buckets are so many that their means are below.
+CHUNK_BYTES = 16 << 20
+
+
+def chunk_count(docs: DataFrame, column: str = "text") -> int:
+    """How many chunks the texts are dealt into: by their bytes, and at least one for each shuffle partition."""
+    total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // CHUNK_BYTES), 1)
+
+
 def id_string(col: str = "doc_id"):
     return F.col(col).cast("string")
 
@@ -163,8 +180,65 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return mix((total[ends] - total[starts]) * down[starts])
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE_A) -> np.ndarray:
-    return span_hashes(data, starts, ends, base)
+#: Spans of up to so many bytes are hashed side by side, eight bytes at a time; longer ones one by one.
+LANE_BYTES = 256
+LANE_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit key of the bytes of each span: a chain of bijective mixing steps over its length and its eight-byte lanes.
+
+    Unlike a polynomial modulo 2**64 it has no inputs that collide whatever the constants; two seeds give
+    independent keys.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * np.uint64(STEP_A) + np.uint64(seed))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.array(np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,)))
+    active, at = np.flatnonzero((size > 0) & (size <= LANE_BYTES)), 0
+    while len(active):
+        left = size[active] - at
+        lane = lanes[starts[active] + at] & LANE_MASKS[np.minimum(left, 8)]
+        out[active] = mix(out[active] ^ lane)
+        active, at = active[left > 8], at + 8
+    for i in np.flatnonzero(size > LANE_BYTES).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed & MASK64)
+    return out
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = BASE_A) -> np.ndarray:
+    return span_keys(data, starts, ends, seed)
+
+
+def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal words, compared byte by byte; numbers count from 0."""
+    size = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    packed = data[spread(starts, size)]
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
+    return column.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each group of ``size``, end to end."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, part: int = 1 << 20) -> np.ndarray:
+    """Whether the ``size`` bytes at ``a`` and at ``b`` are the same, compared byte by byte, about ``part`` at a time."""
+    out = np.ones(len(size), bool)
+    up_to, lo = np.cumsum(size), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(up_to, (up_to[lo - 1] if lo else 0) + part, side="right")))
+        n = size[lo:hi]
+        full = np.flatnonzero(n)
+        if len(full):
+            n = n[full]
+            same = data[spread(a[lo:hi][full], n)] == data[spread(b[lo:hi][full], n)]
+            out[lo + full] = np.logical_and.reduceat(same, np.cumsum(n) - n)
+        lo = hi
+    return out
 
 
 def rolling(values: np.ndarray, width: int, base: int = STEP_A) -> np.ndarray:
@@ -244,37 +318,6 @@ def lean_cogroup(fn):
     return run
 
 
-def _partition_hash(labels: np.ndarray) -> np.ndarray:
-    """Spark's hash of 32-bit integers (Murmur3, seed 42), which hash partitioning takes modulo the partitions."""
-    rotl = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
-    k = rotl(labels.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
-    h = rotl(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
-    h ^= np.uint32(4)
-    h ^= h >> np.uint32(16)
-    h *= np.uint32(0x85EBCA6B)
-    h ^= h >> np.uint32(13)
-    h *= np.uint32(0xC2B2AE35)
-    return (h ^ (h >> np.uint32(16))).view(np.int32)
-
-
-def balanced_labels(count: int, partitions: int) -> list[int]:
-    """``count`` distinct integers that hash partitioning deals evenly: as keys, 0 to count - 1 would fall in heaps."""
-    each = -(-count // partitions)
-    tried = np.arange(int(partitions * (each + np.log(partitions) + 3) * 4) + 64, dtype=np.int32)
-    at = np.mod(_partition_hash(tried).astype(np.int64), partitions)
-    order = np.argsort(at, kind="stable")
-    place = np.arange(len(order)) - np.searchsorted(at[order], at[order])
-    chosen = order[place < each]
-    by_round = chosen[np.argsort(place[place < each], kind="stable")].tolist()
-    spare = iter(range(len(tried), len(tried) + count))
-    return [tried[i].item() for i in by_round[:count]] + [next(spare) for _ in range(count - len(by_round))]
-
-
-def labelled(number, labels: list[int]):
-    """The label of a column of numbers from 0."""
-    return F.element_at(F.lit(labels).cast("array<int>"), number + 1)
-
-
 def ascii_lower(data: np.ndarray) -> np.ndarray:
     out = data.copy()
     out[(data >= 0x41) & (data <= 0x5A)] += 0x20

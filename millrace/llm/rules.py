@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import sketch
-from millrace.llm.common import chunks, lean, mix, read_table, rolling, text_column, word_hashes, words, written
+from millrace.llm.common import chunks, lean, read_table, text_column, word_numbers, words, written
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -35,15 +35,24 @@ def _sums(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[at])
 
 
+def _numbered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal pairs of numbers, counting from 0."""
+    return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1]
+
+
 def repeated_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, width: int = 3) -> np.ndarray:
-    """Per text, the words in a window of ``width`` words that the text has twice or more (64-bit hashes)."""
+    """Per text, the words in a window of ``width`` words that the text has twice or more, compared exactly."""
     n = len(starts)
     if n < width:
         return np.zeros(len(first) - 1, np.int64)
-    text = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
+    text = np.repeat(np.arange(len(first) - 1, dtype=np.int64), np.diff(first))
     last = n - width + 1
+    number = word_numbers(data, starts, ends)
+    window = number[:last]
+    for k in range(1, width):
+        window = _numbered(window, number[k : k + last])
     at = np.flatnonzero(text[:last] == text[width - 1 :])
-    keys = mix(rolling(word_hashes(data, starts, ends), width)[at] + text[at] * np.uint64(0x9E3779B97F4A7C15))
+    keys = window[at] * len(first) + text[at]  # below the square of the chunk's bytes
     order = np.argsort(keys)
     same = keys[order][1:] == keys[order][:-1]
     twice = np.zeros(len(at), bool)
@@ -128,7 +137,7 @@ def judge(docs: DataFrame) -> DataFrame:
     are groups like any other. Repeated rows are judged each. An empty table gives no rows; other columns are ignored.
     """
     measured = written(measures(docs), "rules-measures")
-    limits = written(fences(measured.where("n_words > 0")).withColumnRenamed("lang", "f_lang").withColumnRenamed("source", "f_source"), "rules-fences")
+    limits = written(fences(measured.where("n_words > 0")).withColumnRenamed("lang", "f_lang").withColumnRenamed("source", "f_source"), "rules-fences")  # a row per group
     if limits.count() <= BROADCAST_ROWS:
         limits = F.broadcast(limits)
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")

@@ -3,19 +3,19 @@
 A window of 50 words that starts in two documents covers, in either, a whole block of 25 words at a multiple of 25.
 So: (1) every document's non-overlapping blocks are indexed and every rolling 25-word window of every document
 probes that index; (2) windows of 50 words around a hit are the only candidates, and those found in another
-document are the hits' extensions: consecutive ones chain to the maximal exact repeat; (3) words covered by a
-window that a smaller doc_id also has go.
-
-How it moves: documents are dealt into chunks by a hash of id and text. A chunk sends, per hash bucket, one sorted
-array of its distinct hashes, so a passage that a third of all documents share is one entry per chunk, never a
-group; a bucket answers each chunk with one array. The two folds therefore hold (chunks + entries) and no pairs.
-Windows are compared on 96 bits of two independent hashes of word hashes; probes on 32 bits and a bucket number,
-where a false hit only makes a candidate.
+document (96 bits of two independent keys) extend the hits: consecutive ones with one source, the smallest document
+that has them, chain to the maximal repeat; (3) each chunk fetches the texts of its sources, every repeat is compared
+with its source word for word, and the words it covers go.
+
+How it moves: documents are dealt into chunks by a hash of id and text, as many as keep a chunk's text in CHUNK_BYTES.
+A chunk sends, per hash bucket, one sorted array of its distinct keys, so a passage that a third of all documents
+share is one entry per chunk, never a group; a bucket answers each chunk with one array. The two folds therefore hold
+(chunks + entries) and no pairs. Probes are compared on 32 bits and a bucket number, where a false hit only makes a
+candidate. A chunk fetches a source once, however many of its documents repeat it.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BASE_A, BASE_B, STEP_A, STEP_B, balanced_labels, chunks, discard, labelled, lean_cogroup, lean_group, read_table, rolling, word_hashes, words, written
+from millrace.llm.common import BASE_A, BASE_B, STEP_A, STEP_B, chunk_count, chunks, discard, lean, lean_cogroup, lean_group, read_table, rolling, word_hashes, words, written
 
 WINDOW = 50
 BLOCK = 25
@@ -115,7 +115,7 @@ _MARKED = pa.schema([("chunk", pa.int32()), ("doc_id", pa.int64()), ("th", pa.in
 
 
 def _mark(buckets: int, block: int, window: int):
-    """Documents with candidate windows keep their text and candidate starts; the others are done."""
+    """Documents with candidate windows keep their words, joined by spaces, and candidate starts; the others are done."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -144,7 +144,7 @@ def _mark(buckets: int, block: int, window: int):
                 text = raw[offsets[i] : offsets[i + 1]]
                 if len(mine):
                     sha.append(None)
-                    text_out.append(text)
+                    text_out.append(b" ".join(text.split()))
                     starts_out.append(_runs(mine).tobytes())
                 else:
                     sha.append(hashlib.sha256(b" ".join(text.split())).hexdigest())
@@ -178,33 +178,38 @@ def _candidates(table: pa.Table, window: int):
         yield a, b, row, at, first, lo, data, starts, ends
 
 
-_WINDOWS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("least", pa.binary()), ("multi", pa.binary())])
-_SOURCES = pa.schema([("chunk", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("least", pa.binary())])
+_WINDOWS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("least", pa.binary()), ("part", pa.binary()), ("multi", pa.binary())])
+_SOURCES = pa.schema([("chunk", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("least", pa.binary()), ("part", pa.binary())])
 
 
-def _fold(a: np.ndarray, b: np.ndarray, doc: np.ndarray, more: np.ndarray | None = None):
-    """Distinct (a, b) in order, with the smallest doc of each, and whether it has several docs (or ``more`` says so)."""
-    order = np.lexsort((doc, b, a))
-    a, b, doc = a[order], b[order], doc[order]
+def _parts(col) -> np.ndarray:
+    """The low half of each text's hash: with the doc_id it names a row, should rows share an id."""
+    return col.combine_chunks().to_numpy().astype(np.uint32)
+
+
+def _fold(a: np.ndarray, b: np.ndarray, doc: np.ndarray, part: np.ndarray, more: np.ndarray | None = None):
+    """Distinct (a, b) in order, with the smallest doc of each and its part, and whether it has several docs (or ``more`` says so)."""
+    order = np.lexsort((part, doc, b, a))
+    a, b, doc, part = a[order], b[order], doc[order], part[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(a)) - 1
     multi = doc[at] != doc[last]
     if more is not None:
         multi |= np.maximum.reduceat(more[order], at)
-    return a[at], b[at], doc[at], multi
+    return a[at], b[at], doc[at], part[at], multi
 
 
 def _send_windows(buckets: int, window: int):
     def run(table: pa.Table) -> pa.Table:
-        chunk, ids = table.column("chunk")[0].as_py(), _ids(table.column("doc_id"))
-        parts = [(a, (b >> np.uint64(32)).astype(np.uint32), ids[row]) for a, b, row, *_ in _candidates(table, window)]
-        a, b, least, multi = _fold(*(np.concatenate(x) for x in zip(*parts)))
+        chunk, ids, th = table.column("chunk")[0].as_py(), _ids(table.column("doc_id")), _parts(table.column("th"))
+        found = [(a, (b >> np.uint64(32)).astype(np.uint32), ids[row], th[row]) for a, b, row, *_ in _candidates(table, window)]
+        a, b, least, part, multi = _fold(*(np.concatenate(x) for x in zip(*found)))
         bucket = a % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         at = _split(bucket[order], buckets)
-        a, b, least, multi = a[order], b[order], least[order], multi[order]
-        rows = [(k, chunk, a[s:e].tobytes(), b[s:e].tobytes(), least[s:e].tobytes(), np.packbits(multi[s:e]).tobytes()) for k, (s, e) in enumerate(zip(at[:-1], at[1:])) if s < e]
+        a, b, least, part, multi = a[order], b[order], least[order], part[order], multi[order]
+        rows = [(k, chunk, a[s:e].tobytes(), b[s:e].tobytes(), least[s:e].tobytes(), part[s:e].tobytes(), np.packbits(multi[s:e]).tobytes()) for k, (s, e) in enumerate(zip(at[:-1], at[1:])) if s < e]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _WINDOWS)], schema=_WINDOWS)
 
     return run
@@ -214,15 +219,15 @@ def _find_sources(table: pa.Table) -> pa.Table:
     """For each chunk, its windows that several documents have, with the smallest of those."""
     chunk = table.column("chunk").to_pylist()
     read = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(name)]
-    a, b, least = read("a", np.uint64), read("b", np.uint32), read("least", np.int64)
+    a, b, least, part = read("a", np.uint64), read("b", np.uint32), read("least", np.int64), read("part", np.uint32)
     multi = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(p)).astype(bool) for x, p in zip(table.column("multi"), a)]
-    ka, kb, first, many = _fold(*(np.concatenate(x) for x in (a, b, least, multi)))
-    ka, kb, first = ka[many], kb[many], first[many]
+    ka, kb, first, own, many = _fold(*(np.concatenate(x) for x in (a, b, least, part, multi)))
+    ka, kb, first, own = ka[many], kb[many], first[many], own[many]
     rows = []
     for c, x, y in zip(chunk, a, b):
         at, ok = _lookup(ka, kb, x, y)
         if ok.any():
-            rows.append((c, x[ok].tobytes(), y[ok].tobytes(), first[at[ok]].tobytes()))
+            rows.append((c, x[ok].tobytes(), y[ok].tobytes(), first[at[ok]].tobytes(), own[at[ok]].tobytes()))
     if not rows:
         return _SOURCES.empty_table()
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SOURCES)], schema=_SOURCES)
@@ -240,33 +245,73 @@ def _lookup(ka: np.ndarray, kb: np.ndarray, a: np.ndarray, b: np.ndarray) -> tup
 
 _RESULT = "doc_id long, th long, n_words long, n_removed long, kept_sha256 string, kept binary"
 _RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+_REPEATS = pa.schema([("chunk", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("text", pa.binary()), ("start", pa.binary()), ("windows", pa.binary()), ("source", pa.binary()), ("part", pa.binary())])
 
 
-def _remove(window: int, with_text: bool):
+def _find_repeats(window: int):
+    """Each document's repeats: first window, windows, and the smallest document that has the same words."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _RESULT_ARROW.empty_table()
+            return _REPEATS.empty_table()
         ids = _ids(left.column("doc_id"))
         join = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_py(), kind) for x in right.column(name))])
-        ka, kb, least = join("a", np.uint64), join("b", np.uint32), join("least", np.int64)
+        ka, kb, least, parts = join("a", np.uint64), join("b", np.uint32), join("least", np.int64), join("part", np.uint32)
         order = np.lexsort((kb, ka))
-        ka, kb, least = ka[order], kb[order], least[order]
-        removed, sha, kept = [], [], []
-        for a, b, row, at, first, lo, data, starts, ends in _candidates(left, window):
+        ka, kb, least, parts = ka[order], kb[order], least[order], parts[order]
+        found: list[tuple[bytes, ...]] = []
+        for a, b, row, at, first, lo, *_ in _candidates(left, window):
             where, ok = _lookup(ka, kb, a, (b >> np.uint64(32)).astype(np.uint32))
             if len(least):
                 ok &= least[where] < ids[row]
+            at, row, where = at[ok], row[ok], where[ok]
+            source, part = (least[where], parts[where].astype(np.int64)) if len(least) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            edge = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(row) != 0) | (np.diff(source) != 0) | (np.diff(part) != 0)])) if len(at) else at
+            size = np.diff(np.append(edge, len(at)))
+            bounds = np.searchsorted(row[edge], np.arange(lo, lo + len(first)))
+            for i in range(len(first) - 1):
+                mine = slice(bounds[i], bounds[i + 1])
+                found.append(((at[edge[mine]] - first[i]).astype(np.int64).tobytes(), size[mine].astype(np.int64).tobytes(), source[edge[mine]].tobytes(), part[edge[mine]].tobytes()))
+        cols = [pa.array(c, pa.binary()) for c in zip(*found)]
+        return pa.Table.from_arrays([left.column("chunk"), left.column("doc_id"), left.column("th"), left.column("n_words"), left.column("text").cast(pa.binary()), *cols], schema=_REPEATS)
+
+    return run
+
+
+def _same_words(own: bytes, starts: list[int], ends: list[int], first: int, windows: int, sources: list[bytes], window: int) -> list[tuple[int, int]]:
+    """The parts (first window, windows) of a repeat that one of the sources has word for word."""
+    inside = lambda k, n: any(b" " + own[starts[k] : ends[k + n + window - 2]] + b" " in s for s in sources)
+    if inside(first, windows):
+        return [(first, windows)]
+    return [(k, 1) for k in range(first, first + windows) if inside(k, 1)]  # its windows stand apart in the source
+
+
+def _remove(window: int, with_text: bool):
+    """Takes out the words of those repeats that their source has, compared word for word."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _RESULT_ARROW.empty_table()
+        sources: dict[tuple[int, int], list[bytes]] = {}
+        for *i, text in zip(right.column("source").to_pylist(), right.column("part").to_pylist(), right.column("text")):
+            sources.setdefault(tuple(i), []).append(b" " + text.as_py() + b" ")
+        texts, lists = _binary(left.column("text")), [left.column(c).combine_chunks() for c in ("start", "windows", "source", "part")]
+        removed, sha, kept = [], [], []
+        for lo, hi, data, offsets in chunks(texts):
+            starts, ends, first = words(data, offsets)
             cover = np.zeros(len(starts) + 1, np.int64)
-            np.add.at(cover, at[ok], 1)
-            np.add.at(cover, at[ok] + window, -1)
+            raw, s, e = data.tobytes(), starts.tolist(), ends.tolist()
+            for i in range(lo, hi):
+                for k, n, *source in zip(*(np.frombuffer(x[i].as_py(), np.int64).tolist() for x in lists)):
+                    for at, m in _same_words(raw, s, e, int(first[i - lo]) + k, n, sources.get(tuple(source), []), window):
+                        cover[at] += 1
+                        cover[at + m + window - 1] -= 1
             gone = np.cumsum(cover[:-1]) > 0
             total = np.concatenate([[0], np.cumsum(gone)])
-            raw = data.tobytes()
-            for i in range(len(first) - 1):
-                s, e = first[i], first[i + 1]
-                stay = np.flatnonzero(~gone[s:e]) + s
-                left_over = b" ".join([raw[x:y] for x, y in zip(starts[stay].tolist(), ends[stay].tolist())])
-                n = int(total[e] - total[s])
+            for i in range(hi - lo):
+                stay = np.flatnonzero(~gone[first[i] : first[i + 1]]) + first[i]
+                left_over = b" ".join([raw[s[k] : e[k]] for k in stay.tolist()])
+                n = int(total[first[i + 1]] - total[first[i]])
                 removed.append(n)
                 sha.append(hashlib.sha256(left_over).hexdigest())
                 kept.append(left_over if with_text and n else None)
@@ -275,45 +320,54 @@ def _remove(window: int, with_text: bool):
     return run
 
 
+def _wanted(batches):
+    """(chunk, source, part) of the repeats, each once per batch."""
+    for batch in batches:
+        read = lambda k: [np.frombuffer(x.as_py(), np.int64) for x in batch.column(k)]  # noqa: B023, E731
+        source, part = read(1), read(2)
+        chunk = np.repeat(batch.column(0).to_numpy().astype(np.int64), [len(x) for x in source])
+        rows = np.unique(np.stack([chunk, *(np.concatenate([np.zeros(0, np.int64), *x]) for x in (source, part))]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0].astype(np.int32)), pa.array(rows[1]), pa.array(rows[2])], ["chunk", "source", "part"])
+
+
 def _ddl(schema: pa.Schema) -> str:
     names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished jobs now rather than at some later collection."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def repeated_passages(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
     """Per row of ``docs``: doc_id, th (xxhash64 of the text), n_words, n_removed, kept_sha256, kept (null if whole).
 
     A word goes if a window of ``window`` words over it also starts in a document with a smaller doc_id. Null and
     empty texts have no words and keep all of them. A null doc_id comes after all others, and one null is not
     smaller than another. Rows of one doc_id never remove each other's words; repeated rows fare alike. An empty
-    table gives no rows; other columns are ignored. One text must fit in a worker's memory several times over.
+    table gives no rows; other columns are ignored. One text must fit in a worker's memory several times over. The
+    result is a table in the shared folder; what the steps wrote is removed.
     """
-    spark, block = docs.sparkSession, window // 2
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    block, parts = window // 2, chunk_count(docs)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    keyed = keyed.withColumn("chunk", labelled(F.pmod(F.xxhash64("doc_id", "th"), F.lit(parts)).cast("int"), balanced_labels(parts, parts)))
-    dealt = labelled(F.col("bucket"), balanced_labels(parts, parts))
-
-    sent = keyed.select("chunk", "text").groupBy("chunk").applyInArrow(lean_group(_send_probes(parts, block)), _ddl(_PROBES))
-    answers = written(sent.withColumn("dealt", dealt).groupBy("dealt").applyInArrow(lean_group(_find_hits), _ddl(_ANSWERS)), "substring-hits")
-    del sent
-    _release(spark)
-    marked = written(keyed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean_cogroup(_mark(parts, block, window)), _ddl(_MARKED)), "substring-marked", "chunk", parts)
+    keyed = keyed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "th"), F.lit(parts)).cast("int"))
+    by_chunk = lambda df: df.repartitionById(parts, F.col("chunk")).groupBy("chunk")
+    by_bucket = lambda df: df.repartitionById(parts, F.col("bucket")).groupBy("bucket")
+
+    sent = by_chunk(keyed.select("chunk", "text")).applyInArrow(lean_group(_send_probes(parts, block)), _ddl(_PROBES))
+    answers = written(by_bucket(sent).applyInArrow(lean_group(_find_hits), _ddl(_ANSWERS)), "substring-hits")
+    marked = written(by_chunk(keyed).cogroup(by_chunk(answers)).applyInArrow(lean_cogroup(_mark(parts, block, window)), _ddl(_MARKED)), "substring-marked", "chunk", parts)
     discard(answers)
-    _release(spark)
 
     held = marked.where("starts is not null")
     windows = held.groupBy("chunk").applyInArrow(lean_group(_send_windows(parts, window)), _ddl(_WINDOWS))
-    sources = windows.withColumn("dealt", dealt).groupBy("dealt").applyInArrow(lean_group(_find_sources), _ddl(_SOURCES))
-    cut = held.groupBy("chunk").cogroup(sources.groupBy("chunk")).applyInArrow(lean_cogroup(_remove(window, with_text)), _RESULT)
+    sources = by_bucket(windows).applyInArrow(lean_group(_find_sources), _ddl(_SOURCES))
+    repeats = written(held.groupBy("chunk").cogroup(sources.groupBy("chunk")).applyInArrow(lean_cogroup(_find_repeats(window)), _ddl(_REPEATS)), "substring-repeats", "chunk", parts)
+    wanted = repeats.select("chunk", "source", "part").mapInArrow(lean(_wanted), "chunk int, source long, part long").distinct()
+    texts = held.select(F.col("doc_id").alias("source"), F.col("th").bitwiseAND(F.lit(0xFFFFFFFF)).alias("part"), "text").dropDuplicates(["source", "part", "text"])
+    fetched = texts.join(wanted, ["source", "part"]).select("chunk", "source", "part", "text")
+    cut = repeats.groupBy("chunk").cogroup(fetched.groupBy("chunk")).applyInArrow(lean_cogroup(_remove(window, with_text)), _RESULT)
     whole = marked.where("starts is null").select("doc_id", "th", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("binary").alias("kept"))
-    return cut.union(whole)
+    out = written(cut.union(whole), "substring-result")
+    discard(repeats)
+    discard(marked)
+    return out
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
