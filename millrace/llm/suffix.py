@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BASE_A, BASE_B, balanced_labels, chunks, discard, labelled, lean_cogroup, lean_group, mix, powers, read_table, rolling, span_hashes, written
-from millrace.llm.substring import _among, _binary, _ddl, _ids, _inside, _release, _split
+from millrace.llm.common import BASE_A, BASE_B, chunk_count, chunks, discard, equal_spans, lean_cogroup, lean_group, mix, powers, read_table, rolling, span_hashes, span_keys, spread, written
+from millrace.llm.substring import _among, _binary, _ddl, _ids, _inside, _split
 
 WINDOW = 50
 GRAM = 24
@@ -181,8 +181,7 @@ _SNIPPETS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("count",
 
 def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes of the spans, end to end."""
-    at = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-    return data[at]
+    return data[spread(begin, size)]
 
 
 class Snippets:
@@ -201,8 +200,8 @@ class Snippets:
             begin.append(at + base)
             count.append(n)
             bucket.append(np.concatenate([x[2] for x in own]))
-            a.append(span_hashes(data, at, stop, BASE_A))
-            b.append(span_hashes(data, at, stop, BASE_B))
+            a.append(span_keys(data, at, stop, BASE_A))
+            b.append(span_keys(data, at, stop, BASE_B))
             row.append(np.repeat(np.arange(lo, hi), [x.shape[1] for x in own]))
             parts.append(data)
             base += len(data)
@@ -213,7 +212,12 @@ class Snippets:
         bucket, a, b = (np.concatenate(x) for x in (bucket, a, b))
         self.order = np.lexsort((self.doc, b, a, bucket))
         x, y, z = bucket[self.order], a[self.order], b[self.order]
-        self.first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])]))
+        new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])])
+        at = np.flatnonzero(~new)
+        i, j = self.order[at], self.order[at - 1]
+        if (self.count[i] != self.count[j]).any() or not equal_spans(self.data, self.begin[i], self.begin[j], self.count[i] + WINDOW - 1).all():
+            raise ArithmeticError("two snippets of different text have the same 128 bits of keys: change BASE_A")
+        self.first = np.flatnonzero(new)
         self.bucket = x[self.first]
 
     def groups(self) -> np.ndarray:
@@ -235,12 +239,18 @@ def _send_snippets(table: pa.Table) -> pa.Table:
     return _rows(rows, _SNIPPETS)
 
 
-def _distinct(a: np.ndarray, b: np.ndarray, doc: np.ndarray, more: np.ndarray):
-    """Order, first of each distinct (a, b) in it, the smallest doc of each, whether it has several."""
-    order = np.lexsort((doc, b, a))
-    x, y, d = a[order], b[order], doc[order]
-    at = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
-    last = np.append(at[1:], len(a)) - 1
+def _distinct(key: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, more: np.ndarray, text: np.ndarray):
+    """Order, first of each distinct snippet in it, the smallest doc of each, whether it has several.
+
+    Neighbours are one snippet only if their bytes are the same.
+    """
+    order = np.lexsort((doc, key))
+    x, n, d = key[order], size[order], doc[order]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (n[1:] != n[:-1])])
+    twin = np.flatnonzero(~new)
+    new[twin] = ~equal_spans(text, begin[order[twin]], begin[order[twin - 1]], n[twin])
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(key)) - 1
     return order, at, d[at], (d[at] != d[last]) | np.maximum.reduceat(more[order], at)
 
 
@@ -356,15 +366,13 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     count, least, texts = read("count", np.uint32), read("least", np.int64), read("text", np.uint8)
     multi = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(p)).astype(bool) for x, p in zip(table.column("multi"), count)]
     lens = [len(x) for x in count]
-    a, b = [], []
-    for n, t in zip(count, texts):  # the hashes are found again: text is all that travels
+    keys = []
+    for n, t in zip(count, texts):  # text is all that travels
         end = np.cumsum(n.astype(np.int64) + WINDOW - 1)
-        begin = np.concatenate([[0], end[:-1]])
-        a.append(span_hashes(t, begin, end, BASE_A))
-        b.append(span_hashes(t, begin, end, BASE_B))
+        keys.append(span_keys(t, np.concatenate([[0], end[:-1]]), end, BASE_A))
     counts, text = np.concatenate(count).astype(np.int64), np.concatenate(texts)
     begins = np.concatenate([[0], np.cumsum(counts + WINDOW - 1)[:-1]])
-    order, at, low, many = _distinct(np.concatenate(a), np.concatenate(b), np.concatenate(least), np.concatenate(multi))
+    order, at, low, many = _distinct(np.concatenate(keys), begins, counts + WINDOW - 1, np.concatenate(least), np.concatenate(multi), text)
     unique = np.empty(len(counts), np.int64)
     unique[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
     pick = order[at]
@@ -384,11 +392,6 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     return _rows(rows, _SOURCES)
 
 
-def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The places first, first + 1, ... of each group of ``size``."""
-    return np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-
-
 def _alike(text: np.ndarray, at: np.ndarray, order: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray, several: np.ndarray) -> np.ndarray:
     """Which groups hold one window only, over and over: these are sorted as they stand. Their documents are settled here.
 
@@ -410,7 +413,7 @@ def _alike(text: np.ndarray, at: np.ndarray, order: np.ndarray, first: np.ndarra
         end = max(g + 1, int(np.searchsorted(up_to, (up_to[g - 1] if g else 0) + per, side="right")))
         own = groups[g:end]
         n = size[own]
-        windows = order[_spread(first[own], n)]
+        windows = order[spread(first[own], n)]
         heads = np.repeat(order[first[own]], n)
         begin = np.cumsum(n) - n
         equal = (text[at[windows, None] + reach] == text[at[heads, None] + reach]).all(axis=1)
@@ -445,7 +448,7 @@ def _sorted_runs(counts: np.ndarray, begins: np.ndarray, low: np.ndarray, many:
     while g < len(first):
         end = max(g + 1, int(np.searchsorted(up_to, (up_to[g - 1] if g else 0) + most, side="right")))
         n = size[g:end]
-        mine = order[_spread(first[g:end], n)]
+        mine = order[spread(first[g:end], n)]
         doc[mine], several[mine] = _repeats(text, at[mine], n, doc[mine], several[mine])
         g = end
     w = np.flatnonzero(several)
@@ -510,30 +513,30 @@ def repeated_bytes(docs: DataFrame, with_text: bool = True) -> DataFrame:
     A byte goes if a string of WINDOW bytes over it also starts in a document with a smaller doc_id; characters may
     be cut. Null and empty texts have no bytes. A null doc_id comes after all others, and one null is not smaller
     than another. Rows of one doc_id never remove each other's bytes; repeated rows fare alike. An empty table
-    gives no rows; other columns are ignored. One text must fit in a worker's memory several times over.
+    gives no rows; other columns are ignored. One text must fit in a worker's memory several times over. The result is
+    a table in the shared folder; what the steps wrote is removed.
     """
-    spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = chunk_count(docs)
     buckets = 2 * parts  # a bucket's windows take more memory than a chunk's texts
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    keyed = keyed.withColumn("chunk", labelled(F.pmod(F.xxhash64("doc_id", "th"), F.lit(parts)).cast("int"), balanced_labels(parts, parts)))
-    dealt = labelled(F.col("bucket"), balanced_labels(buckets, parts))
-
-    sent = keyed.select("chunk", "text").groupBy("chunk").applyInArrow(lean_group(_send_anchors(buckets)), _ddl(_PROBES))
-    answers = written(sent.withColumn("dealt", dealt).groupBy("dealt").applyInArrow(lean_group(_find_repeats), _ddl(_ANSWERS)), "suffix-anchors")
-    del sent
-    _release(spark)
-    marked = written(keyed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean_cogroup(_mark(buckets)), _ddl(_MARKED)), "suffix-marked", "chunk", parts)
+    keyed = keyed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "th"), F.lit(parts)).cast("int"))
+    by_chunk = lambda df: df.repartitionById(parts, F.col("chunk")).groupBy("chunk")
+    by_bucket = lambda df: df.repartitionById(buckets, F.col("bucket")).groupBy("bucket")
+
+    sent = by_chunk(keyed.select("chunk", "text")).applyInArrow(lean_group(_send_anchors(buckets)), _ddl(_PROBES))
+    answers = written(by_bucket(sent).applyInArrow(lean_group(_find_repeats), _ddl(_ANSWERS)), "suffix-anchors")
+    marked = written(by_chunk(keyed).cogroup(by_chunk(answers)).applyInArrow(lean_cogroup(_mark(buckets)), _ddl(_MARKED)), "suffix-marked", "chunk", parts)
     discard(answers)
-    _release(spark)
 
     held = marked.where("snippets is not null")
     snippets = held.groupBy("chunk").applyInArrow(lean_group(_send_snippets), _ddl(_SNIPPETS))
-    sources = snippets.withColumn("dealt", dealt).groupBy("dealt").applyInArrow(lean_group(_sort_bucket), _ddl(_SOURCES))
+    sources = by_bucket(snippets).applyInArrow(lean_group(_sort_bucket), _ddl(_SOURCES))
     cut = held.groupBy("chunk").cogroup(sources.groupBy("chunk")).applyInArrow(lean_cogroup(_remove(with_text)), _RESULT)
     zero = F.lit(0).cast("long")
     whole = marked.where("snippets is null").select("doc_id", "th", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256", F.lit(None).cast("binary").alias("kept"))
-    return cut.union(whole)
+    out = written(cut.union(whole), "suffix-result")
+    discard(marked)
+    return out
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
