@@ -4,10 +4,12 @@ Words are factored as class, entry within the class and, for the entry that stan
 word's share of their counts: P(word | h) = P(class | h) P(entry | class, h) share(word). Classes are ranges of
 spelling from the word's end, of about equal training mass, so every word has one, seen or not.
 
-Counts cover all training documents. The network starts from the unigram model, is warmed up on a bounded sample
-and then trained on every training document: each task runs truncated backpropagation over its own documents and
-the tasks' parameters are averaged by their tokens. Scoring carries the state from window to window through each
-whole document. Only the commonest ``COMMON`` words are broadcast; the counts of the others are joined in.
+Counts cover all training documents. The network starts from the unigram model and is trained on every token of
+every training document, in rounds that grow fourfold. A round's documents are dealt by a hash into shards of about
+``SHARD_TOKENS``; each shard runs truncated backpropagation from the same parameters, in the order of the hash, and
+the shards' parameters and step sizes are averaged by their tokens. Shards follow from the data alone, so the model
+does not depend on how the table is partitioned. Scoring carries the state from window to window through each whole
+document. Only the commonest ``COMMON`` words are broadcast; the counts of the others are joined in.
 """
 
 from __future__ import annotations
@@ -22,19 +24,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ascii_lower, chunks, crc_mod, lean, read_table, text_column, word_hashes, words, written
+from millrace.llm.common import BASE_B, ascii_lower, chunks, crc_mod, discard, lean, read_table, text_column, word_hashes, words, written
 
-CLASSES, ENTRIES, HIDDEN = 64, 64, 16
+CLASSES, ENTRIES, HIDDEN = 48, 48, 16
 #: The end of a text: a class of its own, entry 0, a hash that stands for no word and no suffix.
 END_HASH = np.uint64(0x0E5D0E5D0E5D0E5D)
 TAIL = ENTRIES - 1
-#: Words whose class, entry and count every worker has (20 bytes each), and suffixes that classes are cut from.
-COMMON, SUFFIXES = 1 << 17, 1 << 16
-#: Documents of the warm-up and times it goes through them.
-WARM_DOCS, WARM_ROUNDS = 1000, 2
-#: Streams trained side by side, steps of a window, and of how many positions one has its output trained.
-STREAMS, WINDOW, LOSS_EVERY = 512, 24, 4
-RATE = 0.06
+TAG_BITS = 7
+#: Words whose class, entry and count every worker has (20 bytes each).
+COMMON = 1 << 17
+#: Parts, in hundredths of a hash, of the training documents that the rounds take: each document is in one round.
+ROUNDS = ((0, 2), (2, 8), (8, 32), (32, 100))
+#: Tokens of a shard, and the most tasks that shards are dealt to.
+SHARD_TOKENS, MOST_TASKS = 1_000_000, 20_000
+#: Streams trained side by side, and steps of a window.
+STREAMS, WINDOW = 512, 24
+RATE = 0.12
 #: Tokens that a worker holds at a time.
 HELD_TOKENS = 1_500_000
 NEVER = np.float32(-1e9)
@@ -53,39 +58,43 @@ def suffixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and suffix (-1 at the end) of each text's tokens, and where each text's begin."""
+    """Hash and tag (-1 at the end) of each text's tokens, and where each text's begin.
+
+    A word is known by 95 bits: a 64-bit hash and a tag of its suffix and seven bits of a second hash.
+    """
     data = ascii_lower(data)
     starts, ends, first = words(data, offsets)
     begin = first + np.arange(len(first))
     hashes = np.full(begin[-1], END_HASH)
-    suffix = np.full(begin[-1], -1, dtype=np.int32)
+    tag = np.full(begin[-1], -1, dtype=np.int32)
     at = np.arange(len(starts)) + np.repeat(np.arange(len(first) - 1), np.diff(first))
-    hashes[at], suffix[at] = word_hashes(data, starts, ends), suffixes(data, starts, ends)
-    return hashes, suffix, begin
+    second = word_hashes(data, starts, ends, BASE_B) >> np.uint64(64 - TAG_BITS)
+    hashes[at], tag[at] = word_hashes(data, starts, ends), suffixes(data, starts, ends) << TAG_BITS | second.astype(np.int32)
+    return hashes, tag, begin
+
+
+def _summed(hashes: np.ndarray, tag: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words with their counts; words of one hash may stand in several rows."""
+    order = np.argsort(hashes)
+    h, t = hashes[order], tag[order]
+    at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])]))
+    return h[at], t[at], np.diff(np.append(at, len(h))) if n is None else np.add.reduceat(n[order], at)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def done():
-        keys, n = np.concatenate([h for h, _ in held]), np.concatenate([n for _, n in held])
-        order = np.argsort(keys["h"])
-        keys, n = keys[order], n[order]
-        at = np.flatnonzero(np.concatenate([[True], keys["h"][1:] != keys["h"][:-1]]))
-        return pa.RecordBatch.from_arrays([pa.array(keys["h"][at].view(np.int64)), pa.array(keys["s"][at]), pa.array(np.add.reduceat(n, at))], ["hash", "suffix", "n"])
+        h, t, n = _summed(*(np.concatenate(x) for x in zip(*held)))
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(t), pa.array(n)], ["hash", "tag", "n"])
 
     for batch in batches:
         for _, _, data, offsets in chunks(text_column(batch, "text")):
-            hashes, suffix, _ = tokens(data, offsets)
+            hashes, tag, _ = tokens(data, offsets)
             if not len(hashes):
                 continue
-            order = np.argsort(hashes)
-            h = hashes[order]
-            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            keys = np.empty(len(at), dtype=[("h", "u8"), ("s", "i4")])
-            keys["h"], keys["s"] = h[at], suffix[order[at]]
-            held.append((keys, np.diff(np.append(at, len(h)))))
-            size += len(at)
+            held.append(_summed(hashes, tag))
+            size += len(held[-1][0])
             if size > 2_000_000:
                 yield done()
                 held, size = [], 0
@@ -98,6 +107,7 @@ class Vocabulary:
     """The bounded part of the vocabulary that every worker has."""
 
     hashes: np.ndarray  # sorted, of the COMMON commonest
+    tag: np.ndarray
     count: np.ndarray
     code: np.ndarray  # class * ENTRIES + entry
     bounds: np.ndarray  # suffixes at which the classes after the first begin
@@ -107,35 +117,34 @@ class Vocabulary:
     total: int
     distinct: int
 
-    def look_up(self, hashes: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(self, hashes: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code of each token, and its count or -1 if it is not among the common ones."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
-        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
-        code = self.class_of(suffix) * ENTRIES + TAIL
-        if len(self.hashes):
-            code = np.where(known, self.code[at], code)
-            return code.astype(np.int32), np.where(known, self.count[at], -1)
-        return code.astype(np.int32), np.full(len(hashes), -1, np.int64)
+        code = self.class_of(tag >> TAG_BITS) * ENTRIES + TAIL
+        if not len(self.hashes):
+            return code.astype(np.int32), np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        known = (self.hashes[at] == hashes) & (self.tag[at] == tag)
+        return np.where(known, self.code[at], code).astype(np.int32), np.where(known, self.count[at], -1)
 
     def class_of(self, suffix: np.ndarray) -> np.ndarray:
         return np.where(suffix < 0, CLASSES, np.searchsorted(self.bounds, suffix, side="right"))
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """counts: (hash, suffix, n) of all training tokens. What reaches the driver is bounded by COMMON and SUFFIXES."""
+    """counts: (hash, tag, n) of all training tokens. What reaches the driver is bounded: COMMON words, and the mass of
+    each pair of last bytes (65 536), between which classes are cut."""
     row = counts.agg(F.sum("n"), F.count("*")).first()
     total, distinct = int(row[0] or 0), int(row[1])
-    by_suffix = counts.where("suffix >= 0").groupBy("suffix").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "suffix").limit(SUFFIXES).toArrow()
-    code, mass = by_suffix["suffix"].to_numpy().astype(np.int64), by_suffix["n"].to_numpy().astype(np.int64)
-    order = np.argsort(code)
-    code, mass = code[order], mass[order]
+    pair = F.shiftright("tag", TAG_BITS + 8)
+    by_pair = counts.where("tag >= 0").groupBy(pair.alias("pair")).agg(F.sum("n").alias("n")).orderBy("pair").toArrow()
+    code, mass = by_pair["pair"].to_numpy().astype(np.int64), by_pair["n"].to_numpy().astype(np.int64)
     up_to = np.cumsum(mass)
     cuts = np.searchsorted(up_to, np.arange(1, CLASSES) * (up_to[-1] / CLASSES)) if len(code) else np.zeros(0, np.int64)
-    bounds = np.unique(code[np.minimum(cuts + 1, len(code) - 1)]) if len(code) else code
-    top = counts.orderBy(F.desc("n"), "hash").limit(COMMON).toArrow()
-    hashes, suffix, n = top["hash"].to_numpy().view(np.uint64), top["suffix"].to_numpy(), top["n"].to_numpy()
-    own = Vocabulary(hashes, n, n, bounds, None, None, None, total, distinct)
-    cls = own.class_of(suffix)
+    bounds = np.unique(code[np.minimum(cuts + 1, len(code) - 1)]) << 8 if len(code) else code
+    top = counts.orderBy(F.desc("n"), "hash", "tag").limit(COMMON).toArrow()
+    hashes, tag, n = top["hash"].to_numpy().view(np.uint64), top["tag"].to_numpy(), top["n"].to_numpy()
+    own = Vocabulary(hashes, tag, n, n, bounds, None, None, None, total, distinct)
+    cls = own.class_of(tag >> TAG_BITS)
     order = np.lexsort((hashes, -n, cls))
     rank = np.empty(len(n), np.int64)
     first = np.searchsorted(cls[order], np.arange(CLASSES + 2))
@@ -144,9 +153,9 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     entry_mass = np.zeros((CLASSES + 1, ENTRIES))
     head = (entry < TAIL) | (cls == CLASSES)
     entry_mass[cls[head], entry[head]] = n[head] + 0.5
-    spans = F.when(F.col("suffix") < 0, CLASSES)
+    spans = F.when(F.col("tag") < 0, CLASSES)
     for k, b in enumerate(bounds.tolist()):
-        spans = spans.when(F.col("suffix") < b, k)
+        spans = spans.when(F.shiftright("tag", TAG_BITS) < b, k)
     per_class = counts.groupBy(spans.otherwise(len(bounds)).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).toArrow()
     tail_mass = np.full(CLASSES + 1, 0.5)
     tail_mass[CLASSES] = 0.0
@@ -155,8 +164,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
             tail_mass[c] = m + 0.5 * types + 0.5 - entry_mass[c, :TAIL].sum()
     entry_mass[:CLASSES, TAIL] = tail_mass[:CLASSES]
     entry_mass[CLASSES, 0] = max(entry_mass[CLASSES, 0], 0.5)
-    by_hash = np.argsort(hashes)
-    return Vocabulary(hashes[by_hash], n[by_hash], (cls * ENTRIES + entry)[by_hash], bounds, entry_mass.sum(axis=1), entry_mass, tail_mass, total, distinct)
+    by_hash = np.lexsort((tag, hashes))
+    return Vocabulary(hashes[by_hash], tag[by_hash], n[by_hash], (cls * ENTRIES + entry)[by_hash], bounds, entry_mass.sum(axis=1), entry_mass, tail_mass, total, distinct)
 
 
 class Network:
@@ -233,9 +242,18 @@ class Network:
 class Trainer:
     """Adagrad over truncated windows."""
 
-    def __init__(self, net: Network, rate: float = RATE):
+    def __init__(self, net: Network, sums: Network | None = None, rate: float = RATE):
         self.net, self.rate = net, rate
-        self.sums = {name: np.full(shape, 1e-4, np.float32) for name, shape in Network.SHAPES.items()}
+        self.sums = {name: np.full(shape, 1e-4, np.float32) if sums is None else getattr(sums, name) for name, shape in Network.SHAPES.items()}
+
+    @classmethod
+    def from_flat(cls, flat: np.ndarray) -> "Trainer":
+        """From parameters and, after them, the sums of squares that set the step sizes."""
+        half = len(flat) // 2
+        return cls(Network.from_flat(flat[:half]), Network.from_flat(flat[half:]))
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.net.flat(), *(self.sums[name].ravel() for name in Network.SHAPES)])
 
     def update(self, name: str, grad: np.ndarray, rows=None) -> None:
         value, sums = getattr(self.net, name), self.sums[name]
@@ -247,7 +265,7 @@ class Trainer:
             sums[rows] = s
             value[rows] -= self.rate * grad / np.sqrt(s)
 
-    def window(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray, rng) -> np.ndarray:
+    def window(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> np.ndarray:
         """inputs, targets, fresh: steps x streams; fresh marks a text's first token. Returns the last state."""
         net, (steps, streams) = self.net, inputs.shape
         before, states, kept = [], np.empty((steps, streams, HIDDEN), np.float32), []
@@ -257,12 +275,7 @@ class Trainer:
             h, *rest = net.step(inputs[t], h)
             states[t] = h
             kept.append(rest)
-        at = rng.choice(steps * streams, max(1, steps * streams // LOSS_EVERY), replace=False)
-        at.sort()
-        flat = states.reshape(-1, HIDDEN)
-        grad_h = np.zeros_like(flat)
-        grad_h[at] = self.outputs(flat[at], targets.ravel()[at])
-        grad_h = grad_h.reshape(states.shape)
+        grad_h = self.outputs(states.reshape(-1, HIDDEN), targets.ravel()).reshape(states.shape)
         grad_in = np.empty((steps, streams, 3 * HIDDEN), np.float32)
         grad_r = np.zeros_like(net.R)
         ahead = np.zeros((streams, HIDDEN), np.float32)
@@ -279,7 +292,7 @@ class Trainer:
             grad_r += before[t].T @ through
             ahead = (through @ net.R.T + g * z) * ~fresh[t][:, None]
         code = inputs.ravel()
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code.astype(np.int16), kind="stable")
         first = np.flatnonzero(np.concatenate([[True], code[order][1:] != code[order][:-1]]))
         rows = np.add.reduceat(grad_in.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
         scale = np.float32(1 / streams)
@@ -298,8 +311,8 @@ class Trainer:
         p /= (p @ ONES[CLASSES + 1])[:, None]
         p[np.arange(n), cls] -= 1
         grad = p @ net.C.T
-        scale = np.float32(LOSS_EVERY / n)
-        order = np.argsort(cls, kind="stable")
+        scale = np.float32(1 / n)
+        order = np.argsort(cls.astype(np.int8), kind="stable")
         at = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         seen, grad_u, grad_b = [], [], []
         for k, (s, e) in enumerate(zip(at, np.append(at[1:], n))):
@@ -324,12 +337,12 @@ class Trainer:
             self.update("u", np.stack(grad_b) * scale, np.array(seen))
         return grad
 
-    def train(self, code: np.ndarray, begin: np.ndarray, rng) -> None:
+    def train(self, code: np.ndarray, begin: np.ndarray) -> None:
         """One pass over texts laid end to end, cut into streams; the state goes on from window to window."""
         n = len(code)
         if not n:
             return
-        streams = int(np.clip(n // (4 * WINDOW), 1, STREAMS))
+        streams = int(np.clip(n // (40 * WINDOW), 1, STREAMS))
         length = -(-n // streams)
         pad = streams * length
         end = CLASSES * ENTRIES
@@ -340,7 +353,7 @@ class Trainer:
         inputs, targets, fresh = lay(before, end), lay(code, end), lay(fresh, True)
         h = np.zeros((streams, HIDDEN), np.float32)
         for t in range(0, length, WINDOW):
-            h = self.window(np.ascontiguousarray(inputs[t : t + WINDOW]), np.ascontiguousarray(targets[t : t + WINDOW]), np.ascontiguousarray(fresh[t : t + WINDOW]), h, rng)
+            h = self.window(np.ascontiguousarray(inputs[t : t + WINDOW]), np.ascontiguousarray(targets[t : t + WINDOW]), np.ascontiguousarray(fresh[t : t + WINDOW]), h)
 
 
 def score(net: Network, code: np.ndarray, begin: np.ndarray, window: int = 64) -> np.ndarray:
@@ -399,9 +412,9 @@ def _read(batches: Iterator[pa.RecordBatch], v: Vocabulary, keep: tuple[str, ...
     held, cols, size = [], [], 0
     for batch in batches:
         for lo, hi, data, offsets in chunks(text_column(batch, "text")):
-            hashes, suffix, begin = tokens(data, offsets)
-            code, count = v.look_up(hashes, suffix)
-            held.append((code, begin, count, hashes))
+            hashes, tag, begin = tokens(data, offsets)
+            code, count = v.look_up(hashes, tag)
+            held.append((code, begin, count, hashes, tag))
             cols.append([batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo) for c in keep])
             size += len(code)
             if size > HELD_TOKENS:
@@ -412,60 +425,104 @@ def _read(batches: Iterator[pa.RecordBatch], v: Vocabulary, keep: tuple[str, ...
 
 
 def _joined(held, cols):
-    lens = np.concatenate([np.diff(b) for _, b, _, _ in held])
-    kept = [pa.concat_arrays(c) for c in zip(*cols)]
-    return kept, np.concatenate([c for c, *_ in held]), np.concatenate([[0], np.cumsum(lens)]), np.concatenate([n for _, _, n, _ in held]), np.concatenate([h for *_, h in held])
+    begin = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b, *_ in held]))])
+    code, _, count, hashes, tag = (np.concatenate(x) for x in zip(*held))
+    return [pa.concat_arrays(c) for c in zip(*cols)], code, begin, count, hashes, tag
 
 
 PARTS = 32
 
 
-def _train_task(sent, rounds: int):
+def _shards(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, code, begin) of rows sorted by shard, in pieces of HELD_TOKENS that end with a text: where they end does
+    not depend on the batches."""
+    now, held = None, []
+
+    def piece(texts):
+        return now, np.concatenate(texts), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+
+    for batch in batches:
+        shard = batch.column(0).to_numpy()
+        for lo, hi, data, offsets in chunks(text_column(batch, "text")):
+            hashes, tag, begin = tokens(data, offsets)
+            code = v.look_up(hashes, tag)[0]
+            for i in range(lo, hi):
+                if shard[i] != now:
+                    if held:
+                        yield piece(held)
+                    now, held, size = shard[i], [], 0
+                held.append(code[begin[i - lo] : begin[i - lo + 1]])
+                size += len(held[-1])
+                if size >= HELD_TOKENS:
+                    yield piece(held)
+                    held, size = [], 0
+    if held:
+        yield piece(held)
+
+
+def _train_task(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, flat = sent.value
-        trainer, rng, n = Trainer(Network.from_flat(flat)), np.random.default_rng(11), 0
-        for _, code, begin, _, _ in _read(batches, v):
+        now, trainer, n = None, None, 0
+
+        def done():
+            for k, piece in enumerate(np.array_split(trainer.flat(), PARTS)):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([now], pa.int64()), pa.array([n], pa.int64()), pa.array([piece.tobytes()], pa.binary())], ["part", "shard", "n", "value"])
+
+        for shard, code, begin in _shards(batches, v):
+            if shard != now:
+                if trainer:
+                    yield from done()
+                now, trainer, n = int(shard), Trainer.from_flat(flat), 0
+            trainer.train(code, begin)
             n += len(code)
-            for _ in range(rounds):
-                trainer.train(code, begin, rng)
-        if n:
-            for k, piece in enumerate(np.array_split(trainer.net.flat(), PARTS)):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([piece.tobytes()], pa.binary())], ["part", "n", "value"])
+        if trainer:
+            yield from done()
 
     return run
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weighted sums of each part, one row at a time: memory does not grow with the tasks."""
+    """Weighted means of each part, one row at a time in the order of the shards: memory does not grow with these."""
     sums: dict[int, list] = {}
     for batch in batches:
-        for part, n, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+        for part, n, value in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
             s = sums.setdefault(part, [0, 0.0])
             s[0] += n
             s[1] = s[1] + n * np.frombuffer(value.as_py(), np.float32).astype(np.float64)
     for part, (n, total) in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["part", "n", "value"])
-
-
-def _round(texts: DataFrame, v: Vocabulary, net: Network, rounds: int = 1) -> Network:
-    sent = texts.sparkSession.sparkContext.broadcast((v, net.flat()))
-    schema = "part int, n long, value binary"
-    found = texts.mapInArrow(lean(_train_task(sent, rounds)), schema).repartition("part").mapInArrow(lean(_average), schema).orderBy("part").collect()
-    return Network.from_flat(np.concatenate([np.frombuffer(r["value"], np.float32) for r in found])) if found else net
-
-
-def train(docs: DataFrame, warm_docs: int = WARM_DOCS) -> tuple[Vocabulary, Network, DataFrame]:
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["part", "value"])
+
+
+def _round(docs: DataFrame, v: Vocabulary, flat: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Parameters after the round of the documents whose hash is in [low, high) hundredths."""
+    shards = max(1, -(-v.total * (high - low) // (100 * SHARD_TOKENS)))
+    h = F.xxhash64("doc_id", "text")
+    chosen = docs.withColumn("h", h).where((F.pmod("h", F.lit(100)) >= low) & (F.pmod("h", F.lit(100)) < high))
+    # other bits of the hash than the round's
+    dealt = chosen.select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"), "h", "text")
+    tasks = min(shards, MOST_TASKS)
+    ordered = dealt.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "h").select("shard", "text")
+    sent = docs.sparkSession.sparkContext.broadcast((v, flat))
+    trained = ordered.mapInArrow(lean(_train_task(sent)), "part int, shard long, n long, value binary")
+    means = trained.repartition("part").sortWithinPartitions("part", "shard").mapInArrow(lean(_average), "part int, value binary")
+    found = written(means, "gru-parameters")
+    pieces = [np.frombuffer(r["value"], np.float32) for r in found.orderBy("part").collect()]  # PARTS rows
+    discard(found)
+    return np.concatenate(pieces) if pieces else flat
+
+
+def train(docs: DataFrame) -> tuple[Vocabulary, Network, DataFrame]:
     """Vocabulary and network of all rows of ``docs`` (doc_id, text as binary), and the table of all counts."""
-    counts = written(docs.select("text").mapInArrow(lean(_count), "hash long, suffix int, n long").groupBy("hash").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("n")), "gru-counts")
+    counts = written(docs.select("text").mapInArrow(lean(_count), "hash long, tag int, n long").groupBy("hash", "tag").agg(F.sum("n").alias("n")), "gru-counts")
     v = vocabulary(counts)
-    net = Network.start(v)
-    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(warm_docs)
-    warm = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text").coalesce(1)
-    net = _round(warm, v, net, WARM_ROUNDS)
-    return v, _round(docs.select("text"), v, net), counts
+    flat = Trainer(Network.start(v)).flat()
+    for low, high in ROUNDS:
+        flat = _round(docs, v, flat, low, high)
+    return v, Trainer.from_flat(flat).net, counts
 
 
-_SCORED = "kind int, key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, hash long"
+_SCORED = "kind int, key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, hash long, tag int"
 
 
 def _score_task(sent):
@@ -474,22 +531,22 @@ def _score_task(sent):
         net, key = Network.from_flat(flat), TaskContext.get().partitionId() << 36
         whole = np.log10(v.total + 0.5 * (v.distinct + 1))
         log_tail = np.log10(np.maximum(v.tail_mass, 1e-300))
-        for kept, code, begin, count, hashes in _read(batches, v, ("doc_id", "held_out")):
+        for kept, code, begin, count, hashes, tag in _read(batches, v, ("doc_id", "held_out")):
             texts = len(begin) - 1
             sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[begin])  # noqa: B023, E731
             rare = count < 0
             log_count = np.log10(np.maximum(count, 0) + 0.5)
             log_count[rare] = 0
             n = np.diff(begin)
-            tail = (code % ENTRIES == TAIL) & (code < CLASSES * ENTRIES)
-            share = np.where(tail, log_count - log_tail[code // ENTRIES], 0.0)
+            tails = (code % ENTRIES == TAIL) & (code < CLASSES * ENTRIES)
+            share = np.where(tails, log_count - log_tail[code // ENTRIES], 0.0)
             model = score(net, code, begin) / np.log(10) + sums(share)
             keys = key + np.arange(texts)
             key += texts
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.zeros(texts, np.int32)), pa.array(keys), *kept, pa.array(n),
-                    pa.array(sums(count > 0)), pa.array(sums(log_count) - n * whole), pa.array(model), pa.nulls(texts, pa.int64()),
+                    pa.array(sums(count > 0)), pa.array(sums(log_count) - n * whole), pa.array(model), pa.nulls(texts, pa.int64()), pa.nulls(texts, pa.int32()),
                 ],
                 _NAMES,
             )
@@ -499,7 +556,7 @@ def _score_task(sent):
                 some = slice(lo, min(m, lo + (1 << 18)))
                 k = some.stop - lo
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(k, np.int32)), pa.array(of[some]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array(hashes[rare][some].view(np.int64))],
+                    [pa.array(np.ones(k, np.int32)), pa.array(of[some]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array(hashes[rare][some].view(np.int64)), pa.array(tag[rare][some])],
                     _NAMES,
                 )
 
@@ -522,14 +579,17 @@ def score_documents(docs: DataFrame, held_out=None) -> DataFrame:
     v, net, counts = train(rows.where("not held_out").select("doc_id", "text"))
     sent = docs.sparkSession.sparkContext.broadcast((v, net.flat()))
     scored = written(rows.mapInArrow(lean(_score_task(sent)), _SCORED), "gru-scores")
-    rare = scored.where("kind = 1").select("key", "hash").join(counts.select("hash", "n"), "hash", "left")
+    rare = scored.where("kind = 1").select("key", "hash", "tag").join(counts, ["hash", "tag"], "left")
     n = F.coalesce("n", F.lit(0))
     more = rare.groupBy("key").agg(F.sum(F.log10(n + 0.5)).alias("log_counts"), F.count(F.when(n > 0, 1)).alias("known"))
     joined = scored.where("kind = 0").join(more, "key", "left")
     extra = F.coalesce("log_counts", F.lit(0.0))
-    return joined.select(
+    out = written(joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"), (F.col("base") + extra).alias("base_score"), (F.col("model") + extra).alias("score")
-    )
+    ), "gru-result")
+    discard(scored)
+    discard(counts)
+    return out
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
