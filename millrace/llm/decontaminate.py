@@ -5,9 +5,10 @@ last posting per document holds its word count. (2) Each benchmark window names
 frequency. Their lists, shifted by the term's place in the item, are intersected: the aggregation keeps the
 (document, item, shift) that both lists have. (3) Each survivor is compared word by word, whole windows are kept.
 
-Frequent terms are never joined with windows; a passage that many documents share makes one row per document.
-The benchmark's vocabulary and the candidate ids are broadcast only below a counted bound; beyond it they are
-shuffled.
+A window is searched by its two rarest terms, so frequent terms are joined only for items that have no others; a
+passage that many documents share makes one row per document. The benchmark's vocabulary, its items and the
+candidate ids are broadcast only if their measured bytes are few; beyond that they are shuffled, where the
+frequent words of a corpus are left to adaptive skew joins.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UNFOLDED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Not a word; its posting's position is the document's word count.
 END_MARK, END_TERM = "\x00", -1
-#: Rows (of a term or an id, under 100 bytes) up to which a table is broadcast.
-BROADCAST_ROWS = 100_000
+#: Bytes (of texts, and 64 for each row) up to which a table is broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def fold(word: Column) -> Column:
@@ -40,16 +41,18 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(UNFOLDED), F.lit(0))
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """Marked for broadcast if ``rows``, its counted size, is small enough."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def bounded(df: DataFrame, *texts: Column) -> DataFrame:
+    """Marked for broadcast if its rows and the bytes of ``texts``, measured here, are few enough."""
+    sizes = [F.coalesce(F.sum(F.octet_length(x)), F.lit(0)) for x in texts]
+    row = df.agg(F.count("*").alias("n"), *[x.alias(f"s{k}") for k, x in enumerate(sizes)]).first()
+    return F.broadcast(df) if 64 * row["n"] + sum(row[1:]) <= BROADCAST_BYTES else df
 
 
 def postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(doc_id, th, pos, t) of each occurrence of a term of ``vocabulary`` (term, t), positions from 0."""
     marked = F.concat(F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")), F.array(F.lit(END_MARK)))
     each = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(marked).alias("pos", "word"))
-    return each.withColumn("term", fold(F.col("word"))).join(bounded(vocabulary, vocabulary.count()), "term").select("doc_id", "th", "pos", "t")
+    return each.withColumn("term", fold(F.col("word"))).join(bounded(vocabulary, F.col("term")), "term").select("doc_id", "th", "pos", "t")
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -78,27 +81,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tupl
     """Exact phrase matches, and the documents with their word counts.
 
     The first has (doc_id, th, item_id, starts, width): the places in the document where windows of the item's
-    words begin. The second has (doc_id, th, n_words). th is the text's xxhash64; rows of one doc_id and text are one.
+    words begin, once for rows of one doc_id and text. The second has (doc_id, th, n_words) of every row. th is the
+    text's xxhash64.
     """
     items = written(benchmark_items(benchmark), "decontaminate-items")
     terms = items.select(F.explode("words").alias("term")).distinct().withColumn("t", F.monotonically_increasing_id())
     mark = docs.sparkSession.createDataFrame([(END_MARK, END_TERM)], "term string, t long")
     vocabulary = written(terms.union(mark), "decontaminate-terms")
     index = written(postings(docs, vocabulary), "decontaminate-postings")
-    counted = index.where(F.col("t") == END_TERM).select("doc_id", "th", F.col("pos").cast("long").alias("n_words")).distinct()
+    counted = index.where(F.col("t") == END_TERM).select("doc_id", "th", F.col("pos").cast("long").alias("n_words"))
 
     frequency = index.where(F.col("t") != END_TERM).groupBy("t").agg(F.count("*").alias("f")).join(vocabulary, "t")
     pairs = written(rarest_pairs(items, frequency, window), "decontaminate-pairs")
-    probes = bounded(pairs, pairs.count())
+    probes = bounded(pairs)
     shifted = index.join(probes, "t").select("doc_id", "th", "row", "pair", "need", (F.col("pos") - F.col("off")).alias("shift"), "off")
     both = shifted.groupBy("doc_id", "th", "row", "pair", "need", "shift").agg(F.count_distinct("off").alias("found"))
     survivors = written(both.where("found = need").select("doc_id", "th", "row", "shift").distinct(), "decontaminate-survivors")
 
-    ids = survivors.select(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th")).distinct()
-    held = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(bounded(ids, ids.count()), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")), "left_semi")
+    ids = written(survivors.select(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th")).distinct(), "decontaminate-ids")
+    held = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(bounded(ids), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")), "left_semi")
     texts = held.distinct().select(F.col("doc_id").alias("d_id"), F.col("th").alias("d_th"), F.transform(tokens(F.col("text")), fold).alias("text_words"))
     lined = (
-        survivors.join(bounded(items, items.count()), "row")
+        survivors.join(bounded(items, F.concat_ws(" ", "words")), "row")
         .groupBy("doc_id", "th")
         .agg(F.collect_list(F.struct("item_id", "words", "shift")).alias("lines"))
         .join(texts, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("th") == F.col("d_th")))
@@ -119,11 +123,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tupl
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per distinct (doc_id, text): doc_id, th, n_words, n_hit, n_items, items_sha256, contaminated.
+    """Per row of ``docs``: doc_id, th, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A null or empty text has no words and is clean. Items without a word match nothing; an item with a null id
-    marks words but is not counted or named. Items that share an id count once. Repeated rows of documents give
-    one row. Empty tables give no rows, or no hits. Other columns are ignored.
+    marks words but is not counted or named. Items that share an id count once. Repeated rows of documents are
+    judged each. Empty tables give no rows, or no hits. Other columns are ignored. A text's words must fit in a row.
     """
     lines, counted = matches(docs, benchmark, window)
     spans = F.array_sort(F.flatten(F.transform("lines", lambda line: F.transform(line["starts"], lambda s: F.struct(s.alias("s"), (s + line["width"]).alias("e"))))))
@@ -173,31 +177,32 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; a null text stays."""
+    """Contaminated documents go; null and empty texts stay. Repeated rows stay or go together; an empty table, or an
+    empty benchmark, takes nothing out; other columns stay."""
     bad = hits(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("th").alias("__bad_th"))
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad_id")) & (F.xxhash64(docs["text"]) == F.col("__bad_th")), "left_anti")
 
 
 OP6_SQL = r"""
 with d as (
-  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) w from documents
+  select row_number() over () r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) w from documents
 ), b as (
   select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark
 ), items as (select item_id, w, least(13, len(w)) k from b where len(w) > 0
 ), windows as (
   select distinct item_id, k, array_to_string(list_slice(w, i, i + k - 1), ' ') g
   from (select item_id, w, k, unnest(range(1, len(w) - k + 2)) i from items)
-), places as (select doc_id, w, unnest(range(1, len(w) + 1)) p from d
+), places as (select r, w, unnest(range(1, len(w) + 1)) p from d
 ), grams as (
-  select doc_id, p, k, array_to_string(list_slice(w, p, p + k - 1), ' ') g
+  select r, p, k, array_to_string(list_slice(w, p, p + k - 1), ' ') g
   from places, (select distinct k from windows) where p + k - 1 <= len(w)
-), found as (select distinct doc_id, p, k, item_id from grams join windows using (k, g)
-), words as (select doc_id, count(distinct q) n_hit from (select doc_id, unnest(range(p, p + k)) q from found) group by doc_id
+), found as (select distinct r, p, k, item_id from grams join windows using (k, g)
+), words as (select r, count(distinct q) n_hit from (select r, unnest(range(p, p + k)) q from found) group by r
 ), named as (
-  select doc_id, count(*) n_items, sha256(string_agg(item, ',' order by item)) items_sha256
-  from (select distinct doc_id, cast(item_id as varchar) item from found) group by doc_id
+  select r, count(*) n_items, sha256(string_agg(item, ',' order by item)) items_sha256
+  from (select distinct r, cast(item_id as varchar) item from found where item_id is not null) group by r
 )
 select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items,
   coalesce(items_sha256, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
-from d left join words using (doc_id) left join named using (doc_id)
+from d left join words using (r) left join named using (r)
 """
