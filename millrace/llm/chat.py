@@ -4,21 +4,26 @@ A legal conversation is an optional system turn, then user and assistant in turn
 given turn is kept, relabelled or merged into the turn before it, and an empty turn may be inserted before it;
 dynamic programming over the automaton's states finds the cheapest repair (ties: keep, merge, relabel, insert).
 
-Long conversations are cut into blocks of turns. A block is a (state in, state out) table of least costs, such
-tables are chained per conversation, and each block is then repaired between its two states: no task needs a
-whole conversation, and the rendering is a row per turn whose fragments, in order, are the rendered text.
+The turns are put in order over the whole table (a range partitioning) and numbered within each conversation; every
+``BLOCK_TURNS`` of them are a block, however many rows share a turn number. A block is a (state in, state out) table
+of least costs, such tables are chained per conversation, and each block is then repaired between its two states: no
+task needs a whole conversation, and the rendering is a row per turn whose fragments, in order, are the rendered text.
+Control strings in a turn's own text are escaped, so no text can forge a turn.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import re
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import lean, read_table
+from millrace.llm.common import lean, read_table, written
 
 ROLES = ("system", "user", "assistant")
 #: Spellings that are the same role.
@@ -126,6 +131,7 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4096) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
+_NUMBERED = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("part", pa.int64()), ("own", pa.int64())])
 _COSTS = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("costs", pa.list_(pa.int64()))])
 _PATHS = pa.schema([("p_conv", pa.int64()), ("p_block", pa.int64()), ("entry", pa.int32()), ("leave", pa.int32()), ("last", pa.bool_()), ("cost", pa.int64())])
 _TURNS = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("at", pa.int32()), ("turn", pa.int64()), ("role", pa.string()), ("action", pa.string()), ("fragment", pa.string()), ("cost", pa.int64())])
@@ -136,6 +142,43 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {_DDL[f.type]}" for f in schema)
 
 
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ordered turns with the number of their partition, and their own number within it and their conversation."""
+    part, last, own = TaskContext.get().partitionId(), None, -1
+    for batch in batches:
+        n, conv = len(batch), batch.column(0)
+        if not n:
+            continue
+        ids = conv.fill_null(0).to_numpy(zero_copy_only=False)
+        null = conv.is_null().to_numpy(zero_copy_only=False)
+        new = np.concatenate([[(ids[0], null[0]) != last], (ids[1:] != ids[:-1]) | (null[1:] != null[:-1])])
+        at = np.arange(n)
+        first = np.maximum.accumulate(np.where(new, at, -1))
+        number = np.where(first < 0, own + 1 + at, at - first)
+        last, own = (ids[-1], null[-1]), int(number[-1])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(np.full(n, part, np.int64)), pa.array(number.astype(np.int64))], schema=_NUMBERED)
+
+
+def numbered(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text, at): the turns numbered from 0 within each conversation, in one order of the table.
+
+    A partition holds a range of the order, so at most one conversation goes on from the partition before: its offset
+    is a sum over partitions, and there are fewer such rows than partitions.
+    """
+    c = F.col
+    turns = conversations.select(c("conv_id").cast("long").alias("conv_id"), c("turn").cast("long").alias("turn"), c("role").cast("string").alias("role"), c("text").cast("string").alias("text"))
+    order = ["conv_id", c("turn").asc_nulls_last(), c("role").asc_nulls_last(), c("text").asc_nulls_last(), "__salt"]
+    parts = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = turns.withColumn("__salt", F.monotonically_increasing_id())  # equal rows may fall in several partitions
+    ranged = salted.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("conv_id", "turn", "role", "text")
+    rows = written(ranged.mapInArrow(lean(_number), _ddl(_NUMBERED)), "chat-turns")
+    sizes = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.withColumn("before", before).where("before > 0").select(c("conv_id").alias("o_conv"), c("part").alias("o_part"), "before")
+    joined = rows.join(F.broadcast(offsets), c("conv_id").eqNullSafe(c("o_conv")) & (c("part") == c("o_part")), "left")
+    return joined.select("conv_id", "turn", "role", "text", (c("own") + F.coalesce("before", F.lit(0))).alias("at"))
+
+
 def _costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batches(((*key, sum(block_costs([role_of(r["role"]) for r in rows]), [])) for key, rows in _groups(batches, 2)), _COSTS)
 
@@ -170,6 +213,12 @@ def head(role: int) -> str:
 
 
 TURN_END = "<|end|>\n"
+CONTROL = re.compile(r"<(\\*)\|")
+
+
+def escaped(text: str) -> str:
+    """``text`` with a backslash put into every "<|"; one more where it has some already, so that it can be undone."""
+    return CONTROL.sub(r"<\1\\|", text)
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +230,7 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if between:
                     yield conv, block, at, None, ROLES[between - 1], "insert", TURN_END * opened + head(between), cost
                     at, opened = at + 1, True
-                text = turn["text"] or ""
+                text = escaped(turn["text"] or "")
                 yield conv, block, at, turn["turn"], ROLES[role - 1], action, ("\n" if action == "merge" else TURN_END * opened + head(role)) + text, cost
                 at, opened = at + 1, True
             if last:
@@ -199,18 +248,26 @@ def format_chats(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> Da
     The fragments of a conversation in the order of (block, at) are its rendering. Turns go by (turn, role, text),
     nulls last; equal ones are repeated turns and are repaired like any. A null text is empty; a null or unknown
     role is relabelled at a lower cost. Rows of a null conv_id are one conversation. Blocks are of ``block_turns``
-    turn numbers, so a turn number must not stand in more rows than a worker holds. An empty table gives no rows;
-    other columns are ignored.
+    rows, which a worker holds with their texts; a conversation's cost tables (16 numbers a block) are chained in
+    one task. An empty table gives no rows; other columns are ignored.
     """
-    block = F.coalesce(F.floor(F.col("turn") / block_turns).cast("long"), F.lit((1 << 62) - 1))
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), block.alias("block"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    order = ["conv_id", "block", F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last()]
-    sorted_turns = turns.repartition("conv_id", "block").sortWithinPartitions(*order)
-    costs = sorted_turns.select("conv_id", "block", "role").mapInArrow(lean(_costs), _ddl(_COSTS))
+    turns = written(numbered(conversations).withColumn("block", F.floor(F.col("at") / block_turns).cast("long")), "chat-numbered")
+    by_block = lambda df: df.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "at")
+    costs = by_block(turns.select("conv_id", "block", "role", "at")).select("conv_id", "block", "role").mapInArrow(lean(_costs), _ddl(_COSTS))
     paths = costs.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(lean(_paths), _ddl(_PATHS))
     joined = turns.join(paths, F.col("conv_id").eqNullSafe(F.col("p_conv")) & (F.col("block") == F.col("p_block")))
-    ready = joined.select("conv_id", "block", "turn", "role", "text", "entry", "leave", "last", "cost").repartition("conv_id", "block").sortWithinPartitions(*order)
-    return ready.mapInArrow(lean(_render), _ddl(_TURNS))
+    ready = by_block(joined.select("conv_id", "block", "at", "turn", "role", "text", "entry", "leave", "last", "cost"))
+    return ready.select("conv_id", "block", "turn", "role", "text", "entry", "leave", "last", "cost").mapInArrow(lean(_render), _ddl(_TURNS))
+
+
+def rendered_blocks(turns: DataFrame) -> DataFrame:
+    """(conv_id, block, turns, merged, relabelled, inserted, cost, text): the rendering of each block, whole for
+    conversations of one block. turns: as of ``format_chats``; cost is the conversation's."""
+    parts = F.array_sort(F.collect_list(F.struct("at", "fragment")))
+    made = lambda action, name: F.count(F.when(F.col("action") == action, 1)).alias(name)
+    given = F.count(F.when(F.col("action").isin("keep", "merge", "relabel"), 1)).alias("turns")
+    text = F.concat_ws("", F.transform(parts, lambda x: x["fragment"])).alias("text")
+    return turns.groupBy("conv_id", "block").agg(given, made("merge", "merged"), made("relabel", "relabelled"), made("insert", "inserted"), F.max("cost").alias("cost"), text)
 
 
 def rendered(turns: DataFrame) -> DataFrame:
@@ -220,4 +277,4 @@ def rendered(turns: DataFrame) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_chats(read_table(spark, sf_dir, "conversations"))
+    return rendered_blocks(format_chats(read_table(spark, sf_dir, "conversations")))
