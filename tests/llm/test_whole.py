@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from llm import cases
 
-from millrace.llm import decontaminate, kneser_ney, rules
+from pyspark.sql import functions as F
+
+from millrace.llm import decontaminate, gru, kneser_ney, language, rules, substring, suffix
 
 
 def fragments():
@@ -73,3 +75,69 @@ def test_op2_fences_follow_the_group(spark):
     docs = [(i, lined(i, "xxxxxf" if i in rare else "xxxxxx" if i in usual else "abcdef"), "en" if i < 300 else "de", "s", 1) for i in [*range(200), *range(300, 500)]]
     found = {r["doc_id"]: r["kept"] for r in rules.judge(cases.table(spark, docs)).collect()}
     assert {i for i, kept in found.items() if not kept} == rare
+
+
+def thue_morse(n):
+    """Two words of n letters that every polynomial hash modulo 2**64 with an odd base takes for one, n from 1024."""
+    bits = [k.bit_count() & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_of_one_polynomial_hash_are_told_apart(spark, n):
+    a, b = thue_morse(n)
+    rest = [f"w{k}" for k in range(49)]
+    docs = cases.table(spark, [(1, " ".join([a, *rest]), "en", "s", 1), (2, " ".join([b, *rest]), "en", "s", 1), (3, " ".join([b, *rest]), "en", "s", 1), (4, f"c d {a} x c d {b}", "en", "s", 1)])
+    assert {r["doc_id"]: r["n_removed"] for r in substring.repeated_passages(docs).collect()} == {1: 0, 2: 0, 3: 50, 4: 0}
+    assert {r["doc_id"]: r["n_repeat_words"] for r in rules.judge(docs).collect()}[4] == 0
+    scored = {r["doc_id"]: r for r in gru.score_documents(docs, F.col("doc_id") == 2).collect()}
+    assert scored[2]["n_known"] == 51  # document 3 has its words
+    scored = {r["doc_id"]: r for r in gru.score_documents(docs, F.col("doc_id") > 1).collect()}
+    assert scored[1]["n_known"] == 51 and scored[2]["n_known"] == 50 and scored[1]["train_tokens"] == 51
+    # suffix dedup: snippets of the two are not one
+    texts = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
+    first, wanted = {}, {}
+    for i in sorted(texts):
+        s = texts[i]
+        gone = [False] * len(s)
+        for p in range(len(s) - 49):
+            if first.setdefault(s[p : p + 50], i) < i:
+                gone[p : p + 50] = [True] * 50
+        wanted[i] = sum(gone)
+    assert {r["doc_id"]: r["n_removed"] for r in suffix.repeated_bytes(docs).collect()} == wanted
+
+
+def test_op10_takes_nothing_that_its_source_lacks():
+    """Windows whose keys agree are still compared word for word."""
+    own = [f"w{k}" for k in range(60)]
+    left = substring._same_words(" ".join(own).encode(), *zip(*[(m.start(), m.end()) for m in re.finditer(r"\S+", " ".join(own))]), 0, 11, [b" " + " ".join(own[5:60]).encode() + b" "], 50)
+    assert left == [(k, 1) for k in range(5, 11)]
+
+
+def test_op4_learns_every_language(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(200):
+        syllables = [letters[k % 26] + letters[(k // 26 + j * 3) % 26] + letters[(k * 7 + j * 5) % 26] for j in range(4)]
+        rows += [(1000 * k + j, " ".join((syllables[(i * (j + 1)) % 4] + syllables[(i + j) % 4]) for i in range(30)), f"l{k:03d}", "s", 1) for j in range(2)]
+    docs = cases.table(spark, rows)
+    model = language.train(docs)
+    found = language.predict(docs, model, ["doc_id", "lang"]).collect()
+    assert len(model.langs) == 200 and np.mean([r["lang"] == r["lang_pred"] for r in found]) > 0.97
+    # by hand, of some documents, over all 200 at once
+    names, matrix, prior = zip(*model.blocks())
+    names, matrix, prior = [x for n in names for x in n], np.concatenate(matrix).astype(float), np.concatenate(prior)
+    of = {r["doc_id"]: r for r in found}
+    for i, text, *_ in rows[::37]:
+        raw = text.encode()
+        grams, _, _ = language.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        total = prior + sum(matrix[:, g].sum(axis=1) for g in grams)
+        p = np.exp(total - total.max())
+        assert of[i]["lang_pred"] == names[int(total.argmax())] and of[i]["score"] == pytest.approx(p.max() / p.sum(), rel=1e-5)
+
+
+def test_op6_judges_every_row(spark):
+    item = " ".join(f"q{k}" for k in range(13))
+    docs = cases.table(spark, [(1, item + " and", "en", "s", 1)] * 3 + [(1, "other", "en", "s", 1), (None, item, "en", "s", 1), (None, item, "en", "s", 1)])
+    found = decontaminate.hits(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"]) for r in found) == [(0, 13, 13)] * 2 + [(1, 1, 0)] + [(1, 14, 13)] * 3
