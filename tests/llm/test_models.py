@@ -25,13 +25,59 @@ def test_quantiles_are_close(spark):
         assert found[k, "v"]["q"] == pytest.approx(exact, rel=0.011) and found[k, "v"]["total"] == 1000 and found[k, "z"]["q"] == 0.0
 
 
-def test_kneser_ney_sums_to_one(spark):
-    texts = spark.createDataFrame([(cases.text(k) + ". " + cases.text(k + 3),) for k in range(12)], "text string")
-    p = np.exp(kneser_ney.train(texts).astype(float)).reshape(-1, kneser_ney.SYMBOLS)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
-    data = "abc abc".encode()
-    codes, begin = kneser_ney.codes(np.frombuffer(data * 2, np.uint8), np.array([0, 7, 14]))
-    assert begin.tolist() == [0, 8, 16] and codes[:8].tolist() == codes[8:].tolist() and codes[0] == 1 and codes[7] % kneser_ney.SYMBOLS == 0
+def kneser_ney_by_hand(texts):
+    """The interpolated modified Kneser-Ney probability of (context, symbol), from the definition, by dictionaries."""
+    grams = [Counter() for _ in range(5)]
+    for t in texts:
+        padded = ["^"] * 3 + list(t) + ["$"]
+        for i in range(3, len(padded)):
+            grams[4][tuple(padded[i - 3 : i + 1])] += 1
+    for k in (3, 2, 1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    discounts, totals, freed = {}, {}, {}
+    for k in range(1, 5):
+        n = [sum(c == j for c in grams[k].values()) for j in range(5)]
+        y = n[1] / (n[1] + 2 * n[2])
+        discounts[k] = [0.0, *(min(j, max(0, j - (j + 1) * y * n[j + 1] / n[j])) if n[j] else j / 2 for j in (1, 2, 3))]
+        totals[k], freed[k] = Counter(), Counter()
+        for g, c in grams[k].items():
+            totals[k][g[:-1]] += c
+            freed[k][g[:-1]] += discounts[k][min(c, 3)]
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / (len(grams[1]) + 1)
+        context = gram[:-1]
+        if not totals[k][context]:
+            return p(gram[1:])
+        c = grams[k][gram]
+        return (c - discounts[k][min(c, 3)]) / totals[k][context] + freed[k][context] / totals[k][context] * p(gram[1:])
+
+    return p, sorted({g[0] for g in grams[1]})
+
+
+def test_kneser_ney(spark):
+    texts = [cases.text(k, 30) + ". " + cases.text(k + 3, 20) for k in range(9)] + ["мама мыла раму", "日本語の日本"]
+    p, symbols = kneser_ney_by_hand(texts)
+    for context in (("^", "^", "^"), ("a", "l", "p"), ("м", "а", "м"), ("z", "z", "z")):
+        assert sum(p((*context, x)) for x in symbols) + p((*context, "unseen")) == pytest.approx(1)
+    docs = [*texts[:3], "alpha qqq Ω мама", "", None, "日本中", texts[0] * 40]
+    rows = spark.createDataFrame([(k, t, "en") for k, t in enumerate(docs)], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in kneser_ney.log_probabilities(rows, [kneser_ney.Model(spark.createDataFrame([(t,) for t in texts], "text string"))]).collect()}
+    for k, t in enumerate(docs):
+        padded = ["^"] * 3 + list(t or "") + ["$"]
+        total = sum(math.log(p(tuple(padded[i - 3 : i + 1]))) for i in range(3, len(padded)))
+        assert found[k]["n_symbols"] == len(padded) - 3 and found[k]["log_0"] == pytest.approx(total, rel=1e-9)
+
+
+def test_kneser_ney_beyond_the_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, cases.text(k), "en") for k in range(6)], "doc_id long, text string, lang string")
+    model = kneser_ney.Model(docs.where("doc_id < 4"))
+    wanted = {r["doc_id"]: r["log_0"] for r in kneser_ney.log_probabilities(docs, [model]).collect()}
+    monkeypatch.setattr(kneser_ney, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(kneser_ney, "HELD_GRAMS", 10)
+    assert {r["doc_id"]: r["log_0"] for r in kneser_ney.log_probabilities(docs, [model]).collect()} == pytest.approx(wanted)
 
 
 def test_op1_tells_quality(spark):

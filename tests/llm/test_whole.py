@@ -47,10 +47,13 @@ def test_op1_thresholds_are_of_all_trusted(spark):
     docs = [(k, cases.text(k) if k % 3 else cases.text(k).upper() + " 12 " * (k % 11), "en" if k % 3 else "xx", "s", 1) for k in range(240)]
     labels = spark.createDataFrame([(k, 1, 0) for k in range(240)], "doc_id long, quality int, toxic int")
     found = kneser_ney.classify(cases.table(spark, docs), labels, trusted=60).collect()
+    quantile = lambda x: sorted(x)[math.ceil(0.995 * len(x)) - 1]
+    whole = quantile([r["perplexity"] for r in found])
     for lang in ("en", "xx"):
-        own = sorted(r["perplexity"] for r in found if r["lang"] == lang)
+        own = [r["perplexity"] for r in found if r["lang"] == lang]
         (threshold,) = {r["threshold"] for r in found if r["lang"] == lang}
-        assert threshold == pytest.approx(own[math.ceil(0.995 * len(own)) - 1], rel=0.011)
+        share = len(own) / (len(own) + kneser_ney.BLEND)
+        assert threshold == pytest.approx(quantile(own) ** share * whole ** (1 - share), rel=0.011)
 
 
 def test_op1_tells_letters_beyond_ascii():
@@ -58,12 +61,12 @@ def test_op1_tells_letters_beyond_ascii():
     seen = set()
     for w in words:
         raw = np.frombuffer(w.encode(), np.uint8)
-        codes, begin = kneser_ney.codes(raw, np.array([0, len(raw)]))
-        assert begin.tolist() == [0, len(w) + 1]
-        seen.add(tuple(codes.tolist()))
+        context, symbol, begin = kneser_ney.grams(raw, np.array([0, len(raw)]))
+        assert begin.tolist() == [0, len(w) + 1] and symbol.tolist() == [*(ord(c) + 1 for c in w), 0]
+        seen.add(tuple(context.tolist()))
     assert len(seen) == len(words)
     bad = b"ab\xffc\x82" + "é".encode()
-    codes, begin = kneser_ney.codes(np.frombuffer(bad, np.uint8), np.array([0, 5, 7]))
+    _, _, begin = kneser_ney.grams(np.frombuffer(bad, np.uint8), np.array([0, 5, 7]))
     assert begin.tolist() == [0, 6, 8]
 
 
