@@ -36,7 +36,7 @@ COMMON = 1 << 17
 #: Parts, in hundredths of a hash, of the training documents that the rounds take: each document is in one round.
 ROUNDS = ((0, 2), (2, 8), (8, 32), (32, 100))
 #: Tokens of a shard, and the most tasks that shards are dealt to.
-SHARD_TOKENS, MOST_TASKS = 1_000_000, 20_000
+SHARD_TOKENS, MOST_TASKS = 2_000_000, 20_000
 #: Streams trained side by side, and steps of a window.
 STREAMS, WINDOW = 512, 24
 RATE = 0.12
@@ -482,16 +482,28 @@ def _train_task(sent):
     return run
 
 
+#: Shards whose parameters one task adds up; more are added up in several levels.
+FAN_IN = 256
+
+
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weighted means of each part, one row at a time in the order of the shards: memory does not grow with these."""
-    sums: dict[int, list] = {}
+    """Weighted means of FAN_IN shards each, of rows sorted by part and shard: one row at a time."""
+    now, n, total = None, 0, 0.0
+
+    def done():
+        cols = [pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int64()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["part", "shard", "n", "value"])
+
     for batch in batches:
-        for part, n, value in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-            s = sums.setdefault(part, [0, 0.0])
-            s[0] += n
-            s[1] = s[1] + n * np.frombuffer(value.as_py(), np.float32).astype(np.float64)
-    for part, (n, total) in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["part", "value"])
+        for part, shard, m, value in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+            if (part, shard // FAN_IN) != now:
+                if now:
+                    yield done()
+                now, n, total = (part, shard // FAN_IN), 0, 0.0
+            n += m
+            total = total + m * np.frombuffer(value.as_py(), np.float32).astype(np.float64)
+    if now:
+        yield done()
 
 
 def _round(docs: DataFrame, v: Vocabulary, flat: np.ndarray, low: int, high: int) -> np.ndarray:
@@ -504,8 +516,13 @@ def _round(docs: DataFrame, v: Vocabulary, flat: np.ndarray, low: int, high: int
     tasks = min(shards, MOST_TASKS)
     ordered = dealt.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "h").select("shard", "text")
     sent = docs.sparkSession.sparkContext.broadcast((v, flat))
-    trained = ordered.mapInArrow(lean(_train_task(sent)), "part int, shard long, n long, value binary")
-    means = trained.repartition("part").sortWithinPartitions("part", "shard").mapInArrow(lean(_average), "part int, value binary")
+    kind = "part int, shard long, n long, value binary"
+    means = ordered.mapInArrow(lean(_train_task(sent)), kind)
+    while True:
+        means = means.repartition("part", F.floor(F.col("shard") / FAN_IN)).sortWithinPartitions("part", "shard").mapInArrow(lean(_average), kind)
+        if shards <= FAN_IN:
+            break
+        shards = -(-shards // FAN_IN)
     found = written(means, "gru-parameters")
     pieces = [np.frombuffer(r["value"], np.float32) for r in found.orderBy("part").collect()]  # PARTS rows
     discard(found)

@@ -352,17 +352,17 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, with_text: bool = T
 
     sent = by_chunk(keyed.select("chunk", "text")).applyInArrow(lean_group(_send_probes(parts, block)), _ddl(_PROBES))
     answers = written(by_bucket(sent).applyInArrow(lean_group(_find_hits), _ddl(_ANSWERS)), "substring-hits")
-    marked = written(by_chunk(keyed).cogroup(by_chunk(answers)).applyInArrow(lean_cogroup(_mark(parts, block, window)), _ddl(_MARKED)), "substring-marked", "chunk", parts)
+    marked = written(by_chunk(keyed).cogroup(by_chunk(answers)).applyInArrow(lean_cogroup(_mark(parts, block, window)), _ddl(_MARKED)), "substring-marked")
     discard(answers)
 
     held = marked.where("starts is not null")
-    windows = held.groupBy("chunk").applyInArrow(lean_group(_send_windows(parts, window)), _ddl(_WINDOWS))
+    windows = by_chunk(held).applyInArrow(lean_group(_send_windows(parts, window)), _ddl(_WINDOWS))
     sources = by_bucket(windows).applyInArrow(lean_group(_find_sources), _ddl(_SOURCES))
-    repeats = written(held.groupBy("chunk").cogroup(sources.groupBy("chunk")).applyInArrow(lean_cogroup(_find_repeats(window)), _ddl(_REPEATS)), "substring-repeats", "chunk", parts)
+    repeats = written(by_chunk(held).cogroup(by_chunk(sources)).applyInArrow(lean_cogroup(_find_repeats(window)), _ddl(_REPEATS)), "substring-repeats")
     wanted = repeats.select("chunk", "source", "part").mapInArrow(lean(_wanted), "chunk int, source long, part long").distinct()
     texts = held.select(F.col("doc_id").alias("source"), F.col("th").bitwiseAND(F.lit(0xFFFFFFFF)).alias("part"), "text").dropDuplicates(["source", "part", "text"])
     fetched = texts.join(wanted, ["source", "part"]).select("chunk", "source", "part", "text")
-    cut = repeats.groupBy("chunk").cogroup(fetched.groupBy("chunk")).applyInArrow(lean_cogroup(_remove(window, with_text)), _RESULT)
+    cut = by_chunk(repeats).cogroup(by_chunk(fetched)).applyInArrow(lean_cogroup(_remove(window, with_text)), _RESULT)
     whole = marked.where("starts is null").select("doc_id", "th", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("binary").alias("kept"))
     out = written(cut.union(whole), "substring-result")
     discard(repeats)

@@ -525,13 +525,13 @@ def repeated_bytes(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     sent = by_chunk(keyed.select("chunk", "text")).applyInArrow(lean_group(_send_anchors(buckets)), _ddl(_PROBES))
     answers = written(by_bucket(sent).applyInArrow(lean_group(_find_repeats), _ddl(_ANSWERS)), "suffix-anchors")
-    marked = written(by_chunk(keyed).cogroup(by_chunk(answers)).applyInArrow(lean_cogroup(_mark(buckets)), _ddl(_MARKED)), "suffix-marked", "chunk", parts)
+    marked = written(by_chunk(keyed).cogroup(by_chunk(answers)).applyInArrow(lean_cogroup(_mark(buckets)), _ddl(_MARKED)), "suffix-marked")
     discard(answers)
 
     held = marked.where("snippets is not null")
-    snippets = held.groupBy("chunk").applyInArrow(lean_group(_send_snippets), _ddl(_SNIPPETS))
+    snippets = by_chunk(held).applyInArrow(lean_group(_send_snippets), _ddl(_SNIPPETS))
     sources = by_bucket(snippets).applyInArrow(lean_group(_sort_bucket), _ddl(_SOURCES))
-    cut = held.groupBy("chunk").cogroup(sources.groupBy("chunk")).applyInArrow(lean_cogroup(_remove(with_text)), _RESULT)
+    cut = by_chunk(held).cogroup(by_chunk(sources)).applyInArrow(lean_cogroup(_remove(with_text)), _RESULT)
     zero = F.lit(0).cast("long")
     whole = marked.where("snippets is null").select("doc_id", "th", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256", F.lit(None).cast("binary").alias("kept"))
     out = written(cut.union(whole), "suffix-result")
