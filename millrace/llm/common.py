@@ -51,7 +51,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(clean, "false")
     spark.conf.set(clean, "true")  # the rows are in the table now: this job's shuffle files go when it ends
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
     finally:
         spark.conf.set(clean, before)
     back = spark.read.schema(df.schema).parquet(path)

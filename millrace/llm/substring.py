@@ -357,8 +357,9 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, with_text: bool = T
 
     held = marked.where("starts is not null")
     windows = by_chunk(held).applyInArrow(lean_group(_send_windows(parts, window)), _ddl(_WINDOWS))
-    sources = by_bucket(windows).applyInArrow(lean_group(_find_sources), _ddl(_SOURCES))
+    sources = written(by_bucket(windows).applyInArrow(lean_group(_find_sources), _ddl(_SOURCES)), "substring-sources")
     repeats = written(by_chunk(held).cogroup(by_chunk(sources)).applyInArrow(lean_cogroup(_find_repeats(window)), _ddl(_REPEATS)), "substring-repeats")
+    discard(sources)
     wanted = repeats.select("chunk", "source", "part").mapInArrow(lean(_wanted), "chunk int, source long, part long").distinct()
     texts = held.select(F.col("doc_id").alias("source"), F.col("th").bitwiseAND(F.lit(0xFFFFFFFF)).alias("part"), "text").dropDuplicates(["source", "part", "text"])
     fetched = texts.join(wanted, ["source", "part"]).select("chunk", "source", "part", "text")

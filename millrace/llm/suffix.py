@@ -530,11 +530,12 @@ def repeated_bytes(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     held = marked.where("snippets is not null")
     snippets = by_chunk(held).applyInArrow(lean_group(_send_snippets), _ddl(_SNIPPETS))
-    sources = by_bucket(snippets).applyInArrow(lean_group(_sort_bucket), _ddl(_SOURCES))
+    sources = written(by_bucket(snippets).applyInArrow(lean_group(_sort_bucket), _ddl(_SOURCES)), "suffix-sources")
     cut = by_chunk(held).cogroup(by_chunk(sources)).applyInArrow(lean_cogroup(_remove(with_text)), _RESULT)
     zero = F.lit(0).cast("long")
     whole = marked.where("snippets is null").select("doc_id", "th", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256", F.lit(None).cast("binary").alias("kept"))
     out = written(cut.union(whole), "suffix-result")
+    discard(sources)
     discard(marked)
     return out
 
