@@ -21,7 +21,10 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def bounds_report(df: DataFrame) -> DataFrame:
-    """One row per column: low and high of numbers, or the longest text and how many have that length. One scan."""
+    """One row per column: low and high of numbers, or the longest text and how many have that length.
+
+    Numbers and longest texts take one scan; the counts of the longest take a second one, as histograms of lengths.
+    """
     parts = []
     for f in df.schema:
         if isinstance(f.dataType, T.NumericType):

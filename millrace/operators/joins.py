@@ -39,10 +39,10 @@ def lookup(left: DataFrame, right: DataFrame, left_key: str | Column, right_key:
     return left.join(one, key == F.col("__key"), "left").drop("__key")
 
 
-def lookup_fallback(left: DataFrame, right: DataFrame, left_key: str, first_key: str, second_key: str, column: str, name: str, order: Sequence[str]) -> DataFrame:
-    """By the first key, else by the second."""
+def lookup_fallback(left: DataFrame, right: DataFrame, left_key: str, first_key: str, second_key: str, column: str, name: str, order: Sequence[str], second_left_key: str | None = None) -> DataFrame:
+    """By the first key, else by the second (and ``second_left_key``, if that is another column of the left)."""
     a = lookup(left, right, left_key, first_key, {column: "__a"}, order)
-    b = lookup(a, right, left_key, second_key, {column: "__b"}, order)
+    b = lookup(a, right, second_left_key or left_key, second_key, {column: "__b"}, order)
     return b.withColumn(name, F.coalesce("__a", "__b")).drop("__a", "__b")
 
 
@@ -102,10 +102,14 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell
 
     Each round looks in the three by three cells around the points still open, with cells twice as large as before;
     a find within one cell's size is final, as nothing outside can be nearer. Rounds are checkpointed and end when no
-    point is open, or when a cell spans both layers (a lone point has no neighbour and no row).
+    point is open, or when a cell spans both layers (a lone point has no neighbour and no row). Points with a null, NaN
+    or infinite coordinate are nowhere: they have no row and are no one's neighbour.
     """
-    r = right.select(F.col(right_id).alias("__r"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    open_ = checkpointed(left.select(F.col(left_id).alias("__l"), "x", "y"))
+    somewhere = F.lit(True)
+    for name in ("x", "y"):
+        somewhere &= F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double")) & (F.abs(F.col(name).cast("double")) < float("inf"))
+    r = right.where(somewhere).select(F.col(right_id).alias("__r"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    open_ = checkpointed(left.where(somewhere).select(F.col(left_id).alias("__l"), "x", "y"))
     ends = open_.select("x", "y").union(r.select("x2", "y2")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
     extent = max((e for e in ends if e is not None), default=0.0)
     done, size = None, cell

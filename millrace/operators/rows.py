@@ -62,7 +62,8 @@ def thin(points: Column, distance: float, euclid: bool = False) -> Column:
 def unique_first(df: DataFrame, column: str, order: Sequence[str | Column], last: bool = False) -> DataFrame:
     """The first row of each value (or the last), by an explicit order.
 
-    One aggregation with partial results instead of a sort of every group: the row travels as a struct.
+    One aggregation with partial results: a task sends one row per value, which travels as a struct. Spark sorts by
+    the value for it (a struct is no fixed-width buffer), but never a group by its order, and no group is held whole.
     """
     pick = F.max_by if last else F.min_by
     row = pick(F.struct(*[F.col(c) for c in df.columns]), F.struct(*[F.col(o) if isinstance(o, str) else o for o in order]))

@@ -5,6 +5,7 @@ Derived decimals are rounded on both sides: six places, sums two.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,7 +17,8 @@ from millrace.functions import scalars as S
 from millrace.operators import aggregates as A
 from millrace.operators import changes, columns, joins, rows, sequences, serving, shapes
 from millrace.plans.standins import addresses, points, sql, table, tickets, tracks, triangles
-from millrace.sources import feeds, generate
+from millrace.plans.session import shared_folder
+from millrace.sources import blockfile, delimited, feeds, files, generate, shapefile, writers
 from millrace.streaming import operators as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -261,14 +263,14 @@ def color_from_cost(spark, d):
 
 @query(
     """, own as (select row_id, grp, row_number() over (partition by grp order by row_id) - 1 i, count(*) over (partition by grp) n from points),
-  ser as (select grp, row_number() over (partition by grp order by row_id) - 1 j, count(*) over (partition by grp) m, abs(x) red from points where row_id % 3 = 0),
+  ser as (select c_nationkey % 10 grp, row_number() over (partition by c_nationkey % 10 order by c_custkey) - 1 j, count(*) over (partition by c_nationkey % 10) m, abs(c_acctbal) / 10000 red from customer),
   siz as (select distinct grp, m from ser)
   select own.row_id, round(ser.red, 6) red from own left join siz using (grp) left join ser on ser.grp = own.grp and ser.j = own.i * siz.m // own.n""",
     "points",
 )
 def color_from_series(spark, d):
     p = points(spark, d)
-    series = p.where("row_id % 3 = 0").select("grp", "row_id", F.abs("x").alias("red"), F.lit(0.0).alias("green"), F.lit(0.0).alias("blue"), F.lit(1.0).alias("alpha"))
+    series = table(spark, d, "customer").select((F.col("c_nationkey") % 10).alias("grp"), F.col("c_custkey").alias("row_id"), (F.abs("c_acctbal") / 10000).alias("red"), F.lit(0.0).alias("green"), F.lit(0.0).alias("blue"), F.lit(1.0).alias("alpha"))
     return columns.colour_from_series(p.select("grp", "row_id"), series, "grp", "row_id").select("row_id", _r("red").alias("red"))
 
 
@@ -376,15 +378,14 @@ def lookup_first_wins(spark, d):
 def lookup_fallback(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("Customer#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("name"), F.col("s_nationkey").cast("string").alias("nation"))
     c = table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_nationkey").cast("string").alias("nation_key"))
-    a = joins.lookup(c, s, "c_name", "name", {"s_suppkey": "a"}, ["s_suppkey"])
-    b = joins.lookup(a, s, "nation_key", "nation", {"s_suppkey": "b"}, ["s_suppkey"])
-    return b.select("c_custkey", F.coalesce("a", "b", F.lit(-1)).alias("supplier"))
+    found = joins.lookup_fallback(c, s, "c_name", "name", "nation", "s_suppkey", "supplier", ["s_suppkey"], second_left_key="nation_key")
+    return found.select("c_custkey", F.coalesce("supplier", F.lit(-1)).alias("supplier"))
 
 
-@query("select id, address_id from tickets where address_id < 40 union all select t.id, b.id from tickets t join addresses a on t.address_id = a.id join addresses b on a.street_id = b.street_id and a.side = b.side and a.id <> b.id where t.address_id < 40 and a.id < 60 and b.id < 60", "tickets", "addresses")
+@query("select id, address_id from tickets union all select t.id, b.id from tickets t join addresses a on t.address_id = a.id join addresses b on a.street_id = b.street_id and a.side = b.side and floor(a.numeric_address / 500) = floor(b.numeric_address / 500) and a.id <> b.id", "tickets", "addresses")
 def self_dup_join(spark, d):
-    a = addresses(spark, d).where("id < 60").withColumn("shared", F.struct("street_id", "side"))
-    return joins.duplicate_for_shared_key(tickets(spark, d).where("address_id < 40").select("id", "address_id"), a, "id", "shared", "address_id")
+    a = addresses(spark, d).withColumn("shared", F.struct("street_id", "side", F.floor(F.col("numeric_address") / 500).alias("lot")))
+    return joins.duplicate_for_shared_key(tickets(spark, d).select("id", "address_id"), a, "id", "shared", "address_id")
 
 
 _BARY = """select p.row_id, count(t.polygon_id) hits, coalesce({pick}(t.polygon_id), -1) hit from points p left join triangles t
@@ -428,12 +429,12 @@ def nn_radius(spark, d):
 
 def _segments(spark, d):
     w = Window.partitionBy("grp").orderBy("row_id")
-    p = points(spark, d).where("row_id % 10 = 0")
+    p = points(spark, d)
     return p.select(F.col("row_id").alias("segment_id"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2")).where("x2 is not null")
 
 
 @query(
-    """, seg as (select * from (select row_id segment_id, x x1, y y1, lead(x) over w x2, lead(y) over w y2 from points where row_id % 10 = 0 window w as (partition by grp order by row_id)) where x2 is not null),
+    """, seg as (select * from (select row_id segment_id, x x1, y y1, lead(x) over w x2, lead(y) over w y2 from points window w as (partition by grp order by row_id)) where x2 is not null),
   near as (select p.row_id, p.x, p.y, segment_id, x1, y1, x2, y2, greatest(0.0, least(1.0, ((p.x - x1) * (x2 - x1) + (p.y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) t from points p, seg),
   gap as (select *, sqrt(pow(x - (x1 + t * (x2 - x1)), 2) + pow(y - (y1 + t * (y2 - y1)), 2)) d from near),
   best as (select * from (select *, row_number() over (partition by row_id order by d, segment_id) rn from gap where d <= 0.05) where rn = 1)
@@ -448,10 +449,18 @@ def snap_to_segment(spark, d):
 SQL["snap_to_segment"] = SQL["snap_to_segment"].replace(") , seg", "), seg")
 
 
-@query()
+@query(
+    """, c as (select grp line, row_id seq, x x1, y y1, lead(x) over w x2, lead(y) over w y2, coalesce(sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2)), 0.0) step from points window w as (partition by grp order by row_id)),
+  seg as (select *, sum(step) over (partition by line order by seq) begin from c),
+  near as (select p.row_id, p.x, p.y, line, seq, begin, x1, y1, x2, y2, greatest(0.0, least(1.0, ((p.x - x1) * (x2 - x1) + (p.y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) t from points p, seg where x2 is not null),
+  gap as (select *, x1 + t * (x2 - x1) fx, y1 + t * (y2 - y1) fy, sqrt(pow(x - (x1 + t * (x2 - x1)), 2) + pow(y - (y1 + t * (y2 - y1)), 2)) d from near),
+  best as (select * from (select *, row_number() over (partition by row_id order by d, line, seq) rn from gap where d <= 0.05) where rn = 1)
+  select row_id, line, round(d, 6) distance, round(begin + sqrt(pow(fx - x1, 2) + pow(fy - y1, 2)), 6) along from best""",
+    "points",
+)
 def align_to_lines(spark, d):
     p = points(spark, d)
-    lines = p.where("row_id % 10 = 0").select(F.col("grp").alias("line"), F.col("row_id").alias("seq"), "x", "y")
+    lines = p.select(F.col("grp").alias("line"), F.col("row_id").alias("seq"), "x", "y")
     return joins.align_to_lines(p.select("row_id", "x", "y"), lines, "row_id", 0.05, 0.05).select("row_id", "line", _r("distance").alias("distance"), _r("along").alias("along"))
 
 
@@ -633,7 +642,7 @@ def reverse_ring(spark, d):
     return sequences.orient(t, ["shape_row_id"], "seq", "reverse").select("event_id", "seq")
 
 
-@query()
+@query("select n_regionkey street, n_nationkey node, cast(row_number() over w - 1 as int) step, cast(row_number() over w - 1 as double) along from nation window w as (partition by n_regionkey order by n_nationkey)")
 def chain_streets(spark, d):
     n = table(spark, d, "nation")
     w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
@@ -649,7 +658,7 @@ def simplify(spark, d):
     return shapes.simplify(tracks(spark, d), ["shape_row_id"], "x", 5.0).select("shape_row_id", "event_id")
 
 
-@query()
+@query("select grp, row_id seq from points", "points")
 def loop_overlap(spark, d):
     p = points(spark, d).select("grp", F.col("row_id").alias("seq"), "x", "y")
     first = p.groupBy("grp").agg(F.min(F.struct("seq", "x", "y")).alias("f"), F.max("seq").alias("m")).select("grp", (F.col("m") + 1).alias("seq"), "f.x", "f.y")
@@ -674,26 +683,52 @@ def tessellate(spark, d):
     return corners.groupBy("grp").agg(_r(F.sum(F.abs(twice)) / 2).alias("area"))
 
 
-@query()
+def _area(df, *keys):
+    """The area of rings and holes: half the sum of their signed cross products, closed."""
+    w = Window.partitionBy(*keys, "part").orderBy("seq")
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nx, ny = (F.coalesce(F.lead(c).over(w), F.first(c).over(every)) for c in ("x", "y"))
+    return df.withColumn("c", F.col("x") * ny - nx * F.col("y")).groupBy(*keys).agg(F.abs(F.sum("c") / 2).alias("area"))
+
+
+_BOX = [(-0.1, -0.1), (0.1, -0.1), (0.1, 0.1), (-0.1, 0.1)]
+
+
+@query(_RING_AREA + " select grp, round(abs(sum(x * ny - nx * y)) / 2, 5) whole, round(abs(sum(x * ny - nx * y)) / 2 + 0.04, 5) both_together, 0.04::double of_box from n group by 1", "points")
 def clip_shapes(spark, d):
-    return shapes.clip(_rings(spark, d), "grp", "seq", [(-0.1, -0.1), (0.1, -0.1), (0.1, 0.1), (-0.1, 0.1)]).select("grp", "part", "seq", _r("x").alias("x"), _r("y").alias("y"))
+    """All four set operations by what their areas must add up to: the shape, the shape and the box, the box."""
+    rings = _rings(spark, d)
+    found = {op: _area(shapes.clip(rings, "grp", "seq", _BOX, op), "grp").withColumnRenamed("area", op.replace("-", "_")) for op in ("intersection", "union", "difference", "exclusive-or")}
+    joined = rings.select("grp").distinct()
+    for f in found.values():
+        joined = joined.join(f, "grp", "left")
+    part = lambda c: F.coalesce(c, F.lit(0.0))
+    return joined.select("grp", _r(part("intersection") + part("difference"), 5).alias("whole"), _r(part("union") + part("intersection"), 5).alias("both_together"), _r(part("exclusive_or") - part("difference") + part("intersection"), 5).alias("of_box"))
 
 
-@query()
+@query(_RING_AREA + " select grp, round(abs(sum(x * ny - nx * y)) / 2, 6) area from n group by 1", "points")
 def dissolve_shapes(spark, d):
+    """The triangles of a ring, put together again, have its area."""
     t = shapes.tessellate(_rings(spark, d), "grp", "part", "seq")
-    return shapes.dissolve(t, ["grp"], "triangle", "corner")
+    return _area(shapes.dissolve(t, ["grp"], "triangle", "corner"), "grp").withColumn("area", _r("area"))
 
 
-@query()
+@query("select grp, count(*) cells, 4.0::double area from (select distinct grp, x, y from points) group by 1", "points")
 def voronoi_cells(spark, d):
-    return shapes.voronoi(points(spark, d).where("row_id % 5 = 0"), "grp", "row_id", (-1.0, -1.0, 1.0, 1.0))
+    """The cells of a group's points part the box: as many as points, with its area in all."""
+    cells = shapes.voronoi(points(spark, d), "grp", "row_id", (-1.0, -1.0, 1.0, 1.0)).withColumn("part", F.lit(0))
+    return _area(cells, "grp", "row_id").groupBy("grp").agg(F.count("*").alias("cells"), _r(F.sum("area"), 5).alias("area"))
 
 
-@query()
+@query(
+    """with v as (select vec_id, unnest(range(len(embedding))) k, cast(unnest(embedding) as double) v, len(embedding) n from embeddings),
+  w as (select vec_id, k - s * 16 i, v, s from v, (select unnest(range(1000)) s) where k >= s * 16 and k < s * 16 + 32 and s <= (greatest(0, n - 32)) // 16),
+  f as (select vec_id, s, h, pow(sum(v * cos(2 * pi() * h * i / 32)), 2) + pow(sum(v * sin(2 * pi() * h * i / 32)), 2) p from w, (select unnest(range(17)) h) group by 1, 2, 3)
+  select vec_id, cast(s as int) as window, round(sum(p) filter (h < 4) / sum(p) filter (h >= 4), 4) ratio from f group by 1, 2"""
+)
 def fft_ratio(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v"))
-    return shapes.fft_share(e, "vec_id", "k", "v", 32, 4).withColumn("ratio", _r("ratio"))
+    return shapes.fft_share(e, "vec_id", "k", "v", 32, 4).withColumn("ratio", _r("ratio", 4))
 
 
 @query("select row_id, x, y from points where grp = 1 union all select row_id, x + dx, y + dy from points, (select case when bx - ax <= by_ - ay then bx - cx else 0 end dx, case when bx - ax <= by_ - ay then 0 else by_ - cy end dy from (select min(x) ax, max(x) bx, min(y) ay, max(y) by_ from points where grp = 1), (select min(x) cx, min(y) cy from points where grp = 2)) where grp = 2".replace("select row_id, x, y from points where grp = 1", "select row_id, round(x, 6) x, round(y, 6) y from points where grp = 1").replace("select row_id, x + dx, y + dy", "select row_id, round(x + dx, 6), round(y + dy, 6)"), "points")
@@ -732,13 +767,28 @@ def near_service(spark, d):
     return serving.near(points(spark, d), -0.01, 0.02, 9.0).select("row_id", "x", "y")
 
 
-@query()
+def _side_sql(name, rank, turn):
+    total, meter = f"num_{name}_tickets", f"num_{name}_meter_tickets"
+    risk = lambda h, n: f"case when {meter} > 0 then least(1.0, {meter}_within_{h}h * {n}.0::double) else 0.0::double end"
+    return f"""select id, '{name.upper()}' side, {rank} as rank, {total} total, {meter} total_meter, {risk(1, 336)} risk_1h, {risk(3, 112)} risk_3h, greatest(0.5::double, {risk(6, 56)}) risk_6h,
+  id / 10000.0::double + cos(0.5{turn}) * 0.0002 / 2 mx, numeric_address / 10000.0::double + sin(0.5{turn}) * 0.0002 / 2 my, cos(0.5 + pi() / 2) * 0.0001 * 0.8 rx, sin(0.5 + pi() / 2) * 0.0001 * 0.8 ry from totals"""
+
+
+@query(f"with totals as ({SQL['ticket_totals']}), sides as ({_side_sql('op', 0, ' + pi()')} union all {_side_sql('at', 1, '')}) select id, side, rank, total, total_meter, risk_1h, risk_3h, risk_6h, round(mx + rx, 6) x1, round(my + ry, 6) y1, round(mx - rx, 6) x2, round(my - ry, 6) y2 from sides where total > 5 or total_meter > 5")
 def near_sides(spark, d):
     t = ticket_totals(spark, d).withColumns({"x": F.col("id") / 1e4, "y": F.col("numeric_address") / 1e4, "angle": F.lit(0.5), "road_width": F.lit(0.0002), "radius": F.lit(0.0001)})
     return serving.side_rows(t, least=5).withColumns({c: _r(c) for c in ("x1", "y1", "x2", "y2")})
 
 
-@query()
+@query(
+    _SLOTS
+    + """, a as (select p.*, substr(p.half_hourly || coalesce(q.half_hourly, repeat(' ', 48)), 21, 6) ahead from p left join p q on q.geo_id = p.geo_id and q.is_opp = p.is_opp and q.infraction_code = p.infraction_code and q.wday = (p.wday + 1) % 7),
+  n as (select geo_id, tickets_all_day, list_transform(range(1, 7), lambda i: ascii(substr(ahead, i, 1)) - 32) c from a where wday = 2 and is_opp = 1 and infraction_code in (5, 9, 29))
+  select geo_id, """
+    + ", ".join(f"round(least(1.0, sum(list_sum(c[1:{2 * k}])) * {48 / (2 * k)}::double / sum(tickets_all_day)), 6) risk_{k}h" for k in (1, 2, 3))
+    + " from n group by 1",
+    "tickets",
+)
 def line_risk(spark, d):
     h = _hist(spark, d).withColumn("half_hourly", A.as_printable(F.col("slots"))).drop("slots")
     both = A.with_tomorrow(h, ["geo_id", "is_opp", "infraction_code"]).where("wday = 2 and is_opp = 1")
@@ -790,3 +840,106 @@ def recent_events(spark, d):
 )
 def stream_trips(spark, d):
     return stream.drained(spark, stream.trips(_event_stream(spark, d), "user_id", "ts", "value"), "append").select("vehicle", "trip", "n")
+
+
+# Sources and sinks: tables written by the engine's writers to the shared folder, and read back by its readers
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/round-trip-{uuid.uuid4().hex}"
+
+
+@query("select c_custkey, c_name, round(c_acctbal, 2) c_acctbal, c_mktsegment || ', \"' || c_nationkey || '\"' note from customer")
+def csv_round_trip(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"), F.concat("c_mktsegment", F.lit(', "'), F.col("c_nationkey").cast("string"), F.lit('"')).alias("note"))
+    path = f"{_folder(spark)}.csv"
+    writers.write_csv(c, path, order=["c_custkey"])
+    back = delimited.read_delimited(spark, path)
+    return back.select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", _r(F.col("c_acctbal").cast("double"), 2).alias("c_acctbal"), "note")
+
+
+@query("select c_custkey, c_name, c_nationkey from customer")
+def json_round_trip(spark, d):
+    path = _folder(spark)
+    writers.write_json(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"), path)
+    return spark.read.schema("c_custkey long, c_name string, c_nationkey int").json(path).select("c_custkey", "c_name", "c_nationkey")
+
+
+@query("select grp, row_id, x, y from points", "points")
+def shapefile_round_trip(spark, d):
+    p = points(spark, d)
+    path = f"{_folder(spark)}.shp"
+    rows = p.select(F.col("grp").alias("shape_row_id"), F.lit(0).alias("shape_part_id"), F.col("row_id").alias("seq"), "x", "y", "grp")
+    shapefile.write_shapefile(rows, path, ["grp"], kind=shapefile.ARC)
+    back = shapefile.read_shapefile(spark, path)
+    w = Window.partitionBy("grp").orderBy("seq")
+    own = p.select(F.col("grp").alias("g"), "row_id", F.row_number().over(Window.partitionBy("grp").orderBy("row_id")).alias("k"))
+    met = back.withColumn("n", F.row_number().over(w)).join(own, (F.col("grp") == F.col("g")) & (F.col("n") == F.col("k")))
+    return met.select(F.col("g").alias("grp"), "row_id", _r("x").alias("x"), _r("y").alias("y"))
+
+
+@query("select cast(grp as varchar) name, count(*) n, round(sum(x), 3) sx, round(sum(y), 3) sy from points group by 1", "points")
+def kml_round_trip(spark, d):
+    path = f"{_folder(spark)}.kml"
+    rows = points(spark, d).select(F.col("grp").alias("shape_row_id"), F.lit(0).alias("shape_part_id"), F.col("row_id").alias("seq"), "x", "y", F.col("grp").cast("string").alias("name"))
+    writers.write_kml(rows, path, "name")
+    return files.read_kml(spark, path).groupBy("name").agg(F.count("*").alias("n"), _r(F.sum("x"), 3).alias("sx"), _r(F.sum("y"), 3).alias("sy"))
+
+
+@query("select c_custkey, c_name from customer")
+def sql_round_trip(spark, d):
+    """The rows of the INSERT statements, taken apart again."""
+    path = f"{_folder(spark)}.sql"
+    writers.write_sql(table(spark, d, "customer").select("c_custkey", "c_name"), path, "customers", drop=True)
+    rows = F.explode(F.regexp_extract_all("value", F.lit(r'\((\d+,"[^"]*")\)'), F.lit(1)))
+    parts = spark.read.text(path).where("value like 'INSERT INTO `customers`%'").select(rows.alias("r")).select(F.split("r", ",").alias("p"))
+    return parts.select(F.col("p")[0].cast("long").alias("c_custkey"), F.regexp_replace(F.col("p")[1], '"', "").alias("c_name"))
+
+
+@query("select n_nationkey, n_name from nation")
+def js_round_trip(spark, d):
+    """What stands after the assignment is JSON."""
+    path = f"{_folder(spark)}.js"
+    writers.write_js(table(spark, d, "nation").select("n_nationkey", "n_name"), path, "nations")
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.regexp_replace("value", r"^var nations = ", ""), r";\s*$", "").alias("v"))
+    found = text.select(F.from_json("v", "blocks array<struct<rows array<array<string>>>>").alias("j")).select(F.explode(F.col("j.blocks")[0]["rows"]).alias("r"))
+    return found.select(F.col("r")[0].cast("int").alias("n_nationkey"), F.col("r")[1].alias("n_name"))
+
+
+@query("select n_nationkey, n_name, n_regionkey from nation")
+def block_round_trip(spark, d):
+    path = _folder(spark).removeprefix("file:")
+    spark.dataSource.register(blockfile.BlockDataSource)
+    table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").write.format("block").mode("append").save(path)
+    return blockfile.read_blocks(spark, path).select("n_nationkey", "n_name", "n_regionkey")
+
+
+# Aggregates and joins that Spark gives as they are
+
+
+@query("select coalesce(n_regionkey, -1) n_regionkey, coalesce(n_nationkey, -1) n_nationkey, count(*) n, grouping(nation.n_regionkey) as region_of_all from supplier join nation on s_nationkey = n_nationkey group by rollup (nation.n_regionkey, nation.n_nationkey)")
+def rollup_counts(spark, d):
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return _shown(s.rollup("n_regionkey", "n_nationkey").agg(F.count("*").alias("n"), F.grouping("n_regionkey").cast("long").alias("region_of_all")), "n_regionkey", "n_nationkey")
+
+
+@query("select coalesce(n_regionkey, -1) n_regionkey, coalesce(s_nationkey, -1) s_nationkey, count(distinct s_suppkey) n from supplier join nation on s_nationkey = n_nationkey group by cube (nation.n_regionkey, supplier.s_nationkey)")
+def cube_distinct(spark, d):
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return _shown(s.cube("n_regionkey", "s_nationkey").agg(F.count_distinct("s_suppkey").alias("n")), "n_regionkey", "s_nationkey")
+
+
+@query("select coalesce(c_nationkey, s_nationkey) nation, coalesce(c, -1) c, coalesce(s, -1) s from (select c_nationkey, count(*) c from customer group by 1) full join (select s_nationkey, count(*) s from supplier where s_acctbal > 0 group by 1) on c_nationkey = s_nationkey")
+def full_outer(spark, d):
+    c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("c"))
+    s = table(spark, d, "supplier").where("s_acctbal > 0").groupBy("s_nationkey").agg(F.count("*").alias("s"))
+    return c.join(s, F.col("c_nationkey") == F.col("s_nationkey"), "full").select(F.coalesce("c_nationkey", "s_nationkey").alias("nation"), F.coalesce("c", F.lit(-1)).alias("c"), F.coalesce("s", F.lit(-1)).alias("s"))
+
+
+@query("select a.event_id, b.event_id next_id from events a join events b on a.user_id = b.user_id and b.ts > a.ts and b.ts <= a.ts + interval 1 hour")
+def interval_join(spark, d):
+    """Events of one user within the hour after another: an equi join with a range on what meets."""
+    e = table(spark, d, "events")
+    b = e.select(F.col("event_id").alias("next_id"), F.col("user_id").alias("u"), F.col("ts").alias("t"))
+    met = e.join(b, F.col("user_id") == F.col("u")).where((F.col("t") > F.col("ts")) & (F.col("t") <= F.col("ts") + F.expr("interval 1 hour")))
+    return met.select("event_id", "next_id")

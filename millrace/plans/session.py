@@ -18,16 +18,17 @@ def session(master: str | None = None, partitions: int | None = None) -> SparkSe
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` in the session's shared checkpoint folder; a default folder only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    """``df`` in the session's shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder."""
+    """The folder that driver and executors share: the session's checkpoint folder. Only a local master has a default."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(root or "/tmp/checkpoints")
     return context._jsc.sc().getCheckpointDir().get()

@@ -71,27 +71,22 @@ def sniff(sample: bytes) -> Shape:
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, read by Spark's parser (quotes, doubled quotes, quoted line breaks).
 
-    The first bytes are fetched through Spark, so any file system will do. Lines before the header are dropped by
-    their content, as a split of a large file does not know where it stands.
+    The first bytes are fetched through Spark, so any file system will do. The header and the lines before it are
+    dropped by their place in each file: a file with quoted line breaks is one split, whose rows are numbered in order.
     """
     sample = bytes(spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, SAMPLE_BYTES)).first()[0])
     shape = sniff(sample)
     if not shape.header:
         return spark.createDataFrame([], "column_0 string")
-    lines = [x for x in records(sample.decode(shape.encoding, "replace"))[: shape.before + 1]]
-    df = (
+    skip = sum(bool(x.strip()) for x in records(sample.decode(shape.encoding, "replace"))[: shape.before + 1])  # blank lines are no rows
+    rows = (
         spark.read.option("sep", shape.delimiter).option("quote", '"').option("escape", '"').option("multiLine", True).option("encoding", shape.encoding.removesuffix("-sig"))
         .schema(", ".join(f"`{n}` string" for n in shape.header)).csv(path)
     )
-    drop = F.lit(False)
-    for line in lines:
-        fields = (next(csv.reader(io.StringIO(line), delimiter=shape.delimiter), []) + [None] * len(shape.header))[: len(shape.header)]
-        same = F.lit(True)
-        for n, v in zip(shape.header, fields):
-            own = F.regexp_replace(F.col(f"`{n}`"), "^﻿", "")
-            same &= own.eqNullSafe(F.lit(v if v else None))
-        drop |= same
-    return df.where(~drop)
+    placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__at"))
+    first = placed.groupBy("__file").agg(F.min("__at").alias("__first")).withColumnRenamed("__file", "__of")  # a row per file
+    met = placed.join(first, F.col("__file") == F.col("__of")).where(F.col("__at") - F.col("__first") >= skip)
+    return met.select(*[F.col(f"`{n}`") for n in shape.header])
 
 
 def read_fast(spark: SparkSession, path: str) -> DataFrame:

@@ -22,23 +22,25 @@ from pyspark.sql import DataFrame, SparkSession
 RAMP = ((0.0, 0.2, 0.4, 0.7), (1.0, 0.3, 0.6, 0.3), (200.0, 0.6, 0.7, 0.4), (1000.0, 0.7, 0.6, 0.5), (3000.0, 1.0, 1.0, 1.0))
 
 
-def parsed(spark: SparkSession, path: str, parse: Callable[[bytes], Iterator[tuple]], schema: str) -> DataFrame:
-    """The rows that ``parse`` finds in each file, a task per group of files."""
+def parsed(spark: SparkSession, path: str, parse: Callable[[bytes], Iterator[tuple]], schema: str, file: str | None = None) -> DataFrame:
+    """The rows that ``parse`` finds in each file, a task per group of files; ``file`` names a column for the file's path."""
     names = [c.split()[0] for c in schema.split(", ")]
+    schema += f", {file} string" if file else ""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for content in frame["content"]:
+            for source, content in zip(frame["path"], frame["content"]):
+                named = lambda held: pd.DataFrame(held, columns=names).assign(**({file: source} if file else {}))  # noqa: B023, E731
                 held = []
                 for row in parse(bytes(content)):
                     held.append(row)
                     if len(held) >= 50_000:
-                        yield pd.DataFrame(held, columns=names)
+                        yield named(held)
                         held = []
                 if held:
-                    yield pd.DataFrame(held, columns=names)
+                    yield named(held)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
 
 
 # Elevation
@@ -69,7 +71,8 @@ def parse_dem(data: bytes) -> Iterator[tuple[int, int, float, float, float]]:
 
 
 def read_dem(spark: SparkSession, path: str) -> DataFrame:
-    return parsed(spark, path, parse_dem, "col int, row int, x double, y double, z double")
+    """A row per sample: col, row, x, y, z and the file it is of."""
+    return parsed(spark, path, parse_dem, "col int, row int, x double, y double, z double", "file")
 
 
 def elevation_colours(df: DataFrame, ramp=RAMP, water: float | None = None, shade: float = 0.5) -> DataFrame:
@@ -87,7 +90,8 @@ def elevation_colours(df: DataFrame, ramp=RAMP, water: float | None = None, shad
         out = F.when(z < ramp[0][0], float(ramp[0][k])).otherwise(out)
         return F.when(z <= water, float(ramp[0][k])).otherwise(out) if water is not None else out
 
-    by_row, by_col = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
+    own = ["file"] if "file" in df.columns else []  # the neighbours are of one model
+    by_row, by_col = Window.partitionBy(*own, "row").orderBy("col"), Window.partitionBy(*own, "col").orderBy("row")
     slope = F.coalesce(F.lead("z").over(by_row), z) - F.coalesce(F.lag("z").over(by_row), z) + F.coalesce(F.lead("z").over(by_col), z) - F.coalesce(F.lag("z").over(by_col), z)
     light = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - shade * F.atan(slope / 100) / (math.pi / 2)))
     lit = df.withColumn("__light", light)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator, Sequence
+from typing import IO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.writers import one_file
+
 # Fixed values of the format.
 POINT, ARC, POLYGON, MULTIPOINT = 1, 3, 5, 8
 KINDS = {POINT: "points", ARC: "line_strip", POLYGON: "line_loop", MULTIPOINT: "points"}
@@ -68,7 +71,7 @@ def read_shapefile(spark: SparkSession, path: str, columns: Sequence[str] | None
     applied while parsing. Records without geometry give no rows.
     """
     stem = path.rsplit(".", 1)[0]
-    load = lambda ext: spark.read.format("binaryFile").load(f"{stem}.{ext}").select("content")
+    load = lambda ext: spark.read.format("binaryFile").load(f"{stem}.{ext}").select(F.regexp_replace("path", r"\.[^./]*$", "").alias("stem"), "content")
     head = bytes(load("dbf").select(F.substring("content", 1, 1 << 16)).first()[0])
     fields, _ = read_dbf(head[:4] + struct.pack("<I", 0) + head[8:])
     wanted = [f for f in fields if columns is None or f[0] in columns]
@@ -100,58 +103,77 @@ def read_shapefile(spark: SparkSession, path: str, columns: Sequence[str] | None
                 if rows:
                     yield pd.DataFrame(rows, columns=[*_BASE, *[f[0] for f in wanted]])
 
-    both = load("shp").withColumnRenamed("content", "shp").join(load("dbf").withColumnRenamed("content", "dbf"))
-    return both.mapInPandas(run, schema)
+    both = load("shp").withColumnRenamed("content", "shp").join(load("dbf").withColumnRenamed("content", "dbf"), "stem")  # a pair of files each
+    return both.select("shp", "dbf").mapInPandas(run, schema)
 
 
 _BASE = ["shape_row_id", "shape_part_id", "shape_part_type", "seq", "x", "y"]
 
 
-def encode_shapefile(shapes: Sequence[tuple[Sequence[Sequence[tuple[float, float]]], Sequence]], fields: Sequence[tuple[str, str, int, int]], kind: int = POLYGON) -> dict[str, bytes]:
-    """The .shp, .shx and .dbf of shapes given as (parts, attribute values)."""
-    records, index, at = b"", b"", 50
-    every = [xy for parts, _ in shapes for part in parts for xy in part] or [(0.0, 0.0)]
-    box = (min(x for x, _ in every), min(y for _, y in every), max(x for x, _ in every), max(y for _, y in every))
-    for k, (parts, _) in enumerate(shapes, 1):
+class ShapeWriter:
+    """Writes the .shp, .shx and .dbf of shapes one after the other; the sizes and bounds in the heads are set at the end."""
+
+    def __init__(self, shp: IO[bytes], shx: IO[bytes], dbf: IO[bytes], fields: Sequence[tuple[str, str, int, int]], kind: int = POLYGON):
+        self.shp, self.shx, self.dbf, self.fields, self.kind = shp, shx, dbf, fields, kind
+        self.count, self.at, self.box = 0, 50, None
+        shp.write(self._head(50))
+        shx.write(self._head(50))
+        dbf.write(self._table())
+
+    def _head(self, words: int) -> bytes:
+        return struct.pack(">I5I", 9994, 0, 0, 0, 0, 0) + struct.pack(">I", words) + struct.pack("<2I4d4d", 1000, self.kind, *(self.box or (0.0,) * 4), 0, 0, 0, 0)
+
+    def _table(self) -> bytes:
+        out = struct.pack("<4BIHH20x", 3, 124, 1, 1, self.count, 33 + 32 * len(self.fields), 1 + sum(f[2] for f in self.fields))
+        for name, letter, size, decimals in self.fields:
+            out += name.encode("latin-1")[:10].ljust(11, b"\0") + letter.encode() + b"\0" * 4 + bytes([size, decimals]) + b"\0" * 14
+        return out + b"\x0d"
+
+    def add(self, parts: Sequence[Sequence[tuple[float, float]]], values: Sequence) -> None:
         xy = [p for part in parts for p in part]
-        if kind == POINT:
-            body = struct.pack("<I2d", kind, *xy[0])
+        own = (min(x for x, _ in xy), min(y for _, y in xy), max(x for x, _ in xy), max(y for _, y in xy))
+        self.box = own if self.box is None else (min(self.box[0], own[0]), min(self.box[1], own[1]), max(self.box[2], own[2]), max(self.box[3], own[3]))
+        if self.kind == POINT:
+            body = struct.pack("<I2d", self.kind, *xy[0])
         else:
-            own = (min(x for x, _ in xy), min(y for _, y in xy), max(x for x, _ in xy), max(y for _, y in xy))
             starts = [sum(len(p) for p in parts[:i]) for i in range(len(parts))]
-            body = struct.pack("<I4d2I", kind, *own, len(parts), len(xy)) + struct.pack(f"<{len(parts)}I", *starts) + struct.pack(f"<{2 * len(xy)}d", *[v for p in xy for v in p])
-        records += struct.pack(">2I", k, len(body) // 2) + body
-        index += struct.pack(">2I", at, len(body) // 2)
-        at += 4 + len(body) // 2
-    head = lambda n: struct.pack(">I5I", 9994, 0, 0, 0, 0, 0) + struct.pack(">I", 50 + n // 2) + struct.pack("<2I4d4d", 1000, kind, *box, 0, 0, 0, 0)
-    width = 1 + sum(f[2] for f in fields)
-    dbf = struct.pack("<4BIHH20x", 3, 124, 1, 1, len(shapes), 33 + 32 * len(fields), width)
-    for name, letter, size, decimals in fields:
-        dbf += name.encode("latin-1")[:10].ljust(11, b"\0") + letter.encode() + b"\0" * 4 + bytes([size, decimals]) + b"\0" * 14
-    dbf += b"\x0d"
-    for _, values in shapes:
-        dbf += b" "
-        for (_, letter, size, decimals), v in zip(fields, values):
+            body = struct.pack("<I4d2I", self.kind, *own, len(parts), len(xy)) + struct.pack(f"<{len(parts)}I", *starts) + struct.pack(f"<{2 * len(xy)}d", *[v for p in xy for v in p])
+        self.count += 1
+        self.shp.write(struct.pack(">2I", self.count, len(body) // 2) + body)
+        self.shx.write(struct.pack(">2I", self.at, len(body) // 2))
+        self.at += 4 + len(body) // 2
+        row = b" "
+        for (_, letter, size, decimals), v in zip(self.fields, values):
             text = "" if v is None else (f"{v:.{decimals}f}" if letter in "NF" and decimals else str(v))
-            dbf += (text.rjust(size) if letter in "NF" else text.ljust(size)).encode("latin-1", "replace")[:size]
-    return {"shp": head(len(records)) + records, "shx": head(len(index)) + index, "dbf": dbf + b"\x1a"}
+            row += (text.rjust(size) if letter in "NF" else text.ljust(size)).encode("latin-1", "replace")[:size]
+        self.dbf.write(row)
+
+    def close(self) -> None:
+        self.dbf.write(b"\x1a")
+        for out, head in ((self.shp, self._head(self.at)), (self.shx, self._head(50 + 4 * self.count)), (self.dbf, self._table())):
+            out.seek(0)
+            out.write(head)
 
 
 def write_shapefile(df: DataFrame, path: str, attributes: Sequence[str] = (), order: str = "seq", kind: int = POLYGON) -> None:
-    """One shapefile of the table's shapes. A shapefile is one file, so its vertices pass through the driver in turn."""
+    """One shapefile of the table's shapes. A shapefile is one file, so its shapes pass through the driver, one at a time."""
     fields, types = [], dict(df.dtypes)
     for a in attributes:
         fields.append((a, "N", 18, 0) if types[a] in ("int", "bigint") else (a, "N", 24, 8) if types[a] in ("double", "float") else (a, "C", 80, 0))
     keys = ["shape_row_id", "shape_part_id"]
-    shapes, now = [], None
-    for r in df.select(*keys, order, "x", "y", *attributes).orderBy(*keys, order).toLocalIterator():
-        if r["shape_row_id"] != now:
-            now, part = r["shape_row_id"], None
-            shapes.append(([], [r[a] for a in attributes]))
-        if r["shape_part_id"] != part:
-            part = r["shape_part_id"]
-            shapes[-1][0].append([])
-        shapes[-1][0][-1].append((r["x"], r["y"]))
-    for ext, data in encode_shapefile(shapes, fields, kind).items():
-        with open(f"{path.rsplit('.', 1)[0]}.{ext}", "wb") as f:
-            f.write(data)
+    stem = path.rsplit(".", 1)[0]
+    with one_file(df.sparkSession, f"{stem}.shp") as shp, one_file(df.sparkSession, f"{stem}.shx") as shx, one_file(df.sparkSession, f"{stem}.dbf") as dbf:
+        out = ShapeWriter(shp, shx, dbf, fields, kind)
+        now = None
+        for r in df.select(*keys, order, "x", "y", *attributes).orderBy(*keys, order).toLocalIterator():
+            if r["shape_row_id"] != now:
+                if now is not None:
+                    out.add(parts, values)
+                now, part, parts, values = r["shape_row_id"], None, [], [r[a] for a in attributes]
+            if r["shape_part_id"] != part:
+                part = r["shape_part_id"]
+                parts.append([])
+            parts[-1].append((r["x"], r["y"]))
+        if now is not None:
+            out.add(parts, values)
+        out.close()

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import struct
+import tempfile
 import zlib
 from collections.abc import Iterator, Sequence
+from typing import IO
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,14 +36,28 @@ def write_csv(df: DataFrame, path: str, header: bool = True, quotes: bool = True
     """One CSV file, in ``order``."""
     names = ",".join(f'"{n}"' if quotes else n for n in df.columns)
     lines = csv_lines(df.orderBy(*order) if order else df, quotes)
-    _one_file(path, (r["value"] for r in lines.toLocalIterator()), "\r\n" if crlf else "\n", [names] if header else [])
+    _one_file(df.sparkSession, path, (r["value"] for r in lines.toLocalIterator()), "\r\n" if crlf else "\n", [names] if header else [])
 
 
-def _one_file(path: str, lines: Iterator[str], end: str = "\n", before: Sequence[str] = (), after: Sequence[str] = ()) -> None:
-    with open(path, "w", encoding="utf-8", newline="") as out:
+@contextlib.contextmanager
+def one_file(spark: SparkSession, path: str) -> Iterator[IO[bytes]]:
+    """A file to write: local for a plain path; for a URL it is put in its file system when it is whole."""
+    if "://" not in path and not path.startswith("file:"):
+        with open(path, "wb") as out:
+            yield out
+        return
+    with tempfile.NamedTemporaryFile() as out:
+        yield out
+        out.flush()
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(False, True, spark._jvm.org.apache.hadoop.fs.Path(f"file:{out.name}"), target)
+
+
+def _one_file(spark: SparkSession, path: str, lines: Iterator[str], end: str = "\n", before: Sequence[str] = (), after: Sequence[str] = ()) -> None:
+    with one_file(spark, path) as out:
         for part in (before, lines, after):
             for line in part:
-                out.write(line + end)
+                out.write((line + end).encode())
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -75,7 +92,7 @@ def write_js(df: DataFrame, path: str, variable: str, attrs: Sequence[tuple[str,
         for k, row in enumerate(rows):
             yield ("," if k else "") + row
 
-    _one_file(path, listed(), before=[*head, f'"{"shapes" if shapes else "rows"}": ['], after=["]", "}]", "};"])
+    _one_file(df.sparkSession, path, listed(), before=[*head, f'"{"shapes" if shapes else "rows"}": ['], after=["]", "}]", "};"])
 
 
 def kml_marks(df: DataFrame, name: str | None = None, order: str = "seq") -> DataFrame:
@@ -99,7 +116,7 @@ def kml_marks(df: DataFrame, name: str | None = None, order: str = "seq") -> Dat
 def write_kml(df: DataFrame, path: str, name: str | None = None, order: str = "seq") -> None:
     marks = kml_marks(df, name, order).orderBy("shape_row_id")
     head = ['<?xml version="1.0" encoding="UTF-8"?>', '<kml xmlns="http://www.opengis.net/kml/2.2">', "<Document>"]
-    _one_file(path, (r["value"] for r in marks.toLocalIterator()), before=head, after=["</Document>", "</kml>"])
+    _one_file(df.sparkSession, path, (r["value"] for r in marks.toLocalIterator()), before=head, after=["</Document>", "</kml>"])
 
 
 def sql_statements(df: DataFrame, table: str, drop: bool = False, created_at: bool = False, batch: int = 100) -> tuple[list[str], DataFrame]:
@@ -128,14 +145,32 @@ def sql_statements(df: DataFrame, table: str, drop: bool = False, created_at: bo
 
 def write_sql(df: DataFrame, path: str, table: str, drop: bool = False, created_at: bool = False) -> None:
     make, inserts = sql_statements(df, table, drop, created_at)
-    _one_file(path, (r["value"] for r in inserts.toLocalIterator()), before=make)
-
-
-def pixels(df: DataFrame, width: int = 1000, margin: float = 0.01, order: str = "seq") -> tuple[DataFrame, int, int]:
+    _one_file(df.sparkSession, path, (r["value"] for r in inserts.toLocalIterator()), before=make)
+
+
+def _filled(placed: DataFrame, order: str) -> DataFrame:
+    """(__x, __y, shape_row_id, colours) of the pixels inside triangles, three vertices of a part each, line by line."""
+    colours = [c for c in ("red", "green", "blue") if c in placed.columns]
+    corners = F.array_sort(F.collect_list(F.struct(order, "__x", "__y"))).alias("p")
+    parts = placed.groupBy("shape_row_id", "shape_part_id").agg(corners, *[F.first(c).alias(c) for c in colours]).where("size(p) >= 3")
+    x = [F.col("p")[k]["__x"] for k in range(3)]
+    y = [F.col("p")[k]["__y"] for k in range(3)]
+    lines = parts.withColumn("__y", F.explode(F.sequence(F.ceil(F.least(*y)).cast("int"), F.greatest(F.ceil(F.least(*y)), F.floor(F.greatest(*y))).cast("int"))))
+    row = F.col("__y")
+    cuts = []
+    for a, b in ((0, 1), (1, 2), (2, 0)):  # where each edge crosses the line of pixels
+        low, high = F.least(y[a], y[b]), F.greatest(y[a], y[b])
+        cuts.append(F.when((row >= low) & (row <= high) & (high > low), x[a] + (row - y[a]) / (y[b] - y[a]) * (x[b] - x[a])))
+    left, right = F.least(*cuts), F.greatest(*cuts)
+    spans = lines.withColumns({"__l": F.round(left).cast("int"), "__r": F.round(right).cast("int")}).where("__l is not null")
+    return spans.select("shape_row_id", *colours, row.cast("double").alias("__y"), F.explode(F.transform(F.sequence("__l", "__r"), lambda v: v.cast("double"))).alias("__x"))
+
+
+def pixels(df: DataFrame, width: int = 1000, margin: float = 0.01, order: str = "seq", fill: bool = False) -> tuple[DataFrame, int, int]:
     """(px, py, red, green, blue) of the drawn lines and points, and the picture's width and height.
 
     Lines are stepped pixel by pixel on the executors; the last shape wins a pixel. Height follows the data's
-    bounds, at most 1.5 times the width.
+    bounds, at most 1.5 times the width. With ``fill``, each part is a triangle, and its inside is drawn too.
     """
     b = df.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     wide, tall = max(b[1] - b[0], 1e-12), max(b[3] - b[2], 1e-12)
@@ -151,6 +186,8 @@ def pixels(df: DataFrame, width: int = 1000, margin: float = 0.01, order: str =
     share = F.col("__k") / F.col("__n")
     colour = [F.col(c) if c in df.columns else F.lit(0.0) for c in ("red", "green", "blue")]
     spot = drawn.select(F.round(F.col("__x") + share * (F.col("__nx") - F.col("__x"))).cast("int").alias("px"), F.round(F.col("__y") + share * (F.col("__ny") - F.col("__y"))).cast("int").alias("py"), F.struct("shape_row_id", *[c.alias(n) for c, n in zip(colour, "rgb")]).alias("s"))
+    if fill:
+        spot = spot.union(_filled(placed, order).select(F.col("__x").cast("int"), F.col("__y").cast("int"), F.struct("shape_row_id", *[c.alias(n) for c, n in zip(colour, "rgb")])))
     top = spot.groupBy("px", "py").agg(F.max("s").alias("s"))
     return top.select("px", "py", F.col("s.r").alias("red"), F.col("s.g").alias("green"), F.col("s.b").alias("blue")), width, height
 
@@ -163,11 +200,11 @@ def encode_png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">2I5B", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-def write_png(df: DataFrame, path: str, width: int = 1000, order: str = "seq") -> None:
+def write_png(df: DataFrame, path: str, width: int = 1000, order: str = "seq", fill: bool = False) -> None:
     """The picture has a bounded number of pixels, which is all that reaches the driver."""
-    found, w, h = pixels(df, width, order=order)
+    found, w, h = pixels(df, width, order=order, fill=fill)
     image = np.full((h, w, 3), 255, dtype=np.uint8)
     for r in found.toLocalIterator():
         image[r["py"], r["px"]] = [int(255 * max(0.0, min(1.0, r[c]))) for c in ("red", "green", "blue")]
-    with open(path, "wb") as f:
+    with one_file(df.sparkSession, path) as f:
         f.write(encode_png(image))

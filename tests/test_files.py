@@ -189,3 +189,27 @@ def test_feeds(spark, tmp_path):
     assert feeds.read_transit(spark, str(tmp_path), "stops")["stops"].count() == 1
     df.createOrReplaceTempView("parks_view")
     assert feeds.has(spark, "parks_view", "rate") and not feeds.has(spark, "parks_view", "x") and not feeds.has(spark, "no_such")
+
+
+def test_a_row_that_repeats_the_header_is_a_row(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for k in range(2):
+        (tmp_path / "a" / f"{k}.csv").write_text("a,b\n1,2\na,b\n3,4\n")
+    found = delimited.read_delimited(spark, str(tmp_path / "a" / "*.csv")).collect()
+    assert sorted((r["a"], r["b"]) for r in found) == [("1", "2")] * 2 + [("3", "4")] * 2 + [("a", "b")] * 2
+
+
+def test_several_shapefiles_are_read_in_pairs(spark, tmp_path):
+    for k in range(2):
+        df = spark.createDataFrame([(0, 0, i, float(i + k), 0.0, k) for i in range(3)], "shape_row_id int, shape_part_id int, seq int, x double, y double, n int")
+        shapefile.write_shapefile(df, str(tmp_path / f"s{k}.shp"), ["n"], kind=shapefile.ARC)
+    found = sorted((r["n"], r["x"]) for r in shapefile.read_shapefile(spark, str(tmp_path / "*.shp")).collect())
+    assert found == [(0, 0.0), (0, 1.0), (0, 2.0), (1, 1.0), (1, 2.0), (1, 3.0)]
+
+
+def test_triangles_are_filled(spark):
+    rows = [(0, 0, k, x, y) for k, (x, y) in enumerate([(0.0, 0.0), (10.0, 0.0), (0.0, 10.0)])]
+    df = spark.createDataFrame(rows, "shape_row_id int, shape_part_id int, seq int, x double, y double")
+    found, width, height = writers.pixels(df, 100, margin=0.0, fill=True)
+    n = found.count()
+    assert (width, height) == (100, 100) and abs(n - 5000) < 120 and writers.pixels(df, 100, margin=0.0)[0].count() < 400

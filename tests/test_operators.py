@@ -137,3 +137,9 @@ def test_insert_rows(spark):
     df = spark.createDataFrame([(0, "a"), (1, "b")], "__row long, v string")
     out = rows.insert_rows(df, spark.createDataFrame([(0, "x")], "__row long, v string"), 1)
     assert [r["v"] for r in out.orderBy("__row").collect()] == ["a", "x", "b"]
+
+
+def test_nearest_ends_with_points_that_are_nowhere(spark):
+    rows = [(1, 0.0, 0.0), (2, 1.0, 0.0), (3, float("nan"), 0.0), (4, float("inf"), 1.0), (5, None, 2.0)]
+    p = spark.createDataFrame(rows, "i int, x double, y double")
+    assert sorted((r["i"], r["nearest"]) for r in joins.nearest(p, p, "i", "i", 0.5, same_layer=True).collect()) == [(1, 2), (2, 1)]
