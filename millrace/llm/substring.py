@@ -386,3 +386,18 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     joined = docs.withColumn("__own_th", F.xxhash64("text")).join(changed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own_th") == F.col("__th")), "left")
     new = {"text": F.coalesce("__kept", "text"), "n_chars": F.when(F.col("__kept").isNotNull(), F.length("__kept").cast("long")).otherwise(F.col("n_chars"))}
     return joined.where("__kept is null or __kept <> ''").select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+
+
+OP10_SQL = r"""
+with d as (select row_number() over () r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) w from documents
+), p as (select r, doc_id, w, unnest(range(1, len(w) - 48)) i from d where len(w) >= 50
+), g as (select r, coalesce(doc_id, 9223372036854775807) id, i, array_to_string(list_slice(w, i, i + 49), ' ') t from p
+), f as (select t, min(id) least_id from g group by t
+), x as (select distinct r, unnest(range(i, i + 50)) q from g join f using (t) where least_id < id
+), words as (select r, unnest(w) word, unnest(range(1, len(w) + 1)) q from d
+), a as (
+  select words.r, count(x.q) n_removed, string_agg(word, ' ' order by words.q) filter (where x.q is null) kept
+  from words left join x on words.r = x.r and words.q = x.q group by 1
+)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_removed, 0) as bigint) n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join a using (r)
+"""
