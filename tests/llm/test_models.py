@@ -203,3 +203,13 @@ def test_op9_takes_every_position():
     code = np.tile(np.array([5, 300, 77, 1200], np.int32), 12_000)
     trainer.train(code, np.array([0, len(code)]))
     assert gru.score(trainer.net, code[:400], np.array([0, 400])).sum() / 400 > -0.5
+
+
+def test_op9_averages_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(gru, "SHARD_TOKENS", 8_000)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 200")
+    found = []
+    for fan_in in (256, 2):
+        monkeypatch.setattr(gru, "FAN_IN", fan_in)
+        found.append({r["doc_id"]: r["score"] for r in gru.score_documents(docs).collect()})
+    assert all(found[1][i] == pytest.approx(s, rel=1e-3) for i, s in found[0].items())
