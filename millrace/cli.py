@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators import aggregates, columns, joins, rows
+from millrace.functions import scalars
+from millrace.operators import aggregates, columns, joins, rows, sequences, shapes
 from millrace.sources import blockfile, delimited, files, generate, shapefile, writers
 
 
@@ -33,6 +34,17 @@ def _list(text: str) -> list[str]:
     return [x for x in text.split(",") if x]
 
 
+def _keys(options: dict[str, str]) -> list[str]:
+    """The columns of a part."""
+    return _list(options.get("within", "shape_row_id,shape_part_id"))
+
+
+def _ring(text: str) -> list[tuple[float, float]]:
+    """``x,y,x,y,...`` as vertices."""
+    v = [float(x) for x in _list(text)]
+    return list(zip(v[::2], v[1::2]))
+
+
 def _values(df: DataFrame, column: str, text: str) -> list:
     kind = df.schema[column].dataType
     cast = int if isinstance(kind, T.IntegralType) else float if isinstance(kind, T.FractionalType) else str
@@ -70,6 +82,29 @@ STEPS = {
     "append": lambda df, a, o: rows.append(df, *[_read(df.sparkSession, p) for p in a]),
     "inspect": lambda df, a, o: aggregates.value_counts(df, o["column"]),
     "bounds": lambda df, a, o: aggregates.bounds_report(df),
+    "dump": lambda df, a, o: aggregates.first_and_last(df, _list(o["order"]), int(o.get("n", "26"))),
+    "bbox-polygon": lambda df, a, o: aggregates.bbox_polygon(df, _list(o.get("by", "")), float(o.get("border", "0"))),
+    "rescale": lambda df, a, o: columns.rescale_bounds(df, *[float(v) for v in _list(o["bbox"])]),
+    "color": lambda df, a, o: columns.colour_by_rules(df, _read(df.sparkSession, o["file"]), o["column"], o.get("order", "rule")),
+    "random-color": lambda df, a, o: columns.random_colours(df, int(o.get("seed", "0")), _list(o.get("within", ""))),
+    "grayscale": lambda df, a, o: columns.grayscale(df),
+    "wday": lambda df, a, o: df.withColumn("wday", scalars.weekday(F.col(o["column"]), o.get("first", "sunday"))),
+    "is-opp": lambda df, a, o: df.withColumn("is_opp", aggregates.is_opposite(F.col(o.get("column", "location1")))),
+    "reset-ids": lambda df, a, o: columns.renumber(df, o["column"]),
+    "thin": lambda df, a, o: shapes.thin_parts(df, _keys(o), o.get("order", "seq"), float(o["distance"]), "euclid" in o),
+    "loop-overlap": lambda df, a, o: shapes.cut_overlap(df, _keys(o), o.get("order", "seq"), float(o.get("distance", "1e-6"))),
+    "simplify": lambda df, a, o: shapes.simplify(df, _keys(o), o.get("order", "seq"), float(o.get("distance", "0.0001"))),
+    "tesselate": lambda df, a, o: shapes.tessellate(df, o.get("shape", "shape_row_id"), o.get("part", "shape_part_id"), o.get("order", "seq")),
+    "clip": lambda df, a, o: shapes.clip(df, o.get("shape", "shape_row_id"), o.get("order", "seq"), _ring(o["ring"]), o.get("operation", "intersection")),
+    "winding": lambda df, a, o: sequences.orient(df, _keys(o), o.get("order", "seq"), o.get("direction", "ccw")),
+    "offset-lines": lambda df, a, o: sequences.offset_lines(df, _keys(o), [o.get("order", "seq")], float(o["width"])),
+    "along": lambda df, a, o: sequences.running_distance(df, _keys(o), [o.get("order", "seq")]),
+    "highlight": lambda df, a, o: sequences.highlight_vertices(df, _keys(o), o.get("order", "seq"), int(o["i"]) if "i" in o else "all" if "all" in o else "ends"),
+    "polygons": lambda df, a, o: joins.point_in_triangle(df, _read(df.sparkSession, o["file"]), o.get("order", "polygon_id"), float(o["cell"]), "last" in o, o.get("id")),
+    "nearest": lambda df, a, o: joins.nearest(df, df, o["id"], o["id"], float(o["cell"]), same_layer=True),
+    "snap": lambda df, a, o: joins.snap_to_segments(df, _read(df.sparkSession, o["file"]), o["id"], float(o["reach"]), float(o["cell"]), o.get("prefer")),
+    "rms": lambda df, a, o: aggregates.rms(df, o["key"], o.get("order", "seq"), o["value"], int(o["width"])),
+    "fft": lambda df, a, o: shapes.magnitudes(df, o["key"], o.get("order", "seq"), o["value"], "inverse" in o),
     "select": lambda df, a, o: df.select(*[F.expr(x) for x in a]),
     "where": lambda df, a, o: df.where(" ".join(a)),
     "pass": lambda df, a, o: df,
@@ -82,6 +117,7 @@ SINKS = {
     "mysql": lambda df, a, o: writers.write_sql(df, a[0], o["table"], "drop" in o),
     "shapefile": lambda df, a, o: shapefile.write_shapefile(df, a[0], _list(o.get("attributes", ""))),
     "png": lambda df, a, o: writers.write_png(df, a[0], int(o.get("width", "1000"))),
+    "block": lambda df, a, o: (df.sparkSession.dataSource.register(blockfile.BlockDataSource), df.write.format("block").mode("append").save(a[0])),
     "parquet": lambda df, a, o: df.write.mode("overwrite").parquet(a[0]),
     "show": lambda df, a, o: df.show(int(a[0]) if a else 20, truncate=False),
 }

@@ -20,6 +20,13 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
 
 
+def first_and_last(df: DataFrame, order: Sequence[str], n: int = 26) -> DataFrame:
+    """The first ``n`` rows and the last one, as a report of what a table holds; no row twice."""
+    first = df.orderBy(*order).limit(n)
+    last = df.orderBy(*[F.col(c).desc() for c in order]).limit(1)
+    return first.union(last).distinct()
+
+
 def bounds_report(df: DataFrame) -> DataFrame:
     """One row per column: low and high of numbers, or the longest text and how many have that length.
 

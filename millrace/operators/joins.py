@@ -126,26 +126,30 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell
         size *= 2
 
 
-def snap_to_segments(points: DataFrame, segments: DataFrame, point_id: str, reach: float, cell: float) -> DataFrame:
+def snap_to_segments(points: DataFrame, segments: DataFrame, point_id: str, reach: float, cell: float, prefer: str | None = None) -> DataFrame:
     """Moves points to the nearest segment (x1, y1, x2, y2, segment_id) within ``reach``.
 
     Returns the points with snapped_x, snapped_y, segment_id, distance and angle, null if none is in reach. A foot
     off the segment's ends becomes the nearer end; ties go to the smaller id. Segments are dealt to the cells of
-    their bounds widened by ``reach``.
+    their bounds widened by ``reach``. With ``prefer``, a column of both tables, segments of the point's own value
+    (its street's name, say) come before nearer ones of others; the choice is made in the same aggregation.
     """
     c = F.col
     box = lambda f, a, b, d: f(c(a), c(b)) + d
     dealt = segments.withColumn("__cx", F.explode(cells(box(F.least, "x1", "x2", -reach), box(F.greatest, "x1", "x2", reach), cell))).withColumn(
         "__cy", F.explode(cells(box(F.least, "y1", "y2", -reach), box(F.greatest, "y1", "y2", reach), cell))
     )
-    own = points.select(c(point_id).alias("__p"), "x", "y", F.floor(c("x") / cell).cast("long").alias("__px"), F.floor(c("y") / cell).cast("long").alias("__py"))
+    same = [c(prefer).alias("__own")] if prefer else []
+    dealt = dealt.withColumnRenamed(prefer, "__theirs") if prefer else dealt
+    own = points.select(c(point_id).alias("__p"), "x", "y", *same, F.floor(c("x") / cell).cast("long").alias("__px"), F.floor(c("y") / cell).cast("long").alias("__py"))
     dx, dy = c("x2") - c("x1"), c("y2") - c("y1")
     t = F.coalesce(F.try_divide((c("x") - c("x1")) * dx + (c("y") - c("y1")) * dy, dx * dx + dy * dy), F.lit(0.0))
     along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
     foot_x, foot_y = c("x1") + along * dx, c("y1") + along * dy
     gap = F.sqrt(F.pow(c("x") - foot_x, 2) + F.pow(c("y") - foot_y, 2))
     met = own.join(dealt, (c("__px") == c("__cx")) & (c("__py") == c("__cy")))
-    row = F.struct(gap.alias("distance"), c("segment_id"), foot_x.alias("snapped_x"), foot_y.alias("snapped_y"), F.atan2(dy, dx).alias("angle"))
+    other = [(~F.coalesce(c("__own") == c("__theirs"), F.lit(False))).alias("other")] if prefer else []
+    row = F.struct(*other, gap.alias("distance"), c("segment_id"), foot_x.alias("snapped_x"), foot_y.alias("snapped_y"), F.atan2(dy, dx).alias("angle"))
     best = met.select("__p", row.alias("s")).where(c("s.distance") <= reach).groupBy("__p").agg(F.min("s").alias("s"))
     return points.join(best, c(point_id) == c("__p"), "left").select(*[points[x] for x in points.columns], "s.snapped_x", "s.snapped_y", "s.segment_id", "s.distance", "s.angle")
 

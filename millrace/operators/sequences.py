@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -30,6 +31,28 @@ def split_trips(df: DataFrame, vehicle: str, by: Sequence[str], distance: str) -
     return df.withColumn("__fell", fell).withColumn("trip", F.sum("__fell").over(w)).drop("__fell")
 
 
+def trip_markers(df: DataFrame, trip: Sequence[str], by: Sequence[str], size: float = 100.0) -> DataFrame:
+    """A stroke down from each point of a trip: (trip..., order columns..., seq, x, y), two rows a point."""
+    ends = F.array(F.struct(F.lit(0).alias("seq"), F.col("y").cast("double").alias("y")), F.struct(F.lit(1).alias("seq"), (F.col("y") - size).alias("y")))
+    own = list(dict.fromkeys([*trip, *by, "x"]))
+    return df.select(*own, F.explode(ends).alias("__e")).select(*own, "__e.seq", "__e.y")
+
+
+def highlight_vertices(df: DataFrame, within: Sequence[str], order: str, which: int | str = "ends", share: float = 0.1, step: float = 0.1) -> DataFrame:
+    """Rings around vertices of each shape: (within..., order, seq, x, y), a vertex every ``step`` radians.
+
+    ``which`` is a vertex's place from 0, ``all`` or ``ends`` (first and last; a lone vertex once). A ring's radius is
+    ``share`` of the shape's width or height, whichever is less.
+    """
+    w = Window.partitionBy(*within)
+    size = F.least(F.max("x").over(w) - F.min("x").over(w), F.max("y").over(w) - F.min("y").over(w)) * share
+    placed = df.withColumns({"__k": F.row_number().over(w.orderBy(order)) - 1, "__n": F.count("*").over(w), "__r": size})
+    marked = {"all": F.lit(True), "ends": (F.col("__k") == 0) | (F.col("__k") == F.col("__n") - 1)}.get(which, F.col("__k") == which)
+    around = placed.where(marked).withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(2 * math.pi / step) - 1))))
+    turn = F.col("seq") * step
+    return around.select(*within, order, "seq", (F.col("x") + F.cos(turn) * F.col("__r")).alias("x"), (F.col("y") + F.sin(turn) * F.col("__r")).alias("y"))
+
+
 def offset_lines(df: DataFrame, within: Sequence[str], by: Sequence[str], half_width: float) -> DataFrame:
     """Left and right of each vertex of a line, across the direction to the next one (the last keeps its last angle)."""
     w = Window.partitionBy(*within).orderBy(*by)

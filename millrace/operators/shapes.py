@@ -118,12 +118,14 @@ def fft_share(df: DataFrame, key: str, order: str, value: str, width: int, cut:
     return df.groupBy(key).applyInPandas(run, f"`{key}` {kind}, window int, ratio double")
 
 
-def magnitudes(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """(key, k, magnitude) of the real Fourier transform of each series."""
+def magnitudes(df: DataFrame, key: str, order: str, value: str, inverse: bool = False) -> DataFrame:
+    """(key, k, magnitude) of the Fourier transform of each real series: as many as it has values with ``inverse``
+    (which is not divided by their number), the lower half without."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.abs(np.fft.rfft(pdf.sort_values(order)[value].to_numpy(float)))
+        v = pdf.sort_values(order)[value].to_numpy(float)
+        m = np.abs(np.fft.ifft(v, norm="forward") if inverse else np.fft.rfft(v))
         return pd.DataFrame({key: pdf[key].iloc[0], "k": np.arange(len(m), dtype=np.int32), "magnitude": m})
 
     return df.groupBy(key).applyInPandas(run, f"`{key}` {kind}, k int, magnitude double")

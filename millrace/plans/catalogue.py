@@ -8,12 +8,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace import table as tables
 from millrace.functions import projections as P
 from millrace.functions import scalars as S
+from millrace.functions import templates, vectors
 from millrace.operators import aggregates as A
 from millrace.operators import changes, columns, joins, rows, sequences, serving, shapes
 from millrace.plans.standins import addresses, points, sql, table, tickets, tracks, triangles
@@ -943,3 +946,283 @@ def interval_join(spark, d):
     b = e.select(F.col("event_id").alias("next_id"), F.col("user_id").alias("u"), F.col("ts").alias("t"))
     met = e.join(b, F.col("user_id") == F.col("u")).where((F.col("t") > F.col("ts")) & (F.col("t") <= F.col("ts") + F.expr("interval 1 hour")))
     return met.select("event_id", "next_id")
+
+
+# Columns, colours and vectors, continued
+
+
+@query("select o_orderkey, cast(o_totalprice as double) price from orders")
+def columns_makefloat(spark, d):
+    t = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit(" "), F.col("o_totalprice").cast("double").cast("string"), F.lit(" CAD")).alias("price"))
+    return columns.edit_columns(t, to_double=["price"])
+
+
+@query("select p_partkey, p_size * 2.5::double size, p_size - 7.25::double less from part")
+def multiply_offset(spark, d):
+    t = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_size").cast("double").alias("less"))
+    return columns.offset(columns.multiply(t, "size", 2.5), "less", -7.25)
+
+
+@query("select row_id, coalesce(round((x - min(x) over w) / nullif(max(x) over w - min(x) over w, 0), 6), -1) x, coalesce(round((y - min(y) over w) / nullif(max(y) over w - min(y) over w, 0), 6), -1) y from points window w as (partition by grp)", "points")
+def normalize_shapes(spark, d):
+    n = columns.normalize(points(spark, d), ["x", "y"], within=["grp"])
+    return n.select("row_id", *[F.coalesce(_r(c), F.lit(-1.0)).alias(c) for c in ("x", "y")])
+
+
+@query("select row_id, case grp % 4 when 1 then 0.2::double when 2 then 0.9 else grp % 4 / 10.0::double end red, case grp % 4 when 1 then 0.4::double when 2 then 0.8 else 0.5 end green, case grp % 4 when 1 then 0.6::double when 2 then 0.7 else 0.5 end blue from points", "points")
+def translate_colors(spark, d):
+    t = points(spark, d).select("row_id", (F.col("grp") % 4 / 10.0).alias("red"), F.lit(0.5).alias("green"), F.lit(0.5).alias("blue"))
+    return columns.replace_colours(t, [((0.1, 0.5, 0.5), (0.2, 0.4, 0.6)), ((0.2, 0.5, 0.5), (0.9, 0.8, 0.7)), ((0.1, 0.5, 0.5), (1.0, 1.0, 1.0))])
+
+
+@query("select grp, count(*) n, 1::bigint colours, 0::bigint outside, 1.0::double alpha from points group by 1", "points")
+def random_colors(spark, d):
+    """Each shape has one colour, with parts from 0 to 1, and is opaque."""
+    t = columns.random_colours(points(spark, d), 7, ["grp"])
+    outside = F.count_if((F.least("red", "green", "blue") < 0) | (F.greatest("red", "green", "blue") > 1))
+    return t.groupBy("grp").agg(F.count("*").alias("n"), F.count_distinct("red", "green", "blue").alias("colours"), outside.alias("outside"), F.min("alpha").alias("alpha"))
+
+
+@query("select row_id, case grp when 1 then 1.0::double when 3 then 0.25::double else 0.0::double end red, case grp when 3 then 0.5::double else 1.0::double end alpha from points", "points")
+def color_by_id(spark, d):
+    """Rules by a shape's number; the last one counts."""
+    rules = spark.createDataFrame([(1, 1, 1.0, 0.0, 0.0, 1.0), (2, 3, 1.0, 0.0, 0.0, 1.0), (3, 3, 0.25, 0.5, 0.75, 0.5)], "rule int, grp int, red double, green double, blue double, alpha double")
+    return columns.colour_by_rules(points(spark, d), rules, "grp").select("row_id", "red", "alpha")
+
+
+@query(
+    """select row_id, round(x * (pi() / 7) - y * 2.0, 6) dot, round(x * (-2.0) - y * (pi() / 7), 6) across, round(sqrt(x * x + y * y), 6) len, round(coalesce(x / nullif(sqrt(x * x + y * y), 0), 0), 6) unit_x,
+  round(cos(0.5) * x - sin(0.5) * y, 6) turned_x, round(y * y - 1.0 * x, 6) cross_x, round(x * x - y * y, 6) cross_z, round(x + 3.0 * (y - 0.5), 6) moved from points""",
+    "points",
+)
+def vector_ops(spark, d):
+    x, y, one = F.col("x"), F.col("y"), F.lit(1.0)
+    v, w = (x, y), (F.pi() / 7, F.lit(-2.0))
+    c = vectors.cross((x, y, one), (y, x, y))
+    moved = vectors.add((x,), vectors.scale(vectors.subtract((y,), (F.lit(0.5),)), 3.0))[0]
+    found = {"dot": vectors.dot(v, w), "across": vectors.cross(v, w)[0], "len": vectors.length(v), "unit_x": F.coalesce(vectors.unit(v)[0], F.lit(0.0)), "turned_x": vectors.turned(v, 0.5)[0], "cross_x": c[0], "cross_z": c[2], "moved": moved}
+    return points(spark, d).select("row_id", *[_r(f).alias(n) for n, f in found.items()])
+
+
+# Rows, lookups and neighbours, continued
+
+
+SQL["thin_euclid"] = (
+    sql("", "tracks").rstrip().replace("with tracks", "with recursive tracks", 1)
+    + ", numbered as (select shape_row_id, event_id, x, y / 20 y, row_number() over (partition by shape_row_id order by x) rn from tracks)"
+    + """, thin as (
+  select shape_row_id, event_id, rn, x lx, y ly, true keep from numbered where rn = 1
+  union all
+  select n.shape_row_id, n.event_id, n.rn, case when (n.x - t.lx) * (n.x - t.lx) + (n.y - t.ly) * (n.y - t.ly) < 4 then t.lx else n.x end,
+    case when (n.x - t.lx) * (n.x - t.lx) + (n.y - t.ly) * (n.y - t.ly) < 4 then t.ly else n.y end, not ((n.x - t.lx) * (n.x - t.lx) + (n.y - t.ly) * (n.y - t.ly) < 4)
+  from numbered n join thin t on n.shape_row_id = t.shape_row_id and n.rn = t.rn + 1
+) select shape_row_id, event_id from thin where keep"""
+)
+
+
+@query()
+def thin_euclid(spark, d):
+    t = tracks(spark, d).withColumn("y", F.col("y") / 20)
+    return shapes.thin_parts(t, ["shape_row_id"], "x", 2.0, euclid=True).select("shape_row_id", "event_id")
+
+
+@query("select c_custkey, row_number() over (order by c_nationkey desc, c_custkey) place from customer")
+def sort_stable(spark, d):
+    """The place of each row in a sort by one column that leaves equal rows in their order."""
+    return tables.number_in_order(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("c_nationkey").desc(), "c_custkey", name="place").drop("c_nationkey")
+
+
+@query("select event_id, case when k <= 26 then 'first' else 'last' end part from (select event_id, row_number() over (order by ts, event_id) k, count(*) over () n from events) where k <= 26 or k = n")
+def inspect_rows(spark, d):
+    e = table(spark, d, "events").select("ts", "event_id")
+    w = Window.orderBy("ts", "event_id")
+    return A.first_and_last(e, ["ts", "event_id"]).select("event_id", F.when(F.row_number().over(w) <= 26, "first").otherwise("last").alias("part"))
+
+
+@query("select t.id, coalesce(a.id, 0) address_id from (select *, 'Customer#' || lpad(cast(address_id * 2 as varchar), 9, '0') location2 from tickets) t left join addresses a on a.full_address = t.location2", "tickets", "addresses")
+def address_or_zero(spark, d):
+    t = tickets(spark, d).drop("address_id").join(table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id"), "id")
+    t = t.select("id", F.concat(F.lit("Customer#"), F.lpad((F.col("user_id") * 2).cast("string"), 9, "0")).alias("location2"))
+    found = joins.lookup(t, addresses(spark, d).withColumnRenamed("id", "a_id"), "location2", "full_address", {"a_id": "address_id"}, ["a_id"])
+    return found.select("id", F.coalesce("address_id", F.lit(0)).alias("address_id"))
+
+
+@query("select t.id, coalesce(a.id, -1) address_id from (select id, case when id % 2 = 0 then '  CUSTOMER#' else 'Customer#' end || lpad(cast(address_id as varchar), 9, '0') || ' ' location2 from tickets) t left join addresses a on upper(trim(a.full_address)) = trim(t.location2)", "tickets", "addresses")
+def address_normalised(spark, d):
+    """The address is trimmed and in capitals, the ticket's text only trimmed: small letters find nothing."""
+    text = F.concat(F.when(F.col("id") % 2 == 0, "  CUSTOMER#").otherwise("Customer#"), F.lpad(F.col("address_id").cast("string"), 9, "0"), F.lit(" "))
+    t = tickets(spark, d).select("id", text.alias("location2"))
+    a = addresses(spark, d).select(F.col("id").alias("a_id"), F.upper(F.trim("full_address")).alias("address"))
+    found = joins.lookup(t, a, F.trim("location2"), "address", {"a_id": "address_id"}, ["a_id"])
+    return found.select("id", F.coalesce("address_id", F.lit(-1)).alias("address_id"))
+
+
+@query(
+    """, v as (select grp shape, row_number() over (partition by grp order by row_id) - 1 vertex, row_id, x, y from points)
+  select row_id, shape, vertex, round(distance, 6) distance from (select p.row_id, v.shape, v.vertex, sqrt(pow(p.x - v.x, 2) + pow(p.y - v.y, 2)) distance,
+  row_number() over (partition by p.row_id order by sqrt(pow(p.x - v.x, 2) + pow(p.y - v.y, 2)), v.row_id) rn from points p join v on p.row_id <> v.row_id) where rn = 1""",
+    "points",
+)
+def nearest_vertex(spark, d):
+    """The shape and the place in it of the nearest vertex of any shape."""
+    p = points(spark, d)
+    w = Window.partitionBy("grp").orderBy("row_id")
+    v = p.select(F.col("row_id").alias("nearest"), F.col("grp").alias("shape"), (F.row_number().over(w) - 1).cast("long").alias("vertex"))
+    return joins.nearest(p, p, "row_id", "row_id", 0.02, same_layer=True).join(v, "nearest").select("row_id", "shape", "vertex", _r("distance").alias("distance"))
+
+
+SQL["nearest_vertex"] = SQL["nearest_vertex"].replace(") , v", "), v")
+
+
+@query(
+    """, seg as (select * from (select row_id segment_id, (grp + 1) % 5 street, x x1, y y1, lead(x) over w x2, lead(y) over w y2 from points window w as (partition by grp order by row_id)) where x2 is not null),
+  near as (select p.row_id, p.x, p.y, p.grp % 5 <> street other, segment_id, x1, y1, x2, y2, greatest(0.0, least(1.0, ((p.x - x1) * (x2 - x1) + (p.y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) t from points p, seg),
+  gap as (select *, sqrt(pow(x - (x1 + t * (x2 - x1)), 2) + pow(y - (y1 + t * (y2 - y1)), 2)) d from near),
+  best as (select * from (select *, row_number() over (partition by row_id order by other, d, segment_id) rn from gap where d <= 0.02) where rn = 1)
+  select p.row_id, coalesce(b.segment_id, -1) segment_id, round(d, 6) distance from points p left join best b using (row_id)""",
+    "points",
+)
+def snap_to_street(spark, d):
+    """The nearest stretch of the point's own street, or of any if it has none in reach."""
+    own = points(spark, d).withColumn("street", F.col("grp") % 5)
+    streets = _segments(spark, d).join(points(spark, d).select(F.col("row_id").alias("segment_id"), ((F.col("grp") + 1) % 5).alias("street")), "segment_id")
+    s = joins.snap_to_segments(own, streets, "row_id", 0.02, 0.05, prefer="street")
+    return s.select("row_id", F.coalesce("segment_id", F.lit(-1)).alias("segment_id"), _r("distance").alias("distance"))
+
+
+SQL["snap_to_street"] = SQL["snap_to_street"].replace(") , seg", "), seg")
+
+
+# Sequences and shapes, continued
+
+
+@query("select event_id, cast(seq as int) seq, round(x, 6) x, round(y - 100 * seq, 6) y from tracks, (select unnest(range(2)) seq)", "tracks")
+def trip_markers(spark, d):
+    return sequences.trip_markers(tracks(spark, d), ["shape_row_id"], ["event_id"]).select("event_id", "seq", _r("x").alias("x"), _r("y").alias("y"))
+
+
+@query(
+    """, p as (select *, row_number() over (partition by grp order by row_id) k, count(*) over (partition by grp) n, least(max(x) over (partition by grp) - min(x) over (partition by grp), max(y) over (partition by grp) - min(y) over (partition by grp)) / 10 r from points)
+  select row_id, cast(seq as int) seq, round(x + cos(seq * 0.1) * r, 6) x, round(y + sin(seq * 0.1) * r, 6) y from p, (select unnest(range(63)) seq) where k = 1 or k = n""",
+    "points",
+)
+def highlight_vertex(spark, d):
+    return sequences.highlight_vertices(points(spark, d), ["grp"], "row_id").select("row_id", "seq", _r("x").alias("x"), _r("y").alias("y"))
+
+
+SQL["highlight_vertex"] = SQL["highlight_vertex"].replace(") , p as", "), p as")
+
+
+@query(
+    """, i as (select *, case when floor(y / 50) is distinct from lag(floor(y / 50)) over w then 1 else 0 end new from tracks window w as (partition by shape_row_id order by x)),
+  r as (select *, sum(new) over (partition by shape_row_id order by x) run from i)
+  select shape_row_id, cast(run as bigint) run, count(*) vertices, min(event_id) first_event, max(event_id) last_event from (select *, row_number() over (partition by shape_row_id, run order by x) from r) group by 1, 2""",
+    "tracks",
+)
+def shapes_from_runs(spark, d):
+    """One shape per run of equal ids, with its vertices as an array."""
+    t = tables.islands(tracks(spark, d).withColumn("id", F.floor(F.col("y") / 50)), ["id"], ["x"], within=["shape_row_id"])
+    a = tables.runs_to_arrays(t, ["shape_row_id", "run"], "x", ["y", "event_id"])
+    ids = F.transform("points", lambda p: p["event_id"])
+    return a.select("shape_row_id", "run", F.size("points").cast("long").alias("vertices"), F.array_min(ids).alias("first_event"), F.array_max(ids).alias("last_event"))
+
+
+SQL["shapes_from_runs"] = SQL["shapes_from_runs"].replace(") , i as", "), i as")
+
+_DFT = """with v as (select vec_id, unnest(range(len(embedding))) j, cast(unnest(embedding) as double) v, len(embedding) n from embeddings),
+  f as (select vec_id, h, sqrt(pow(sum(v * cos(2 * pi() * h * j / n)), 2) + pow(sum(v * sin(2 * pi() * h * j / n)), 2)) m from v, (select unnest(range(1000)) h) where h < {size} group by 1, 2)
+  select vec_id, cast(h as int) k, round(m, 4) magnitude from f"""
+
+
+@query(_DFT.format(size="n // 2 + 1"))
+def fft_magnitude(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("j", "v"))
+    return shapes.magnitudes(e, "vec_id", "j", "v").withColumn("magnitude", _r("magnitude", 4))
+
+
+@query(_DFT.format(size="n"))
+def fft_inverse(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("j", "v"))
+    return shapes.magnitudes(e, "vec_id", "j", "v", inverse=True).withColumn("magnitude", _r("magnitude", 4))
+
+
+@query(
+    """with s as (select event_id, user_id as row, event_id as col, value z, coalesce(lead(value) over r, value) - coalesce(lag(value) over r, value) + coalesce(lead(value) over c, value) - coalesce(lag(value) over c, value) slope
+  from events window r as (partition by user_id order by event_id), c as (partition by event_id order by user_id))
+  select event_id, round(case when z < 0 then 0 when z < 100 then z / 100 else 1 end * greatest(0, least(1, 1 - 0.5 * atan(slope / 100) / (pi() / 2))), 6) red from s"""
+)
+def hill_shading(spark, d):
+    grid = table(spark, d, "events").select("event_id", F.col("user_id").alias("row"), F.col("event_id").alias("col"), F.col("value").alias("z"))
+    lit = files.elevation_colours(grid, [(0.0, 0.0, 0.0, 0.0), (100.0, 1.0, 1.0, 1.0)])
+    return lit.select("event_id", _r("red").alias("red"))
+
+
+@query("select cast(seq as bigint) seq, case when seq in (1, 2) then 3.0::double else 1.0 end x, case when seq >= 2 then 4.0::double else 2.0 end y from (select unnest(range(4)) seq)")
+def generate_square(spark, d):
+    return generate.square(spark, 2.0, 3.0, 1.0).select("seq", "x", "y")
+
+
+@query("select 1000::bigint n, 1000::bigint places, true inside")
+def generate_random(spark, d):
+    """A thousand points, all apart and in the unit square."""
+    p = generate.random_points(spark, 1000, 11)
+    return p.agg(F.count("*").alias("n"), F.count_distinct("x", "y").alias("places"), F.bool_and(F.expr("x between 0 and 1 and y between 0 and 1")).alias("inside"))
+
+
+# Sources and functions of users, continued
+
+
+@query("select id, x, y, case when count(*) over (partition by id) > 1 then 'line_strip' else 'points' end shape_type from (select cast(grp as varchar) id, x, y from points)", "points")
+def xy_id_round_trip(spark, d):
+    path = _folder(spark)
+    points(spark, d).select(F.concat_ws(" ", "x", "y", "grp").alias("value")).write.text(path)
+    return delimited.read_points(spark, path).select("id", "x", "y", "shape_type")
+
+
+@query("select c_custkey, c_name, c_mktsegment || ', \"x\"' note from customer")
+def csv_fast_round_trip(spark, d):
+    path = f"{_folder(spark)}.csv"
+    c = table(spark, d, "customer").select("c_custkey", "c_name", F.concat("c_mktsegment", F.lit(', "x"')).alias("note"))
+    writers.write_csv(c, path, order=["c_custkey"])
+    return delimited.read_fast(spark, path).select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "note")
+
+
+@query("select grp, count(*) n, round(sum(x), 3) sx, round(sum(y), 3) sy from points group by 1", "points")
+def svg_round_trip(spark, d):
+    """A drawing per group, its outline one path."""
+    path = _folder(spark)
+    step = F.concat(F.when(F.col("k") == 0, "M").otherwise("L"), F.format_string("%.6f %.6f", "p.x", "p.y"))
+    outline = tables.runs_to_arrays(points(spark, d), ["grp"], "row_id", ["x", "y"]).select("grp", F.posexplode("points").alias("k", "p")).select("grp", "k", step.alias("s"))
+    paths = tables.runs_to_arrays(outline, ["grp"], "k", ["s"]).select("grp", F.array_join(F.transform("points", lambda p: p["s"]), " ").alias("d"))
+    text = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg"><text id="g'), "grp", F.lit('"/><path fill="#'), F.lpad(F.hex("grp"), 6, "0"), F.lit('" d="'), "d", F.lit('"/></svg>'))
+    paths.select("grp", text.alias("value")).repartition("grp").write.partitionBy("grp").text(path)
+    back = files.read_svg(spark, f"{path}/*/*.txt").withColumn("grp", F.round(F.col("blue") * 255).cast("int"))
+    return back.groupBy("grp").agg(F.count("*").alias("n"), _r(F.sum("x"), 3).alias("sx"), _r(F.sum("y"), 3).alias("sy"))
+
+
+@query("select n_nationkey, n_name, '' note, -1 size from nation union all select r_regionkey, r_name, 'region', r_regionkey + 5 from region")
+def schema_evolution(spark, d):
+    """A second batch brings columns that the first did not have."""
+    path = _folder(spark)
+    writers.append_evolving(table(spark, d, "nation").select("n_nationkey", "n_name"), path)
+    r = table(spark, d, "region").select(F.col("r_regionkey").alias("n_nationkey"), F.col("r_name").alias("n_name"), F.lit("region").alias("note"), (F.col("r_regionkey") + 5).cast("int").alias("size"))
+    return writers.append_evolving(r, path).select("n_nationkey", "n_name", F.coalesce("note", F.lit("")).alias("note"), F.coalesce("size", F.lit(-1)).alias("size"))
+
+
+@query("select c_nationkey, round(exp(avg(ln(c_acctbal + 2000))), 4) middle from customer group by 1")
+def udaf_geometric_mean(spark, d):
+    mean = templates.aggregate(lambda v: float(np.exp(np.log(v).mean())))
+    return table(spark, d, "customer").groupBy("c_nationkey").agg(_r(mean((F.col("c_acctbal") + 2000).cast("double")), 4).alias("middle"))
+
+
+@query("select p_partkey, cast(unnest(range(len(w))) as int) place, unnest(w) part from (select p_partkey, string_split(p_type, ' ') w from part)")
+def udtf_split_text(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_type")
+    return p.lateralJoin(templates.SplitText(F.col("p_type").outer(), F.lit(" "))).select("p_partkey", "place", "part")
+
+
+@query("select grp, count(*) n, round(sum(x), 4) sx from points group by 1", "points")
+def map_shapes(spark, d):
+    """A user's function over each shape as a pandas frame."""
+    own = points(spark, d)
+    return tables.map_groups(own, ["grp"], lambda f: pd.DataFrame({"grp": [f["grp"].iloc[0]], "n": [len(f)], "sx": [round(f["x"].sum(), 4)]}), f"grp {own.schema['grp'].dataType.simpleString()}, n long, sx double")

@@ -7,7 +7,7 @@ import json
 import struct
 import tempfile
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import IO
 
 import numpy as np
@@ -119,10 +119,13 @@ def write_kml(df: DataFrame, path: str, name: str | None = None, order: str = "s
     _one_file(df.sparkSession, path, (r["value"] for r in marks.toLocalIterator()), before=head, after=["</Document>", "</kml>"])
 
 
+def _sql_type(f: T.StructField) -> str:
+    return "varchar(255)" if isinstance(f.dataType, T.StringType) else "double" if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else "bigint" if isinstance(f.dataType, T.LongType) else "int"
+
+
 def sql_statements(df: DataFrame, table: str, drop: bool = False, created_at: bool = False, batch: int = 100) -> tuple[list[str], DataFrame]:
     """The statements that make the table, and a DataFrame of inserts of up to ``batch`` rows, built per partition."""
-    kind = lambda f: "varchar(255)" if isinstance(f.dataType, T.StringType) else "double" if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else "bigint" if isinstance(f.dataType, T.LongType) else "int"
-    columns = "".join(f", `{f.name}` {kind(f)}" for f in df.schema)
+    columns = "".join(f", `{f.name}` {_sql_type(f)}" for f in df.schema)
     make = [f"DROP TABLE IF EXISTS `{table}`;"] * drop + [f"CREATE TABLE IF NOT EXISTS `{table}` (id int PRIMARY KEY AUTO_INCREMENT{', `created_at` datetime' * created_at}{columns});"]
     cells = []
     for f in df.schema:
@@ -143,6 +146,29 @@ def sql_statements(df: DataFrame, table: str, drop: bool = False, created_at: bo
     return make, df.select(row.alias("value")).mapInPandas(run, "value string")
 
 
+def table_changes(df: DataFrame, table: str, known: Mapping[str, str]) -> list[str]:
+    """The statements that let a table of ``known`` columns (name to type) take the rows of ``df``.
+
+    A column it lacks is added; one of whole numbers or decimals that is given text, or whole numbers given decimals,
+    is widened. Nothing is dropped or made narrower.
+    """
+    rank = {"int": 0, "bigint": 1, "double": 2, "varchar(255)": 3}
+    out = []
+    for f in df.schema:
+        kind = _sql_type(f)
+        if f.name not in known:
+            out.append(f"ALTER TABLE `{table}` ADD COLUMN `{f.name}` {kind};")
+        elif rank[kind] > rank.get(known[f.name], 3):
+            out.append(f"ALTER TABLE `{table}` MODIFY COLUMN `{f.name}` {kind};")
+    return out
+
+
+def append_evolving(df: DataFrame, path: str) -> DataFrame:
+    """Appends to a folder of Parquet whose schema may grow, and returns it whole; columns a part lacks are null."""
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.option("mergeSchema", True).parquet(path)
+
+
 def write_sql(df: DataFrame, path: str, table: str, drop: bool = False, created_at: bool = False) -> None:
     make, inserts = sql_statements(df, table, drop, created_at)
     _one_file(df.sparkSession, path, (r["value"] for r in inserts.toLocalIterator()), before=make)

@@ -213,3 +213,26 @@ def test_triangles_are_filled(spark):
     found, width, height = writers.pixels(df, 100, margin=0.0, fill=True)
     n = found.count()
     assert (width, height) == (100, 100) and abs(n - 5000) < 120 and writers.pixels(df, 100, margin=0.0)[0].count() < 400
+
+
+def test_pipeline_of_shapes(spark, tmp_path):
+    found = cli.run(spark, "generate --shape=square | clip --ring=0,-2,2,-2,2,2,0,2 | bbox-polygon --by=shape_row_id").collect()
+    assert {(r["x"], r["y"]) for r in found} == {(0.0, -1.0), (1.0, -1.0), (1.0, 1.0), (0.0, 1.0)}
+    assert cli.run(spark, "generate --shape=square | tesselate").count() == 6
+    assert cli.run(spark, "generate | highlight --i=3").count() == 63
+    assert cli.run(spark, "generate --n=100 | dump --order=seq").count() == 27
+    assert cli.run(spark, "generate | winding --direction=cw | along").count() == 50
+
+
+def test_table_changes(spark):
+    df = spark.createDataFrame([(1, 2, "x", 1.5)], "a long, b int, c string, d double")
+    assert writers.table_changes(df, "t", {"a": "int", "b": "int", "d": "varchar(255)"}) == [
+        "ALTER TABLE `t` MODIFY COLUMN `a` bigint;", "ALTER TABLE `t` ADD COLUMN `c` varchar(255);"
+    ]
+
+
+def test_empty_evolution(spark, tmp_path):
+    path = str(tmp_path / "grown")
+    writers.append_evolving(spark.createDataFrame([], "a int"), path)
+    back = writers.append_evolving(spark.createDataFrame([(1, "n")], "a int, b string"), path)
+    assert [tuple(r) for r in back.select("a", "b").collect()] == [(1, "n")]
