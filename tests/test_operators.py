@@ -143,3 +143,20 @@ def test_nearest_ends_with_points_that_are_nowhere(spark):
     rows = [(1, 0.0, 0.0), (2, 1.0, 0.0), (3, float("nan"), 0.0), (4, float("inf"), 1.0), (5, None, 2.0)]
     p = spark.createDataFrame(rows, "i int, x double, y double")
     assert sorted((r["i"], r["nearest"]) for r in joins.nearest(p, p, "i", "i", 0.5, same_layer=True).collect()) == [(1, 2), (2, 1)]
+
+
+def test_own_street_comes_first(spark):
+    """Null names have no own street; beyond the reach nothing is found; an empty layer leaves points as they are."""
+    p = spark.createDataFrame([(1, 0.5, 0.1, "a"), (2, 0.5, 0.1, None), (3, 0.5, 9.0, "a"), (4, 0.5, 0.1, "c")], "id int, x double, y double, street string")
+    s = spark.createDataFrame([(10, 0.0, 0.0, 1.0, 0.0, "b"), (11, 0.0, 0.4, 1.0, 0.4, "a"), (12, 0.0, 0.0, 1.0, 0.0, None)], "segment_id int, x1 double, y1 double, x2 double, y2 double, street string")
+    found = joins.snap_to_segments(p, s, "id", 0.5, 0.5, prefer="street")
+    assert {r["id"]: r["segment_id"] for r in found.collect()} == {1: 11, 2: 10, 3: None, 4: 10}
+    assert {r["segment_id"] for r in joins.snap_to_segments(p, s.where("false"), "id", 0.5, 0.5, prefer="street").collect()} == {None}
+
+
+def test_highlighted_vertices(spark):
+    v = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 10.0, 0.0), (1, 2, 10.0, 5.0), (2, 0, 3.0, 3.0)], "shape int, seq_id int, x double, y double")
+    places = lambda which: sorted({(r["shape"], r["seq_id"]) for r in sequences.highlight_vertices(v, ["shape"], "seq_id", which).collect()})
+    assert places("ends") == [(1, 0), (1, 2), (2, 0)] and places("all") == [(1, 0), (1, 1), (1, 2), (2, 0)] and places(1) == [(1, 1)] and places(9) == []
+    first = sequences.highlight_vertices(v, ["shape"], "seq_id", 0).where("shape = 1 and seq = 0").first()
+    assert (first["x"], first["y"]) == (0.5, 0.0)
