@@ -16,4 +16,9 @@ QUERIES = {
     "op9_lm_scoring": gru.op9_lm_scoring,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
-SQL: dict[str, str] = {"op6_decontamination": decontaminate.OP6_SQL, "op10_substring_dedup": substring.OP10_SQL}
+SQL: dict[str, str] = {
+    "op2_quality_rules": rules.OP2_SQL,
+    "op6_decontamination": decontaminate.OP6_SQL,
+    "op8_suffix_dedup": suffix.OP8_SQL,
+    "op10_substring_dedup": substring.OP10_SQL,
+}

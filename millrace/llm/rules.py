@@ -7,6 +7,7 @@ their distance, or the group's outer quantiles where these lie further out. A gr
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ MEASURES = ("mean_word", "symbol_share", "mark_share", "capital_share", "dup_lin
 SPREAD = 3.0
 #: The group's quantiles of this rank, and of 1 less it, are within its fences: the slack where quartiles coincide.
 OUTER = 0.98
+RANKS = {"q1": 0.25, "q3": 0.75, "lo": 1 - OUTER, "hi": OUTER}
 LEAST_GROUP = 50
 BROADCAST_ROWS = 100_000
 
@@ -114,15 +116,14 @@ def measures(docs: DataFrame) -> DataFrame:
 
 def fences(measured: DataFrame) -> DataFrame:
     """(lang, source, low_..., high_... of each measure) for every group of the corpus."""
-    ranks = {"q1": 0.25, "q3": 0.75, "lo": 1 - OUTER, "hi": OUTER}
     groups = sketch.sketch(measured, ["lang", "source"], list(MEASURES))
     langs = sketch.merge(groups, ["lang"])
-    own = sketch.quantiles(groups, ["lang", "source"], ranks)
-    by_lang = sketch.quantiles(langs, ["lang"], ranks).toDF("l_lang", "l_metric", "l_total", *[f"l_{q}" for q in ranks])
-    whole = sketch.quantiles(sketch.merge(langs, []), [], ranks).toDF("w_metric", "w_total", *[f"w_{q}" for q in ranks])
+    own = sketch.quantiles(groups, ["lang", "source"], RANKS)
+    by_lang = sketch.quantiles(langs, ["lang"], RANKS).toDF("l_lang", "l_metric", "l_total", *[f"l_{q}" for q in RANKS])
+    whole = sketch.quantiles(sketch.merge(langs, []), [], RANKS).toDF("w_metric", "w_total", *[f"w_{q}" for q in RANKS])
     joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric"))).join(whole, F.col("metric") == F.col("w_metric"))
     pick = lambda q: F.when(F.col("total") >= LEAST_GROUP, F.col(q)).when(F.col("l_total") >= LEAST_GROUP, F.col(f"l_{q}")).otherwise(F.col(f"w_{q}"))
-    chosen = joined.select("lang", "source", "metric", *[pick(q).alias(q) for q in ranks])
+    chosen = joined.select("lang", "source", "metric", *[pick(q).alias(q) for q in RANKS])
     step = SPREAD * (F.col("q3") - F.col("q1"))
     # widened by the sketch's error, so that values equal to a quantile are within
     low, high = F.least(F.col("q1") - step, F.col("lo")) / sketch.GAMMA, F.greatest(F.col("q3") + step, F.col("hi")) * sketch.GAMMA
@@ -150,3 +151,57 @@ def judge(docs: DataFrame) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judge(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_WORD = r"[^\x20\x09-\x0D]"
+
+
+def _sql_quantiles(sketch_table: str, keys: str) -> str:
+    """Quantiles of a table (keys..., metric, bucket, n), as ``sketch.quantiles`` takes them."""
+    by = f"{keys}, metric" if keys else "metric"
+    found = ", ".join(f"min(bucket) filter (where up_to >= '{r!r}'::double * total) {name}" for name, r in RANKS.items())
+    values = ", ".join(f"case when {q} > {sketch.ZERO} then pow('{sketch.GAMMA}'::double, {q}) * '{2 / (1 + sketch.GAMMA)!r}'::double else 0 end {q}" for q in RANKS)
+    return f"""select {by}, total, {values} from (
+    select {by}, max(total) total, {found} from (
+      select *, sum(n) over (partition by {by} order by bucket) up_to, sum(n) over (partition by {by}) total from {sketch_table}) group by {by})"""
+
+
+OP2_SQL = f"""
+with d as (select row_number() over () r, doc_id, lang, source, coalesce(text, '') t from documents
+), w as (select *, regexp_extract_all(t, '{_WORD}+') w from d
+), g as (select r, i, array_to_string(list_slice(w, i, i + 2), ' ') x from (select r, w, unnest(range(1, len(w) - 1)) i from w where len(w) >= 3)
+), twice as (select r, i from g qualify count(*) over (partition by r, x) > 1
+), repeated as (select r, count(distinct q) n_repeat_words from (select r, unnest([i, i + 1, i + 2]) q from twice) group by r
+), lines as (
+  select r, count(*) n_lines, count(*) - count(distinct x) n_dup_lines
+  from (select r, unnest(string_split(t, chr(10))) x from d) where regexp_matches(x, '{_WORD}') group by r
+), c as (
+  select r, doc_id, lang, source, cast(len(w) as bigint) n_words, cast(length(array_to_string(w, '')) as bigint) word_chars,
+    cast(len(regexp_extract_all(t, '[#*$%&|<>]')) as bigint) n_symbols, cast(coalesce(n_dup_lines, 0) as bigint) n_dup_lines,
+    cast(coalesce(n_repeat_words, 0) as bigint) n_repeat_words, n_lines,
+    len(regexp_extract_all(t, '[\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E]')) n_marks, len(regexp_extract_all(t, '[A-Z]')) n_capitals
+  from w left join repeated using (r) left join lines using (r)
+), m as (
+  select r, lang, source, unnest(['mean_word', 'symbol_share', 'mark_share', 'capital_share', 'dup_line_share', 'repeat_share']) metric,
+    unnest([word_chars / n_words, n_symbols / word_chars, n_marks / word_chars, n_capitals / word_chars, n_dup_lines / n_lines, n_repeat_words / n_words]) v
+  from c where n_words > 0
+), s as (
+  select lang, source, metric, case when v > 0 then cast(ceil(ln(v) / '{math.log(sketch.GAMMA)!r}'::double) as int) else {sketch.ZERO} end bucket, count(*) n
+  from m group by all
+), by_lang as (select lang, metric, bucket, sum(n) n from s group by all
+), by_none as (select metric, bucket, sum(n) n from s group by all
+), own as ({_sql_quantiles("s", "lang, source")}
+), of_lang as ({_sql_quantiles("by_lang", "lang")}
+), of_all as ({_sql_quantiles("by_none", "")}
+), chosen as (
+  select own.lang, own.source, own.metric,
+    {", ".join(f"case when own.total >= {LEAST_GROUP} then own.{q} when l.total >= {LEAST_GROUP} then l.{q} else a.{q} end {q}" for q in RANKS)}
+  from own join of_lang l on own.lang is not distinct from l.lang and own.metric = l.metric join of_all a on own.metric = a.metric
+), limits as (
+  select lang, source, metric, least(q1 - {SPREAD} * (q3 - q1), lo) / '{sketch.GAMMA}'::double low, greatest(q3 + {SPREAD} * (q3 - q1), hi) * '{sketch.GAMMA}'::double high from chosen
+), outside as (
+  select distinct r from m join limits f on m.lang is not distinct from f.lang and m.source is not distinct from f.source and m.metric = f.metric
+  where v < low or v > high
+), judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from c)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and r not in (select r from outside) kept from judged
+"""

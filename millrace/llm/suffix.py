@@ -543,3 +543,22 @@ def repeated_bytes(docs: DataFrame, with_text: bool = True) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_bytes(read_table(spark, sf_dir, "documents"), with_text=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: Bytes are written as two hex digits, so that windows are plain strings.
+OP8_SQL = """
+with d as (select row_number() over () r, doc_id, coalesce(doc_id, 9223372036854775807) id, hex(encode(coalesce(text, ''))) h from documents
+), g as (select r, id, i, substr(h, 2 * i + 1, 100) t from (select r, id, h, unnest(range(0, length(h) // 2 - 49)) i from d where length(h) >= 100)
+), f as (select t, min(id) least_id from g group by t
+), x as (select r, i from g join f using (t) where least_id < id group by r, i
+), s as (select r, i, i - lag(i) over (partition by r order by i) > 50 is not false begins from x
+), n as (select r, i, count(*) filter (where begins) over (partition by r order by i) run from s
+), runs as (select r, min(i) a, max(i) + 50 b from n group by r, run
+), gaps as (select r, a, b, coalesce(lag(b) over (partition by r order by a), 0) z from runs
+), k as (
+  select r, sum(b - a) n_removed, count(*) n_spans, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) kept
+  from gaps join d using (r) group by r
+)
+select doc_id, cast(length(h) // 2 as bigint) n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, cast(coalesce(n_spans, 0) as bigint) n_spans, sha256(unhex(coalesce(kept, h))) kept_sha256
+from d left join k using (r)
+"""

@@ -226,6 +226,17 @@ def test_word_cache_turns_over(monkeypatch):
         assert encode(t.encode()).tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["op2_quality_rules", "op8_suffix_dedup", "op10_substring_dedup"])
+def test_queries_agree_with_their_sql(spark, odd, name):
+    for folder in (odd[0], DATA):
+        db = duckdb.connect()
+        path = Path(folder) / "documents.parquet"
+        db.sql(f"create view documents as select * from read_parquet('{path}{'/*.parquet' if path.is_dir() else ''}')")
+        wanted = db.sql(queries.SQL[name])
+        found = Counter(tuple(r) for r in queries.QUERIES[name](spark, str(folder)).select(*wanted.columns).collect())
+        assert found == Counter(wanted.fetchall())
+
+
 def test_op2_counts(spark, odd, documents):
     folder, rows = odd
     for source, texts in ((folder, [(i, t) for i, t, *_ in rows]), (DATA, list(documents.items()))):
