@@ -31,10 +31,10 @@ def _offsets(ranged: DataFrame, values: Mapping[str, Column], within: Sequence[s
         found = totals.select(PART, *within, *[F.sum(k).over(earlier).alias(f"__from_{k}") for k in values], F.count("*").over(earlier).alias("__n")).where("__n > 0").drop("__n")
     else:  # a row for each range: one array, folded
         states = totals.agg(F.array_sort(F.collect_list(F.struct(PART, *values))).alias("s"))
-        rest = states.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("s")), lambda i: F.struct(F.element_at("s", i)[PART].alias(PART), F.slice("s", 1, i - 1).alias("b")))).alias("e")).select("e.*")
+        rest = states.select(F.posexplode("s").alias("i", "e"), "s").where("i > 0").select(F.col(f"e.{PART}").alias(PART), F.expr("slice(s, 1, i)").alias("b"))
         kinds = dict(totals.dtypes)
         total = lambda k: F.aggregate("b", F.lit(0).cast(kinds[k]), lambda a, x: a + F.coalesce(x[k], F.lit(0)).cast(kinds[k]))
-        found = rest.where(F.size("b") > 0).select(PART, *[total(k).alias(f"__from_{k}") for k in values])
+        found = rest.select(PART, *[total(k).alias(f"__from_{k}") for k in values])
     return found.withColumnsRenamed({c: f"__of_{c}" for c in (PART, *within)})
 
 
