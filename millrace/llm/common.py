@@ -85,6 +85,18 @@ def crc_mod(n: int, col: str = "doc_id"):
     return (F.crc32(F.coalesce(id_string(col), F.lit("")).cast("binary")) % n).cast("int")
 
 
+#: SQL of crc32, for the queries whose contracts take it of an id: a table of one row, crc32_table(crc_of).
+CRC32_TABLE_SQL = """crc32_steps as (
+  select range k, list_reduce(list_prepend(cast(range as bigint), range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end) v from range(256)
+), crc32_table as (select list(v order by k) crc_of from crc32_steps)"""
+
+
+def crc32_sql(column: str) -> str:
+    """crc32 of an integer as text (null: of the empty text), next to crc32_table."""
+    codes = f"list_transform(string_split(cast({column} as varchar), ''), lambda x: cast(ascii(x) as bigint))"
+    return f"case when {column} is null then 0 else xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, crc_of[(xor(c, b) & 255) + 1])), 4294967295) end"
+
+
 def text_column(batch: pa.RecordBatch, name: str) -> pa.LargeBinaryArray:
     """A text column as bytes with 64-bit offsets; nulls stay nulls."""
     col = batch.column(batch.schema.get_field_index(name))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import chunks, id_string, lean, mix, read_table, spread, text_column, word_numbers, words
+from millrace.llm.common import CRC32_TABLE_SQL, chunks, crc32_sql, id_string, lean, mix, read_table, spread, text_column, word_numbers, words
 
 LEAST_WORDS, LEAST_TIMES = 6, 4
 #: Pairs of a period and a grid point that are extended at once.
@@ -252,14 +252,9 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 #: Pairs of equal words instead of a grid: every (i, j) of one word in a text with j - i at most a quarter of it.
 OP12_SQL = f"""
-with table8 as (
-  select range k, list_reduce(list_prepend(cast(range as bigint), range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end) v from range(256)
-), lookup as (select list(v order by k) crc_of from table8
-), d as (
-  select row_number() over () r, doc_id, coalesce(regexp_extract_all(text, '{_WORD}'), []) w,
-    case when doc_id is null then 0 else xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint))),
-      lambda c, b: xor(c >> 8, crc_of[(xor(c, b) & 255) + 1])), 4294967295) end h
-  from documents, lookup
+with {CRC32_TABLE_SQL}
+, d as (
+  select row_number() over () r, doc_id, coalesce(regexp_extract_all(text, '{_WORD}'), []) w, {crc32_sql("doc_id")} h from documents, crc32_table
 ), s as (
   select r, doc_id, w, len(w) n, case when h % 10 = 0 and len(w) > 0 then (h // 10) % greatest(len(w), 1) else len(w) end a,
     1 + (len(w) - (h // 10) % greatest(len(w), 1)) // (3 + (h // 10) % 8) p from d

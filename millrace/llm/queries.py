@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, decontaminate, gru, kneser_ney, language, packing, periodic, rules, simhash, substring, suffix
+from millrace.llm import chat, decontaminate, gru, kneser_ney, language, packing, periodic, prefix_trie, rules, simhash, substring, suffix
 
 QUERIES = {
     "op1_quality_classifier": kneser_ney.op1_quality_classifier,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_lm_scoring": gru.op9_lm_scoring,
     "op10_substring_dedup": substring.op10_substring_dedup,
     "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 SQL: dict[str, str] = {
     "op2_quality_rules": rules.OP2_SQL,
@@ -23,4 +24,5 @@ SQL: dict[str, str] = {
     "op8_suffix_dedup": suffix.OP8_SQL,
     "op10_substring_dedup": substring.OP10_SQL,
     "op12_periodic_runs": periodic.OP12_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
