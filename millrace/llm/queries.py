@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, decontaminate, gru, kneser_ney, language, packing, periodic, prefix_trie, rules, simhash, substring, suffix
+from millrace.llm import chat, decontaminate, gru, kneser_ney, language, packing, periodic, prefix_trie, rules, simhash, substring, suffix, topk
 
 QUERIES = {
     "op1_quality_classifier": kneser_ney.op1_quality_classifier,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix.op8_suffix_dedup,
     "op9_lm_scoring": gru.op9_lm_scoring,
     "op10_substring_dedup": substring.op10_substring_dedup,
+    "op11_exact_topk": topk.op11_exact_topk,
     "op12_periodic_runs": periodic.op12_periodic_runs,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
@@ -23,6 +24,7 @@ SQL: dict[str, str] = {
     "op6_decontamination": decontaminate.OP6_SQL,
     "op8_suffix_dedup": suffix.OP8_SQL,
     "op10_substring_dedup": substring.OP10_SQL,
+    "op11_exact_topk": topk.OP11_SQL,
     "op12_periodic_runs": periodic.OP12_SQL,
     "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
