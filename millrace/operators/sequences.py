@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.plans.session import checkpointed
+from millrace.operators.links import follow
 
 
 def neighbours(df: DataFrame, within: Sequence[str], by: Sequence[str], column: str) -> DataFrame:
@@ -82,21 +82,17 @@ def orient(df: DataFrame, within: Sequence[str], order: str, direction: str) ->
     return df.withColumn("__c", cross).withColumn(order, F.when(turned, low + high - F.col(order)).otherwise(F.col(order))).drop("__c")
 
 
-def chain_segments(segments: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame:
-    """Follows (street, from_node, to_node, length) in either direction from each street's start node.
+def chain_segments(segments: DataFrame, start: DataFrame) -> DataFrame:
+    """Follows (street, from_node, to_node, length) forwards from each street's start node, then backwards from it.
 
-    A bounded loop of joins, one step per round for all streets at once, checkpointed; a node is visited once.
-    Returns (street, node, step, along).
+    Where a node has several segments the one to the smaller node goes on. A node is visited once: the way forward ends
+    at a node that it has passed, the way back at one that either has. Returns (street, node, step, along); step and
+    along are 0 at the start and negative before it. Streets of any length take a logarithmic number of joins.
     """
-    both = segments.select("street", F.col("from_node").alias("a"), F.col("to_node").alias("b"), "length").union(segments.select("street", F.col("to_node"), F.col("from_node"), "length"))
-    reached = start.select("street", "node", F.lit(0).alias("step"), F.lit(0.0).alias("along"))
-    edge = reached
-    for k in range(1, most + 1):
-        ahead = edge.join(both, (edge["street"] == both["street"]) & (edge["node"] == both["a"])).select(edge["street"], F.col("b").alias("node"), F.lit(k).alias("step"), (F.col("along") + F.col("length")).alias("along"))
-        new = ahead.groupBy("street", "node", "step").agg(F.min("along").alias("along")).join(reached, ["street", "node"], "left_anti")
-        new = checkpointed(new)
-        if new.isEmpty():
-            break
-        reached = reached.union(new.select(*reached.columns))
-        edge = new.select(*reached.columns)
-    return reached
+    links = lambda a, b: segments.groupBy("street", F.col(a).alias("node")).agg(F.min(F.struct(F.col(b).alias("next"), "length")).alias("s")).select("street", "node", "s.next", "s.length")
+    starts = start.select("street", "node")
+    ahead = follow(links("from_node", "to_node"), starts, ["street"]).select("street", "node", "step", "along")
+    back = follow(links("to_node", "from_node"), starts, ["street"]).where("step > 0").select("street", "node", "step", "along")
+    met = back.join(ahead.select("street", "node"), ["street", "node"]).groupBy("street").agg(F.min("step").alias("met"))
+    rest = back.join(met, "street", "left").where("met is null or step < met")
+    return ahead.union(rest.select("street", "node", -F.col("step"), -F.col("along")))

@@ -645,12 +645,38 @@ def reverse_ring(spark, d):
     return sequences.orient(t, ["shape_row_id"], "seq", "reverse").select("event_id", "seq")
 
 
-@query("select n_regionkey street, n_nationkey node, cast(row_number() over w - 1 as int) step, cast(row_number() over w - 1 as double) along from nation window w as (partition by n_regionkey order by n_nationkey)")
+@query(
+    """with recursive o as (
+  select user_id street, event_id n, value, lead(event_id) over w nx, lead(value) over w nv, lead(event_id, 2) over w skip, first_value(event_id) over w f
+  from events window w as (partition by user_id order by ts, event_id)
+), seg as (
+  select street, n a, nx b, round(abs(nv - value), 3) len from o where nx is not null
+  union all select street, n, skip, 1.5 from o where n % 7 = 0 and skip is not null
+  union all select street, n, f, 2.0 from o where nx is null and street % 10 = 0
+), f as (select * from seg qualify row_number() over (partition by street, a order by b, len) = 1
+), g as (select * from seg qualify row_number() over (partition by street, b order by a, len) = 1
+), s as (select street, min(n) node, count(*) most from o group by 1
+), ahead(street, node, step, along, most) as (
+  select street, node, 0, 0.0::double, most from s
+  union all select t.street, b, step + 1, along + len, most from ahead t join f on t.street = f.street and t.node = f.a where step < most
+), back(street, node, step, along, most) as (
+  select street, node, 0, 0.0::double, most from s
+  union all select t.street, a, step + 1, along + len, most from back t join g on t.street = g.street and t.node = g.b where step < most
+), fa as (select street, node, min(step) step, arg_min(along, step) along from ahead group by 1, 2
+), ba as (select street, node, min(step) step, arg_min(along, step) along from back where step > 0 group by 1, 2
+), met as (select street, min(ba.step) met from ba join fa using (street, node) group by 1)
+select street, node, cast(step as bigint) step, round(along, 3) along from fa
+union all select street, node, cast(-step as bigint), round(-along, 3) from ba left join met using (street) where met is null or step < met"""
+)
 def chain_streets(spark, d):
-    n = table(spark, d, "nation")
-    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
-    s = n.select(F.col("n_regionkey").alias("street"), F.col("n_nationkey").alias("from_node"), F.lead("n_nationkey").over(w).alias("to_node"), F.lit(1.0).alias("length")).where("to_node is not null")
-    return sequences.chain_segments(s, n.groupBy(F.col("n_regionkey").alias("street")).agg(F.min("n_nationkey").alias("node")))
+    """Each user's events as a street: one after the other, with short cuts, some of them closed; from the first id both ways."""
+    w = Window.partitionBy("street").orderBy("ts", "n")
+    e = table(spark, d, "events").select(F.col("user_id").alias("street"), F.col("event_id").alias("n"), "value", "ts")
+    o = e.select("street", "n", "value", *[F.lead(c, k).over(w).alias(a) for c, k, a in (("n", 1, "nx"), ("value", 1, "nv"), ("n", 2, "skip"))], F.first("n").over(w).alias("f"))
+    part = lambda to, length, where: o.where(where).select("street", F.col("n").alias("from_node"), F.col(to).alias("to_node"), length.alias("length"))
+    segments = part("nx", _r(F.abs(F.col("nv") - F.col("value")), 3), "nx is not null").union(part("skip", F.lit(1.5), "n % 7 = 0 and skip is not null")).union(part("f", F.lit(2.0), "nx is null and street % 10 = 0"))
+    found = sequences.chain_segments(segments, e.groupBy("street").agg(F.min("n").alias("node")))
+    return found.withColumn("along", _r("along", 3))
 
 
 # Shapes
