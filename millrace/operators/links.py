@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.session import checkpointed
+from millrace.plans.session import removed, stored
 
 
 def _twice_as_far(jump: DataFrame, keys: Sequence[str], merge: dict) -> DataFrame:
@@ -30,28 +30,32 @@ def follow(links: DataFrame, starts: DataFrame, keys: Sequence[str] = ()) -> Dat
     where a node has no link or was passed before: a node has its first step. Rows with a null key or node are in
     no chain. Chains that run together keep the smaller step, then the smaller ``along`` and start.
     """
-    jump = checkpointed(links.select(*keys, "node", "next", F.col("length").cast("double").alias("length")))
-    found = checkpointed(starts.select(*keys, "node", F.col("node").alias("start"), F.lit(0).cast("long").alias("step"), F.lit(0.0).alias("along")))
+    jump = stored(links.select(*keys, "node", "next", F.col("length").cast("double").alias("length")))
+    found = stored(starts.select(*keys, "node", F.col("node").alias("start"), F.lit(0).cast("long").alias("step"), F.lit(0.0).alias("along")))
     reach, known = 1, found.count()
     while known:
         ahead = found.join(jump, [*keys, "node"]).select(*keys, F.col("next").alias("node"), "start", (F.col("step") + reach).alias("step"), (F.col("along") + F.col("length")).alias("along"))
         first = found.unionByName(ahead).groupBy(*keys, "node").agg(F.min(F.struct("step", "along", "start")).alias("f"))
-        found = checkpointed(first.select(*keys, "node", "f.start", "f.step", "f.along"))
+        before, found = found, stored(first.select(*keys, "node", "f.start", "f.step", "f.along"))
+        removed(before)
         if (now := found.count()) == known:
             break
         known, reach = now, 2 * reach
-        jump = checkpointed(_twice_as_far(jump, keys, {"length": F.col("t.length") + F.col("u.length")}))
+        before, jump = jump, stored(_twice_as_far(jump, keys, {"length": F.col("t.length") + F.col("u.length")}))
+        removed(before)
+    removed(jump)
     return found
 
 
 def rank_cycles(links: DataFrame) -> DataFrame:
     """(node, start, step) of every node of the cycles in (node, next): start is the cycle's smallest node, step its
     distance from there. ``next`` must be a permutation of ``node``."""
-    pointers = checkpointed(links.select("node", "next"))
-    jump = checkpointed(pointers.withColumn("least", F.least("node", "next")))
+    pointers = stored(links.select("node", "next"))
+    jump = stored(pointers.withColumn("least", F.least("node", "next")))
     while True:
-        further = checkpointed(_twice_as_far(jump, (), {"least": F.least("t.least", "u.least"), "moved": F.col("u.least") < F.col("t.least")}))
-        jump = further.drop("moved")
+        further = stored(_twice_as_far(jump, (), {"least": F.least("t.least", "u.least"), "moved": F.col("u.least") < F.col("t.least")}))
+        removed(jump)
+        jump = further
         if further.where("moved").isEmpty():  # the least of each node's stretch is no longer less further on: it is the cycle's
             break
     starts = jump.where("least = node").select("node")

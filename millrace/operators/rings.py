@@ -12,37 +12,6 @@ def area(ring: list[Point]) -> float:
     return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1])) / 2
 
 
-def simplify(x: np.ndarray, y: np.ndarray, distance: float) -> np.ndarray:
-    """Douglas-Peucker: which vertices stay. Ends stay, and any further than ``distance`` from its chord's line.
-
-    A ring (first vertex = last) is first split at the vertex farthest from its start.
-    """
-    n = len(x)
-    keep = np.zeros(n, bool)
-    if not n:
-        return keep
-    keep[[0, n - 1]] = True
-    spans = [(0, n - 1)]
-    if n > 2 and x[0] == x[-1] and y[0] == y[-1]:
-        far = int(np.argmax((x - x[0]) ** 2 + (y - y[0]) ** 2))
-        keep[far] = True
-        spans = [(0, far), (far, n - 1)]
-    while spans:
-        a, b = spans.pop()
-        if b - a < 2:
-            continue
-        dx, dy = x[b] - x[a], y[b] - y[a]
-        px, py = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]
-        length = np.hypot(dx, dy)
-        gap = np.abs(dx * py - dy * px) / length if length else np.hypot(px, py)
-        k = int(np.argmax(gap))
-        if gap[k] > distance:
-            m = a + 1 + k
-            keep[m] = True
-            spans += [(a, m), (m, b)]
-    return keep
-
-
 def overlap_end(x: np.ndarray, y: np.ndarray, distance: float) -> int:
     """How many vertices a loop keeps when a tail that repeats its head, within ``distance``, is cut off."""
     n = len(x)

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.plans.session import checkpointed
+from millrace.plans.session import stored
 
 PART, PLACE = "__part", "__place"
 
@@ -20,7 +20,7 @@ def in_ranges(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """``df`` in ranges of ``order``, with the number of its range and its place there; rows that tie are spread too."""
     salted = df.withColumn("__salt", F.monotonically_increasing_id())
     ranged = salted.repartitionByRange(*order, "__salt").sortWithinPartitions(*order, "__salt").drop("__salt")
-    return checkpointed(ranged.withColumns({PART: F.spark_partition_id().cast("long"), PLACE: F.monotonically_increasing_id()}))
+    return stored(ranged.withColumns({PART: F.spark_partition_id().cast("long"), PLACE: F.monotonically_increasing_id()}))
 
 
 def _offsets(ranged: DataFrame, values: Mapping[str, Column], within: Sequence[str]) -> DataFrame:

@@ -89,10 +89,11 @@ def chain_segments(segments: DataFrame, start: DataFrame) -> DataFrame:
     at a node that it has passed, the way back at one that either has. Returns (street, node, step, along); step and
     along are 0 at the start and negative before it. Streets of any length take a logarithmic number of joins.
     """
-    links = lambda a, b: segments.groupBy("street", F.col(a).alias("node")).agg(F.min(F.struct(F.col(b).alias("next"), "length")).alias("s")).select("street", "node", "s.next", "s.length")
-    starts = start.select("street", "node")
-    ahead = follow(links("from_node", "to_node"), starts, ["street"]).select("street", "node", "step", "along")
-    back = follow(links("to_node", "from_node"), starts, ["street"]).where("step > 0").select("street", "node", "step", "along")
+    links = lambda a, b, way: segments.groupBy("street", F.col(a).alias("node")).agg(F.min(F.struct(F.col(b).alias("next"), "length")).alias("s")).select(F.lit(way).alias("way"), "street", "node", "s.next", "s.length")
+    both = links("from_node", "to_node", 1).union(links("to_node", "from_node", -1))
+    starts = start.select("street", "node", F.explode(F.array(F.lit(1), F.lit(-1))).alias("way"))
+    found = follow(both, starts, ["way", "street"])
+    ahead, back = found.where("way = 1"), found.where("way = -1 and step > 0")
     met = back.join(ahead.select("street", "node"), ["street", "node"]).groupBy("street").agg(F.min("step").alias("met"))
     rest = back.join(met, "street", "left").where("met is null or step < met")
-    return ahead.union(rest.select("street", "node", -F.col("step"), -F.col("along")))
+    return ahead.select("street", "node", "step", "along").union(rest.select("street", "node", -F.col("step"), -F.col("along")))

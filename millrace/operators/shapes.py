@@ -1,15 +1,20 @@
-"""Shape operators over vertex tables: each shape is one group of rows, so shapes are spread over the cluster."""
+"""Shape operators over vertex tables: as rounds over all shapes at once, or with each shape as one group of rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators import rings
+from millrace.operators import rings, scans
+from millrace.plans.session import stored
+
+#: Chords of so many vertices are no longer one window's group; levels of shorter ones that follow in one job.
+LONG_CHORD, LEVELS = 1 << 16, 6
 
 
 def _points(pdf: pd.DataFrame, order: str) -> list[tuple[float, float]]:
@@ -17,14 +22,65 @@ def _points(pdf: pd.DataFrame, order: str) -> list[tuple[float, float]]:
     return list(zip(pdf["x"].astype(float), pdf["y"].astype(float)))
 
 
-def simplify(df: DataFrame, keys: Sequence[str], order: str, distance: float = 0.0001) -> DataFrame:
-    """Douglas-Peucker on each part; rows stay as they are or go."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf[rings.simplify(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), distance)]
-
-    return df.groupBy(*keys).applyInPandas(run, df.schema)
+def simplify(df: DataFrame, keys: Sequence[str], order: str, distance: float = 0.0001, most: int = LONG_CHORD) -> DataFrame:
+    """Douglas-Peucker on each part: ends stay, and any vertex farther than ``distance`` from the line of its chord.
+
+    A ring (first vertex = last) is first split at the vertex farthest from its start. All open chords of all parts are
+    worked on at once: chords whose farthest vertex (ties: the first) is beyond the distance are split there, and the
+    vertices of the others drop out. For chords of more than ``most`` vertices that is an aggregation and a join for
+    each level; shorter ones are windows within a task, LEVELS levels a job. Parts may be of any size.
+    Rows stay as they are or go; null keys are keys like any other, missing coordinates count as 0.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+    c = F.col
+    same = lambda t, u: reduce(lambda x, y: x & y, [c(f"{t}.{n}").eqNullSafe(c(f"{u}.{n}")) for n in names])
+    rows = stored(scans.numbered(df, [order], keys, "__i"))
+    v = rows.select(*[c(k).alias(n) for k, n in zip(keys, names)], "__i", F.coalesce(c("x").cast("double"), F.lit(0.0)).alias("px"), F.coalesce(c("y").cast("double"), F.lit(0.0)).alias("py"))
+    at = F.struct(c("__i").alias("i"), "px", "py")
+    ends = stored(v.groupBy(*names).agg(F.min_by(at, "__i").alias("a"), F.max_by(at, "__i").alias("b")))
+    ring = (c("b.i") > c("a.i") + 1) & (c("a.px") == c("b.px")) & (c("a.py") == c("b.py"))
+    apart = (c("px") - c("a.px")) ** 2 + (c("py") - c("a.py")) ** 2
+    rings = v.alias("t").join(ends.where(ring).alias("u"), same("t", "u")).select(*[f"t.{n}" for n in names], "__i", "px", "py", "a")
+    far = rings.groupBy(*names).agg(F.max_by(at, F.struct(apart, -c("__i"))).alias("m"))
+    chords = stored(ends.alias("t").join(far.alias("u"), same("t", "u"), "left").select(*[f"t.{n}" for n in names], "a", "b", "m"))
+    kept = [chords.select(*names, F.explode(F.array_compact(F.array("a.i", "b.i", "m.i"))).alias("__i"))]
+    first = c("m").isNull() | (c("__i") < c("m.i"))
+    opened = v.alias("t").join(chords.alias("u"), same("t", "u")).where((c("__i") > c("a.i")) & (c("__i") < c("b.i")) & (c("m").isNull() | (c("__i") != c("m.i"))))
+    opened = opened.select(*[f"t.{n}" for n in names], "__i", "px", "py", F.when(first, c("a")).otherwise(c("m")).alias("a"), F.when(first, F.coalesce("m", "b")).otherwise(c("b")).alias("b"))
+    dx, dy = c("b.px") - c("a.px"), c("b.py") - c("a.py")
+    qx, qy = c("px") - c("a.px"), c("py") - c("a.py")
+    length = F.sqrt(dx * dx + dy * dy)
+    gap = F.when(length > 0, F.abs(dx * qy - dy * qx) / length).otherwise(F.sqrt(qx * qx + qy * qy))
+    best, before, cut = F.struct(gap, -c("__i")), c("__i") < c("m.i"), c("__i") == c("m.i")
+    # a cut is a chord from itself to itself: it is kept and not worked on again
+    halves = (F.when(before, c("a")).otherwise(c("m")).alias("a"), F.when(before | cut, c("m")).otherwise(c("b")).alias("b"))
+    is_cut, is_long = c("a.i") == c("b.i"), c("b.i") - c("a.i") > most
+    opened = stored(opened)
+    short, long = [opened.where(~is_long)], opened.where(is_long)
+    while not long.isEmpty():
+        farthest = long.groupBy(*names, c("a.i").alias("__a")).agg(F.max_by(at, best).alias("m"), F.max(gap).alias("gap")).where(c("gap") > distance)
+        split = long.alias("t").join(farthest.alias("u"), same("t", "u") & (c("t.a.i") == c("__a")))
+        now = stored(split.select(*[f"t.{n}" for n in names], "__i", "px", "py", *halves))
+        short.append(now.where(~is_long))
+        long = now.where(is_long)
+    # chords that fit in a task: their vertices are dealt once, and several levels follow without another shuffle
+    now = reduce(DataFrame.union, short)
+    kept.append(now.where(is_cut).select(*names, "__i"))
+    opened = now.where(~is_cut)
+    chord = Window.partitionBy(*names, "__g", "a.i", "b.i")
+    while True:
+        now = opened.withColumn("__g", c("a.i")).repartition(*names, "__g")
+        for _ in range(LEVELS):
+            level = now.withColumns({"m": F.when(~is_cut, F.max_by(at, best).over(chord)).otherwise(c("a")), "gap": F.max(gap).over(chord)}).where(is_cut | (c("gap") > distance))
+            now = level.select(*names, "__g", "__i", "px", "py", *halves)
+        now = stored(now.drop("__g"))
+        kept.append(now.where(is_cut).select(*names, "__i"))
+        opened = now.where(~is_cut)
+        if opened.isEmpty():
+            break
+    chosen = reduce(DataFrame.union, kept).withColumnRenamed("__i", "__kept_i")
+    on = reduce(lambda x, y: x & y, [c(k).eqNullSafe(c(n)) for k, n in zip(keys, names)], c("__i") == c("__kept_i"))
+    return rows.join(chosen, on, "left_semi").select(*df.columns)
 
 
 def cut_overlap(df: DataFrame, keys: Sequence[str], order: str, distance: float = 1e-6) -> DataFrame:

@@ -682,9 +682,30 @@ def chain_streets(spark, d):
 # Shapes
 
 
-@query()
+@query(
+    """, v as (select shape_row_id s, event_id, x, y, row_number() over (partition by shape_row_id order by x, event_id) i from tracks
+), e as (select s, min(i) a, max(i) b from v group by 1
+), ring as (select e.*, p.x, p.y from e join v p on p.s = e.s and p.i = e.a join v q on q.s = e.s and q.i = e.b where p.x = q.x and p.y = q.y and b > a + 1
+), far as (select v.s, arg_max(i, struct_pack(d := (v.x - ring.x) ** 2 + (v.y - ring.y) ** 2, k := -i)) m from v join ring using (s) group by 1
+), chord(s, a, b) as (
+  select s, a, b from e where s not in (select s from far)
+  union all select s, unnest([a, m]), unnest([m, b]) from e join far using (s)
+  union all
+  select s, unnest([a, m]), unnest([m, b]) from (
+    select c.s, c.a, c.b, arg_max(v.i, struct_pack(g := gap, k := -v.i)) m, max(gap) g from (
+      select c.*, v.i, case when (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) > 0
+        then abs((q.x - p.x) * (v.y - p.y) - (q.y - p.y) * (v.x - p.x)) / sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y))
+        else sqrt((v.x - p.x) * (v.x - p.x) + (v.y - p.y) * (v.y - p.y)) end gap
+      from chord c join v on v.s = c.s and v.i > c.a and v.i < c.b join v p on p.s = c.s and p.i = c.a join v q on q.s = c.s and q.i = c.b) c
+    join v using (s, i) group by 1, 2, 3) where g > 5)
+select s shape_row_id, event_id from v where (s, i) in (select s, a from chord union select s, b from chord)""".replace("), v as (", "), v as (", 1),
+    "tracks",
+)
 def simplify(spark, d):
-    return shapes.simplify(tracks(spark, d), ["shape_row_id"], "x", 5.0).select("shape_row_id", "event_id")
+    return shapes.simplify(tracks(spark, d).withColumn("seq", F.struct("x", "event_id")), ["shape_row_id"], "seq", 5.0).select("shape_row_id", "event_id")
+
+
+SQL["simplify"] = SQL["simplify"].replace("with tracks", "with recursive tracks", 1).replace(") , v as", "), v as", 1)
 
 
 @query("select grp, row_id seq from points", "points")

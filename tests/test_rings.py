@@ -52,15 +52,6 @@ def test_star_areas_are_kept(spokes):
         assert triangles(rings.tessellate([ring])) == pytest.approx(abs(rings.area(ring)), rel=1e-6, abs=1e-9)
 
 
-def test_simplify():
-    x = np.arange(5.0)
-    assert rings.simplify(x, x * 2, 0.1).tolist() == [True, False, False, False, True]
-    assert rings.simplify(x, np.array([0, 0, 3.0, 0, 0]), 0.5).tolist() == [True, True, True, True, True]
-    assert rings.simplify(np.zeros(0), np.zeros(0), 1).tolist() == []
-    ring = np.array([0, 1, 2, 1, 0.0]), np.array([0, 0.01, 0, -0.01, 0])
-    assert rings.simplify(*ring, 0.1).tolist() == [True, False, True, False, True]
-
-
 def test_overlap():
     x = np.array([0, 1, 1, 0, 0.0])
     y = np.array([0, 0, 1, 1, 0.0])
