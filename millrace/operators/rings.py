@@ -199,20 +199,6 @@ def _rings(edges: list[tuple[Point, Point]]) -> list[list[Point]]:
     return out
 
 
-def dissolve(rings: list[list[Point]], digits: int = 6) -> list[list[Point]]:
-    """The outlines of rings that share edges: an edge that two rings run in opposite ways vanishes."""
-    edges: dict[tuple[Point, Point], int] = {}
-    for r in rings:
-        r = _open([(round(x, digits), round(y, digits)) for x, y in r])
-        r = r if area(r) > 0 else r[::-1]
-        for e in zip(r, r[1:] + r[:1]):
-            if (e[1], e[0]) in edges:
-                del edges[(e[1], e[0])]
-            else:
-                edges[e] = 1
-    return _rings(list(edges))
-
-
 def voronoi(points: list[Point], box: tuple[float, float, float, float]) -> list[list[Point]]:
     """The cell of each point within a box: the box cut by the bisectors with the other points, nearest first."""
     x0, y0, x1, y1 = box

@@ -133,18 +133,6 @@ def clip(df: DataFrame, shape: str, order: str, ring: list[tuple[float, float]],
     return df.groupBy(shape).applyInPandas(run, f"`{shape}` {kind}, part int, seq int, x double, y double")
 
 
-def dissolve(df: DataFrame, keys: Sequence[str], shape: str, order: str) -> DataFrame:
-    """Outlines of each group's shapes that share edges: (keys..., part, seq, x, y)."""
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = rings.dissolve([_points(g, order) for _, g in pdf.groupby(shape, sort=True)])
-        rows = [(*[pdf[k].iloc[0] for k in keys], p, i, *xy) for p, r in enumerate(found) for i, xy in enumerate(r)]
-        return pd.DataFrame(rows, columns=[*keys, "part", "seq", "x", "y"])
-
-    return df.groupBy(*keys).applyInPandas(run, f"{kinds}, part int, seq int, x double, y double")
-
-
 def voronoi(df: DataFrame, group: str, point: str, box: tuple[float, float, float, float]) -> DataFrame:
     """The cell of each distinct point of a group: (group, point, seq, x, y)."""
     kind, own = df.schema[group].dataType.simpleString(), df.schema[point].dataType.simpleString()

@@ -18,7 +18,7 @@ from millrace.functions import projections as P
 from millrace.functions import scalars as S
 from millrace.functions import templates, vectors
 from millrace.operators import aggregates as A
-from millrace.operators import changes, columns, joins, rows, sequences, serving, shapes
+from millrace.operators import changes, columns, joins, outlines, rows, sequences, serving, shapes
 from millrace.plans.standins import addresses, points, sql, table, tickets, tracks, triangles
 from millrace.plans.session import shared_folder
 from millrace.sources import blockfile, delimited, feeds, files, generate, shapefile, writers
@@ -756,11 +756,18 @@ def clip_shapes(spark, d):
     return joined.select("grp", _r(part("intersection") + part("difference"), 5).alias("whole"), _r(part("union") + part("intersection"), 5).alias("both_together"), _r(part("exclusive_or") - part("difference") + part("intersection"), 5).alias("of_box"))
 
 
-@query(_RING_AREA + " select grp, round(abs(sum(x * ny - nx * y)) / 2, 6) area from n group by 1", "points")
+@query(
+    _RING_AREA + """ select grp, count(*) over (partition by grp) edges, px, py, qx, qy from (
+  select grp, round(x, 6) px, round(y, 6) py, round(nx, 6) qx, round(ny, 6) qy from n) where px <> qx or py <> qy""", "points",
+)
 def dissolve_shapes(spark, d):
-    """The triangles of a ring, put together again, have its area."""
+    """The triangles of a ring, put together again: its edges, in order, and no other."""
     t = shapes.tessellate(_rings(spark, d), "grp", "part", "seq")
-    return _area(shapes.dissolve(t, ["grp"], "triangle", "corner"), "grp").withColumn("area", _r("area"))
+    found = outlines.dissolve(t, ["grp"], "triangle", "corner")
+    w = Window.partitionBy("grp", "part").orderBy("seq")
+    ring = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    q = [F.coalesce(F.lead(c).over(w), F.first(c).over(ring)).alias(f"q{c}") for c in ("x", "y")]
+    return found.select("grp", F.count("*").over(Window.partitionBy("grp")).alias("edges"), F.col("x").alias("px"), F.col("y").alias("py"), *q)
 
 
 @query("select grp, count(*) cells, 4.0::double area from (select distinct grp, x, y from points) group by 1", "points")

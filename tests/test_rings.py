@@ -59,11 +59,6 @@ def test_overlap():
     assert rings.overlap_end(x[:4], y[:4], 1e-6) == 4
 
 
-def test_dissolve():
-    found = rings.dissolve([SQUARE, [(x + 1, y) for x, y in SQUARE]])
-    assert len(found) == 1 and size(found) == pytest.approx(2)
-
-
 def test_voronoi_fills_the_box():
     rng = np.random.default_rng(3)
     points = [tuple(p) for p in rng.random((12, 2))]
