@@ -29,7 +29,8 @@ SPREAD = 3.0
 #: The group's quantiles of this rank, and of 1 less it, are within its fences: the slack where quartiles coincide.
 OUTER = 0.98
 RANKS = {"q1": 0.25, "q3": 0.75, "lo": 1 - OUTER, "hi": OUTER}
-LEAST_GROUP = 50
+#: Groups of fewer documents share their quantiles with their language in proportion, languages with the corpus.
+FULL_GROUP = 100
 BROADCAST_ROWS = 100_000
 
 
@@ -122,7 +123,10 @@ def fences(measured: DataFrame) -> DataFrame:
     by_lang = sketch.quantiles(langs, ["lang"], RANKS).toDF("l_lang", "l_metric", "l_total", *[f"l_{q}" for q in RANKS])
     whole = sketch.quantiles(sketch.merge(langs, []), [], RANKS).toDF("w_metric", "w_total", *[f"w_{q}" for q in RANKS])
     joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric"))).join(whole, F.col("metric") == F.col("w_metric"))
-    pick = lambda q: F.when(F.col("total") >= LEAST_GROUP, F.col(q)).when(F.col("l_total") >= LEAST_GROUP, F.col(f"l_{q}")).otherwise(F.col(f"w_{q}"))
+    # the smaller a group, the more it follows its language, and that the corpus: each row moves its fences a little
+    share = lambda n: F.least(F.col(n) / FULL_GROUP, F.lit(1.0))
+    mean = lambda w, a, b: w * a + (1 - w) * b
+    pick = lambda q: mean(share("total"), F.col(q), mean(share("l_total"), F.col(f"l_{q}"), F.col(f"w_{q}")))
     chosen = joined.select("lang", "source", "metric", *[pick(q).alias(q) for q in RANKS])
     step = SPREAD * (F.col("q3") - F.col("q1"))
     # widened by the sketch's error, so that values equal to a quantile are within
@@ -195,7 +199,8 @@ with d as (select row_number() over () r, doc_id, lang, source, coalesce(text, '
 ), of_all as ({_sql_quantiles("by_none", "")}
 ), chosen as (
   select own.lang, own.source, own.metric,
-    {", ".join(f"case when own.total >= {LEAST_GROUP} then own.{q} when l.total >= {LEAST_GROUP} then l.{q} else a.{q} end {q}" for q in RANKS)}
+    least(own.total / {FULL_GROUP}, 1) own_share, least(l.total / {FULL_GROUP}, 1) lang_share,
+    {", ".join(f"own_share * own.{q} + (1 - own_share) * (lang_share * l.{q} + (1 - lang_share) * a.{q}) {q}" for q in RANKS)}
   from own join of_lang l on own.lang is not distinct from l.lang and own.metric = l.metric join of_all a on own.metric = a.metric
 ), limits as (
   select lang, source, metric, least(q1 - {SPREAD} * (q3 - q1), lo) / '{sketch.GAMMA}'::double low, greatest(q3 + {SPREAD} * (q3 - q1), hi) * '{sketch.GAMMA}'::double high from chosen

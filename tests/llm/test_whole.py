@@ -144,3 +144,16 @@ def test_op6_judges_every_row(spark):
     docs = cases.table(spark, [(1, item + " and", "en", "s", 1)] * 3 + [(1, "other", "en", "s", 1), (None, item, "en", "s", 1), (None, item, "en", "s", 1)])
     found = decontaminate.hits(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"]) for r in found) == [(0, 13, 13)] * 2 + [(1, 1, 0)] + [(1, 14, 13)] * 3
+
+
+def test_op2_fences_of_small_groups_blend(spark):
+    """Ten marks a document: how far a group's own quantiles count grows row by row, without a size that flips it."""
+    plain = [(i, " ".join(f"w{i}x{j}" for j in range(60)), "en", "a", 1) for i in range(4000)]
+    ends = []
+    for n in (24, 25, 49, 50, 51):
+        marked = [(1000 + i, " ".join(f"v{i}x{j}" for j in range(60)) + " #" * 10, "en", "b", 1) for i in range(n)]
+        limits = rules.fences(rules.measures(cases.table(spark, plain + marked)).where("n_words > 0"))
+        ends.append({r["source"]: r["high_symbol_share"] for r in limits.collect()}["b"])
+    own = 10 / (sum(len(f"v{0}x{j}") for j in range(60)) + 10)
+    steps = [b - a for a, b in zip(ends, ends[1:])]
+    assert all(0 < s < 0.02 * own for s in (steps[0], steps[2], steps[3])) and 0.2 * own < ends[0] < ends[-1] < 0.9 * own
