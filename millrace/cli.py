@@ -61,6 +61,17 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
     return readers[path.rsplit(".", 1)[-1]]()
 
 
+def _triangles(df: DataFrame, shape: str, part: str, order: str) -> DataFrame:
+    """A shape's triangles as its parts (shape_part_type 4), with the other columns of its first row."""
+    found = shapes.tessellate(df, shape, part, order).withColumnsRenamed({"triangle": part, "corner": order})
+    rest = [c for c in df.columns if c not in (shape, part, order, "x", "y", "shape_part_type")]
+    typed = found.withColumn("shape_part_type", F.lit(4))
+    if not rest:
+        return typed
+    first = df.groupBy(F.col(shape).alias("__shape")).agg(F.min_by(F.struct(*rest), F.struct(part, order)).alias("__rest"))
+    return typed.join(first, F.col(shape).eqNullSafe(F.col("__shape")), "left").select(*typed.columns, *[F.col(f"__rest.{c}").alias(c) for c in rest])
+
+
 SOURCES = {
     "read": lambda spark, a, o: _read(spark, a[0]),
     "generate": lambda spark, a, o: generate.square(spark) if o.get("shape") == "square" else generate.circle(spark, int(o.get("n", "50"))),
@@ -94,8 +105,8 @@ STEPS = {
     "thin": lambda df, a, o: shapes.thin_parts(df, _keys(o), o.get("order", "seq"), float(o["distance"]), "euclid" in o),
     "loop-overlap": lambda df, a, o: shapes.cut_overlap(df, _keys(o), o.get("order", "seq"), float(o.get("distance", "1e-6"))),
     "simplify": lambda df, a, o: shapes.simplify(df, _keys(o), o.get("order", "seq"), float(o.get("distance", "0.0001"))),
-    "tesselate": lambda df, a, o: shapes.tessellate(df, o.get("shape", "shape_row_id"), o.get("part", "shape_part_id"), o.get("order", "seq")),
-    "clip": lambda df, a, o: shapes.clip(df, o.get("shape", "shape_row_id"), o.get("order", "seq"), _ring(o["ring"]), o.get("operation", "intersection")),
+    "tesselate": lambda df, a, o: _triangles(df, o.get("shape", "shape_row_id"), o.get("part", "shape_part_id"), o.get("order", "seq")),
+    "clip": lambda df, a, o: shapes.clip(df, o.get("shape", "shape_row_id"), o.get("order", "seq"), _ring(o["ring"]), o.get("operation", "intersection")).drop("operation", "__clip"),
     "winding": lambda df, a, o: sequences.orient(df, _keys(o), o.get("order", "seq"), o.get("direction", "ccw")),
     "offset-lines": lambda df, a, o: sequences.offset_lines(df, _keys(o), [o.get("order", "seq")], float(o["width"])),
     "along": lambda df, a, o: sequences.running_distance(df, _keys(o), [o.get("order", "seq")]),
@@ -116,7 +127,7 @@ SINKS = {
     "kml": lambda df, a, o: writers.write_kml(df, a[0], o.get("name")),
     "mysql": lambda df, a, o: writers.write_sql(df, a[0], o["table"], "drop" in o),
     "shapefile": lambda df, a, o: shapefile.write_shapefile(df, a[0], _list(o.get("attributes", ""))),
-    "png": lambda df, a, o: writers.write_png(df, a[0], int(o.get("width", "1000"))),
+    "png": lambda df, a, o: writers.write_png(df, a[0], int(o.get("width", "1000")), o.get("order", "seq"), "fill" in o, int(o.get("pointsize", "1")), float(o.get("rotation", "0")), float(o.get("zoom", "1"))),
     "block": lambda df, a, o: (df.sparkSession.dataSource.register(blockfile.BlockDataSource), df.write.format("block").mode("append").save(a[0])),
     "parquet": lambda df, a, o: df.write.mode("overwrite").parquet(a[0]),
     "show": lambda df, a, o: df.show(int(a[0]) if a else 20, truncate=False),

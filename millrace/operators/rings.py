@@ -99,106 +99,6 @@ def _ears(ring: list[Point]) -> list[tuple[Point, Point, Point]]:
     return out
 
 
-def clip_convex(subject: list[Point], clip: list[Point]) -> list[Point]:
-    """Sutherland-Hodgman: the part of ``subject`` inside a convex ring."""
-    clip = _open(clip)
-    clip = clip if area(clip) > 0 else clip[::-1]
-    out = _open(subject)
-    for a, b in zip(clip, clip[1:] + clip[:1]):
-        given, out = out, []
-        for p, q in zip(given, given[1:] + given[:1]):
-            s, t = _side(a, b, p), _side(a, b, q)
-            if s >= 0:
-                out.append(p)
-            if s * t < 0:
-                k = s / (s - t)
-                out.append((p[0] + k * (q[0] - p[0]), p[1] + k * (q[1] - p[1])))
-    return out
-
-
-def _split(ring: list[Point], others: list[list[Point]]) -> list[tuple[Point, Point]]:
-    """The ring's edges, cut where an edge of the other rings meets them."""
-    out = []
-    for p, q in zip(ring, ring[1:] + ring[:1]):
-        cuts = [0.0, 1.0]
-        dx, dy = q[0] - p[0], q[1] - p[1]
-        for other in others:
-            for a, b in zip(other, other[1:] + other[:1]):
-                ex, ey = b[0] - a[0], b[1] - a[1]
-                cross = dx * ey - dy * ex
-                if cross:
-                    t = ((a[0] - p[0]) * ey - (a[1] - p[1]) * ex) / cross
-                    u = ((a[0] - p[0]) * dy - (a[1] - p[1]) * dx) / cross
-                    if -1e-12 <= t <= 1 + 1e-12 and -1e-12 <= u <= 1 + 1e-12:
-                        cuts.append(min(1.0, max(0.0, t)))
-                else:
-                    for c in (a, b):
-                        if abs((c[0] - p[0]) * dy - (c[1] - p[1]) * dx) < 1e-12 and (dx or dy):
-                            t = ((c[0] - p[0]) * dx + (c[1] - p[1]) * dy) / (dx * dx + dy * dy)
-                            if 0 < t < 1:
-                                cuts.append(t)
-        cuts.sort()
-        at = [(round(p[0] + t * dx, 12), round(p[1] + t * dy, 12)) for t in cuts]
-        out += [(s, e) for s, e in zip(at, at[1:]) if s != e]
-    return out
-
-
-def combine(a: list[Point], b: list[Point], op: str) -> list[list[Point]]:
-    """Rings of the union, intersection, difference or exclusive-or of two simple rings.
-
-    Edges are cut where the rings meet, kept by which side of the other ring they lie on, and joined up.
-    Edges that both rings share count as inside where both run the same way.
-    """
-    a, b = _open(a), _open(b)
-    a, b = (a if area(a) > 0 else a[::-1]), (b if area(b) > 0 else b[::-1])
-    if op == "exclusive-or":
-        return combine(a, b, "difference") + combine(b, a, "difference")
-    ea, eb = _split(a, [b]), _split(b, [a])
-    shared = set(ea) & set(eb)
-    middle = lambda e: ((e[0][0] + e[1][0]) / 2, (e[0][1] + e[1][1]) / 2)
-    opposed = {(q, p) for p, q in ea} & set(eb)
-    in_b = lambda e: contains(b, middle(e))
-    in_a = lambda e: contains(a, middle(e))
-    apart_a = [e for e in ea if e not in shared and (e[1], e[0]) not in opposed]
-    apart_b = [e for e in eb if e not in shared and e not in opposed]
-    if op == "intersection":
-        edges = [e for e in apart_a if in_b(e)] + [e for e in apart_b if in_a(e)] + sorted(shared)
-    elif op == "union":
-        edges = [e for e in apart_a if not in_b(e)] + [e for e in apart_b if not in_a(e)] + sorted(shared)
-    elif op == "difference":
-        edges = [e for e in apart_a if not in_b(e)] + [(q, p) for p, q in apart_b if in_a((p, q))] + [e for e in ea if (e[1], e[0]) in opposed]
-    else:
-        raise ValueError(f"no such operation: {op}")
-    return _rings(edges)
-
-
-def _rings(edges: list[tuple[Point, Point]]) -> list[list[Point]]:
-    """Joins directed edges end to end into closed rings."""
-    ahead: dict[Point, list[Point]] = {}
-    for p, q in edges:
-        ahead.setdefault(p, []).append(q)
-    out = []
-    while ahead:
-        start = next(iter(ahead))
-        ring, at = [start], start
-        while at in ahead:
-            choices = ahead[at]
-            if len(choices) > 1 and len(ring) > 1:  # the sharpest left turn keeps rings simple
-                back = ring[-2]
-                base = np.arctan2(back[1] - at[1], back[0] - at[0])
-                choices.sort(key=lambda q: (base - np.arctan2(q[1] - at[1], q[0] - at[0])) % (2 * np.pi))
-            nxt = choices.pop(0)
-            if not choices:
-                del ahead[at]
-            if nxt == start:
-                break
-            ring.append(nxt)
-            at = nxt
-        if len(ring) > 2:
-            out.append(ring)
-    return out
-
-
 def voronoi(points: list[Point], box: tuple[float, float, float, float]) -> list[list[Point]]:
     """The cell of each point within a box: the box cut by the bisectors with the other points, nearest first."""
     x0, y0, x1, y1 = box

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators import rings, scans
+from millrace.operators import overlay, rings, scans
 from millrace.plans.session import stored
 
 #: Chords of so many vertices are no longer one window's group; levels of shorter ones that follow in one job.
@@ -121,16 +121,13 @@ def tessellate(df: DataFrame, shape: str, part: str, order: str) -> DataFrame:
     return df.groupBy(shape).applyInPandas(run, f"`{shape}` {kind}, triangle int, corner int, x double, y double")
 
 
-def clip(df: DataFrame, shape: str, order: str, ring: list[tuple[float, float]], op: str = "intersection") -> DataFrame:
-    """Each shape combined with one ring: (shape, part, seq, x, y). The ring is a parameter, sent with the function."""
-    kind = df.schema[shape].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = rings.combine(_points(pdf, order), ring, op)
-        rows = [(pdf[shape].iloc[0], k, i, *p) for k, r in enumerate(found) for i, p in enumerate(r)]
-        return pd.DataFrame(rows, columns=[shape, "part", "seq", "x", "y"])
-
-    return df.groupBy(shape).applyInPandas(run, f"`{shape}` {kind}, part int, seq int, x double, y double")
+def clip(df: DataFrame, shape: str, order: str, ring: list[tuple[float, float]], *operations: str) -> DataFrame:
+    """Each shape whose box meets the ring's combined with it: (operation, shape, __clip, part, seq, x, y), all four
+    operations if none is named. The ring is a layer of one shape."""
+    layer = df.sparkSession.createDataFrame([(0, i, float(x), float(y)) for i, (x, y) in enumerate(ring)], "__clip int, __seq int, x double, y double").withColumnRenamed("__seq", order)
+    xs, ys = zip(*ring)
+    cell = max(max(xs) - min(xs), max(ys) - min(ys), 1e-9) / 4
+    return overlay.overlay(df, layer, shape, "__clip", order, cell, operations or overlay.OPERATIONS)
 
 
 def voronoi(df: DataFrame, group: str, point: str, box: tuple[float, float, float, float]) -> DataFrame:

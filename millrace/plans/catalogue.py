@@ -18,7 +18,7 @@ from millrace.functions import projections as P
 from millrace.functions import scalars as S
 from millrace.functions import templates, vectors
 from millrace.operators import aggregates as A
-from millrace.operators import changes, columns, joins, outlines, rows, sequences, serving, shapes
+from millrace.operators import changes, columns, joins, outlines, overlay, rows, sequences, serving, shapes
 from millrace.plans.standins import addresses, points, sql, table, tickets, tracks, triangles
 from millrace.plans.session import shared_folder
 from millrace.sources import blockfile, delimited, feeds, files, generate, shapefile, writers
@@ -744,16 +744,57 @@ def _area(df, *keys):
 _BOX = [(-0.1, -0.1), (0.1, -0.1), (0.1, 0.1), (-0.1, 0.1)]
 
 
-@query(_RING_AREA + " select grp, round(abs(sum(x * ny - nx * y)) / 2, 5) whole, round(abs(sum(x * ny - nx * y)) / 2 + 0.04, 5) both_together, 0.04::double of_box from n group by 1", "points")
+#: Areas and edges of the four operations on every pair of rings of ra (a, s, x, y) and rb (b, s, x, y), edge by edge.
+_OVERLAY = """, ca as (select a, s, x px, y py, coalesce(lead(x) over w, first_value(x) over w) qx, coalesce(lead(y) over w, first_value(y) over w) qy from ra window w as (partition by a order by s)
+), cb as (select b, s, x px, y py, coalesce(lead(x) over w, first_value(x) over w) qx, coalesce(lead(y) over w, first_value(y) over w) qy from rb window w as (partition by b order by s)
+), met as (
+  select a, b, ca.s i, cb.s j, ca.px, ca.py, ca.qx - ca.px dx, ca.qy - ca.py dy,
+    ((cb.px - ca.px) * (cb.qy - cb.py) - (cb.py - ca.py) * (cb.qx - cb.px)) / ((ca.qx - ca.px) * (cb.qy - cb.py) - (ca.qy - ca.py) * (cb.qx - cb.px)) t,
+    ((cb.px - ca.px) * (ca.qy - ca.py) - (cb.py - ca.py) * (ca.qx - ca.px)) / ((ca.qx - ca.px) * (cb.qy - cb.py) - (ca.qy - ca.py) * (cb.qx - cb.px)) u
+  from ca, cb where (ca.qx - ca.px) * (cb.qy - cb.py) - (ca.qy - ca.py) * (cb.qx - cb.px) <> 0
+), cut as (select a, b, i, j, t, u, px + t * dx x, py + t * dy y from met where t > 0 and t < 1 and u > 0 and u < 1
+), spots as (
+  select a, b, 0 own, s e, 0.0::double t, px x, py y from ca, (select distinct b from rb) union all select a, b, 0, s, 1.0::double, qx, qy from ca, (select distinct b from rb)
+  union all select a, b, 0, i, t, x, y from cut union all select a, b, 1, j, u, x, y from cut
+  union all select a, b, 1, s, 0.0::double, px, py from cb, (select distinct a from ra) union all select a, b, 1, s, 1.0::double, qx, qy from cb, (select distinct a from ra)
+), piece as (
+  select row_number() over () k, * from (select a, b, own, x px, y py, lead(x) over w qx, lead(y) over w qy from spots window w as (partition by a, b, own, e order by t)) where qx is not null
+), ray as (
+  select k, count(*) % 2 = 1 odd from piece p join (select a id, 1 other, px ax, py ay, qx bx, qy "by" from ca union all select b, 0, px, py, qx, qy from cb) o
+    on o.other = p.own and o.id = case when p.own = 0 then p.b else p.a end
+  where (ay > (py + qy) / 2) <> ("by" > (py + qy) / 2) and (px + qx) / 2 < (bx - ax) * ((py + qy) / 2 - ay) / ("by" - ay) + ax group by 1
+), judged as (select p.*, coalesce(odd, false) inside, (px * qy - qx * py) / 2 c from piece p left join ray using (k)
+), found as (
+  select a, b, 'intersection' operation, sum(c) area, count(*) edges from judged where inside group by 1, 2
+  union all select a, b, 'union', sum(c), count(*) from judged where not inside group by 1, 2
+  union all select a, b, 'difference', sum(case when own = 0 then c else -c end), count(*) from judged where own = 0 and not inside or own = 1 and inside group by 1, 2
+  union all select a, b, 'exclusive-or', sum(case when inside then -2 * c else c end) + sum(case when inside then c else 0 end), count(*) from judged group by 1, 2
+)"""
+_STARS = ", ra as (select grp a, x, y, row_number() over (partition by grp order by atan2(y, x), row_id) s from points where x <> 0 or y <> 0)"
+
+
+def _combined(found, a, b):
+    """(a, b, operation, area, edges) of the rings of an overlay."""
+    return _area(found.withColumn("__e", F.lit(1)), "operation", a, b).join(found.groupBy("operation", a, b).agg(F.count("*").alias("edges")), ["operation", a, b]).withColumn("area", _r("area", 5))
+
+
+@query(_STARS + ", rb as (select 0 b, unnest([1, 2, 3, 4]) s, unnest([-0.1, 0.1, 0.1, -0.1])::double x, unnest([-0.1, -0.1, 0.1, 0.1])::double y)" + _OVERLAY + " select a grp, operation, round(area, 5) area, edges from found", "points")
 def clip_shapes(spark, d):
-    """All four set operations by what their areas must add up to: the shape, the shape and the box, the box."""
-    rings = _rings(spark, d)
-    found = {op: _area(shapes.clip(rings, "grp", "seq", _BOX, op), "grp").withColumnRenamed("area", op.replace("-", "_")) for op in ("intersection", "union", "difference", "exclusive-or")}
-    joined = rings.select("grp").distinct()
-    for f in found.values():
-        joined = joined.join(f, "grp", "left")
-    part = lambda c: F.coalesce(c, F.lit(0.0))
-    return joined.select("grp", _r(part("intersection") + part("difference"), 5).alias("whole"), _r(part("union") + part("intersection"), 5).alias("both_together"), _r(part("exclusive_or") - part("difference") + part("intersection"), 5).alias("of_box"))
+    """Each group's ring combined with one box in all four ways: the areas and edges of each."""
+    found = _combined(shapes.clip(_rings(spark, d), "grp", "seq", _BOX), "grp", "__clip")
+    return found.select("grp", "operation", "area", "edges")
+
+
+@query(
+    _STARS + """, other as (select vec_id, label, round(cast(embedding[3] as double), 6) x, round(cast(embedding[4] as double), 6) y from embeddings
+), rb as (select label b, x, y, row_number() over (partition by label order by atan2(y, x), vec_id) s from other where x <> 0 or y <> 0)"""
+    + _OVERLAY + " select a, b, operation, round(area, 5) area, edges from found", "points",
+)
+def overlay_layers(spark, d):
+    """Two layers of rings, every pair of them combined in all four ways."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("b"), *[F.round(F.col("embedding")[k].cast("double"), 6).alias(n) for k, n in ((2, "x"), (3, "y"))])
+    right = e.where("x <> 0 or y <> 0").withColumn("seq", F.row_number().over(Window.partitionBy("b").orderBy(F.atan2("y", "x"), "vec_id")))
+    return _combined(overlay.overlay(_rings(spark, d).withColumnRenamed("grp", "a"), right, "a", "b", "seq", 0.05), "a", "b").select("a", "b", "operation", "area", "edges")
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import json
+import math
 import struct
 import tempfile
 import zlib
@@ -192,11 +193,16 @@ def _filled(placed: DataFrame, order: str) -> DataFrame:
     return spans.select("shape_row_id", *colours, row.cast("double").alias("__y"), F.explode(F.transform(F.sequence("__l", "__r"), lambda v: v.cast("double"))).alias("__x"))
 
 
-def pixels(df: DataFrame, width: int = 1000, margin: float = 0.01, order: str = "seq", fill: bool = False) -> tuple[DataFrame, int, int]:
-    """(px, py, red, green, blue) of the drawn lines and points, and the picture's width and height.
+def pixels(
+    df: DataFrame, width: int = 1000, margin: float = 0.01, order: str = "seq", fill: bool = False, point_size: int = 1, rotation: float = 0.0, zoom: float = 1.0
+) -> tuple[DataFrame, int, int]:
+    """(px, py, red, green, blue) of the drawn parts, and the picture's width and height.
 
-    Lines are stepped pixel by pixel on the executors; the last shape wins a pixel. Height follows the data's
-    bounds, at most 1.5 times the width. With ``fill``, each part is a triangle, and its inside is drawn too.
+    Height follows the data's bounds, at most 1.5 times the width. A part is drawn by its ``shape_part_type``: 4 a filled
+    triangle, 7 a closed line, 5 a line, any other points, squares of ``point_size`` pixels; without that column all
+    parts are lines, and with ``fill`` triangles. ``zoom`` enlarges about the middle, ``rotation`` (degrees) tilts the
+    picture about its horizontal axis, with z where there is one. Lines are stepped pixel by pixel on the executors; the
+    last shape wins a pixel, and what falls outside the picture is left out.
     """
     b = df.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     wide, tall = max(b[1] - b[0], 1e-12), max(b[3] - b[2], 1e-12)
@@ -204,17 +210,31 @@ def pixels(df: DataFrame, width: int = 1000, margin: float = 0.01, order: str =
     at = lambda c, low, span, size: (margin + (1 - 2 * margin) * (F.col(c) - low) / span) * (size - 1)
     from pyspark.sql import Window
 
+    turn, mx, my = math.radians(rotation), (width - 1) / 2, (height - 1) / 2
+    depth = F.col("z") / tall * (1 - 2 * margin) * (height - 1) if "z" in df.columns else F.lit(0.0)
+    x, y = at("x", b[0], wide, width), at("y", b[2], tall, height)
+    if zoom != 1 or rotation:
+        x, y = mx + zoom * (x - mx), my + zoom * ((y - my) * math.cos(turn) - depth * math.sin(turn))
+    kind = F.col("shape_part_type") if "shape_part_type" in df.columns else F.lit(4 if fill else 5)
     w = Window.partitionBy("shape_row_id", "shape_part_id").orderBy(order)
-    placed = df.withColumns({"__x": at("x", b[0], wide, width), "__y": (height - 1) - at("y", b[2], tall, height)})
-    ahead = placed.withColumns({"__nx": F.coalesce(F.lead("__x").over(w), "__x"), "__ny": F.coalesce(F.lead("__y").over(w), "__y")})
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = df.withColumns({"__x": x, "__y": (height - 1) - y, "__kind": F.coalesce(kind.cast("int"), F.lit(0))})
+    closed, dots = F.col("__kind").isin(4, 7), ~F.col("__kind").isin(4, 5, 7)
+    following = lambda c: F.when(dots, F.col(c)).otherwise(F.coalesce(F.lead(c).over(w), F.when(closed, F.first(c).over(whole)), F.col(c)))
+    ahead = placed.withColumns({"__nx": following("__x"), "__ny": following("__y")})
     steps = F.ceil(F.greatest(F.abs(F.col("__nx") - F.col("__x")), F.abs(F.col("__ny") - F.col("__y")), F.lit(1))).cast("int")
-    drawn = ahead.withColumn("__n", steps).withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__n"))))
-    share = F.col("__k") / F.col("__n")
+    drawn = ahead.withColumn("__n", F.when(dots, 0).otherwise(steps)).withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__n"))))
+    share = F.coalesce(F.try_divide("__k", "__n"), F.lit(0.0))
     colour = [F.col(c) if c in df.columns else F.lit(0.0) for c in ("red", "green", "blue")]
-    spot = drawn.select(F.round(F.col("__x") + share * (F.col("__nx") - F.col("__x"))).cast("int").alias("px"), F.round(F.col("__y") + share * (F.col("__ny") - F.col("__y"))).cast("int").alias("py"), F.struct("shape_row_id", *[c.alias(n) for c, n in zip(colour, "rgb")]).alias("s"))
-    if fill:
-        spot = spot.union(_filled(placed, order).select(F.col("__x").cast("int"), F.col("__y").cast("int"), F.struct("shape_row_id", *[c.alias(n) for c, n in zip(colour, "rgb")])))
-    top = spot.groupBy("px", "py").agg(F.max("s").alias("s"))
+    spot = drawn.select(F.round(F.col("__x") + share * (F.col("__nx") - F.col("__x"))).cast("int").alias("px"), F.round(F.col("__y") + share * (F.col("__ny") - F.col("__y"))).cast("int").alias("py"), F.struct("shape_row_id", *[c.alias(n) for c, n in zip(colour, "rgb")]).alias("s"), dots.alias("dot"))
+    if point_size > 1:
+        offsets = F.sequence(F.lit(-((point_size - 1) // 2)), F.lit(point_size // 2))
+        one = F.array(F.lit(0))
+        spot = spot.select("px", "py", "s", "dot", F.explode(F.when(F.col("dot"), offsets).otherwise(one)).alias("dx")).select("py", "s", "dot", (F.col("px") + F.col("dx")).alias("px"), F.explode(F.when(F.col("dot"), offsets).otherwise(one)).alias("dy")).select("px", (F.col("py") + F.col("dy")).alias("py"), "s")
+    spot = spot.select("px", "py", "s")
+    if fill or "shape_part_type" in df.columns:
+        spot = spot.union(_filled(placed.where("__kind = 4"), order).select(F.col("__x").cast("int"), F.col("__y").cast("int"), F.struct("shape_row_id", *[c.alias(n) for c, n in zip(colour, "rgb")])))
+    top = spot.where(F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1)).groupBy("px", "py").agg(F.max("s").alias("s"))
     return top.select("px", "py", F.col("s.r").alias("red"), F.col("s.g").alias("green"), F.col("s.b").alias("blue")), width, height
 
 
@@ -226,9 +246,9 @@ def encode_png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">2I5B", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-def write_png(df: DataFrame, path: str, width: int = 1000, order: str = "seq", fill: bool = False) -> None:
+def write_png(df: DataFrame, path: str, width: int = 1000, order: str = "seq", fill: bool = False, point_size: int = 1, rotation: float = 0.0, zoom: float = 1.0) -> None:
     """The picture has a bounded number of pixels, which is all that reaches the driver."""
-    found, w, h = pixels(df, width, order=order, fill=fill)
+    found, w, h = pixels(df, width, order=order, fill=fill, point_size=point_size, rotation=rotation, zoom=zoom)
     image = np.full((h, w, 3), 255, dtype=np.uint8)
     for r in found.toLocalIterator():
         image[r["py"], r["px"]] = [int(255 * max(0.0, min(1.0, r[c]))) for c in ("red", "green", "blue")]

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace import cli
 from millrace.sources import blockfile, delimited, files, generate, shapefile, writers
@@ -164,6 +165,43 @@ def test_png_writer(spark, tmp_path):
     assert data.startswith(b"\x89PNG") and struct.unpack(">2I", data[16:24]) == (64, 63)
 
 
+def picture(path):
+    data = path.read_bytes()
+    w, h = struct.unpack(">2I", data[16:24])
+    at, packed = 8, b""
+    while at < len(data):
+        size = struct.unpack(">I", data[at : at + 4])[0]
+        packed += data[at + 8 : at + 8 + size] if data[at + 4 : at + 8] == b"IDAT" else b""
+        at += size + 12
+    raw = zlib.decompress(packed)
+    return [[tuple(raw[y * (3 * w + 1) + 1 + 3 * x :][:3]) for x in range(w)] for y in range(h)]
+
+
+def test_png_of_tesselated_shapes(spark, tmp_path):
+    """From a shapefile to filled triangles, with a hole and the shape's colour."""
+    ring = [(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)]
+    hole = [(4, 4), (4, 6), (6, 6), (6, 4), (4, 4)]
+    rows = [(0, part, i, float(x), float(y)) for part, r in enumerate((ring, hole)) for i, (x, y) in enumerate(r)]
+    df = spark.createDataFrame(rows, "shape_row_id int, shape_part_id int, seq int, x double, y double")
+    df.withColumns({c: F.lit(v) for c, v in (("red", 1.0), ("green", 0.0), ("blue", 0.0))}).write.parquet(str(tmp_path / "s.parquet"))
+    assert cli.run(spark, f"read {tmp_path}/s.parquet | tesselate | png {tmp_path}/o.png --width=101") is None
+    image = picture(tmp_path / "o.png")
+    assert image[20][20] == image[80][30] == (255, 0, 0) and image[50][50] == (255, 255, 255)
+    shapefile.write_shapefile(df, str(tmp_path / "s.shp"))
+    assert cli.run(spark, f"read {tmp_path}/s.shp | tesselate | png {tmp_path}/p.png --width=101") is None
+    image = picture(tmp_path / "p.png")
+    assert image[20][20] == image[80][30] == (0, 0, 0) and image[50][50] == (255, 255, 255)
+
+
+def test_png_of_points(spark, tmp_path):
+    df = spark.createDataFrame([(k, 0, 0, 1, float(x), float(y)) for k, (x, y) in enumerate([(0, 0), (10, 10), (5, 5), (6, 5)])], "shape_row_id int, shape_part_id int, seq int, shape_part_type int, x double, y double")
+    dark = lambda **o: {(x, y) for x, row in enumerate(zip(*(writers.write_png(df, str(tmp_path / "q.png"), 101, **o) or picture(tmp_path / "q.png")))) for y, c in enumerate(row) if c == (0, 0, 0)}
+    assert dark() == {(1, 99), (99, 1), (50, 50), (60, 50)}
+    assert dark(point_size=3) == {(x + i, y + j) for x, y in ((1, 99), (99, 1), (50, 50), (60, 50)) for i in (-1, 0, 1) for j in (-1, 0, 1)}
+    assert dark(zoom=3.0) == {(50, 50), (79, 50)}  # the outer ones are outside now
+    assert dark(rotation=90.0) == {(1, 50), (99, 50), (50, 50), (60, 50)}
+
+
 def test_command_line(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k int, v string").write.parquet(str(tmp_path / "t.parquet"))
     found = cli.run(spark, f"read {tmp_path}/t.parquet | filter --column=k --values=2 | unique --column=k --order=v | strcat --columns=k,v --name=both")

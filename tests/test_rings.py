@@ -8,7 +8,6 @@ from hypothesis import strategies as st
 from millrace.operators import rings
 
 SQUARE = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
-SHIFTED = [(x + 0.5, y + 0.5) for x, y in SQUARE]
 
 
 def size(found):
@@ -19,21 +18,6 @@ def triangles(found):
     return sum(abs(rings.area(list(t))) for t in found)
 
 
-@pytest.mark.parametrize("op, area", [("intersection", 0.25), ("union", 1.75), ("difference", 0.75), ("exclusive-or", 1.5)])
-def test_combine(op, area):
-    assert size(rings.combine(SQUARE, SHIFTED, op)) == pytest.approx(area)
-
-
-def test_combine_beside():
-    beside = [(x + 1, y) for x, y in SQUARE]
-    assert size(rings.combine(SQUARE, beside, "union")) == pytest.approx(2)
-    assert rings.combine(SQUARE, beside, "intersection") == []
-
-
-def test_clip_convex():
-    assert abs(rings.area(rings.clip_convex(SQUARE, SHIFTED))) == pytest.approx(0.25)
-
-
 def test_tessellate():
     hole = [(0.25, 0.25), (0.75, 0.25), (0.75, 0.75), (0.25, 0.75)]
     ell = [(0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2)]

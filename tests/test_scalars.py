@@ -61,7 +61,7 @@ def test_utm_zones(spark, lon, lat, zone):
     assert spark.range(1).select(P.utm_zone(F.lit(lon), F.lit(lat))).first()[0] == zone
 
 
-@pytest.mark.parametrize("lon, lat, zone", [(-79.4, 43.7, 10), (-79.4, 47.5, 10), (-80.0, 47.5, 12), (-82.0, 45.0, 11), (-53.0, 47.0, 1), (-74.0, 45.0, 8), (-123.0, 49.0, 26), (0.0, 51.0, None)])
+@pytest.mark.parametrize("lon, lat, zone", [(-79.4, 43.7, 10), (-79.4, 47.5, 10), (-80.0, 47.5, 12), (-82.0, 45.0, 11), (-53.0, 47.0, 1), (-74.0, 45.0, 8), (-123.0, 49.0, 26), (0.0, 51.0, None), (-85.0, 45.0, 13), (-63.5, 44.0, 5), (-66.2, 45.0, 6), (-142.0, 60.0, 32)])
 def test_mtm_zones(spark, lon, lat, zone):
     assert spark.range(1).select(P.mtm_zone(F.lit(lon), F.lit(lat))).first()[0] == zone
 
