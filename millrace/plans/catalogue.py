@@ -18,7 +18,7 @@ from millrace.functions import projections as P
 from millrace.functions import scalars as S
 from millrace.functions import templates, vectors
 from millrace.operators import aggregates as A
-from millrace.operators import changes, columns, joins, outlines, overlay, rows, sequences, serving, shapes
+from millrace.operators import changes, columns, joins, outlines, overlay, rows, scans, sequences, serving, shapes
 from millrace.plans.standins import addresses, points, sql, table, tickets, tracks, triangles
 from millrace.plans.session import shared_folder
 from millrace.sources import blockfile, delimited, feeds, files, generate, shapefile, writers
@@ -334,36 +334,50 @@ def islands(spark, d):
     return tables.islands(e, ["event_type"], ["ts", "event_id"], within=["user_id"]).drop("event_type")
 
 
+@query("select event_id, cast(sum(new) over (order by ts, event_id) as bigint) run from (select *, case when event_type is distinct from lag(event_type) over (order by ts, event_id) then 1 else 0 end new from events)")
+def islands_whole(spark, d):
+    """Runs of one type over the whole table, which no task sorts alone."""
+    return tables.islands(table(spark, d, "events").select("event_id", "ts", "event_type"), ["event_type"], ["ts", "event_id"]).select("event_id", "run")
+
+
+@query("select event_id, row_number() over (order by ts, event_id) number, round(sum(value) over (order by ts, event_id rows unbounded preceding), 2) up_to from events")
+def running_total(spark, d):
+    e = table(spark, d, "events").select("event_id", "ts", "value")
+    found = scans.running_sums(e, {"number": F.lit(1).cast("long"), "up_to": F.col("value")}, ["ts", "event_id"])
+    return found.select("event_id", "number", _r("up_to", 2).alias("up_to"))
+
+
 # Joins
 
 
 def _customers(spark, d):
-    return table(spark, d, "customer").where("c_custkey % 3 = 0").select("c_custkey", "c_name", "c_nationkey")
+    return table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
 
 
 def _orders(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    """Orders by a customer some places on from their own: some have none, and some customers no order."""
+    return table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") + 10 * (F.col("o_orderkey") % 50)).alias("o_custkey"))
 
 
-_C3 = "(select c_custkey, c_name, c_nationkey from customer where c_custkey % 3 = 0)"
+_ON = "(select o_orderkey, o_custkey + 10 * (o_orderkey % 50) o_custkey from orders)"
 
 
-@query(f"select o_orderkey, o_custkey, coalesce(c_custkey, -1) c_custkey, c_name, coalesce(c_nationkey, -1) c_nationkey from orders left join {_C3} on o_custkey = c_custkey")
+@query(f"select o_orderkey, o_custkey, coalesce(c_custkey, -1) c_custkey, c_name, coalesce(c_nationkey, -1) c_nationkey from {_ON} left join customer on o_custkey = c_custkey")
 def join_left(spark, d):
     return _shown(joins.join_tables(_orders(spark, d), _customers(spark, d), "o_custkey", "c_custkey", "left"), "c_custkey", "c_nationkey")
 
 
-@query(f"select o_orderkey, o_custkey, c_custkey, c_name, c_nationkey from orders join {_C3} on o_custkey = c_custkey")
+@query(f"select o_orderkey, o_custkey, c_custkey, c_name, c_nationkey from {_ON} join customer on o_custkey = c_custkey")
 def join_inner(spark, d):
     return joins.join_tables(_orders(spark, d), _customers(spark, d), "o_custkey", "c_custkey", "inner")
 
 
-@query(f"select coalesce(o_orderkey, -1) o_orderkey, coalesce(o_custkey, c_custkey) o_custkey, c_custkey, c_name, c_nationkey from orders right join {_C3} on o_custkey = c_custkey")
+@query(f"select coalesce(o_orderkey, -1) o_orderkey, coalesce(o_custkey, c_custkey) o_custkey, c_custkey, c_name, c_nationkey from {_ON} right join customer on o_custkey = c_custkey")
 def join_right(spark, d):
     return _shown(joins.join_tables(_orders(spark, d), _customers(spark, d), "o_custkey", "c_custkey", "right"), "o_orderkey")
 
 
-@query(f"select o_orderkey, o_custkey, coalesce(c_custkey, 0) c_custkey, coalesce(c_name, '') c_name, coalesce(c_nationkey, 0) c_nationkey from orders left join {_C3} on o_custkey = c_custkey")
+@query(f"select o_orderkey, o_custkey, coalesce(c_custkey, 0) c_custkey, coalesce(c_name, '') c_name, coalesce(c_nationkey, 0) c_nationkey from {_ON} left join customer on o_custkey = c_custkey")
 def join_left_zero(spark, d):
     return joins.join_tables(_orders(spark, d), _customers(spark, d), "o_custkey", "c_custkey", "left", zero=True)
 

@@ -73,8 +73,13 @@ def number_in_order(df: DataFrame, *order: str | Column, name: str = ROW) -> Dat
 def islands(df: DataFrame, ids: Sequence[str], order: Sequence[str | Column], name: str = "run", within: Sequence[str] = ()) -> DataFrame:
     """Numbers the maximal runs of equal ``ids`` from 1, in ``order`` within each group of ``within``.
 
-    A run ends wherever an id changes, so 1, 1, 2, 1 has three. Without ``within`` the whole table is one sequence.
+    A run ends wherever an id changes, so 1, 1, 2, 1 has three. Without ``within`` the whole table is one sequence, put
+    in order by ranges (``operators.scans``).
     """
+    if not within:
+        from millrace.operators import scans
+
+        return scans.runs(df, ids, order, name)
     w = Window.partitionBy(*within).orderBy(*order)
     changed = F.lag(F.lit(1)).over(w).isNull()
     for c in ids:
