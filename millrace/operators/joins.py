@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.plans.session import checkpointed
+from millrace.plans.session import checkpointed, stored
 
 
 def join_tables(left: DataFrame, right: DataFrame, left_on: str, right_on: str, how: str = "left", zero: bool = False) -> DataFrame:
@@ -100,30 +101,51 @@ def within_box(left: DataFrame, right: DataFrame, reach: float, names: Mapping[s
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float, same_layer: bool = False) -> DataFrame:
     """(left_id, nearest, distance) of the nearest right point; ties go to the smaller id. ids must be unique.
 
-    Each round looks in the three by three cells around the points still open, with cells twice as large as before;
-    a find within one cell's size is final, as nothing outside can be nearer. Rounds are checkpointed and end when no
-    point is open, or when a cell spans both layers (a lone point has no neighbour and no row). Points with a null, NaN
-    or infinite coordinate are nowhere: they have no row and are no one's neighbour.
+    First the three by three cells around each point are searched: a find within one cell's size is final, as nothing
+    outside can be nearer. For the points still open the right layer's counts per cell, and per block of 2, 4, 8 ... cells,
+    tell the smallest block size at which a neighbour stands in the three by three blocks around; it is then at most
+    sqrt(8) blocks away, so one search in blocks four times as large settles it. A lone point has no row. Points with
+    a null, NaN or infinite coordinate are nowhere: they have no row and are no one's neighbour.
     """
     somewhere = F.lit(True)
     for name in ("x", "y"):
         somewhere &= F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double")) & (F.abs(F.col(name).cast("double")) < float("inf"))
-    r = right.where(somewhere).select(F.col(right_id).alias("__r"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    open_ = checkpointed(left.where(somewhere).select(F.col(left_id).alias("__l"), "x", "y"))
-    ends = open_.select("x", "y").union(r.select("x2", "y2")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    extent = max((e for e in ends if e is not None), default=0.0)
-    done, size = None, cell
-    other = (F.col("__l") != F.col("__r")) if same_layer else F.lit(True)
-    while True:
-        met = within_box(open_, r, size, {"__r": "__r", "x2": "x2", "y2": "y2"}).where(other)
-        gap = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
-        best = met.groupBy("__l").agg(F.min(F.struct(gap.alias("d"), F.col("__r").alias("id"))).alias("m"))
-        found = checkpointed(best.where(F.col("m.d") <= size).select("__l", F.col("m.id").alias("nearest"), F.col("m.d").alias("distance")))
-        done = found if done is None else done.union(found)
-        open_ = checkpointed(open_.join(found, "__l", "left_anti"))
-        if size > 2 * extent or open_.isEmpty():
-            return done.withColumnRenamed("__l", left_id)
-        size *= 2
+    c = F.col
+    place = lambda n: F.floor(c(n) / cell).cast("long")
+    r = right.where(somewhere).select(c(right_id).alias("__r"), c("x").alias("x2"), c("y").alias("y2"), place("x").alias("__cx"), place("y").alias("__cy"))
+    points = left.where(somewhere).select(c(left_id).alias("__l"), "x", "y", place("x").alias("__px"), place("y").alias("__py"))
+    other = (c("__l") != c("__r")) if same_layer else F.lit(True)
+    gap = F.sqrt(F.pow(c("x") - c("x2"), 2) + F.pow(c("y") - c("y2"), 2))
+    near = F.array(*[F.lit(d).cast("long") for d in (-1, 0, 1)])
+    block = lambda n: F.call_function("shiftright", c(n), c("level"))
+
+    def around(df: DataFrame) -> DataFrame:
+        """The blocks of a point's level that touch its own."""
+        spread = df.withColumn("__dx", F.explode(near)).withColumn("__dy", F.explode(near))
+        return spread.withColumns({"__bx": block("__px") + c("__dx"), "__by": block("__py") + c("__dy")}).drop("__dx", "__dy")
+
+    def searched(df: DataFrame, levels: list[int]) -> DataFrame:
+        dealt = r.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).select("__r", "x2", "y2", c("level").alias("__level"), block("__cx").alias("__rx"), block("__cy").alias("__ry"))
+        met = around(df).join(dealt, (c("level") == c("__level")) & (c("__bx") == c("__rx")) & (c("__by") == c("__ry"))).where(other)
+        return met.groupBy("__l").agg(F.min(F.struct(gap.alias("d"), c("__r").alias("id"))).alias("m")).select("__l", c("m.id").alias("nearest"), c("m.d").alias("distance"))
+
+    found = stored(searched(points.withColumn("level", F.lit(0)), [0]).where(c("distance") <= cell))
+    open_ = stored(points.join(found, "__l", "left_anti"))
+    ends = open_.select("x", "y").union(r.select("x2", "y2")).agg(F.count("*"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    done = found.withColumnRenamed("__l", left_id)
+    if open_.isEmpty():
+        return done
+    top = max(0, math.ceil(math.log2(max(ends[1], ends[2], cell) / cell))) + 1
+    levels = F.sequence(F.lit(0), F.lit(top))
+    counts = r.groupBy("__cx", "__cy").agg(F.count("*").alias("n")).withColumn("level", F.explode(levels))
+    counts = counts.groupBy(c("level").alias("__level"), block("__cx").alias("__rx"), block("__cy").alias("__ry")).agg(F.sum("n").alias("n"))
+    probes = around(open_.withColumn("level", F.explode(levels))).join(counts, (c("level") == c("__level")) & (c("__bx") == c("__rx")) & (c("__by") == c("__ry")))
+    first = probes.groupBy("__l", "level").agg(F.sum("n").alias("n")).where(c("n") > int(same_layer)).groupBy("__l").agg((F.min("level") + 2).alias("level"))
+    placed = stored(open_.join(first, "__l"))
+    used = sorted(row[0] for row in placed.select("level").distinct().collect())  # at most one for each doubling of the extent
+    if not used:
+        return done
+    return done.union(searched(placed, used).withColumnRenamed("__l", left_id))
 
 
 def snap_to_segments(points: DataFrame, segments: DataFrame, point_id: str, reach: float, cell: float, prefer: str | None = None) -> DataFrame:

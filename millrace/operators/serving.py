@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,3 +66,22 @@ def round_up(minute: int) -> int:
 def upsert(df: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
     """``rows`` in place of those with the same key, and added where there is none."""
     return df.join(rows.select(*on), on, "left_anti").unionByName(rows)
+
+
+def refresh_key(rows: DataFrame, path: str, key: list[str], *values) -> DataFrame:
+    """Works out one key anew in a Parquet table that is partitioned by ``key``, and returns the table.
+
+    Only that key's rows of ``rows`` are computed (its plan gets the filter) and only its partition is written; the other
+    partitions keep their files. A key without rows loses its partition.
+    """
+    spark = rows.sparkSession
+    own = rows.where(reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in zip(key, values, strict=True)])).cache()
+    try:
+        if own.isEmpty():
+            folder = spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *(f"{k}={v}" for k, v in zip(key, values))]))
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        else:
+            own.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*key).parquet(path)
+    finally:
+        own.unpersist()
+    return spark.read.schema(rows.schema).parquet(path)

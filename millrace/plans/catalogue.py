@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace import table as tables
 from millrace.functions import projections as P
+from millrace.functions import geometry as G
 from millrace.functions import scalars as S
 from millrace.functions import templates, vectors
 from millrace.operators import aggregates as A
@@ -722,6 +723,22 @@ def simplify(spark, d):
 SQL["simplify"] = SQL["simplify"].replace("with tracks", "with recursive tracks", 1).replace(") , v as", "), v as", 1)
 
 
+_TURNED = """select event_id, case when {when} then lo + hi - event_id else event_id end as seq from (
+  select *, min(event_id) over g lo, max(event_id) over g hi, sum(x * ny - nx * y) over g area from (
+    select *, lead(x) over w nx, lead(y) over w ny from tracks window w as (partition by shape_row_id order by event_id)) window g as (partition by shape_row_id))"""
+
+
+@query(_TURNED.format(when="area < 0"), "tracks")
+def turn_clockwise(spark, d):
+    """Rings against the clock stay, those with it are turned."""
+    return sequences.orient(tracks(spark, d).withColumn("seq", F.col("event_id")), ["shape_row_id"], "seq", "cw").select("event_id", "seq")
+
+
+@query(_TURNED.format(when="area > 0"), "tracks")
+def turn_counter_clockwise(spark, d):
+    return sequences.orient(tracks(spark, d).withColumn("seq", F.col("event_id")), ["shape_row_id"], "seq", "ccw").select("event_id", "seq")
+
+
 @query("select grp, row_id seq from points", "points")
 def loop_overlap(spark, d):
     p = points(spark, d).select("grp", F.col("row_id").alias("seq"), "x", "y")
@@ -913,6 +930,27 @@ def upsert(spark, d):
     return serving.upsert(n, spark.createDataFrame([(0, "new"), (1, "new"), (2, "new"), (100, "new")], "k int, name string"), ["k"])
 
 
+@query("select id, cast(street_id as int) geo_id, side arc_side, numeric_address + case when street_id = 3 and side = 1 then 100 else 0 end x from addresses where street_id <> 4 or side <> 0", "addresses")
+def reload_line(spark, d):
+    """Lines in a partition each; two are worked out anew, of which one is empty now. The others keep their files."""
+    a = addresses(spark, d).select("id", F.col("numeric_address").alias("x"), F.col("street_id").cast("int").alias("geo_id"), F.col("side").alias("arc_side"))
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    a.repartition("geo_id", "arc_side").write.partitionBy("geo_id", "arc_side").parquet(path)
+    edited = a.where("geo_id <> 4 or arc_side <> 0").withColumn("x", F.col("x") + 100)
+    serving.refresh_key(edited, path, ["geo_id", "arc_side"], 3, 1)
+    return serving.refresh_key(edited, path, ["geo_id", "arc_side"], 4, 0)
+
+
+@query("select row_id, grp shape_row_id, 0 shape_part_id, 5 shape_part_type, x lon, y + 1 lat, x + y total, 0.0::double deep, 0.0::double red, 0.0::double blue, 1.0::double alpha from points", "points")
+def shape_columns(spark, d):
+    """Ids, colours and coordinates under their other names."""
+    p = points(spark, d).withColumnsRenamed({"x": "lon", "y": "lat", "grp": "shape_row_id"})
+    p = G.add_rgb(G.add_shape_columns(p), alpha=True)
+    p = p.withColumns({"total": G.coordinate(p, "x") + G.coordinate(p, "y"), "deep": G.coordinate(p, "z"), "green": F.lit(0.5)})
+    p = G.set_columns(p, y=G.coordinate(p, "y") + 1, shape_part_type=5)
+    return G.blank(p, "green").where("green = 0").drop("green")
+
+
 # Streams, run over what is there
 
 

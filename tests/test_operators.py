@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +162,32 @@ def test_highlighted_vertices(spark):
     assert places("ends") == [(1, 0), (1, 2), (2, 0)] and places("all") == [(1, 0), (1, 1), (1, 2), (2, 0)] and places(1) == [(1, 1)] and places(9) == []
     first = sequences.highlight_vertices(v, ["shape"], "seq_id", 0).where("shape = 1 and seq = 0").first()
     assert (first["x"], first["y"]) == (0.5, 0.0)
+
+
+def test_nearest_with_outliers(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(k, rng.uniform(-1, 1), rng.uniform(-1, 1)) for k in range(120)] + [(200, 1e4, 3.0), (201, -5e3, -2e4), (202, 1e4 + 3, 3.0), (203, 0.0, 7.0)]
+    df = spark.createDataFrame(rows, "id int, x double, y double")
+    near = lambda a, others: min((math.hypot(a[1] - b[1], a[2] - b[2]), b[0]) for b in others)
+    found = {r["id"]: (r["distance"], r["nearest"]) for r in joins.nearest(df, df, "id", "id", 0.01, same_layer=True).collect()}
+    assert found.keys() == {r[0] for r in rows}
+    for a in rows:
+        assert found[a[0]] == pytest.approx(near(a, [b for b in rows if b[0] != a[0]]))
+    few = df.where("id % 40 = 0").select(F.col("id").alias("other"), "x", "y")
+    found = {r["id"]: (r["distance"], r["nearest"]) for r in joins.nearest(df, few, "id", "other", 0.05).collect()}
+    for a in rows:
+        assert found[a[0]] == pytest.approx(near(a, [b for b in rows if b[0] % 40 == 0]))
+
+
+def test_refresh_of_one_key_leaves_the_others(spark, tmp_path):
+    df = spark.createDataFrame([(k, k % 3, float(k)) for k in range(12)], "id int, line int, x double")
+    path = str(tmp_path / "lines")
+    df.write.partitionBy("line").parquet(path)
+    files = lambda k: sorted(p.name for p in (tmp_path / "lines" / f"line={k}").glob("*.parquet"))
+    before = {k: files(k) for k in range(3)}
+    now = serving.refresh_key(df.withColumn("x", F.col("x") * 10), path, ["line"], 1)
+    assert {r["id"]: r["x"] for r in now.collect()} == {k: k * 10.0 if k % 3 == 1 else float(k) for k in range(12)}
+    assert files(0) == before[0] and files(2) == before[2] and files(1) != before[1]
+    assert {r["line"] for r in serving.refresh_key(df.where("line <> 2"), path, ["line"], 2).collect()} == {0, 1} and files(0) == before[0]
