@@ -976,6 +976,13 @@ def stream_retention(spark, d):
     return stream.drained(spark, stream.retain(_event_stream(spark, d), "ts", ["event_id"]), "append").select("event_id", "user_id")
 
 
+@query("select cast(user_id as varchar) user_id, event_id, epoch_us(ts) // 1000 + 86400000 expired from events where epoch_us(ts) // 1000 + 86400000 <= (select max(epoch_us(ts) // 1000) from events)")
+def stream_expired(spark, d):
+    """Events that a day's retention has let go by the end of the stream, by timers of their key's state."""
+    found = stream.drained(spark, stream.expiring(_event_stream(spark, d), "user_id", "event_id", "ts", 24 * 3600 * 1000), "append", stream.ROCKS)
+    return found.select(F.col("key").alias("user_id"), F.col("event").alias("event_id"), "expired")
+
+
 @query("select event_id from events where ts >= (select max(ts) from events) - interval 6 hours")
 def recent_events(spark, d):
     return stream.recent(table(spark, d, "events"), "ts", "6 hours").select("event_id")

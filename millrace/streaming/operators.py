@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -68,7 +69,50 @@ def trips(events: DataFrame, vehicle: str, time: str, distance: str, idle: int |
     return renamed.groupBy("vehicle").applyInPandasWithState(run, TRIPS, _STATE, "append", timeout)
 
 
-def drained(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> DataFrame:
+class _Retention(StatefulProcessor):
+    """Per key, the events of the last ``keep`` milliseconds; each is handed on when the watermark has left it behind."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "at long", "events array<long>")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 - names that Spark calls
+        for frame in rows:
+            for at, events in frame.groupby("at")["event"]:
+                known = list(self.held.getValue((int(at),))[0]) if self.held.containsKey((int(at),)) else []
+                self.held.updateValue((int(at),), (known + [int(e) for e in events],))
+                self.handle.registerTimer(int(at) + self.keep)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        at = due - self.keep
+        if self.held.containsKey((at,)):
+            events = list(self.held.getValue((at,))[0])
+            self.held.removeKey((at,))
+            yield pd.DataFrame({"key": key[0], "event": events, "at": at, "expired": due})
+
+    def close(self) -> None:
+        pass
+
+
+def expiring(events: DataFrame, key: str, event: str, time: str, keep: int, late: str = "0 seconds") -> DataFrame:
+    """(key, event, at, expired): each event once it is more than ``keep`` milliseconds old, in event time.
+
+    State holds a key's events of that time and goes with them, by timers; what comes later than ``late`` behind the
+    newest event is dropped. The session's state store must keep several variables (RocksDB; ``drained`` sees to it).
+    """
+    at = events.withWatermark(time, late).select(F.col(key).cast("string").alias("key"), F.col(event).cast("long").alias("event"), F.col(time).alias("__t"), F.unix_millis(F.col(time)).alias("at"))
+    return at.groupBy("key").transformWithStateInPandas(_Retention(keep), "key string, event long, at long, expired long", "append", "EventTime")
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drained(spark: SparkSession, stream: DataFrame, mode: str = "complete", store: str | None = None) -> DataFrame:
     """Runs a stream over all that is there now and returns its result as a table in the shared folder.
 
     In ``complete`` mode each batch replaces the table, in ``append`` mode it is added under its batch number, so a
@@ -81,5 +125,16 @@ def drained(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> D
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out" if mode == "complete" else f"{root}/out/batch={number}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    if store:
+        spark.conf.set(name, store)
+    try:
+        _run(stream, mode, put, root)
+    finally:
+        spark.conf.set(name, before)
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def _run(stream: DataFrame, mode: str, put, root: str) -> None:
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()

@@ -27,3 +27,24 @@ def test_trips(spark, tmp_path):
     df = spark.readStream.schema("v string, t timestamp, d double").parquet(str(tmp_path / "in"))
     found = stream.drained(spark, stream.trips(df, "v", "t", "d"), "append").collect()
     assert sorted((r["trip"], r["n"]) for r in found) == [(0, 2), (1, 2)]
+
+
+def test_events_expire_and_late_ones_are_dropped(spark, tmp_path):
+    import datetime as dt
+    import os
+
+    start = dt.datetime(2024, 1, 1)
+    batches = [[(1, 1, 0), (2, 1, 2), (3, 2, 3)], [(4, 1, 7), (5, 2, 7)], [(6, 1, 0.5), (7, 2, 8.5)], [(8, 3, 20)]]
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame([(e, u, start + dt.timedelta(hours=h)) for e, u, h in rows], "event_id long, user_id long, ts timestamp")
+        df.coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
+        for p in (tmp_path / f"in{n}").glob("*.parquet"):
+            (tmp_path / "all").mkdir(exist_ok=True)
+            os.utime(p, (1_700_000_000 + 10 * n,) * 2)
+            p.rename(tmp_path / "all" / f"{n}.parquet")
+    s = spark.readStream.schema("event_id long, user_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "all"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    found = stream.drained(spark, stream.expiring(s, "user_id", "event_id", "ts", 6 * 3600 * 1000), "append", stream.ROCKS).collect()
+    assert sorted(r["event"] for r in found) == [1, 2, 3, 4, 5, 7]  # 6 came too late, 8 is still held
+    assert {r["event"]: r["batch"] for r in found}[1] < {r["event"]: r["batch"] for r in found}[7]
+    assert all(r["expired"] - r["at"] == 6 * 3600 * 1000 for r in found) and spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
