@@ -97,27 +97,3 @@ def _ears(ring: list[Point]) -> list[tuple[Point, Point, Point]]:
     if len(ring) == 3 and _side(*ring):
         out.append((ring[0], ring[1], ring[2]))
     return out
-
-
-def voronoi(points: list[Point], box: tuple[float, float, float, float]) -> list[list[Point]]:
-    """The cell of each point within a box: the box cut by the bisectors with the other points, nearest first."""
-    x0, y0, x1, y1 = box
-    out = []
-    for p in points:
-        cell = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
-        for q in sorted((q for q in points if q != p), key=lambda q: (q[0] - p[0]) ** 2 + (q[1] - p[1]) ** 2):
-            reach = max((c[0] - p[0]) ** 2 + (c[1] - p[1]) ** 2 for c in cell)
-            if (q[0] - p[0]) ** 2 + (q[1] - p[1]) ** 2 > 4 * reach:
-                break
-            mx, my, dx, dy = (p[0] + q[0]) / 2, (p[1] + q[1]) / 2, q[0] - p[0], q[1] - p[1]
-            side = [(c[0] - mx) * dx + (c[1] - my) * dy for c in cell]
-            cut = []
-            for (a, s), (b, t) in zip(zip(cell, side), list(zip(cell, side))[1:] + [(cell[0], side[0])]):
-                if s <= 0:
-                    cut.append(a)
-                if s * t < 0:
-                    k = s / (s - t)
-                    cut.append((a[0] + k * (b[0] - a[0]), a[1] + k * (b[1] - a[1])))
-            cell = cut
-        out.append(cell)
-    return out

@@ -130,19 +130,6 @@ def clip(df: DataFrame, shape: str, order: str, ring: list[tuple[float, float]],
     return overlay.overlay(df, layer, shape, "__clip", order, cell, operations or overlay.OPERATIONS)
 
 
-def voronoi(df: DataFrame, group: str, point: str, box: tuple[float, float, float, float]) -> DataFrame:
-    """The cell of each distinct point of a group: (group, point, seq, x, y)."""
-    kind, own = df.schema[group].dataType.simpleString(), df.schema[point].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(point).drop_duplicates(["x", "y"])
-        cells = rings.voronoi(list(zip(pdf["x"].astype(float), pdf["y"].astype(float))), box)
-        rows = [(pdf[group].iloc[0], i, k, *p) for i, c in zip(pdf[point], cells) for k, p in enumerate(c)]
-        return pd.DataFrame(rows, columns=[group, point, "seq", "x", "y"])
-
-    return df.groupBy(group).applyInPandas(run, f"`{group}` {kind}, `{point}` {own}, seq int, x double, y double")
-
-
 def fft_share(df: DataFrame, key: str, order: str, value: str, width: int, cut: int) -> DataFrame:
     """(key, window, ratio): over windows that overlap by half, the energy below the ``cut``-th frequency over that above."""
     kind = df.schema[key].dataType.simpleString()

@@ -19,7 +19,7 @@ from millrace.functions import geometry as G
 from millrace.functions import scalars as S
 from millrace.functions import templates, vectors
 from millrace.operators import aggregates as A
-from millrace.operators import changes, columns, joins, outlines, overlay, rows, scans, sequences, serving, shapes
+from millrace.operators import changes, columns, joins, outlines, overlay, rows, scans, sequences, serving, shapes, voronoi
 from millrace.plans.standins import addresses, points, sql, table, tickets, tracks, triangles
 from millrace.plans.session import shared_folder
 from millrace.sources import blockfile, delimited, feeds, files, generate, shapefile, writers
@@ -845,10 +845,27 @@ def dissolve_shapes(spark, d):
 @query("select grp, count(*) cells, 4.0::double area from (select distinct grp, x, y from points) group by 1", "points")
 def voronoi_cells(spark, d):
     """The cells of a group's points part the box: as many as points, with its area in all."""
-    cells = shapes.voronoi(points(spark, d), "grp", "row_id", (-1.0, -1.0, 1.0, 1.0)).withColumn("part", F.lit(0))
+    cells = voronoi.voronoi(points(spark, d), "grp", "row_id", (-1.0, -1.0, 1.0, 1.0)).withColumn("part", F.lit(0))
     return _area(cells, "grp", "row_id").groupBy("grp").agg(F.count("*").alias("cells"), _r(F.sum("area"), 5).alias("area"))
 
 
+@query(
+    """, q as (select vec_id probe, label grp, round(cast(embedding[3] as double), 6) x, round(cast(embedding[4] as double), 6) y from embeddings)
+select probe, arg_min(row_id, struct_pack(d := (q.x - p.x) ** 2 + (q.y - p.y) ** 2, k := row_id)) site from q join points p using (grp) group by 1""".replace(", q as", ", q as", 1),
+    "points",
+)
+def voronoi_sites(spark, d):
+    """The site in whose cell each other point lies is the site nearest to it."""
+    cells = voronoi.voronoi(points(spark, d), "grp", "row_id", (-1.0, -1.0, 1.0, 1.0))
+    w = Window.partitionBy("row_id").orderBy("seq")
+    ring = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edges = cells.select("grp", "row_id", "x", "y", *[F.coalesce(F.lead(c).over(w), F.first(c).over(ring)).alias(f"n{c}") for c in ("x", "y")])
+    probes = table(spark, d, "embeddings").select(F.col("vec_id").alias("probe"), F.col("label").alias("grp"), *[F.round(F.col("embedding")[k].cast("double"), 6).alias(n) for k, n in ((2, "px"), (3, "py"))])
+    outside = (F.col("nx") - F.col("x")) * (F.col("py") - F.col("y")) < (F.col("ny") - F.col("y")) * (F.col("px") - F.col("x"))
+    held = probes.join(edges, "grp").groupBy("probe", "row_id").agg(F.count_if(outside).alias("out")).where("out = 0")
+    return held.groupBy("probe").agg(F.min("row_id").alias("site"))
+
+
 @query(
     """with v as (select vec_id, unnest(range(len(embedding))) k, cast(unnest(embedding) as double) v, len(embedding) n from embeddings),
   w as (select vec_id, k - s * 16 i, v, s from v, (select unnest(range(1000)) s) where k >= s * 16 and k < s * 16 + 32 and s <= (greatest(0, n - 32)) // 16),

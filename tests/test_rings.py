@@ -41,11 +41,3 @@ def test_overlap():
     y = np.array([0, 0, 1, 1, 0.0])
     assert rings.overlap_end(x, y, 1e-6) == 4
     assert rings.overlap_end(x[:4], y[:4], 1e-6) == 4
-
-
-def test_voronoi_fills_the_box():
-    rng = np.random.default_rng(3)
-    points = [tuple(p) for p in rng.random((12, 2))]
-    cells = rings.voronoi(points, (0, 0, 1, 1))
-    assert size(cells) == pytest.approx(1)
-    assert all(rings.contains(c, p) for c, p in zip(cells, points))
