@@ -1080,12 +1080,15 @@ def js_round_trip(spark, d):
     return found.select(F.col("r")[0].cast("int").alias("n_nationkey"), F.col("r")[1].alias("n_name"))
 
 
-@query("select n_nationkey, n_name, n_regionkey from nation")
+@query("select l_orderkey, l_linenumber, l_quantity, l_discount, l_returnflag, l_extendedprice from lineitem where l_quantity > 20")
 def block_round_trip(spark, d):
+    """Written in a file a partition, read back in ranges of rows by several tasks each."""
     path = _folder(spark).removeprefix("file:")
     spark.dataSource.register(blockfile.BlockDataSource)
-    table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").write.format("block").mode("append").save(path)
-    return blockfile.read_blocks(spark, path).select("n_nationkey", "n_name", "n_regionkey")
+    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_extendedprice")
+    t.write.format("block").option("width", "3").mode("append").save(path)
+    found = blockfile.read_blocks(spark, path, 1 << 16)
+    return found.select(*t.columns).where("l_quantity > 20")
 
 
 # Aggregates and joins that Spark gives as they are

@@ -15,7 +15,7 @@ def session(master: str | None = None, partitions: int | None = None) -> SparkSe
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return (
-        builder.config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.caseSensitive", "true").getOrCreate()
+        builder.config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.caseSensitive", "true").config("spark.sql.python.filterPushdown.enabled", "true").getOrCreate()
     )
 
 

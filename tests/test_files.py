@@ -274,3 +274,33 @@ def test_empty_evolution(spark, tmp_path):
     writers.append_evolving(spark.createDataFrame([], "a int"), path)
     back = writers.append_evolving(spark.createDataFrame([(1, "n")], "a int, b string"), path)
     assert [tuple(r) for r in back.select("a", "b").collect()] == [(1, "n")]
+
+
+def test_one_block_file_is_several_tasks(spark, tmp_path, request):
+    cols = [("id", blockfile.INT, 4), ("big", blockfile.INT, 8), ("u", blockfile.UINT, 4), ("f", blockfile.FLOAT, 4), ("x", blockfile.FLOAT, 8), ("name", blockfile.CHAR, 12)]
+    rows = [(k, k << 33, 4_000_000_000 + k, k / 2, k / 7, f"é{k}" if k % 3 else "") for k in range(5000)]
+    data = blockfile.encode(cols, rows[:1200]) + blockfile.encode(cols, []) + blockfile.encode(cols, rows[1200:], [("a", 1)])
+    (tmp_path / "t.b").write_bytes(data)
+    df = blockfile.read_blocks(spark, str(tmp_path / "t.b"), 20_000)
+    assert df.rdd.getNumPartitions() > 5
+    found = sorted(df.collect(), key=lambda r: r["id"])
+    assert [tuple(r)[:6] for r in found] == [tuple(r) for r in rows]
+    assert [(r["__block"], r["__row"]) for r in found] == [(0, k) for k in range(1200)] + [(2, k) for k in range(3800)]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.python.filterPushdown.enabled"))
+    df = blockfile.read_blocks(spark, str(tmp_path / "t.b"), 20_000)
+    few = df.where("id >= 1190 and id < 1210 and name <> ''").select("id", "__row")
+    assert sorted(tuple(r) for r in few.collect()) == [(k, k if k < 1200 else k - 1200) for k in range(1190, 1210) if k % 3]
+    whole = blockfile.read_whole_blocks(spark, str(tmp_path / "t.b")).collect()
+    assert sorted(tuple(r)[:6] for r in whole) == sorted(tuple(r)[:6] for r in found)
+
+
+def test_writer_cuts_long_partitions_into_blocks(spark, tmp_path, monkeypatch):
+    spark.dataSource.register(blockfile.BlockDataSource)
+    spark.range(70_000).coalesce(1).write.format("block").mode("append").save(str(tmp_path / "o"))
+    df = blockfile.read_blocks(spark, str(tmp_path / "o"))
+    assert df.count() == df.select("id").distinct().count() == 70_000 and df.select("__block").distinct().count() == 2
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.b").write_bytes(b"nothing")
+    with pytest.raises(Exception, match="block cut off"):
+        blockfile.read_blocks(spark, str(tmp_path / "bad"))
