@@ -130,12 +130,17 @@ def next_slots(printable: Column, tomorrow: Column, first: int, n: int = 6) -> C
 
 
 def with_tomorrow(histograms: DataFrame, keys: Sequence[str], day: str = "wday", column: str = "half_hourly") -> DataFrame:
-    """Adds the next weekday's histogram of the same group, null if it has none."""
-    other = histograms.select(*[F.col(k).alias(f"__{k}") for k in keys], ((F.col(day) + 6) % 7).alias("__day"), F.col(column).alias("tomorrow"))
-    on = F.col(day) == F.col("__day")
+    """Adds the next weekday's histogram of the same group, null if it has none or a key is null.
+
+    The histograms are computed once: a group's days, seven at most, are collected over it.
+    """
+    week = F.collect_list(F.struct(F.col(day).alias("day"), F.col(column).alias("line"))).over(Window.partitionBy(*keys))
+    known = F.lit(True)
     for k in keys:
-        on &= F.col(k) == F.col(f"__{k}")
-    return histograms.join(other, on, "left").drop("__day", *[f"__{k}" for k in keys])
+        known &= F.col(k).isNotNull()
+    with_week = histograms.withColumn("__week", week)
+    following = F.filter("__week", lambda x: x["day"] == (F.col(day) + 1) % 7)
+    return with_week.withColumn("tomorrow", F.when(known, F.try_element_at(following, F.lit(1))["line"])).drop("__week")
 
 
 def rms(df: DataFrame, key: str, order: str, value: str, width: int) -> DataFrame:

@@ -27,6 +27,7 @@ def side_rows(addresses: DataFrame, least: int = 10) -> DataFrame:
     certain; it lies in [0, 1] and the longest one is at least a half.
     """
     c = F.col
+    # fixed values: windows of each length in two weeks; the third risk's floor and the share of the radius are below
     windows = ((1, 7 * 24 * 2), (3, 7 * 8 * 2), (6, 7 * 4 * 2))
 
     def side(name: str, rank: int) -> Column:

@@ -877,10 +877,18 @@ def fft_ratio(spark, d):
     return shapes.fft_share(e, "vec_id", "k", "v", 32, 4).withColumn("ratio", _r("ratio", 4))
 
 
-@query("select row_id, x, y from points where grp = 1 union all select row_id, x + dx, y + dy from points, (select case when bx - ax <= by_ - ay then bx - cx else 0 end dx, case when bx - ax <= by_ - ay then 0 else by_ - cy end dy from (select min(x) ax, max(x) bx, min(y) ay, max(y) by_ from points where grp = 1), (select min(x) cx, min(y) cy from points where grp = 2)) where grp = 2".replace("select row_id, x, y from points where grp = 1", "select row_id, round(x, 6) x, round(y, 6) y from points where grp = 1").replace("select row_id, x + dx, y + dy", "select row_id, round(x + dx, 6), round(y + dy, 6)"), "points")
+@query(
+    """select row_id, round(x, 6) x, round(y, 6) y from points where grp % 2 = 1
+union all select row_id, round(x + dx, 6), round(y + dy, 6) from points, (
+  select case when bx - ax <= by_ - ay then bx - cx else 0 end dx, case when bx - ax <= by_ - ay then 0 else by_ - cy end dy
+  from (select min(x) ax, max(x) bx, min(y) ay, max(y) by_ from points where grp % 2 = 1), (select min(x) cx, min(y) cy from points where grp % 2 = 0)) where grp % 2 = 0""",
+    "points",
+)
 def tile_beside(spark, d):
+    """The odd groups as one layer, and the even ones beside it."""
     p = points(spark, d)
-    return shapes.place_beside(p.where("grp = 1").select("row_id", "x", "y"), p.where("grp = 2").select("row_id", "x", "y")).select("row_id", _r("x").alias("x"), _r("y").alias("y"))
+    found = shapes.place_beside(p.where("grp % 2 = 1").select("row_id", "x", "y"), p.where("grp % 2 = 0").select("row_id", "x", "y"))
+    return found.select("row_id", _r("x").alias("x"), _r("y").alias("y"))
 
 
 @query("select i::int i, j::int j, round(-1 + i * 0.25, 6) x0, round(-1 + j * 0.25, 6) y0 from (select unnest(range(8)) i), (select unnest(range(8)) j)")
@@ -941,10 +949,11 @@ def line_risk(spark, d):
     return serving.line_risk(both, serving.round_up(600), [5, 9, 29])
 
 
-@query("select n_nationkey k, case when n_nationkey < 3 then 'new' else n_name end name from nation union all select 100, 'new'")
+@query("select c_custkey k, c_name as name from customer where c_custkey not in (select s_suppkey * 3 from supplier) union all select s_suppkey * 3, s_name from supplier")
 def upsert(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
-    return serving.upsert(n, spark.createDataFrame([(0, "new"), (1, "new"), (2, "new"), (100, "new")], "k int, name string"), ["k"])
+    """Every third customer's row replaced by a supplier's, and those beyond the customers added."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    return serving.upsert(c, table(spark, d, "supplier").select((3 * F.col("s_suppkey")).alias("k"), F.col("s_name").alias("name")), ["k"])
 
 
 @query("select id, cast(street_id as int) geo_id, side arc_side, numeric_address + case when street_id = 3 and side = 1 then 100 else 0 end x from addresses where street_id <> 4 or side <> 0", "addresses")
@@ -1321,12 +1330,13 @@ def fft_inverse(spark, d):
 
 
 @query(
-    """with s as (select event_id, user_id as row, event_id as col, value z, coalesce(lead(value) over r, value) - coalesce(lag(value) over r, value) + coalesce(lead(value) over c, value) - coalesce(lag(value) over c, value) slope
-  from events window r as (partition by user_id order by event_id), c as (partition by event_id order by user_id))
+    """with g as (select event_id, value, event_id // 100 as line, event_id % 100 as place from events), s as (select event_id, value z, coalesce(lead(value) over r, value) - coalesce(lag(value) over r, value) + coalesce(lead(value) over c, value) - coalesce(lag(value) over c, value) slope
+  from g window r as (partition by line order by place), c as (partition by place order by line))
   select event_id, round(case when z < 0 then 0 when z < 100 then z / 100 else 1 end * greatest(0, least(1, 1 - 0.5 * atan(slope / 100) / (pi() / 2))), 6) red from s"""
 )
 def hill_shading(spark, d):
-    grid = table(spark, d, "events").select("event_id", F.col("user_id").alias("row"), F.col("event_id").alias("col"), F.col("value").alias("z"))
+    """The events in lines of a hundred: every inner cell has neighbours on four sides."""
+    grid = table(spark, d, "events").select("event_id", F.expr("event_id div 100").alias("row"), (F.col("event_id") % 100).alias("col"), F.col("value").alias("z"))
     lit = files.elevation_colours(grid, [(0.0, 0.0, 0.0, 0.0), (100.0, 1.0, 1.0, 1.0)])
     return lit.select("event_id", _r("red").alias("red"))
 
