@@ -10,7 +10,7 @@ import pytest
 from llm import cases
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, gru, kneser_ney, sketch
+from millrace.llm import chat, gru, kneser_ney, language, sketch
 
 DATA = "/root/testdata/sf0.01"
 
@@ -213,3 +213,35 @@ def test_op9_averages_in_levels(spark, monkeypatch):
         monkeypatch.setattr(gru, "FAN_IN", fan_in)
         found.append({r["doc_id"]: r["score"] for r in gru.score_documents(docs).collect()})
     assert all(found[1][i] == pytest.approx(s, rel=1e-3) for i, s in found[0].items())
+
+
+def test_op4_counts_by_hand(spark):
+    """Every language's count of every bucket, from letters taken one by one."""
+
+    def scrambled(x):
+        for shift, times in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):
+            x = (x ^ (x >> shift)) * times & (2**64 - 1)
+        return x
+
+    def bucket(gram):
+        key = len(gram)
+        for c in gram:
+            key = (key * 0x110003 + c) & (2**64 - 1)
+        return scrambled(key) & (language.BUCKETS - 1)
+
+    rows = [*cases.ROWS, *[(r["doc_id"], r["text"], r["lang"], "s", 1) for r in spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 40").collect()]]
+    known, wanted = {}, Counter()
+    for _, text, lang, *_ in rows:
+        if text is None or lang is None:
+            continue
+        wanted[lang, -1] += 1
+        letters = [32, *((ord(c.lower()) if len(c.lower()) == 1 else ord(c)) if c.isalpha() else 32 for c in text), 32]
+        grams = [(c,) for c in letters if c != 32]
+        grams += [g for g in zip(letters, letters[1:]) if g != (32, 32)]
+        grams += [g for g in zip(letters, letters[1:], letters[2:]) if g[1] != 32]
+        for g in grams:
+            if g not in known:
+                known[g] = bucket(g)
+            wanted[lang, known[g]] += 1
+    found = {(r["lang"], r["bucket"]): r["n"] for r in language.train(cases.table(spark, rows)).counts.collect()}
+    assert found == dict(wanted)
