@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator, Sequence
-from typing import IO
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.sources.writers import one_file
+from millrace.plans.session import checkpointed
+from millrace.sources.single import join_parts, part_files, removed_folder, staging
 
 # Fixed values of the format.
 POINT, ARC, POLYGON, MULTIPOINT = 1, 3, 5, 8
@@ -110,70 +111,102 @@ def read_shapefile(spark: SparkSession, path: str, columns: Sequence[str] | None
 _BASE = ["shape_row_id", "shape_part_id", "shape_part_type", "seq", "x", "y"]
 
 
-class ShapeWriter:
-    """Writes the .shp, .shx and .dbf of shapes one after the other; the sizes and bounds in the heads are set at the end."""
-
-    def __init__(self, shp: IO[bytes], shx: IO[bytes], dbf: IO[bytes], fields: Sequence[tuple[str, str, int, int]], kind: int = POLYGON):
-        self.shp, self.shx, self.dbf, self.fields, self.kind = shp, shx, dbf, fields, kind
-        self.count, self.at, self.box = 0, 50, None
-        shp.write(self._head(50))
-        shx.write(self._head(50))
-        dbf.write(self._table())
-
-    def _head(self, words: int) -> bytes:
-        return struct.pack(">I5I", 9994, 0, 0, 0, 0, 0) + struct.pack(">I", words) + struct.pack("<2I4d4d", 1000, self.kind, *(self.box or (0.0,) * 4), 0, 0, 0, 0)
-
-    def _table(self) -> bytes:
-        out = struct.pack("<4BIHH20x", 3, 124, 1, 1, self.count, 33 + 32 * len(self.fields), 1 + sum(f[2] for f in self.fields))
-        for name, letter, size, decimals in self.fields:
-            out += name.encode("latin-1")[:10].ljust(11, b"\0") + letter.encode() + b"\0" * 4 + bytes([size, decimals]) + b"\0" * 14
-        return out + b"\x0d"
-
-    def add(self, parts: Sequence[Sequence[tuple[float, float]]], values: Sequence) -> None:
-        xy = [p for part in parts for p in part]
-        own = (min(x for x, _ in xy), min(y for _, y in xy), max(x for x, _ in xy), max(y for _, y in xy))
-        self.box = own if self.box is None else (min(self.box[0], own[0]), min(self.box[1], own[1]), max(self.box[2], own[2]), max(self.box[3], own[3]))
-        if self.kind == POINT:
-            body = struct.pack("<I2d", self.kind, *xy[0])
-        else:
-            starts = [sum(len(p) for p in parts[:i]) for i in range(len(parts))]
-            body = struct.pack("<I4d2I", self.kind, *own, len(parts), len(xy)) + struct.pack(f"<{len(parts)}I", *starts) + struct.pack(f"<{2 * len(xy)}d", *[v for p in xy for v in p])
-        self.count += 1
-        self.shp.write(struct.pack(">2I", self.count, len(body) // 2) + body)
-        self.shx.write(struct.pack(">2I", self.at, len(body) // 2))
-        self.at += 4 + len(body) // 2
-        row = b" "
-        for (_, letter, size, decimals), v in zip(self.fields, values):
-            text = "" if v is None else (f"{v:.{decimals}f}" if letter in "NF" and decimals else str(v))
-            row += (text.rjust(size) if letter in "NF" else text.ljust(size)).encode("latin-1", "replace")[:size]
-        self.dbf.write(row)
-
-    def close(self) -> None:
-        self.dbf.write(b"\x1a")
-        for out, head in ((self.shp, self._head(self.at)), (self.shx, self._head(50 + 4 * self.count)), (self.dbf, self._table())):
-            out.seek(0)
-            out.write(head)
+def _head(kind: int, words: int, box: Sequence[float]) -> bytes:
+    return struct.pack(">7I", 9994, 0, 0, 0, 0, 0, words) + struct.pack("<2I4d4d", 1000, kind, *box, 0, 0, 0, 0)
+
+
+def _table_head(fields: Sequence[tuple[str, str, int, int]], count: int) -> bytes:
+    out = struct.pack("<4BIHH20x", 3, 124, 1, 1, count, 33 + 32 * len(fields), 1 + sum(f[2] for f in fields))
+    for name, letter, size, decimals in fields:
+        out += name.encode("latin-1")[:10].ljust(11, b"\0") + letter.encode() + b"\0" * 4 + bytes([size, decimals]) + b"\0" * 14
+    return out + b"\x0d"
+
+
+def _record(frames: Sequence[pd.DataFrame], fields: Sequence[tuple[str, str, int, int]], kind: int) -> tuple:
+    """(geometry, attributes, bounds) of a shape whose vertices lie in ``frames``, in order."""
+    frame = pd.concat(frames) if len(frames) > 1 else frames[0]
+    xy = frame[["x", "y"]].to_numpy("<f8")
+    box = (*xy.min(axis=0), *xy.max(axis=0))
+    if kind == POINT:
+        body = struct.pack("<I2d", kind, *xy[0])
+    elif kind == MULTIPOINT:
+        body = struct.pack("<I4dI", kind, *box, len(xy)) + xy.tobytes()
+    else:
+        part = frame["shape_part_id"].to_numpy()
+        starts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1]).astype("<u4")
+        body = struct.pack("<I4d2I", kind, *box, len(starts), len(xy)) + starts.tobytes() + xy.tobytes()
+    row = b" "
+    for name, letter, size, decimals in fields:
+        v = frame[name].iloc[0]
+        text = "" if pd.isna(v) else f"{v:.{decimals}f}" if letter == "N" and decimals else str(int(v)) if letter == "N" else str(v)
+        row += (text.rjust(size) if letter == "N" else text.ljust(size)).encode("latin-1", "replace")[:size]
+    return body, row, *map(float, box)
 
 
 def write_shapefile(df: DataFrame, path: str, attributes: Sequence[str] = (), order: str = "seq", kind: int = POLYGON) -> None:
-    """One shapefile of the table's shapes. A shapefile is one file, so its shapes pass through the driver, one at a time."""
-    fields, types = [], dict(df.dtypes)
-    for a in attributes:
-        fields.append((a, "N", 18, 0) if types[a] in ("int", "bigint") else (a, "N", 24, 8) if types[a] in ("double", "float") else (a, "C", 80, 0))
-    keys = ["shape_row_id", "shape_part_id"]
-    stem = path.rsplit(".", 1)[0]
-    with one_file(df.sparkSession, f"{stem}.shp") as shp, one_file(df.sparkSession, f"{stem}.shx") as shx, one_file(df.sparkSession, f"{stem}.dbf") as dbf:
-        out = ShapeWriter(shp, shx, dbf, fields, kind)
-        now = None
-        for r in df.select(*keys, order, "x", "y", *attributes).orderBy(*keys, order).toLocalIterator():
-            if r["shape_row_id"] != now:
-                if now is not None:
-                    out.add(parts, values)
-                now, part, parts, values = r["shape_row_id"], None, [], [r[a] for a in attributes]
-            if r["shape_part_id"] != part:
-                part = r["shape_part_id"]
-                parts.append([])
-            parts[-1].append((r["x"], r["y"]))
-        if now is not None:
-            out.add(parts, values)
-        out.close()
+    """One shapefile of the table's shapes, in order of their ids.
+
+    Vertices are sorted by ranges of shapes; each task makes the records of its range, whose counts and sizes give every
+    range its first number and offset; tasks write parts of the three files, which are joined. A shape is one record, made
+    in one task. Attributes are those of a shape's first vertex; vertices without a shape_row_id are left out, and those
+    of a null part come first.
+    """
+    spark, types, stem = df.sparkSession, dict(df.dtypes), path.rsplit(".", 1)[0]
+    fields = [(a, "N", 18, 0) if types[a] in ("int", "bigint") else (a, "N", 24, 8) if types[a] in ("double", "float") else (a, "C", 80, 0) for a in attributes]
+    whole = [F.col(a).cast("string").alias(a) if types[a] in ("int", "bigint") else F.col(a) for a in attributes]  # pandas would make decimals of them
+    vertices = df.where("shape_row_id is not null").select("shape_row_id", F.coalesce("shape_part_id", F.lit(-1)).alias("shape_part_id"), F.col(order).alias("__order"), "x", "y", *whole)
+    ranged = vertices.repartitionByRange("shape_row_id").sortWithinPartitions("shape_row_id", "shape_part_id", "__order").drop("__order")
+
+    def records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, last = [], None
+        names = ["body", "row", "x0", "y0", "x1", "y1"]
+        for frame in frames:
+            ids, out = frame["shape_row_id"].to_numpy(), []
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+            for low, high in zip(cuts, cuts[1:]):
+                if low == high:
+                    continue
+                if held and ids[low] != last:
+                    out.append(_record(held, fields, kind))
+                    held = []
+                held.append(frame.iloc[low:high])
+                last = ids[low]
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame([_record(held, fields, kind)], columns=names)
+
+    made = checkpointed(ranged.mapInPandas(records, "body binary, row binary, x0 double, y0 double, x1 double, y1 double"))
+    bounds = [F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")]
+    totals = made.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), F.sum(F.length("body") / 2 + 4).cast("long").alias("words"), *[b.alias(f"b{i}") for i, b in enumerate(bounds)]).orderBy("part").collect()  # a row per range
+    first, count, words = {}, 0, 50
+    for r in totals:
+        first[r["part"]] = (count, words)
+        count, words = count + r["n"], words + r["words"]
+    box = [pick(r[f"b{i}"] for r in totals) if totals else 0.0 for i, pick in enumerate((min, min, max, max))]
+    folder = staging(spark)
+
+    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        own = TaskContext.get().partitionId()
+        if own not in first:
+            return
+        number, at = first[own]
+        with part_files(folder, [f"{own}.{ext}" for ext in ("shp", "shx", "dbf")]) as (shp, shx, dbf):
+            for frame in frames:
+                for body, row in zip(frame["body"], frame["row"]):
+                    number += 1
+                    shp.write(struct.pack(">2I", number, len(body) // 2))
+                    shp.write(body)
+                    shx.write(struct.pack(">2I", at, len(body) // 2))
+                    dbf.write(row)
+                    at += 4 + len(body) // 2
+        yield pd.DataFrame({"part": [own], "names": [[shp.name, shx.name, dbf.name]]})
+
+    try:
+        written = sorted((r["part"], r["names"]) for r in made.select("body", "row").mapInPandas(parts, "part int, names array<string>").collect())  # a row per range
+        heads = (("shp", _head(kind, words, box), b""), ("shx", _head(kind, 50 + 4 * count, box), b""), ("dbf", _table_head(fields, count), b"\x1a"))
+        for k, (ext, head, foot) in enumerate(heads):
+            join_parts(spark, f"{stem}.{ext}", [head, *[names[k] for _, names in written], foot])
+    finally:
+        removed_folder(spark, folder)

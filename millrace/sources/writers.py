@@ -1,22 +1,20 @@
-"""Writers. Rows become text on the executors; a file that must be one file is gathered row by row, never at once."""
+"""Writers. Rows become text on the executors; a file that must be one file is joined from the parts of its tasks."""
 
 from __future__ import annotations
 
-import contextlib
 import json
 import math
 import struct
-import tempfile
 import zlib
-from collections.abc import Iterator, Mapping, Sequence
-from typing import IO
+from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import scalars as S
+from millrace.sources.single import join_parts, write_lines
 
 
 def _cell(f: T.StructField) -> Column:
@@ -36,29 +34,7 @@ def csv_lines(df: DataFrame, quotes: bool = True) -> DataFrame:
 def write_csv(df: DataFrame, path: str, header: bool = True, quotes: bool = True, crlf: bool = False, order: Sequence[str] = ()) -> None:
     """One CSV file, in ``order``."""
     names = ",".join(f'"{n}"' if quotes else n for n in df.columns)
-    lines = csv_lines(df.orderBy(*order) if order else df, quotes)
-    _one_file(df.sparkSession, path, (r["value"] for r in lines.toLocalIterator()), "\r\n" if crlf else "\n", [names] if header else [])
-
-
-@contextlib.contextmanager
-def one_file(spark: SparkSession, path: str) -> Iterator[IO[bytes]]:
-    """A file to write: local for a plain path; for a URL it is put in its file system when it is whole."""
-    if "://" not in path and not path.startswith("file:"):
-        with open(path, "wb") as out:
-            yield out
-        return
-    with tempfile.NamedTemporaryFile() as out:
-        yield out
-        out.flush()
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(False, True, spark._jvm.org.apache.hadoop.fs.Path(f"file:{out.name}"), target)
-
-
-def _one_file(spark: SparkSession, path: str, lines: Iterator[str], end: str = "\n", before: Sequence[str] = (), after: Sequence[str] = ()) -> None:
-    with one_file(spark, path) as out:
-        for part in (before, lines, after):
-            for line in part:
-                out.write((line + end).encode())
+    write_lines(csv_lines(df.orderBy(*order) if order else df, quotes), path, "\r\n" if crlf else "\n", [names] if header else [])
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -83,17 +59,14 @@ def write_js(df: DataFrame, path: str, variable: str, attrs: Sequence[tuple[str,
     """``var name = {...};`` with attributes, columns, and rows or shapes: valid JSON after the assignment."""
     kinds = {"int": "int32", "bigint": "int64", "string": "char"}
     head = [f"var {variable} = {{", '"blocks": [{', f'"attributes": {json.dumps([list(a) for a in attrs])},', f'"columns": {json.dumps([[n, kinds.get(t, t)] for n, t in df.dtypes])},']
+    bare = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
     if shapes:
-        rows = (f'{{"name": {json.dumps(r["name"])}, "parts": [{",".join(r["parts"])}]}}' for r in shape_rows(df, name, order).orderBy("shape_row_id").toLocalIterator())
+        own = shape_rows(df, name, order).orderBy("shape_row_id")
+        row = F.concat(F.lit('{"name": '), bare(F.col("name")), F.lit(', "parts": ['), F.array_join("parts", ","), F.lit("]}"))
     else:
-        values = F.array(*[F.to_json(F.array(F.col(f"`{f.name}`"))) for f in df.schema])
-        rows = ("[" + ",".join(v[1:-1] or "null" for v in r["v"]) + "]" for r in df.select(values.alias("v")).toLocalIterator())
-
-    def listed() -> Iterator[str]:
-        for k, row in enumerate(rows):
-            yield ("," if k else "") + row
-
-    _one_file(df.sparkSession, path, listed(), before=[*head, f'"{"shapes" if shapes else "rows"}": ['], after=["]", "}]", "};"])
+        own, row = df, F.concat(F.lit("["), F.concat_ws(",", *[bare(F.col(f"`{f.name}`")) for f in df.schema]), F.lit("]"))
+    rows = own.select(F.concat(F.lit(","), row).alias("value"))  # the first comma is skipped
+    write_lines(rows, path, before=[*head, f'"{"shapes" if shapes else "rows"}": ['], after=["]", "}]", "};"], skip=1)
 
 
 def kml_marks(df: DataFrame, name: str | None = None, order: str = "seq") -> DataFrame:
@@ -117,7 +90,7 @@ def kml_marks(df: DataFrame, name: str | None = None, order: str = "seq") -> Dat
 def write_kml(df: DataFrame, path: str, name: str | None = None, order: str = "seq") -> None:
     marks = kml_marks(df, name, order).orderBy("shape_row_id")
     head = ['<?xml version="1.0" encoding="UTF-8"?>', '<kml xmlns="http://www.opengis.net/kml/2.2">', "<Document>"]
-    _one_file(df.sparkSession, path, (r["value"] for r in marks.toLocalIterator()), before=head, after=["</Document>", "</kml>"])
+    write_lines(marks.select("value"), path, before=head, after=["</Document>", "</kml>"])
 
 
 def _sql_type(f: T.StructField) -> str:
@@ -172,7 +145,7 @@ def append_evolving(df: DataFrame, path: str) -> DataFrame:
 
 def write_sql(df: DataFrame, path: str, table: str, drop: bool = False, created_at: bool = False) -> None:
     make, inserts = sql_statements(df, table, drop, created_at)
-    _one_file(df.sparkSession, path, (r["value"] for r in inserts.toLocalIterator()), before=make)
+    write_lines(inserts, path, before=make)
 
 
 def _filled(placed: DataFrame, order: str) -> DataFrame:
@@ -252,5 +225,4 @@ def write_png(df: DataFrame, path: str, width: int = 1000, order: str = "seq", f
     image = np.full((h, w, 3), 255, dtype=np.uint8)
     for r in found.toLocalIterator():
         image[r["py"], r["px"]] = [int(255 * max(0.0, min(1.0, r[c]))) for c in ("red", "green", "blue")]
-    with one_file(df.sparkSession, path) as f:
-        f.write(encode_png(image))
+    join_parts(df.sparkSession, path, [encode_png(image)])
