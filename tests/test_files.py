@@ -1,3 +1,4 @@
+import csv
 import io
 import json
 import math
@@ -7,6 +8,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace import cli
@@ -304,3 +307,68 @@ def test_writer_cuts_long_partitions_into_blocks(spark, tmp_path, monkeypatch):
     (tmp_path / "bad" / "x.b").write_bytes(b"nothing")
     with pytest.raises(Exception, match="block cut off"):
         blockfile.read_blocks(spark, str(tmp_path / "bad"))
+
+
+def test_shapefile_of_many_ranges(spark, tmp_path):
+    rows = [(k, p, i, float(k + i), float(-p), k if k % 3 else None, f"n{k}") for k in range(40) for p in range(1 + k % 2) for i in range(3 + k % 5)]
+    df = spark.createDataFrame(rows, "shape_row_id int, shape_part_id int, seq int, x double, y double, n long, t string").repartition(7)
+    shapefile.write_shapefile(df, str(tmp_path / "m.shp"), ["n", "t"])
+    shp, shx, dbf = ((tmp_path / f"m.{e}").read_bytes() for e in ("shp", "shx", "dbf"))
+    at, sizes = 100, []
+    for k in range(40):
+        number, words = struct.unpack_from(">2I", shp, at)
+        assert number == k + 1 and struct.unpack_from(">2I", shx, 100 + 8 * k) == (at // 2, words)
+        at += 8 + 2 * words
+        sizes.append(words)
+    assert at == len(shp) == 2 * struct.unpack_from(">I", shp, 24)[0] and len(shx) == 100 + 8 * 40 and struct.unpack_from("<4d", shp, 36) == (0.0, -1.0, 45.0, 0.0)
+    assert shapefile.read_dbf(dbf)[1] == [(k if k % 3 else None, f"n{k}") for k in range(40)] and dbf.endswith(b"\x1a")
+    back = shapefile.read_shapefile(spark, str(tmp_path / "m.shp")).orderBy("seq").collect()
+    assert [(r["shape_row_id"], r["shape_part_id"], r["x"], r["y"]) for r in back] == [(r[0], r[1], r[3], r[4]) for r in rows]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["m.dbf", "m.shp", "m.shx"]
+
+
+def test_empty_single_files(spark, tmp_path):
+    none = spark.createDataFrame([], "shape_row_id int, shape_part_id int, seq int, x double, y double")
+    shapefile.write_shapefile(none, str(tmp_path / "e.shp"))
+    assert [len((tmp_path / f"e.{e}").read_bytes()) for e in ("shp", "shx", "dbf")] == [100, 100, 34]
+    writers.write_csv(none, str(tmp_path / "e.csv"), quotes=False)
+    assert (tmp_path / "e.csv").read_text() == "shape_row_id,shape_part_id,seq,x,y\n"
+    writers.write_js(none, str(tmp_path / "e.js"), "e")
+    assert (tmp_path / "e.js").read_text().endswith('"rows": [\n]\n}]\n};\n')
+
+
+def test_parts_are_joined_in_order(spark, tmp_path):
+    df = spark.range(0, 5000, 1, 13).selectExpr("id k", "repeat('x', cast(id % 90 as int)) v")
+    writers.write_csv(df, str(tmp_path / "o.csv"), quotes=False, order=["k"])
+    assert (tmp_path / "o.csv").read_text() == "k,v\n" + "".join(f"{k},{'x' * (k % 90)}\n" for k in range(5000))
+    writers.write_js(df.select("k"), str(tmp_path / "o.js"), "o")
+    text = (tmp_path / "o.js").read_text()
+    assert json.loads(text[text.index("{") : text.rindex("}") + 1])["blocks"][0]["rows"] == [[k] for k in range(5000)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_one_file_with_quoted_line_breaks_is_several_tasks(spark, tmp_path, end):
+    rows = [[str(k), ["plain", 'a "quoted" one', f"two{end}lines, {k}", f'"{end}"{end}', "", '5" pipe', f"{end}" * 50][k % 7], f"t{k}" * (k % 11)] for k in range(9000)]
+    text = io.StringIO(newline="")
+    csv.writer(text, lineterminator=end).writerows([["k", "v", "w"], *rows])
+    text.write(f"9000,{'long' * 60000}{end}9001,5\" pipe,stray{end}{end}9002,\"{f'1{end}' * 70000}\",end{end}9003,last,one")
+    (tmp_path / "q.csv").write_bytes(text.getvalue().encode())
+    df = delimited.read_delimited(spark, str(tmp_path / "q.csv"), 20_000)
+    found = sorted(((int(r["k"]), r["v"] or "", r["w"] or "") for r in df.collect()))
+    plain = lambda t: t.replace("\r\n", "\n")
+    wanted = [(int(k), plain(v), w) for k, v, w in rows] + [(9000, "long" * 60000, ""), (9001, '5" pipe', "stray"), (9002, "1\n" * 70000, "end"), (9003, "last", "one")]
+    assert found == wanted
+    assert df.rdd.getNumPartitions() > 10
+    whole = delimited._read_whole(spark, str(tmp_path / "q.csv"), delimited.sniff(text.getvalue().encode()[:5000]), 1)
+    assert sorted((int(r["k"]), plain(r["v"] or ""), r["w"] or "") for r in whole.collect()) == wanted
+
+
+@given(st.text(alphabet='a",\n\r', max_size=60), st.integers(0, 60))
+def test_quote_states_at_any_cut(text, cut):
+    """Two spans, the second in the state that the first ends in, give the record ends of the whole."""
+    data = text.encode()
+    k = data.find(b"\n", cut) + 1
+    ends, last = delimited.record_ends(data, False, ",")
+    first, state = delimited.record_ends(data[:k], False, ",")
+    second, end = delimited.record_ends(data[k:], state, ",")
+    assert [*first.tolist(), *(second + k).tolist()] == ends.tolist() and end == last
