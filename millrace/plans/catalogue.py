@@ -22,7 +22,7 @@ from millrace.operators import aggregates as A
 from millrace.operators import changes, columns, joins, outlines, overlay, rows, scans, sequences, serving, shapes, voronoi
 from millrace.plans.standins import addresses, points, sql, table, tickets, tracks, triangles
 from millrace.plans.session import shared_folder
-from millrace.sources import blockfile, delimited, feeds, files, generate, shapefile, writers
+from millrace.sources import blockfile, delimited, feeds, files, generate, shapefile, single, writers
 from millrace.streaming import operators as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1079,14 +1079,55 @@ def sql_round_trip(spark, d):
     return parts.select(F.col("p")[0].cast("long").alias("c_custkey"), F.regexp_replace(F.col("p")[1], '"', "").alias("c_name"))
 
 
-@query("select n_nationkey, n_name from nation")
+@query("select c_custkey, c_name from customer")
 def js_round_trip(spark, d):
     """What stands after the assignment is JSON."""
     path = f"{_folder(spark)}.js"
-    writers.write_js(table(spark, d, "nation").select("n_nationkey", "n_name"), path, "nations")
-    text = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.regexp_replace("value", r"^var nations = ", ""), r";\s*$", "").alias("v"))
+    writers.write_js(table(spark, d, "customer").select("c_custkey", "c_name"), path, "customers")
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.regexp_replace("value", r"^var customers = ", ""), r";\s*$", "").alias("v"))
     found = text.select(F.from_json("v", "blocks array<struct<rows array<array<string>>>>").alias("j")).select(F.explode(F.col("j.blocks")[0]["rows"]).alias("r"))
-    return found.select(F.col("r")[0].cast("int").alias("n_nationkey"), F.col("r")[1].alias("n_name"))
+    return found.select(F.col("r")[0].cast("long").alias("c_custkey"), F.col("r")[1].alias("c_name"))
+
+
+@query("select o_orderkey, o_custkey, o_orderstatus || chr(10) || '\"' || o_custkey || '\",' || chr(10) || chr(10) || o_orderkey note from orders")
+def csv_quoted_breaks(spark, d):
+    """Quoted line breaks, quotes and commas in one file that several tasks read."""
+    path = f"{_folder(spark)}.csv"
+    note = F.concat("o_orderstatus", F.lit('\n"'), F.col("o_custkey").cast("string"), F.lit('",\n\n'), F.col("o_orderkey").cast("string"))
+    writers.write_csv(table(spark, d, "orders").select("o_orderkey", "o_custkey", note.alias("note")), path)
+    back = delimited.read_delimited(spark, path, 1 << 14)
+    return back.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_custkey").cast("long").alias("o_custkey"), "note")
+
+
+def _street_map(spark, d):
+    """A file of parts as nodes and orders as ways along their parts, in blobs of 500 items, read by ranges of blobs."""
+    path = f"{_folder(spark)}.pbf"
+    p, line = table(spark, d, "part"), table(spark, d, "lineitem")
+    place = [F.lit("node").alias("kind"), F.col("p_partkey").cast("long").alias("id"), (F.col("p_size") + F.col("p_partkey") % 1000 / 1000).alias("lat"), (F.col("p_partkey") % 360 - 179.5).alias("lon")]
+    nodes = p.select(*place, F.lit(None).cast("array<long>").alias("refs"))
+    refs = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").cast("long").alias("p")))), lambda v: v["p"])
+    ways = line.groupBy(F.col("l_orderkey").cast("long").alias("id")).agg(refs.alias("refs")).select(F.lit("way").alias("kind"), "id", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), "refs")
+
+    def blobs(frames):
+        for frame in frames:
+            for low in range(0, len(frame), 500):
+                yield pd.DataFrame({"blob": [files.osm_blob(frame[low : low + 500].itertuples(index=False))]})
+
+    single.write_bytes(nodes.union(ways).mapInPandas(blobs, "blob binary"), path)
+    return files.read_osm(spark, path, 1 << 14)
+
+
+@query("""select cast(p_partkey as bigint) id, round(p_size + p_partkey % 1000 / 1000, 6) lat, p_partkey % 360 - 179.5::double lon, coalesce(n, 0) num_ways
+  from part left join (select l_partkey, count(distinct l_orderkey) n from lineitem group by 1) on p_partkey = l_partkey""")
+def osm_nodes(spark, d):
+    """Nodes with the number of ways through them."""
+    return files.osm_nodes(_street_map(spark, d)).select("id", _r("lat").alias("lat"), _r("lon").alias("lon"), "num_ways")
+
+
+@query("select cast(l_orderkey as bigint) id, string_agg(l_partkey, ',' order by l_linenumber, l_partkey) refs from lineitem group by 1")
+def osm_ways(spark, d):
+    """Ways with their nodes in order."""
+    return _street_map(spark, d).where("kind = 'way'").select("id", F.array_join(F.col("refs").cast("array<string>"), ",").alias("refs"))
 
 
 @query("select l_orderkey, l_linenumber, l_quantity, l_discount, l_returnflag, l_extendedprice from lineitem where l_quantity > 20")
@@ -1384,13 +1425,13 @@ def svg_round_trip(spark, d):
     return back.groupBy("grp").agg(F.count("*").alias("n"), _r(F.sum("x"), 3).alias("sx"), _r(F.sum("y"), 3).alias("sy"))
 
 
-@query("select n_nationkey, n_name, '' note, -1 size from nation union all select r_regionkey, r_name, 'region', r_regionkey + 5 from region")
+@query("select cast(c_custkey as bigint) id, c_name name, '' note, -1 size from customer union all select cast(s_suppkey as bigint), s_name, 'supplier', cast(s_nationkey + 5 as int) from supplier")
 def schema_evolution(spark, d):
     """A second batch brings columns that the first did not have."""
     path = _folder(spark)
-    writers.append_evolving(table(spark, d, "nation").select("n_nationkey", "n_name"), path)
-    r = table(spark, d, "region").select(F.col("r_regionkey").alias("n_nationkey"), F.col("r_name").alias("n_name"), F.lit("region").alias("note"), (F.col("r_regionkey") + 5).cast("int").alias("size"))
-    return writers.append_evolving(r, path).select("n_nationkey", "n_name", F.coalesce("note", F.lit("")).alias("note"), F.coalesce("size", F.lit(-1)).alias("size"))
+    writers.append_evolving(table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("name")), path)
+    more = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_name").alias("name"), F.lit("supplier").alias("note"), (F.col("s_nationkey") + 5).cast("int").alias("size"))
+    return writers.append_evolving(more, path).select("id", "name", F.coalesce("note", F.lit("")).alias("note"), F.coalesce("size", F.lit(-1)).alias("size"))
 
 
 @query("select c_nationkey, round(exp(avg(ln(c_acctbal + 2000))), 4) middle from customer group by 1")

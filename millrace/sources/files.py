@@ -6,18 +6,22 @@ Each parser is a plain function of bytes that yields tuples, so it can be tested
 from __future__ import annotations
 
 import io
+import itertools
 import math
 import re
 import struct
 import wave
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.sources.blockfile import file_system
+
 # Default ramp of elevations (metres, red, green, blue).
 RAMP = ((0.0, 0.2, 0.4, 0.7), (1.0, 0.3, 0.6, 0.3), (200.0, 0.6, 0.7, 0.4), (1000.0, 0.7, 0.6, 0.5), (3000.0, 1.0, 1.0, 1.0))
 
@@ -283,12 +287,47 @@ def parse_osm(data: bytes) -> Iterator[tuple]:
         head = dict(fields(data[at + 4 : at + 4 + n]))
         at += 4 + n
         blob, at = data[at : at + head[3]], at + head[3]
+        if head[1] != b"OSMData":
+            continue
         parts = dict(fields(blob))
         raw = parts[1] if 1 in parts else zlib.decompress(parts[3]) if 3 in parts else None
         if raw is None:
             raise ValueError("only plain and zlib blobs")
-        if head[1] == b"OSMData":
-            yield from _osm_block(raw)
+        yield from _osm_block(raw)
+
+
+def osm_extents(f, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of whole blobs of at most ``most`` bytes (a blob at least), by the blobs' headers alone."""
+    size, low, at = f.size(), 0, 0
+    while at < size:
+        n = struct.unpack(">I", f.read_at(4, at))[0]
+        end = at + 4 + n + dict(fields(f.read_at(n, at + 4)))[3]
+        if end > size:
+            raise ValueError("blob cut off")
+        if end - low > most and at > low:
+            yield low, at
+            low = at
+        at = end
+    if at > low:
+        yield low, at
+
+
+def osm_blob(items: Iterable[tuple]) -> bytes:
+    """A blob of (kind, id, lat, lon, refs), nodes as dense ones and ways; the inverse of ``parse_osm`` without tags."""
+    field = lambda k, v: to_varint(k << 3) + to_varint(v) if isinstance(v, int) else to_varint(k << 3 | 2) + to_varint(len(v)) + v
+
+    def steps(values: Iterable[int]) -> bytes:
+        values = list(values)
+        return b"".join(to_varint(to_zigzag(b - a)) for a, b in zip([0, *values], values))
+
+    items, grain = list(items), 100
+    nodes = [i for i in items if i[0] == "node"]
+    dense = field(1, steps(i[1] for i in nodes)) + field(8, steps(round(i[2] * 1e9 / grain) for i in nodes)) + field(9, steps(round(i[3] * 1e9 / grain) for i in nodes))
+    ways = b"".join(field(3, field(1, i[1]) + field(8, steps(i[4]))) for i in items if i[0] == "way")
+    block = field(1, field(1, b"")) + (field(2, field(2, dense)) if nodes else b"") + (field(2, ways) if ways else b"")
+    blob = field(2, len(block)) + field(3, zlib.compress(block))
+    head = field(1, b"OSMData") + field(3, len(blob))
+    return struct.pack(">I", len(head)) + head + blob
 
 
 def _osm_block(raw: bytes) -> Iterator[tuple]:
@@ -326,8 +365,44 @@ def _osm_block(raw: bytes) -> Iterator[tuple]:
                 yield "way" if f == 3 else "relation", item[1], None, None, refs, tags(zip(_packed(item.get(2, b"")), _packed(item.get(3, b""))))
 
 
-def read_osm(spark: SparkSession, path: str) -> DataFrame:
-    return parsed(spark, path, parse_osm, "kind string, id long, lat double, lon double, refs array<long>, tags array<string>")
+_OSM = "kind string, id long, lat double, lon double, refs array<long>, tags array<string>"
+#: Bytes of a file that a task reads.
+OSM_BYTES = 16 << 20
+
+
+def read_osm(spark: SparkSession, path: str, most: int = OSM_BYTES) -> DataFrame:
+    """Nodes, ways and relations. One job follows the headers of each file's blobs, then tasks read ranges of whole blobs.
+
+    Files of a file system that Arrow does not know are read whole, a file per task.
+    """
+    listed = [(r["path"], r["length"]) for r in spark.read.format("binaryFile").load(path).select("path", "length").collect()]  # a row per file
+    try:
+        file_system(listed[0][0])
+    except ValueError:
+        return parsed(spark, path, parse_osm, _OSM)
+
+    def extents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for file in frame["file"]:
+                store, at = file_system(file)
+                with store.open_input_file(at) as f:
+                    found = list(osm_extents(f, most))
+                yield pd.DataFrame({"file": file, "low": [a for a, _ in found], "high": [b for _, b in found]})
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                store, at = file_system(r["file"])
+                with store.open_input_file(at) as f:
+                    items = parse_osm(f.read_at(r["high"] - r["low"], r["low"]))
+                while some := list(itertools.islice(items, 8192)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], names)
+
+    names = ["kind", "id", "lat", "lon", "refs", "tags"]
+    kinds = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.string())]
+    own = spark.createDataFrame([(f,) for f, _ in listed], "file string").repartition(len(listed))
+    tasks = max(1, sum(-(-n // most) for _, n in listed))
+    return own.mapInPandas(extents, "file string, low long, high long").repartition(tasks).mapInArrow(read, _OSM)
 
 
 def osm_nodes(osm: DataFrame) -> DataFrame:

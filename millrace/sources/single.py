@@ -13,7 +13,8 @@ import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyarrow import NativeFile
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.plans.session import shared_folder
@@ -87,7 +88,7 @@ def write_lines(lines: DataFrame, path: str, end: str = "\n", before: Sequence[s
 @dataclass
 class Part:
     name: str
-    out: NativeFile
+    out: pa.NativeFile
 
     def write(self, piece: bytes) -> None:
         self.out.write(piece)
@@ -101,3 +102,22 @@ def part_files(folder: str, names: Sequence[str]) -> Iterator[list[Part]]:
     with contextlib.ExitStack() as open_parts:
         own = [f"{n}-{uuid.uuid4().hex}" for n in names]
         yield [Part(f"{folder}/{n}", open_parts.enter_context(store.open_output_stream(f"{at}/{n}", buffer_size=COPIED))) for n in own]
+
+
+def write_bytes(pieces: DataFrame, path: str) -> None:
+    """One file of the binary values in ``pieces``, its only column, in the order of its partitions; nulls are left out."""
+    spark, folder = pieces.sparkSession, staging(pieces.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = TaskContext.get().partitionId()
+        with part_files(folder, [str(own)]) as (part,):
+            for batch in batches:
+                for piece in batch.column(0):
+                    part.write(piece.as_py() or b"")
+        yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([part.name])], ["part", "name"])
+
+    try:
+        written = sorted(tuple(r) for r in pieces.mapInArrow(run, "part long, name string").collect())  # a row per partition
+        join_parts(spark, path, [name for _, name in written])
+    finally:
+        removed_folder(spark, folder)

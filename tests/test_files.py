@@ -372,3 +372,20 @@ def test_quote_states_at_any_cut(text, cut):
     first, state = delimited.record_ends(data[:k], False, ",")
     second, end = delimited.record_ends(data[k:], state, ",")
     assert [*first.tolist(), *(second + k).tolist()] == ends.tolist() and end == last
+
+
+def test_one_osm_file_is_several_tasks(spark, tmp_path):
+    nodes = [("node", k, 40 + k / 1000, -79 - k / 1000, None) for k in range(20)]
+    ways = [("way", 100 + k, None, None, [k, k + 1, k]) for k in range(19)]
+    header = bytearray(files.osm_blob([])).replace(b"\n\x07OSMData", b"\n\x09OSMHeader")  # a blob of another kind is passed over
+    header[3] += 2
+    (tmp_path / "t.pbf").write_bytes(bytes(header) + b"".join(files.osm_blob(x) for x in (nodes[:9], nodes[9:] + ways[:5], ways[5:])))
+    df = files.read_osm(spark, str(tmp_path / "t.pbf"), 1)
+    found = df.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r["id"] for r in found) == [*range(20), *range(100, 119)] and len({r["task"] for r in found}) == 3
+    assert {(r["id"], round(r["lat"], 6), round(r["lon"], 6)) for r in found if r["kind"] == "node"} == {(i, round(a, 6), round(b, 6)) for _, i, a, b, _ in nodes}
+    assert {(r["id"], tuple(r["refs"])) for r in found if r["kind"] == "way"} == {(i, tuple(r)) for _, i, _, _, r in ways}
+    assert files.read_osm(spark, str(tmp_path / "t.pbf")).count() == 39
+    (tmp_path / "c.pbf").write_bytes((tmp_path / "t.pbf").read_bytes()[:-3])
+    with pytest.raises(Exception, match="blob cut off"):
+        files.read_osm(spark, str(tmp_path / "c.pbf")).count()
