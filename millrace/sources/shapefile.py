@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.plans.session import checkpointed
+from millrace.sources.blockfile import file_system
 from millrace.sources.single import join_parts, part_files, removed_folder, staging
 
 # Fixed values of the format.
 POINT, ARC, POLYGON, MULTIPOINT = 1, 3, 5, 8
 KINDS = {POINT: "points", ARC: "line_strip", POLYGON: "line_loop", MULTIPOINT: "points"}
 
+#: Bytes of geometry that a task reads.
+SHAPE_BYTES = 32 << 20
+
 
 def read_dbf(data: bytes) -> tuple[list[tuple[str, str, int, int]], list[tuple]]:
     """Fields (name, type letter, width, decimals) and rows; numbers become int or float, empty ones None."""
@@ -41,9 +46,14 @@ def read_dbf(data: bytes) -> tuple[list[tuple[str, str, int, int]], list[tuple]]
 
 
 def read_shp(data: bytes) -> Iterator[tuple[int, int, list[list[tuple[float, float]]]]]:
-    """(record, type, parts) of each record; a null shape has no parts."""
-    at, end, k = 100, struct.unpack_from(">I", data, 24)[0] * 2, 0
-    while at + 12 <= min(end, len(data)):
+    """(record, type, parts) of each record of a file; a null shape has no parts."""
+    yield from shp_records(data[100 : struct.unpack_from(">I", data, 24)[0] * 2])
+
+
+def shp_records(data: bytes, k: int = 0) -> Iterator[tuple[int, int, list[list[tuple[float, float]]]]]:
+    """The records, numbered from ``k``, that are laid end to end in ``data``."""
+    at = 0
+    while at + 12 <= len(data):
         size = struct.unpack_from(">I", data, at + 4)[0] * 2
         kind = struct.unpack_from("<I", data, at + 8)[0] % 10
         base, parts = at + 12, []
@@ -65,47 +75,145 @@ def _spark_type(kind: str, decimals: int) -> str:
     return ("double" if decimals or kind == "F" else "int") if kind in "NF" else "string"
 
 
-def read_shapefile(spark: SparkSession, path: str, columns: Sequence[str] | None = None, row_id: int | None = None, part_id: int | None = None, limit: int | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Wanted:
+    """What is kept of the vertices while records are parsed."""
+
+    index: tuple[int, ...]
+    names: tuple[str, ...]
+    row_id: int | None
+    part_id: int | None
+    limit: int | None
+
+    def frames(self, records: Iterator[tuple], table: Sequence[tuple], first: int = 0, seq: int = 0) -> Iterator[pd.DataFrame]:
+        """Rows of records numbered from ``first``, the next kept vertex being number ``seq`` of its file."""
+        rows = []
+        for k, kind, parts in records:
+            if self.row_id is not None and k != self.row_id:
+                continue
+            own = tuple(table[k - first][i] for i in self.index) if k - first < len(table) else (None,) * len(self.index)
+            for p, part in enumerate(parts):
+                if self.part_id is not None and p != self.part_id:
+                    continue
+                for x, y in part:
+                    if self.limit is not None and seq >= self.limit:
+                        break
+                    rows.append((k, p, kind, seq, x, y, *own))
+                    seq += 1
+            if len(rows) > 50_000:
+                yield pd.DataFrame(rows, columns=[*_BASE, *self.names])
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=[*_BASE, *self.names])
+
+
+def read_shapefile(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, row_id: int | None = None, part_id: int | None = None, limit: int | None = None, most: int = SHAPE_BYTES
+) -> DataFrame:
     """A row per vertex: shape_row_id, shape_part_id, shape_part_type, seq, x, y and the attributes.
 
-    ``path`` names the .shp or .dbf file. ``columns``, ``row_id``, ``part_id`` and ``limit`` (of vertices) are
-    applied while parsing. Records without geometry give no rows.
+    ``path`` names the .shp or .dbf file. ``columns``, ``row_id``, ``part_id`` and ``limit`` (of a file's vertices) are
+    applied while parsing. Records without geometry give no rows. A file is read by several tasks: its index (.shx)
+    gives ranges of records of at most ``most`` bytes, whose vertices are counted first, so that each range knows its
+    place. Files in a file system that Arrow does not know are read whole, a file per task.
     """
     stem = path.rsplit(".", 1)[0]
-    load = lambda ext: spark.read.format("binaryFile").load(f"{stem}.{ext}").select(F.regexp_replace("path", r"\.[^./]*$", "").alias("stem"), "content")
-    head = bytes(load("dbf").select(F.substring("content", 1, 1 << 16)).first()[0])
+    load = lambda ext: spark.read.format("binaryFile").load(f"{stem}.{ext}")
+    listed = {r["path"].rsplit(".", 1)[0]: r["length"] for r in load("shp").select("path", "length").collect()}  # a row per file
+    tables = sorted(r["path"] for r in load("dbf").select("path").collect())
+    try:
+        with _opened(tables[0]) as f:
+            head = f.read(1 << 16)
+    except ValueError:
+        head = None
+    whole = head is None
+    if whole:
+        head = bytes(load("dbf").orderBy("path").select(F.substring("content", 1, 1 << 16)).first()[0])
     fields, _ = read_dbf(head[:4] + struct.pack("<I", 0) + head[8:])
-    wanted = [f for f in fields if columns is None or f[0] in columns]
+    chosen = [f for f in fields if columns is None or f[0] in columns]
     schema = "shape_row_id int, shape_part_id int, shape_part_type int, seq long, x double, y double"
-    schema += "".join(f", `{n}` {_spark_type(k, d)}" for n, k, _, d in wanted)
+    schema += "".join(f", `{n}` {_spark_type(k, d)}" for n, k, _, d in chosen)
     names = [f[0] for f in fields]
-    index = [names.index(f[0]) for f in wanted]
+    wanted = Wanted(tuple(names.index(f[0]) for f in chosen), tuple(f[0] for f in chosen), row_id, part_id, limit)
+    if whole:
+        named = lambda ext: load(ext).select(F.regexp_replace("path", r"\.[^./]*$", "").alias("stem"), F.col("content").alias(ext))
+
+        def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for shp, dbf in zip(frame["shp"], frame["dbf"]):
+                    yield from wanted.frames(read_shp(bytes(shp)), read_dbf(bytes(dbf))[1])
+
+        return named("shp").join(named("dbf"), "stem").select("shp", "dbf").mapInPandas(parsed, schema)  # a pair of files each
+
+    having = {t.rsplit(".", 1)[0] for t in tables}
+    pairs = [s for s in listed if s in having]
+
+    def extents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for own in frame["stem"]:
+                yield pd.DataFrame(list(shape_extents(own, most)), columns=["first", "low", "high"]).assign(stem=own)[["stem", "first", "low", "high"]]
+
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for own, first, low, high in frame[["stem", "first", "low", "high"]].itertuples(index=False):
+                kept = (len(p) for k, _, parts in _range(own, low, high, first) if row_id in (None, k) for i, p in enumerate(parts) if part_id in (None, i))
+                found.append(sum(kept))
+            yield frame.assign(n=found)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for shp, dbf in zip(frame["shp"], frame["dbf"]):
-                _, table = read_dbf(bytes(dbf))
-                rows, seq = [], 0
-                for k, kind, parts in read_shp(bytes(shp)):
-                    if row_id is not None and k != row_id:
-                        continue
-                    own = tuple(table[k][i] for i in index) if k < len(table) else (None,) * len(index)
-                    for p, part in enumerate(parts):
-                        if part_id is not None and p != part_id:
-                            continue
-                        for x, y in part:
-                            if limit is not None and seq >= limit:
-                                break
-                            rows.append((k, p, kind, seq, x, y, *own))
-                            seq += 1
-                    if len(rows) > 50_000:
-                        yield pd.DataFrame(rows, columns=[*_BASE, *[f[0] for f in wanted]])
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=[*_BASE, *[f[0] for f in wanted]])
-
-    both = load("shp").withColumnRenamed("content", "shp").join(load("dbf").withColumnRenamed("content", "dbf"), "stem")  # a pair of files each
-    return both.select("shp", "dbf").mapInPandas(run, schema)
+            for own, first, low, high, seq, last in frame[["stem", "first", "low", "high", "seq", "last"]].itertuples(index=False):
+                yield from wanted.frames(_range(own, low, high, first), _rows(own, first, last), first, seq)
+
+    tasks = max(1, sum(-(-n // most) for n in listed.values()))
+    ranges = spark.createDataFrame([(s,) for s in pairs], "stem string").repartition(max(1, len(pairs))).mapInPandas(extents, "stem string, first long, low long, high long")
+    sized = ranges.repartition(tasks).mapInPandas(counted, "stem string, first long, low long, high long, n long")
+    w = Window.partitionBy("stem").orderBy("first")  # a row per range
+    placed = sized.withColumns({"seq": F.sum("n").over(w) - F.col("n"), "last": F.lead("first").over(w)}).na.fill(-1, ["last"])
+    if limit is not None:
+        placed = placed.where(F.col("seq") < limit)
+    return placed.repartition(tasks).mapInPandas(read, schema)
+
+
+def _opened(file: str):
+    store, at = file_system(file)
+    return store.open_input_file(at)
+
+
+def shape_extents(stem: str, most: int) -> Iterator[tuple[int, int, int]]:
+    """(first record, low, high): ranges of whole records by the index, or by the records' own heads where there is none."""
+    with _opened(f"{stem}.shp") as shp:
+        size = min(struct.unpack(">I", shp.read_at(4, 24))[0] * 2, shp.size())
+        try:
+            with _opened(f"{stem}.shx") as shx:
+                starts = np.frombuffer(shx.read()[100:], ">i4").reshape(-1, 2)[:, 0].astype(np.int64) * 2
+        except FileNotFoundError:
+            found, at = [], 100
+            while at + 12 <= size:
+                found.append(at)
+                at += 8 + 2 * struct.unpack(">I", shp.read_at(4, at + 4))[0]
+            starts = np.asarray(found, np.int64)
+    first = 0
+    while first < len(starts):
+        following = max(first + 1, int(np.searchsorted(starts, starts[first] + most, "left")) - 1) if starts[-1] >= starts[first] + most else len(starts)
+        yield first, int(starts[first]), int(starts[following]) if following < len(starts) else size
+        first = following
+
+
+def _range(stem: str, low: int, high: int, first: int) -> Iterator[tuple]:
+    with _opened(f"{stem}.shp") as f:
+        data = f.read_at(high - low, low)
+    return shp_records(data, first)
+
+
+def _rows(stem: str, first: int, last: int) -> list[tuple]:
+    """Rows ``first`` to ``last`` (-1: the end) of a table."""
+    with _opened(f"{stem}.dbf") as f:
+        rows, head, width = struct.unpack("<IHH", f.read_at(8, 4))
+        n = max(0, (rows if last < 0 else min(last, rows)) - first)
+        data = f.read_at(head, 0)
+        return read_dbf(data[:4] + struct.pack("<I", n) + data[8:] + f.read_at(n * width, head + first * width))[1]
 
 
 _BASE = ["shape_row_id", "shape_part_id", "shape_part_type", "seq", "x", "y"]

@@ -325,6 +325,13 @@ def test_shapefile_of_many_ranges(spark, tmp_path):
     back = shapefile.read_shapefile(spark, str(tmp_path / "m.shp")).orderBy("seq").collect()
     assert [(r["shape_row_id"], r["shape_part_id"], r["x"], r["y"]) for r in back] == [(r[0], r[1], r[3], r[4]) for r in rows]
     assert sorted(p.name for p in tmp_path.iterdir()) == ["m.dbf", "m.shp", "m.shx"]
+    cut = shapefile.read_shapefile(spark, str(tmp_path / "m.shp"), most=700).withColumn("task", F.spark_partition_id()).orderBy("seq").collect()
+    assert [r["seq"] for r in cut] == list(range(len(rows))) and [(r["shape_row_id"], r["x"], r["n"], r["t"]) for r in cut] == [(r[0], r[3], r[5], r[6]) for r in rows]
+    assert len({r["task"] for r in cut}) > 3
+    second = [r for r in rows if r[1] == 1]
+    (tmp_path / "m.shx").unlink()
+    part = shapefile.read_shapefile(spark, str(tmp_path / "m.shp"), columns=["t"], part_id=1, limit=9, most=300).orderBy("seq").collect()
+    assert [(r["seq"], r["shape_row_id"], r["x"], r["t"]) for r in part] == [(k, r[0], r[3], r[6]) for k, r in enumerate(second[:9])] and "n" not in part[0]
 
 
 def test_empty_single_files(spark, tmp_path):
