@@ -113,6 +113,7 @@ STEPS = {
     "highlight": lambda df, a, o: sequences.highlight_vertices(df, _keys(o), o.get("order", "seq"), int(o["i"]) if "i" in o else "all" if "all" in o else "ends"),
     "polygons": lambda df, a, o: joins.point_in_triangle(df, _read(df.sparkSession, o["file"]), o.get("order", "polygon_id"), float(o["cell"]), "last" in o, o.get("id")),
     "nearest": lambda df, a, o: joins.nearest(df, df, o["id"], o["id"], float(o["cell"]), same_layer=True),
+    "move-to-street": lambda df, a, o: joins.move_to_street(df, _read(df.sparkSession, o["file"]), o["id"], float(o["reach"]), float(o["cell"]), o.get("prefer")),
     "snap": lambda df, a, o: joins.snap_to_segments(df, _read(df.sparkSession, o["file"]), o["id"], float(o["reach"]), float(o["cell"]), o.get("prefer")),
     "rms": lambda df, a, o: aggregates.rms(df, o["key"], o.get("order", "seq"), o["value"], int(o["width"])),
     "fft": lambda df, a, o: shapes.magnitudes(df, o["key"], o.get("order", "seq"), o["value"], "inverse" in o),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,6 +77,16 @@ def luma(red: Column, green: Column, blue: Column) -> Column:
     return 0.30 * red + 0.59 * green + 0.11 * blue
 
 
+# Streets that are twice as wide, as addresses and as lines name them.
+WIDE_STREETS = ("SPADINA AVE", "UNIVERSITY AVE", "ST CLAIR AVE")
+WIDE_LINES = ("Spadina Ave", "University Ave", "St Clair Ave W")
+
+
+def road_width(name: Column, width: float = 0.0002, wide: Sequence[object] = WIDE_STREETS) -> Column:
+    """``width``, twice for the streets named ``wide``; a null name is no wide street."""
+    return F.when(name.isin(*wide), 2 * width).otherwise(F.lit(width))
+
+
 def unit_sphere(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
     """x, y, z on the unit sphere: y is the axis."""
     return F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.sin(F.radians(lat)), F.cos(F.radians(lat)) * F.sin(F.radians(lon))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions import scalars as S
 from millrace.plans.session import checkpointed, stored
 
 
@@ -152,15 +153,18 @@ def snap_to_segments(points: DataFrame, segments: DataFrame, point_id: str, reac
     """Moves points to the nearest segment (x1, y1, x2, y2, segment_id) within ``reach``.
 
     Returns the points with snapped_x, snapped_y, segment_id, distance and angle, null if none is in reach. A foot
-    off the segment's ends becomes the nearer end; ties go to the smaller id. Segments are dealt to the cells of
-    their bounds widened by ``reach``. With ``prefer``, a column of both tables, segments of the point's own value
+    off the segment's ends becomes the nearer end; ties go to the smaller id. Segments are dealt to the cells
+    along them: in each column of cells, those near the stretch whose points that column can reach. With ``prefer``, a column of both tables, segments of the point's own value
     (its street's name, say) come before nearer ones of others; the choice is made in the same aggregation.
     """
     c = F.col
+    wider = reach * (1 + 1e-6)
     box = lambda f, a, b, d: f(c(a), c(b)) + d
-    dealt = segments.withColumn("__cx", F.explode(cells(box(F.least, "x1", "x2", -reach), box(F.greatest, "x1", "x2", reach), cell))).withColumn(
-        "__cy", F.explode(cells(box(F.least, "y1", "y2", -reach), box(F.greatest, "y1", "y2", reach), cell))
-    )
+    columns = segments.withColumn("__cx", F.explode(cells(box(F.least, "x1", "x2", -wider), box(F.greatest, "x1", "x2", wider), cell)))
+    inside = lambda edge: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(edge - c("x1"), c("x2") - c("x1"))))
+    y_at = lambda share, end: F.when(c("x1") == c("x2"), c(end)).otherwise(c("y1") + share * (c("y2") - c("y1")))
+    columns = columns.withColumns({"__ya": y_at(inside(c("__cx") * cell - wider), "y1"), "__yb": y_at(inside((c("__cx") + 1) * cell + wider), "y2")})
+    dealt = columns.withColumn("__cy", F.explode(cells(box(F.least, "__ya", "__yb", -wider), box(F.greatest, "__ya", "__yb", wider), cell))).drop("__ya", "__yb")
     same = [c(prefer).alias("__own")] if prefer else []
     dealt = dealt.withColumnRenamed(prefer, "__theirs") if prefer else dealt
     own = points.select(c(point_id).alias("__p"), "x", "y", *same, F.floor(c("x") / cell).cast("long").alias("__px"), F.floor(c("y") / cell).cast("long").alias("__py"))
@@ -176,6 +180,21 @@ def snap_to_segments(points: DataFrame, segments: DataFrame, point_id: str, reac
     return points.join(best, c(point_id) == c("__p"), "left").select(*[points[x] for x in points.columns], "s.snapped_x", "s.snapped_y", "s.segment_id", "s.distance", "s.angle")
 
 
+def move_to_street(
+    points: DataFrame, segments: DataFrame, point_id: str, reach: float, cell: float, prefer: str | None = None, width: float = 0.0002, wide: Sequence[object] = S.WIDE_STREETS
+) -> DataFrame:
+    """Puts points on the street: x and y become the nearest place on a segment (``snap_to_segments``), if one is in reach.
+
+    Adds segment_id, distance (null without a segment), angle, the direction from that place to where the point was (0 if it
+    did not move 1e-9 or had no segment), and road_width, twice ``width`` where the point's ``prefer`` is one of ``wide``.
+    """
+    c = F.col
+    found = snap_to_segments(points, segments, point_id, reach, cell, prefer)
+    away = F.atan2(c("y") - c("snapped_y"), c("x") - c("snapped_x"))
+    told = found.withColumns({"angle": F.when(c("distance") >= 1e-9, away).otherwise(F.lit(0.0)), "road_width": S.road_width(c(prefer), width, wide) if prefer else F.lit(width)})
+    return told.withColumns({"x": F.coalesce("snapped_x", "x"), "y": F.coalesce("snapped_y", "y")}).drop("snapped_x", "snapped_y")
+
+
 def align_to_lines(points: DataFrame, vertices: DataFrame, point_id: str, reach: float, cell: float) -> DataFrame:
     """Points within ``reach`` of a line, with line, distance and along: the length of the line up to the foot."""
     w = Window.partitionBy("line").orderBy("seq")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.links import follow
@@ -53,8 +53,11 @@ def highlight_vertices(df: DataFrame, within: Sequence[str], order: str, which:
     return around.select(*within, order, "seq", (F.col("x") + F.cos(turn) * F.col("__r")).alias("x"), (F.col("y") + F.sin(turn) * F.col("__r")).alias("y"))
 
 
-def offset_lines(df: DataFrame, within: Sequence[str], by: Sequence[str], half_width: float) -> DataFrame:
-    """Left and right of each vertex of a line, across the direction to the next one (the last keeps its last angle)."""
+def offset_lines(df: DataFrame, within: Sequence[str], by: Sequence[str], half_width: float | Column) -> DataFrame:
+    """Left and right of each vertex of a line, across the direction to the next one (the last keeps its last angle).
+
+    ``half_width`` may be a column, such as ``scalars.road_width`` of a street's name.
+    """
     w = Window.partitionBy(*within).orderBy(*by)
     ahead = F.atan2(F.lead("y").over(w) - F.col("y"), F.lead("x").over(w) - F.col("x"))
     angled = df.withColumn("__a", ahead).withColumn("angle", F.coalesce("__a", F.last("__a", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))

@@ -649,6 +649,22 @@ def offset_polyline(spark, d):
 SQL["offset_polyline"] = SQL["offset_polyline"].replace(") , a as", "), a as")
 
 
+@query(
+    """, a as (select *, atan2(lead(y) over w - y, lead(x) over w - x) a, case when shape_row_id % 3 = 1 then 1.0 else 0.5 end h from tracks window w as (partition by shape_row_id order by x, event_id)),
+  b as (select *, coalesce(a, lag(a) over (partition by shape_row_id order by x, event_id), 0) + pi() / 2 g from a)
+  select event_id, round(x + h * cos(g), 6) left_x, round(y + h * sin(g), 6) left_y, round(x - h * cos(g), 6) right_x, round(y - h * sin(g), 6) right_y from b""",
+    "tracks",
+)
+def offset_wide_lines(spark, d):
+    """Both sides of lines, twice as far apart for a third of them."""
+    half = S.road_width(F.col("shape_row_id") % 3, 0.5, (1,))
+    o = sequences.offset_lines(tracks(spark, d), ["shape_row_id"], ["x", "event_id"], half)
+    return o.select("event_id", *[_r(n).alias(n) for n in ("left_x", "left_y", "right_x", "right_y")])
+
+
+SQL["offset_wide_lines"] = SQL["offset_wide_lines"].replace(") , a as", "), a as")
+
+
 @query("select shape_row_id, round(sum(x * ny - nx * y) / 2, 2) area from (select *, lead(x) over w nx, lead(y) over w ny from tracks window w as (partition by shape_row_id order by x, event_id)) group by 1", "tracks")
 def winding_area(spark, d):
     return sequences.signed_area(tracks(spark, d), ["shape_row_id"], ["x", "event_id"]).select("shape_row_id", _r("area", 2).alias("area"))
@@ -1317,6 +1333,27 @@ def snap_to_street(spark, d):
 SQL["snap_to_street"] = SQL["snap_to_street"].replace(") , seg", "), seg")
 
 
+@query(
+    """, seg as (select * from (select row_id segment_id, (grp + 1) % 5 street, x x1, y y1, lead(x) over w x2, lead(y) over w y2 from points window w as (partition by grp order by row_id)) where x2 is not null),
+  near as (select p.row_id, p.x, p.y, p.grp % 5 <> street other, segment_id, x1, y1, x2, y2, greatest(0.0, least(1.0, ((p.x - x1) * (x2 - x1) + (p.y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) t from points p, seg),
+  foot as (select *, x1 + t * (x2 - x1) fx, y1 + t * (y2 - y1) fy from near),
+  gap as (select *, sqrt(pow(x - fx, 2) + pow(y - fy, 2)) d from foot),
+  best as (select * from (select *, row_number() over (partition by row_id order by other, d, segment_id) rn from gap where d <= 0.02) where rn = 1)
+  select p.row_id, round(coalesce(fx, p.x), 6) x, round(coalesce(fy, p.y), 6) y, coalesce(b.segment_id, -1) segment_id, case when d >= 1e-9 then round(atan2(p.y - fy, p.x - fx), 6) else 0.0::double end angle,
+    case when p.grp % 5 in (1, 3) then 0.0004::double else 0.0002::double end road_width from points p left join best b using (row_id)""",
+    "points",
+)
+def move_to_street(spark, d):
+    """Points on their street, with the way back and the width of the road, twice for two of the streets."""
+    own = points(spark, d).withColumn("street", F.col("grp") % 5)
+    streets = _segments(spark, d).join(points(spark, d).select(F.col("row_id").alias("segment_id"), ((F.col("grp") + 1) % 5).alias("street")), "segment_id")
+    s = joins.move_to_street(own, streets, "row_id", 0.02, 0.05, "street", wide=(1, 3))
+    return s.select("row_id", _r("x").alias("x"), _r("y").alias("y"), F.coalesce("segment_id", F.lit(-1)).alias("segment_id"), _r("angle").alias("angle"), "road_width")
+
+
+SQL["move_to_street"] = SQL["move_to_street"].replace(") , seg", "), seg")
+
+
 # Sequences and shapes, continued
 
 

@@ -86,6 +86,39 @@ def test_snap(spark):
     assert found[2]["snapped_x"] == 0.0 and found[3]["segment_id"] is None and found[4]["segment_id"] == 2
 
 
+def test_snap_to_long_diagonals(spark):
+    """A segment is dealt to the cells along it, and no point in reach is missed, whatever its slope."""
+    import random
+
+    rng = random.Random(7)
+    place = lambda: rng.uniform(-40, 40)
+    ends = [(k, place(), place(), place(), place()) for k in range(12)] + [(12, 3.0, -40.0, 3.0, 40.0), (13, -40.0, 5.0, 40.0, 5.0), (14, 40.0, 40.0, -40.0, -40.0), (15, 1.0, 1.0, 1.0, 1.0)]
+    s = spark.createDataFrame(ends, "segment_id int, x1 double, y1 double, x2 double, y2 double")
+    own = [(k, place(), place()) for k in range(600)] + [(600, 4.5, 0.0), (601, 0.0, 6.5), (602, -41.5, 5.0)]
+    p = spark.createDataFrame(own, "id int, x double, y double")
+
+    def gap(x, y, x1, y1, x2, y2):
+        n = (x2 - x1) ** 2 + (y2 - y1) ** 2
+        t = max(0.0, min(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / n)) if n else 0.0
+        return ((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2) ** 0.5
+
+    wanted = {}
+    for i, x, y in own:
+        d, k = min((gap(x, y, *e[1:]), e[0]) for e in ends)
+        wanted[i] = k if d <= 1.5 else None
+    assert {r["id"]: r["segment_id"] for r in joins.snap_to_segments(p, s, "id", 1.5, 1.0).collect()} == wanted
+
+
+def test_move_to_street(spark):
+    s = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 0.0, "KING ST"), (2, 0.0, 1.0, 10.0, 1.0, "SPADINA AVE")], "segment_id int, x1 double, y1 double, x2 double, y2 double, street string")
+    p = spark.createDataFrame([(1, 3.0, 0.4, "SPADINA AVE"), (2, 4.0, 0.0, "KING ST"), (3, 5.0, 9.0, None), (4, 6.0, 0.9, None)], "id int, x double, y double, street string")
+    found = {r["id"]: r for r in joins.move_to_street(p, s, "id", 2.0, 1.0, "street").collect()}
+    assert (found[1]["x"], found[1]["y"], found[1]["segment_id"], found[1]["road_width"]) == (3.0, 1.0, 2, 0.0004) and found[1]["angle"] == pytest.approx(-math.pi / 2)
+    assert (found[2]["angle"], found[2]["road_width"]) == (0.0, 0.0002)
+    assert (found[3]["x"], found[3]["y"], found[3]["segment_id"], found[3]["angle"]) == (5.0, 9.0, None, 0.0)
+    assert (found[4]["y"], found[4]["segment_id"], found[4]["road_width"]) == (1.0, 2, 0.0002)
+
+
 def test_histograms(spark):
     h = spark.createDataFrame([([0, 5, 200],)], "s array<int>").select(aggregates.as_printable(F.col("s")).alias("p"), aggregates.as_symbols(F.col("s")).alias("y")).first()
     assert h["p"] == " %~" and h["y"] == "  #"
