@@ -116,7 +116,7 @@ STEPS = {
     "move-to-street": lambda df, a, o: joins.move_to_street(df, _read(df.sparkSession, o["file"]), o["id"], float(o["reach"]), float(o["cell"]), o.get("prefer")),
     "snap": lambda df, a, o: joins.snap_to_segments(df, _read(df.sparkSession, o["file"]), o["id"], float(o["reach"]), float(o["cell"]), o.get("prefer")),
     "rms": lambda df, a, o: aggregates.rms(df, o["key"], o.get("order", "seq"), o["value"], int(o["width"])),
-    "fft": lambda df, a, o: shapes.magnitudes(df, o["key"], o.get("order", "seq"), o["value"], "inverse" in o),
+    "fft": lambda df, a, o: spectra.magnitudes(df, o["key"], o.get("order", "seq"), o["value"], "inverse" in o),
     "select": lambda df, a, o: df.select(*[F.expr(x) for x in a]),
     "where": lambda df, a, o: df.where(" ".join(a)),
     "pass": lambda df, a, o: df,

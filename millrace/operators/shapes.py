@@ -130,35 +130,6 @@ def clip(df: DataFrame, shape: str, order: str, ring: list[tuple[float, float]],
     return overlay.overlay(df, layer, shape, "__clip", order, cell, operations or overlay.OPERATIONS)
 
 
-def fft_share(df: DataFrame, key: str, order: str, value: str, width: int, cut: int) -> DataFrame:
-    """(key, window, ratio): over windows that overlap by half, the energy below the ``cut``-th frequency over that above."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values(order)[value].to_numpy(float)
-        rows = []
-        for k, s in enumerate(range(0, max(0, len(v) - width) + 1, width // 2)):
-            power = np.abs(np.fft.rfft(v[s : s + width])) ** 2
-            high = power[cut:].sum()
-            rows.append((pdf[key].iloc[0], k, float(power[:cut].sum() / high) if high else 0.0))
-        return pd.DataFrame(rows, columns=[key, "window", "ratio"])
-
-    return df.groupBy(key).applyInPandas(run, f"`{key}` {kind}, window int, ratio double")
-
-
-def magnitudes(df: DataFrame, key: str, order: str, value: str, inverse: bool = False) -> DataFrame:
-    """(key, k, magnitude) of the Fourier transform of each real series: as many as it has values with ``inverse``
-    (which is not divided by their number), the lower half without."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values(order)[value].to_numpy(float)
-        m = np.abs(np.fft.ifft(v, norm="forward") if inverse else np.fft.rfft(v))
-        return pd.DataFrame({key: pdf[key].iloc[0], "k": np.arange(len(m), dtype=np.int32), "magnitude": m})
-
-    return df.groupBy(key).applyInPandas(run, f"`{key}` {kind}, k int, magnitude double")
-
-
 def place_beside(a: DataFrame, b: DataFrame, axis: str = "auto", gap: float = 0.0) -> DataFrame:
     """``a`` and, beside it, ``b`` shifted along an axis (by default the shorter side of ``a``)."""
     box = a.agg(*[f(c).alias(f"a_{f.__name__}_{c}") for c in ("x", "y") for f in (F.min, F.max)])

@@ -19,7 +19,7 @@ from millrace.functions import geometry as G
 from millrace.functions import scalars as S
 from millrace.functions import templates, vectors
 from millrace.operators import aggregates as A
-from millrace.operators import changes, columns, joins, outlines, overlay, rows, scans, sequences, serving, shapes, voronoi
+from millrace.operators import changes, columns, joins, outlines, overlay, rows, scans, sequences, serving, shapes, spectra, voronoi
 from millrace.plans.standins import addresses, points, sql, table, tickets, tracks, triangles
 from millrace.plans.session import shared_folder
 from millrace.sources import blockfile, delimited, feeds, files, generate, shapefile, single, writers
@@ -890,7 +890,7 @@ def voronoi_sites(spark, d):
 )
 def fft_ratio(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v"))
-    return shapes.fft_share(e, "vec_id", "k", "v", 32, 4).withColumn("ratio", _r("ratio", 4))
+    return spectra.low_share(e, "vec_id", "k", "v", 32, 4).withColumn("ratio", _r("ratio", 4))
 
 
 @query(
@@ -1398,13 +1398,13 @@ _DFT = """with v as (select vec_id, unnest(range(len(embedding))) j, cast(unnest
 @query(_DFT.format(size="n // 2 + 1"))
 def fft_magnitude(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("j", "v"))
-    return shapes.magnitudes(e, "vec_id", "j", "v").withColumn("magnitude", _r("magnitude", 4))
+    return spectra.magnitudes(e, "vec_id", "j", "v").withColumn("magnitude", _r("magnitude", 4))
 
 
 @query(_DFT.format(size="n"))
 def fft_inverse(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("j", "v"))
-    return shapes.magnitudes(e, "vec_id", "j", "v", inverse=True).withColumn("magnitude", _r("magnitude", 4))
+    return spectra.magnitudes(e, "vec_id", "j", "v", inverse=True).withColumn("magnitude", _r("magnitude", 4))
 
 
 @query(
