@@ -5,6 +5,7 @@ Derived decimals are rounded on both sides: six places, sums two.
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace import cli
 from millrace import table as tables
 from millrace.functions import projections as P
 from millrace.functions import geometry as G
@@ -1157,6 +1159,81 @@ def block_round_trip(spark, d):
     return found.select(*t.columns).where("l_quantity > 20")
 
 
+@query("select cast(l_orderkey as int) okey, first(l_returnflag) over w flag, cast(row_number() over w - 1 as int) vertex, cast(l_partkey as double) x, cast(l_suppkey as double) y from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_returnflag)")
+def shapefile_polygons(spark, d):
+    """Orders as polygons along their lines, the file read in ranges of records."""
+    path = f"{_folder(spark)}.shp"
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")) - 1
+    own = table(spark, d, "lineitem").withColumn("seq", at)
+    flag = F.first("l_returnflag").over(Window.partitionBy("l_orderkey").orderBy("seq"))
+    rows = own.select(F.col("l_orderkey").alias("shape_row_id"), F.lit(0).alias("shape_part_id"), "seq", F.col("l_partkey").cast("double").alias("x"), F.col("l_suppkey").cast("double").alias("y"), F.col("l_orderkey").cast("int").alias("okey"), flag.alias("flag"))
+    shapefile.write_shapefile(rows, path, ["okey", "flag"])
+    back = shapefile.read_shapefile(spark, path, most=1 << 16)
+    first = F.min("seq").over(Window.partitionBy("shape_row_id"))
+    return back.select("okey", "flag", (F.col("seq") - first).cast("int").alias("vertex"), "x", "y")
+
+
+@query("select cast(c_custkey as int) id, c_name as name, cast(c_acctbal as double) x, cast(c_nationkey as double) y, 1 kind from customer")
+def shapefile_points(spark, d):
+    path = f"{_folder(spark)}.shp"
+    place = [F.col("c_custkey").alias("shape_row_id"), F.lit(0).alias("shape_part_id"), F.lit(0).alias("seq"), F.col("c_acctbal").cast("double").alias("x"), F.col("c_nationkey").cast("double").alias("y")]
+    shapefile.write_shapefile(table(spark, d, "customer").select(*place, F.col("c_custkey").cast("int").alias("id"), F.col("c_name").alias("name")), path, ["id", "name"], kind=shapefile.POINT)
+    return shapefile.read_shapefile(spark, path, most=1 << 14).select("id", "name", "x", "y", F.col("shape_part_type").alias("kind"))
+
+
+@query("select s_name stop, count(l_orderkey) visits, count(distinct l_orderkey) trips from supplier left join lineitem on l_suppkey = s_suppkey group by 1")
+def transit_feed(spark, d):
+    """Suppliers as stops that orders call at, as a transit feed's tables."""
+    folder = _folder(spark)
+    writers.write_csv(table(spark, d, "supplier").select(F.col("s_suppkey").alias("stop_id"), F.col("s_name").alias("stop_name")), f"{folder}/stops.txt")
+    writers.write_csv(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("trip_id"), F.col("l_suppkey").alias("stop_id"), F.col("l_linenumber").alias("stop_sequence")), f"{folder}/stop_times.txt")
+    feed = feeds.read_transit(spark, folder, "stops", "stop_times")
+    met = feed["stops"].join(feed["stop_times"], "stop_id", "left")
+    return met.groupBy(F.col("stop_name").alias("stop")).agg(F.count("trip_id").alias("visits"), F.count_distinct("trip_id").alias("trips"))
+
+
+_SAMPLE = "(event_id * 7919 + cast(floor(abs(coalesce(value, 0)) * 100) as bigint)) % 20001 - 10000"
+
+
+@query(f"select cast(i // w as int) as window, round(sqrt(avg(v * v)), 4) rms from (select row_number() over (order by event_id) - 1 i, cast({_SAMPLE} as double) v, cast(ceil(count(*) over () / 100) as bigint) w from events) group by 1")
+def sound_windows(spark, d):
+    """Events as the samples of a sound, whose loudness is told in windows."""
+    path = f"{_folder(spark)}.wav"
+    events = table(spark, d, "events").repartitionByRange("event_id").sortWithinPartitions("event_id").select(F.expr(f"cast({_SAMPLE} as smallint)").alias("v"))
+    size = 2 * events.count()
+    head = b"RIFF" + struct.pack("<I", 36 + size) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 16000, 2, 16) + b"data" + struct.pack("<I", size)
+    samples = events.mapInPandas(lambda frames: (pd.DataFrame({"piece": [f["v"].to_numpy("<i2").tobytes()]}) for f in frames), "piece binary")
+    single.write_bytes(spark.createDataFrame([(bytearray(head),)], "piece binary").coalesce(1).union(samples), path)
+    return files.read_wave(spark, path).select("window", _r("rms", 4).alias("rms"))
+
+
+@query(
+    """, b as (select min(x) ax, max(x) - min(x) wide, min(y) ay, max(y) - min(y) tall from points),
+  s as (select *, cast(greatest(1, floor(least(1000 * tall / wide, 1500))) as bigint) h from b),
+  p as (select grp, round((0.01::double + 0.98::double * (x - ax) / wide) * 999) px, round((h - 1) - (0.01::double + 0.98::double * (y - ay) / tall) * (h - 1)) py from points, s)
+  select cast(px as int) px, cast(py as int) py, round(max(grp) / 100, 2) red from p group by 1, 2""",
+    "points",
+)
+def png_pixels(spark, d):
+    """The pixels of a picture of points; the last shape wins."""
+    p = points(spark, d).select(F.col("grp").alias("shape_row_id"), F.lit(0).alias("shape_part_id"), F.col("row_id").alias("seq"), F.lit(0).alias("shape_part_type"), "x", "y", (F.col("grp") / 100).alias("red"))
+    found, _, _ = writers.pixels(p)
+    return found.select("px", "py", _r("red", 2).alias("red"))
+
+
+SQL["png_pixels"] = SQL["png_pixels"].replace(") , b as", "), b as")
+
+
+@query(
+    """select c_nationkey, min(o_orderkey) first_order, arg_min(c_mktsegment || ' ' || o_orderstatus, o_orderkey) label, arg_min(o_custkey, o_orderkey) o_custkey
+  from orders join customer on o_custkey = c_custkey group by 1"""
+)
+def command_line(spark, d):
+    """A pipeline as text: a join, a text of two columns, the first order of each nation."""
+    text = f"read {d}/orders.parquet | join --file={d}/customer.parquet --left=o_custkey --right=c_custkey --join=inner | strcat --columns=c_mktsegment,o_orderstatus --name=label | unique --column=c_nationkey --order=o_orderkey"
+    return cli.run(spark, text).select("c_nationkey", F.col("o_orderkey").alias("first_order"), "label", "o_custkey")
+
+
 # Aggregates and joins that Spark gives as they are
 
 
