@@ -70,30 +70,45 @@ def trips(events: DataFrame, vehicle: str, time: str, distance: str, idle: int |
 
 
 class _Retention(StatefulProcessor):
-    """Per key, the events of the last ``keep`` milliseconds; each is handed on when the watermark has left it behind."""
+    """Per key, the events of the last ``keep`` milliseconds; they are handed on when the watermark has left them behind.
+
+    A key's events are one value and its next expiry one timer, so a batch costs a few calls for each key, however many
+    events the key has.
+    """
 
     def __init__(self, keep: int):
         self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "at long", "events array<long>")
+        self.held = handle.getValueState("held", "at array<long>, events array<long>")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 - names that Spark calls
-        for frame in rows:
-            for at, events in frame.groupby("at")["event"]:
-                known = list(self.held.getValue((int(at),))[0]) if self.held.containsKey((int(at),)) else []
-                self.held.updateValue((int(at),), (known + [int(e) for e in events],))
-                self.handle.registerTimer(int(at) + self.keep)
+        new = pd.concat(list(rows)).dropna(subset=["at"])
+        if new.empty:
+            return iter([])
+        at, events = new["at"].astype("int64").tolist(), new["event"].astype("int64").tolist()
+        first = min(at)
+        known = self.held.get()
+        if known is None or first < min(known[0]):  # else the timer of an earlier event goes first
+            self.handle.registerTimer(first + self.keep)
+        self.held.update((at, events) if known is None else (list(known[0]) + at, list(known[1]) + events))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        at = due - self.keep
-        if self.held.containsKey((at,)):
-            events = list(self.held.getValue((at,))[0])
-            self.held.removeKey((at,))
-            yield pd.DataFrame({"key": key[0], "event": events, "at": at, "expired": due})
+        known = self.held.get()
+        if known is None:
+            return
+        held = pd.DataFrame({"event": known[1], "at": known[0]}, dtype="int64")
+        due = held["at"] + self.keep <= max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        out, left = held[due], held[~due]
+        if left.empty:
+            self.held.clear()
+        elif len(out):
+            self.held.update((left["at"].tolist(), left["event"].tolist()))
+            self.handle.registerTimer(int(left["at"].min()) + self.keep)
+        if len(out):
+            yield pd.DataFrame({"key": key[0], "event": out["event"], "at": out["at"], "expired": out["at"] + self.keep})
 
     def close(self) -> None:
         pass

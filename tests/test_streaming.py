@@ -1,3 +1,5 @@
+import pandas as pd
+
 from millrace.streaming import operators as stream
 from millrace.streaming.polling import PollingDataSource
 
@@ -48,3 +50,37 @@ def test_events_expire_and_late_ones_are_dropped(spark, tmp_path):
     assert sorted(r["event"] for r in found) == [1, 2, 3, 4, 5, 7]  # 6 came too late, 8 is still held
     assert {r["event"]: r["batch"] for r in found}[1] < {r["event"]: r["batch"] for r in found}[7]
     assert all(r["expired"] - r["at"] == 6 * 3600 * 1000 for r in found) and spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_a_key_of_many_events_has_one_timer():
+    """State calls go with keys and batches, not with events."""
+    from types import SimpleNamespace
+
+    calls, timers = [], []
+
+    class Value:
+        now = None
+
+        def get(self):
+            calls.append("get")
+            return self.now
+
+        def update(self, value):
+            calls.append("update")
+            self.now = value
+
+        def clear(self):
+            self.now = None
+
+    value = Value()
+    held = stream._Retention(10)
+    held.init(SimpleNamespace(getValueState=lambda *_: value, registerTimer=timers.append))
+    list(held.handleInputRows(("a",), iter([pd.DataFrame({"at": range(100, 200), "event": range(100)})]), None))
+    list(held.handleInputRows(("a",), iter([pd.DataFrame({"at": [300, 50], "event": [100, 101]})]), None))
+    assert timers == [110, 60] and len(calls) == 4
+    fired = lambda at, now: list(held.handleExpiredTimer(("a",), SimpleNamespace(getCurrentWatermarkInMs=lambda: now), SimpleNamespace(getExpiryTimeInMs=lambda: at)))
+    (out,) = fired(60, 159)
+    assert sorted(out["event"]) == [*range(50), 101] and (out["expired"] == out["at"] + 10).all() and timers[2:] == [160]
+    assert fired(110, 159) == [] and timers[3:] == []  # an older timer: nothing is due
+    (out,) = fired(160, 400)
+    assert len(out) == 51 and value.now is None
