@@ -224,3 +224,31 @@ def test_refresh_of_one_key_leaves_the_others(spark, tmp_path):
     assert {r["id"]: r["x"] for r in now.collect()} == {k: k * 10.0 if k % 3 == 1 else float(k) for k in range(12)}
     assert files(0) == before[0] and files(2) == before[2] and files(1) != before[1]
     assert {r["line"] for r in serving.refresh_key(df.where("line <> 2"), path, ["line"], 2).collect()} == {0, 1} and files(0) == before[0]
+
+
+def test_crowded_layers_meet_on_small_cells(spark):
+    """Points and segments that all lie within one cell of the caller's are not all paired; a far point still looks as far as it may."""
+    import random
+
+    rng = random.Random(11)
+    ends = [(k, *(rng.uniform(0, 0.9) for _ in range(4)), k % 3) for k in range(400)]
+    own = [(k, rng.uniform(0, 0.9), rng.uniform(0, 0.9), k % 4) for k in range(400)] + [(400, 0.5, 1.7, 0), (401, -0.95, 0.4, 1), (402, 5.0, 5.0, 2)]
+    s = spark.createDataFrame(ends, "segment_id int, x1 double, y1 double, x2 double, y2 double, street int")
+    p = spark.createDataFrame(own, "id int, x double, y double, street int")
+    assert joins.crowding(p, 1.0)[0] > 300 > 10 > joins.crowding(p, 1.0)[5]
+    at = p.select("street", F.col("id").alias("__p"), "x", "y")
+    assert joins.crowding(at, 1.0, ["street"])[0] < 110
+
+    def gap(x, y, x1, y1, x2, y2):
+        n = (x2 - x1) ** 2 + (y2 - y1) ** 2
+        t = max(0.0, min(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / n)) if n else 0.0
+        return ((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2) ** 0.5
+
+    for prefer in (None, "street"):
+        wanted = {}
+        for i, x, y, street in own:
+            d = [(bool(prefer) and e[5] != street, gap(x, y, *e[1:5]), e[0]) for e in ends]
+            wanted[i] = min((v for v in d if v[1] <= 1.0), default=(0, 0, None))[2]
+        found = joins.snap_to_segments(p, s, "id", 1.0, 1.0, prefer=prefer)
+        assert {r["id"]: r["segment_id"] for r in found.collect()} == wanted
+    assert wanted[402] is None and wanted[400] is not None
