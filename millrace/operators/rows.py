@@ -44,16 +44,18 @@ def filter_any_positive(df: DataFrame, *columns: str) -> DataFrame:
     return df.where(hit)
 
 
-def thin(points: Column, distance: float, euclid: bool = False) -> Column:
+def thin(points: Column, distance: float, euclid: bool = False, tall: float | None = None) -> Column:
     """Of an ordered array of structs with x and y, those not near the last one kept (greedy, the first stays).
 
-    Near is less than ``distance`` in both directions, or in the plane with ``euclid``.
+    Near is less than ``distance`` in x and ``tall`` (by default ``distance``) in y, or than ``distance`` in the plane with
+    ``euclid``. Axes of different scales have their own limits: coordinates that were scaled round to the wrong side.
     """
+    tall = distance if tall is None else tall
 
     def step(kept: Column, p: Column) -> Column:
         last = F.element_at(kept, -1)
         dx, dy = p["x"] - last["x"], p["y"] - last["y"]
-        near = (dx * dx + dy * dy < distance * distance) if euclid else (F.abs(dx) < distance) & (F.abs(dy) < distance)
+        near = (dx * dx + dy * dy < distance * distance) if euclid else (F.abs(dx) < distance) & (F.abs(dy) < tall)
         return F.when(near, kept).otherwise(F.concat(kept, F.array(p)))
 
     return F.when(F.size(points) > 0, F.aggregate(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1), step)).otherwise(points)

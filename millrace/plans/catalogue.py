@@ -105,9 +105,8 @@ _GREEDY = """, recursive_thin as (
 
 @query()
 def greedy_distance(spark, d):
-    t = tracks(spark, d).withColumn("y", F.col("y") / 20)
-    parts = tables.runs_to_arrays(t, ["shape_row_id"], "x", ["y", "event_id"])
-    return parts.select("shape_row_id", F.explode(rows.thin(F.col("points"), 2.0)).alias("p")).select("shape_row_id", "p.event_id")
+    parts = tables.runs_to_arrays(tracks(spark, d), ["shape_row_id"], "x", ["y", "event_id"])
+    return parts.select("shape_row_id", F.explode(rows.thin(F.col("points"), 2.0, tall=40.0)).alias("p")).select("shape_row_id", "p.event_id")
 
 
 SQL["greedy_distance"] = (

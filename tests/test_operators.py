@@ -252,3 +252,13 @@ def test_crowded_layers_meet_on_small_cells(spark):
         found = joins.snap_to_segments(p, s, "id", 1.0, 1.0, prefer=prefer)
         assert {r["id"]: r["segment_id"] for r in found.collect()} == wanted
     assert wanted[402] is None and wanted[400] is not None
+
+
+def test_thin_axes_have_their_own_limits(spark):
+    """Values that differ by exactly 40 are not near at a limit of 40; a scaled axis would round some of them to nearer."""
+    pairs = [(k, a / 100, (a + 4000) / 100) for k, a in enumerate(range(1, 4000, 7))]
+    df = spark.createDataFrame([(k, i, 0.0, y) for k, *ys in pairs for i, y in enumerate(ys)], "id int, seq int, x double, y double")
+    packed = df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("p")).select("id", F.size(rows.thin(F.col("p"), 2.0, tall=40.0)).alias("n"))
+    found = {r["id"]: r["n"] for r in packed.collect()}
+    assert found == {k: 1 + (abs(b - a) >= 40) for k, a, b in pairs}
+    assert any((abs(b / 20 - a / 20) >= 2) != (abs(b - a) >= 40) for _, a, b in pairs)
