@@ -21,8 +21,6 @@ from millrace.llm import sketch
 from millrace.llm.common import chunks, discard, lean, mix, read_table, text_column, written
 
 ORDER, BITS = 4, 21
-#: Trusted documents that the model is fitted on, by the smallest hashes of their ids; all of them if fewer.
-TRUSTED = 100_000
 #: Rank of the threshold among a language's trusted documents, and of how many of these its own quantile is half the threshold.
 RANK, BLEND = 0.995, 50
 #: Rows (of two or three numbers) up to which a counted table is broadcast.
@@ -209,11 +207,11 @@ def log_probabilities(docs: DataFrame, models: list[Model]) -> DataFrame:
     return found
 
 
-def classify(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, trusted: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, lang, n_symbols, perplexity, threshold, kept.
 
-    Trusted are documents labelled of quality and not toxic; repeated labels count once. The models are fitted on at
-    most ``trusted`` of them, halved by a hash; a trusted document is scored by the other half's, any other by the
+    Trusted are documents labelled of quality and not toxic; repeated labels count once. The models are fitted on
+    all of them (with ``trusted``, on so many with the smallest hashes), halved by a hash; a trusted document is scored by the other half's, any other by the
     mean of both logarithms. Thresholds are taken over all trusted documents: a language's own quantile, blended with
     that over all by its number of these (half of each at BLEND, none of its own without any; null is a language).
     Without trusted documents everything is kept. Empty and null texts are not kept. A perplexity equal to the
@@ -222,9 +220,9 @@ def classify(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> Data
     """
     half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).alias("half")
     chosen = written(labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().select("doc_id", half), "kneser-ney-trusted")
-    ids = written(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted), "kneser-ney-fitted")  # bounded by ``trusted``
+    ids = chosen if trusted is None else written(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted), "kneser-ney-fitted")
     own_docs = docs.select("doc_id", "lang", "text")
-    texts = own_docs.join(F.broadcast(ids), "doc_id").where("text is not null")
+    texts = own_docs.join(bounded(ids), "doc_id").where("text is not null")
     models = [Model(texts.where(F.col("half") == k)) for k in (0, 1)]
     scored = log_probabilities(own_docs, models).join(chosen, "doc_id", "left")
     log_p = F.when(F.col("half") == 0, F.col("log_1")).when(F.col("half") == 1, F.col("log_0")).otherwise((F.col("log_0") + F.col("log_1")) / 2)

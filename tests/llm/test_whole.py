@@ -157,3 +157,20 @@ def test_op2_fences_of_small_groups_blend(spark):
     own = 10 / (sum(len(f"v{0}x{j}") for j in range(60)) + 10)
     steps = [b - a for a, b in zip(ends, ends[1:])]
     assert all(0 < s < 0.02 * own for s in (steps[0], steps[2], steps[3])) and 0.2 * own < ends[0] < ends[-1] < 0.9 * own
+
+
+def test_op1_is_fitted_on_every_trusted_document(spark, monkeypatch):
+    import inspect
+
+    assert inspect.signature(kneser_ney.classify).parameters["trusted"].default is None  # no cap unless the caller sets one
+    fitted = []
+
+    class Counted(kneser_ney.Model):
+        def __init__(self, texts):
+            fitted.append(texts.count())
+            super().__init__(texts)
+
+    monkeypatch.setattr(kneser_ney, "Model", Counted)
+    docs = [(k, cases.text(k), "en", "s", 1) for k in range(60)]
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(60)], "doc_id long, quality int, toxic int")
+    assert kneser_ney.classify(cases.table(spark, docs), labels).count() == 60 and sum(fitted) == 45
