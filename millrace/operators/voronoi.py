@@ -27,7 +27,8 @@ def _clipped(ring: Column, ox: Column, oy: Column, q: Column) -> Column:
     mx, my = (ox + q["x"]) / 2, (oy + q["y"]) / 2
     side = lambda p: (p["x"] - mx) * dx + (p["y"] - my) * dy
     sided = F.transform(ring, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), side(p).alias("s")))
-    pairs = F.transform(sided, lambda p, i: F.struct(p.alias("a"), F.element_at(sided, F.when(i + 1 < F.size(sided), i + 2).otherwise(1)).alias("b")))
+    following = F.concat(F.slice(sided, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(sided, 1, 1))
+    pairs = F.zip_with(sided, following, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
     def kept(e: Column) -> Column:
         a, b = e["a"], e["b"]
@@ -93,3 +94,31 @@ def voronoi(df: DataFrame, group: str, point: str, box: tuple[float, float, floa
     for more in done[1:]:
         found = found.union(more)
     return found.select(c("g").alias(group), c("p").alias(point), F.posexplode("ring").alias("seq", "v")).select(group, point, "seq", "v.x", "v.y")
+
+
+def holders(cells: DataFrame, probes: DataFrame, group: str, point: str, probe: str) -> DataFrame:
+    """(probe, point): the cells of ``voronoi`` that hold each probe (probe, group, px, py), edges included.
+
+    A cell is dealt to the blocks that its box touches, of the size of the box; a probe has one block for each size in
+    use, so it meets the few cells whose boxes are near it, however many cells its group has.
+    """
+    c = F.col
+    corner = F.struct(c("seq"), c("x").cast("double").alias("x"), c("y").cast("double").alias("y"))
+    rings = cells.groupBy(c(group).alias("g"), c(point).alias("p")).agg(F.array_sort(F.collect_list(corner)).alias("ring"), *[f(n).cast("double").alias(f"{n}{k}") for n in "xy" for k, f in ((0, F.min), (1, F.max))])
+    wide = F.greatest(c("x1") - c("x0"), c("y1") - c("y0"))
+    far = F.greatest(*[F.abs(n) for n in ("x0", "x1", "y0", "y1")])
+    top = rings.agg(F.max(far)).first()[0]
+    if top is None:
+        return probes.crossJoin(cells.select(c(point).alias("p"))).select(probe, c("p").alias(point)).limit(0)
+    least = math.ceil(math.log2(max(top, 1e-300))) - 45  # the blocks' numbers are longs
+    sized = stored(rings.withColumn("level", F.greatest(F.when(wide > 0, F.ceil(F.log2(wide))).otherwise(least), F.lit(least)).cast("int")))
+    size = F.pow(F.lit(2.0), c("level"))
+    touched = lambda n: F.explode(F.sequence(F.floor(c(f"{n}0") / size - 1e-6).cast("long"), F.floor(c(f"{n}1") / size + 1e-6).cast("long")))
+    dealt = sized.withColumn("bx", touched("x")).withColumn("by", touched("y"))
+    used = F.array(*[F.lit(r[0]) for r in sized.select("level").distinct().collect()])  # one for each doubling of a cell
+    placed = probes.select(c(probe).alias("__probe"), c(group).alias("g"), c("px").cast("double").alias("px"), c("py").cast("double").alias("py")).where(F.greatest(F.abs("px"), F.abs("py")) <= 2 * top).withColumn("level", F.explode(used))
+    placed = placed.withColumns({"bx": F.floor(c("px") / size).cast("long"), "by": F.floor(c("py") / size).cast("long")})
+    following = lambda i: F.element_at("ring", F.when(i + 1 < F.size("ring"), i + 2).otherwise(1))
+    edges = F.transform("ring", lambda a, i: F.struct(a.alias("a"), following(i).alias("b")))
+    inside = F.forall(edges, lambda e: ~((e["b"]["x"] - e["a"]["x"]) * (c("py") - e["a"]["y"]) < (e["b"]["y"] - e["a"]["y"]) * (c("px") - e["a"]["x"])))
+    return placed.join(dealt, ["g", "level", "bx", "by"]).where(inside).select(c("__probe").alias(probe), c("p").alias(point))

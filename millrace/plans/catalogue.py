@@ -874,12 +874,8 @@ select probe, arg_min(row_id, struct_pack(d := (q.x - p.x) ** 2 + (q.y - p.y) **
 def voronoi_sites(spark, d):
     """The site in whose cell each other point lies is the site nearest to it."""
     cells = voronoi.voronoi(points(spark, d), "grp", "row_id", (-1.0, -1.0, 1.0, 1.0))
-    w = Window.partitionBy("row_id").orderBy("seq")
-    ring = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edges = cells.select("grp", "row_id", "x", "y", *[F.coalesce(F.lead(c).over(w), F.first(c).over(ring)).alias(f"n{c}") for c in ("x", "y")])
     probes = table(spark, d, "embeddings").select(F.col("vec_id").alias("probe"), F.col("label").alias("grp"), *[F.round(F.col("embedding")[k].cast("double"), 6).alias(n) for k, n in ((2, "px"), (3, "py"))])
-    outside = (F.col("nx") - F.col("x")) * (F.col("py") - F.col("y")) < (F.col("ny") - F.col("y")) * (F.col("px") - F.col("x"))
-    held = probes.join(edges, "grp").groupBy("probe", "row_id").agg(F.count_if(outside).alias("out")).where("out = 0")
+    held = voronoi.holders(cells, probes, "grp", "row_id", "probe")
     return held.groupBy("probe").agg(F.min("row_id").alias("site"))
 
 

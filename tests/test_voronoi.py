@@ -38,3 +38,15 @@ def test_cells(spark, most):
 
 def test_nothing(spark):
     assert voronoi.voronoi(spark.createDataFrame([], "g int, id int, x double, y double"), "g", "id", (0, 0, 1, 1)).count() == 0
+
+
+def test_holders_meet_only_the_cells_around_them(spark):
+    rng = random.Random(5)
+    sites = [(g, 100 * g + i, rng.gauss(0, 0.1), rng.gauss(0, 0.1)) for g in (0, 1) for i in range(100)]
+    probes = [(k, k % 3, rng.gauss(0, 0.15), rng.gauss(0, 0.15)) for k in range(120)] + [(500, 0, 5.0, 5.0), (501, 1, None, 0.0)]
+    cells = voronoi.voronoi(spark.createDataFrame(sites, "g int, id int, x double, y double"), "g", "id", (-1, -1, 1, 1))
+    found = voronoi.holders(cells, spark.createDataFrame(probes, "k int, g int, px double, py double"), "g", "id", "k")
+    wanted = {k: min((math.dist((x, y), s[2:]), s[1]) for s in sites if s[0] == g)[1] for k, g, x, y in probes[:120] if g < 2}
+    assert {r["k"]: r["id"] for r in found.collect()} == wanted
+    nothing = spark.createDataFrame([], "g int, id int, seq int, x double, y double")
+    assert voronoi.holders(nothing, spark.createDataFrame(probes, "k int, g int, px double, py double"), "g", "id", "k").count() == 0
