@@ -262,3 +262,15 @@ def test_thin_axes_have_their_own_limits(spark):
     found = {r["id"]: r["n"] for r in packed.collect()}
     assert found == {k: 1 + (abs(b - a) >= 40) for k, a, b in pairs}
     assert any((abs(b / 20 - a / 20) >= 2) != (abs(b - a) >= 40) for _, a, b in pairs)
+
+
+def test_copies_for_shared_keys_shuffle_no_pairs(spark):
+    """The pairs of owners are made under the shared key, in the join that makes the copies, and not before it."""
+    owners = spark.createDataFrame([(k, k % 2) for k in range(6)] + [(9, None)], "id int, key int")
+    rows_ = spark.createDataFrame([(100, 0), (101, 1), (102, 1), (103, 9), (104, 77)], "r int, id int")
+    found = joins.duplicate_for_shared_key(rows_, owners, "id", "key", "id")
+    wanted = [(r, i) for r, i in ((100, 0), (101, 1), (102, 1), (103, 9), (104, 77))]
+    wanted += [(r, o) for r, i in ((100, 0), (101, 1), (102, 1)) for o in range(6) if o % 2 == i % 2 and o != i]
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "__key" in next(line for line in plan.splitlines() if "Join" in line)  # the outermost join is under the shared key
