@@ -105,20 +105,33 @@ def within_box(left: DataFrame, right: DataFrame, reach: float, names: Mapping[s
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float, same_layer: bool = False) -> DataFrame:
     """(left_id, nearest, distance) of the nearest right point; ties go to the smaller id. ids must be unique.
 
-    First the three by three cells around each point are searched: a find within one cell's size is final, as nothing
-    outside can be nearer. For the points still open the right layer's counts per cell, and per block of 2, 4, 8 ... cells,
-    tell the smallest block size at which a neighbour stands in the three by three blocks around; it is then at most
-    sqrt(8) blocks away, so one search in blocks four times as large settles it. A lone point has no row. Points with
-    a null, NaN or infinite coordinate are nowhere: they have no row and are no one's neighbour.
+    Points at one place are one with its two smallest ids, and cells are halved from ``cell`` until a place shares its own
+    with few others (CROWD). First the three by three cells around each point are searched: a find within one cell's size is
+    final, as nothing outside can be nearer. For the points still open the right layer's counts per cell, and per block of
+    2, 4, 8 ... cells, tell the smallest block size at which a neighbour stands in the three by three blocks around; it is
+    then at most sqrt(8) blocks away, so one search in blocks four times as large settles it. A lone point has no row.
+    Points with a null, NaN or infinite coordinate are nowhere: they have no row and are no one's neighbour.
     """
-    somewhere = F.lit(True)
-    for name in ("x", "y"):
-        somewhere &= F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double")) & (F.abs(F.col(name).cast("double")) < float("inf"))
     c = F.col
+    given = right.where(_finite("x", "y")).select(c(right_id).alias("__r"), c("x").alias("x2"), c("y").alias("y2"))
+    places = given.groupBy("x2", "y2").agg(F.min("__r").alias("__r"), F.count("*").alias("__n"))
+    if same_layer:  # a copy's neighbour is the smallest other one
+        shared = places.where("__n > 1").select(c("x2").alias("__x"), c("y2").alias("__y"), c("__r").alias("__least"))
+        second = given.join(shared, (c("x2") == c("__x")) & (c("y2") == c("__y"))).where("__r <> __least").groupBy("__x", "__y").agg(F.min("__r").alias("__s"))
+        places = places.join(second, (c("x2") == c("__x")) & (c("y2") == c("__y")), "left").drop("__x", "__y")
+    else:
+        places = places.withColumn("__s", c("__r"))
+    places = stored(places.drop("__n"))
+    crowds = [float("inf")]
+    while crowds[-1] > CROWD:
+        crowds = crowding(places.select(c("x2").alias("x"), c("y2").alias("y")), cell)
+        cell /= 2 ** next((k for k, n in enumerate(crowds) if n <= CROWD), len(crowds) - 1)
+        if len(crowds) == 1:
+            break
     place = lambda n: F.floor(c(n) / cell).cast("long")
-    r = right.where(somewhere).select(c(right_id).alias("__r"), c("x").alias("x2"), c("y").alias("y2"), place("x").alias("__cx"), place("y").alias("__cy"))
-    points = left.where(somewhere).select(c(left_id).alias("__l"), "x", "y", place("x").alias("__px"), place("y").alias("__py"))
-    other = (c("__l") != c("__r")) if same_layer else F.lit(True)
+    r = places.select("__r", "__s", "x2", "y2", place("x2").alias("__cx"), place("y2").alias("__cy"))
+    points = stored(left.where(_finite("x", "y")).select(c(left_id).alias("__l"), "x", "y", place("x").alias("__px"), place("y").alias("__py")))
+    other = F.when(c("__l") != c("__r"), c("__r")).otherwise(c("__s")) if same_layer else c("__r")
     gap = F.sqrt(F.pow(c("x") - c("x2"), 2) + F.pow(c("y") - c("y2"), 2))
     near = F.array(*[F.lit(d).cast("long") for d in (-1, 0, 1)])
     block = lambda n: F.call_function("shiftright", c(n), c("level"))
@@ -129,9 +142,9 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell
         return spread.withColumns({"__bx": block("__px") + c("__dx"), "__by": block("__py") + c("__dy")}).drop("__dx", "__dy")
 
     def searched(df: DataFrame, levels: list[int]) -> DataFrame:
-        dealt = r.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).select("__r", "x2", "y2", c("level").alias("__level"), block("__cx").alias("__rx"), block("__cy").alias("__ry"))
-        met = around(df).join(dealt, (c("level") == c("__level")) & (c("__bx") == c("__rx")) & (c("__by") == c("__ry"))).where(other)
-        return met.groupBy("__l").agg(F.min(F.struct(gap.alias("d"), c("__r").alias("id"))).alias("m")).select("__l", c("m.id").alias("nearest"), c("m.d").alias("distance"))
+        dealt = r.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).select("__r", "__s", "x2", "y2", c("level").alias("__level"), block("__cx").alias("__rx"), block("__cy").alias("__ry"))
+        met = around(df).join(dealt, (c("level") == c("__level")) & (c("__bx") == c("__rx")) & (c("__by") == c("__ry"))).withColumn("__id", other).where("__id is not null")
+        return met.groupBy("__l").agg(F.min(F.struct(gap.alias("d"), c("__id").alias("id"))).alias("m")).select("__l", c("m.id").alias("nearest"), c("m.d").alias("distance"))
 
     found = stored(searched(points.withColumn("level", F.lit(0)), [0]).where(c("distance") <= cell))
     open_ = stored(points.join(found, "__l", "left_anti"))
@@ -156,6 +169,8 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell
 DEAL_COST = 8.0
 #: Cells are halved so often at most, and levels so many are weighed at once.
 HALVINGS = 16
+#: Places of a nearest search that share a cell, on average.
+CROWD = 3.0
 
 
 def _finite(*names: str) -> Column:
@@ -168,13 +183,16 @@ def _finite(*names: str) -> Column:
 
 def crowding(points: DataFrame, cell: float, by: Sequence[str] = ()) -> list[float]:
     """How many points share a point's cell on average, for cells of ``cell``, a half, a quarter ... of it."""
-    finest = cell / 2**HALVINGS
-    at = points.where(_finite("x", "y")).groupBy(*by, F.floor(F.col("x") / finest).cast("long").alias("i"), F.floor(F.col("y") / finest).cast("long").alias("j")).agg(F.count("*").alias("n"))
-    up = at.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(HALVINGS))))
-    block = lambda n: F.call_function("shiftright", F.col(n), HALVINGS - F.col("k"))
+    points = points.where(_finite("x", "y"))
+    ends = points.agg(F.max(F.abs("x")), F.max(F.abs("y"))).first()
+    halvings = max(0, min(HALVINGS, 50 + math.floor(math.log2(cell / max(float(ends[0] or 0), float(ends[1] or 0), cell)))))  # the cells' numbers are longs
+    finest = cell / 2**halvings
+    at = points.groupBy(*by, F.floor(F.col("x") / finest).cast("long").alias("i"), F.floor(F.col("y") / finest).cast("long").alias("j")).agg(F.count("*").alias("n"))
+    up = at.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(halvings))))
+    block = lambda n: F.call_function("shiftright", F.col(n), halvings - F.col("k"))
     n = up.groupBy("k", *by, block("i").alias("bi"), block("j").alias("bj")).agg(F.sum("n").cast("double").alias("n"))
     found = dict(n.groupBy("k").agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).collect())  # a row per level
-    return [found.get(k, 0.0) for k in range(HALVINGS + 1)]
+    return [found.get(k, 0.0) for k in range(halvings + 1)]
 
 
 def _dealt_along(segments: DataFrame, reach: float, cell: float) -> DataFrame:

@@ -274,3 +274,21 @@ def test_copies_for_shared_keys_shuffle_no_pairs(spark):
     assert sorted(map(tuple, found.collect())) == sorted(wanted)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "__key" in next(line for line in plan.splitlines() if "Join" in line)  # the outermost join is under the shared key
+
+
+def test_nearest_of_crowds_and_copies(spark):
+    """Many points within one cell and many at one place are not all paired: places are one row each, cells shrink."""
+    import random
+
+    rng = random.Random(3)
+    rows_ = [(k, rng.uniform(0, 1e-3), rng.uniform(0, 1e-3)) for k in range(300)] + [(1000 + k, 0.5, 0.5) for k in range(300)] + [(2000, 7.0, 7.0), (2001, 7.0, 8.0), (2002, 7.0, 7.0)]
+    df = spark.createDataFrame(rows_, "id int, x double, y double")
+    found = {r["id"]: (r["nearest"], r["distance"]) for r in joins.nearest(df, df, "id", "id", 1.0, same_layer=True).collect()}
+    wanted = lambda a, others: min((math.hypot(a[1] - b[1], a[2] - b[2]), b[0]) for b in others)
+    for a in rows_:
+        d, k = wanted(a, [b for b in rows_ if b[0] != a[0]])
+        assert found[a[0]][0] == k and found[a[0]][1] == pytest.approx(d)
+    other = df.where("id % 50 = 0").select(F.col("id").alias("o"), "x", "y")
+    found = {r["id"]: r["nearest"] for r in joins.nearest(df, other, "id", "o", 1.0).collect()}
+    assert found == {a[0]: wanted(a, [b for b in rows_ if b[0] % 50 == 0])[1] for a in rows_}
+    assert joins.crowding(df, 1.0)[0] > 250 and joins.crowding(df.where("id < 300"), 1.0)[-1] < joins.CROWD
