@@ -145,6 +145,17 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
         raise ValueError(f"no file system for {path}") from e
 
 
+#: Ranges for each core that a large input is read in, and the least and most bytes that such a range has.
+RANGES, RANGE_BYTES = 8, (1 << 16, 32 << 20)
+
+
+def paced(total: int, most: int, cores: int) -> int:
+    """Bytes of a range when ``total`` are read: ``most``, or more where that would be far more tasks than cores need."""
+    low, high = RANGE_BYTES
+    step = min(high, total // (RANGES * max(1, cores)))
+    return max(most, step) if step > low else most
+
+
 def _files(path: str) -> tuple[fs.FileSystem, list[str]]:
     """The block files at a path: one file, or all those of a folder, by name."""
     store, at = file_system(path)
@@ -208,17 +219,18 @@ _TESTS = {EqualTo: np.equal, GreaterThan: np.greater, GreaterThanOrEqual: np.gre
 
 
 class _BlockReader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType, most: int):
-        self.path, self.schema, self.most, self.tests = path, schema, most, []
+    def __init__(self, path: str, schema: StructType, most: int, cores: int = 0):
+        self.path, self.schema, self.most, self.cores, self.tests = path, schema, most, cores, []
 
     def partitions(self) -> list[Rows]:
         store, files = _files(self.path)
         out, names = [], [f.name for f in self.schema if not f.name.startswith("__")]
+        most = paced(sum(store.get_file_info(f).size for f in files), self.most, self.cores) if self.cores else self.most
         for file in files:
             for k, p in enumerate(places(store, file)):
                 if [n for n, _, _ in p.columns] != names:
                     raise ValueError(f"{file}: block {k} has other columns")
-                step = max(1, self.most // max(1, p.width))
+                step = max(1, most // max(1, p.width))
                 out += [Rows(file, k, p, low, min(low + step, p.rows)) for low in range(0, p.rows, step)]
         return out
 
@@ -255,7 +267,7 @@ def read_blocks(spark: SparkSession, path: str, most: int = 32 << 20) -> DataFra
     """All blocks of the files at ``path``, with __file, __block and __row; the first file's first block gives the columns.
 
     Blocks of other columns are an error. In a file system that Arrow knows, a file is read in ranges of rows of at most
-    ``most`` bytes by several tasks; in any other, Spark reads it whole, a file per task. Comparisons of numbers are made by
+    ``most`` bytes (of more if the input is large: ``paced``) by several tasks; in any other, Spark reads it whole, a file per task. Comparisons of numbers are made by
     the scan if the session lets Python sources filter, as ``plans.session`` does.
     """
     try:
@@ -264,7 +276,7 @@ def read_blocks(spark: SparkSession, path: str, most: int = 32 << 20) -> DataFra
         return read_whole_blocks(spark, path)
     spark.dataSource.register(BlockDataSource)
     filters = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-    return spark.read.format("block").options(bytes=str(most), filters=filters).load(path)
+    return spark.read.format("block").options(bytes=str(most), filters=filters, cores=str(spark.sparkContext.defaultParallelism)).load(path)
 
 
 def read_whole_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -306,7 +318,7 @@ class BlockDataSource(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         kind = _FilteringReader if self.options.get("filters") == "true" else _BlockReader
-        return kind(self.options["path"], schema, int(self.options.get("bytes", str(32 << 20))))
+        return kind(self.options["path"], schema, int(self.options.get("bytes", str(32 << 20))), int(self.options.get("cores", "0")))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return _BlockWriter(self.options["path"], schema, int(self.options.get("width", "255")))

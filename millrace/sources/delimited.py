@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.sources.blockfile import file_system
+from millrace.sources.blockfile import file_system, paced
 
 DELIMITERS = ",|\t;"
 LOOK_LINES = 10
@@ -82,7 +82,7 @@ def read_delimited(spark: SparkSession, path: str, most: int = SPLIT_BYTES) -> D
     """All columns as text, parsed by Spark (quotes, doubled quotes, quoted line breaks); blank lines are no rows.
 
     The header and the lines before it are dropped by their place in each file. A file is read by several tasks, ``most``
-    bytes each, although a line break may lie in quotes: see ``_read_spans``. Files whose lines are not ended by LF bytes
+    bytes each (more if the input is large: ``paced``), although a line break may lie in quotes: see ``_read_spans``. Files whose lines are not ended by LF bytes
     (UTF-16, lone CR) and those in a file system that Arrow does not know are read whole, a file per task.
     """
     listed = sorted((r["path"], r["length"]) for r in spark.read.format("binaryFile").load(path).select("path", "length").collect())  # a row per file
@@ -166,6 +166,7 @@ def _read_spans(spark: SparkSession, listed: list[tuple[str, int]], shape: Shape
     is never closed runs to the end of its file.
     """
     delimiter, encoding = shape.delimiter, shape.encoding.removesuffix("-sig")
+    most = paced(sum(size for _, size in listed), most, spark.sparkContext.defaultParallelism)
     ranges = [(f, low, high) for f, size in listed for low, high in _cuts(size, most)]
 
     def starts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.plans.session import checkpointed
-from millrace.sources.blockfile import file_system
+from millrace.sources.blockfile import file_system, paced
 from millrace.sources.single import join_parts, part_files, removed_folder, staging
 
 # Fixed values of the format.
@@ -147,6 +147,7 @@ def read_shapefile(
 
     having = {t.rsplit(".", 1)[0] for t in tables}
     pairs = [s for s in listed if s in having]
+    most = paced(sum(listed.values()), most, spark.sparkContext.defaultParallelism)
 
     def extents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

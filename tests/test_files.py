@@ -396,3 +396,24 @@ def test_one_osm_file_is_several_tasks(spark, tmp_path):
     (tmp_path / "c.pbf").write_bytes((tmp_path / "t.pbf").read_bytes()[:-3])
     with pytest.raises(Exception, match="blob cut off"):
         files.read_osm(spark, str(tmp_path / "c.pbf")).count()
+
+
+def test_large_inputs_are_read_in_ranges_for_the_cores():
+    """The number of tasks does not grow with the input for ever, and small inputs keep the ranges asked for."""
+    from millrace.sources.blockfile import RANGE_BYTES, RANGES, paced
+
+    assert paced(1 << 20, 1 << 14, 4) == 1 << 14 and paced(0, 5, 0) == 5
+    for total in (10 << 20, 400 << 20, 3 << 30):
+        assert total / paced(total, 1 << 14, 12) <= max(RANGES * 12 + 12, total / RANGE_BYTES[1]) * (4 if total < 20 << 20 else 1) * 2
+    assert paced(1 << 40, 1 << 14, 12) == RANGE_BYTES[1] and paced(1 << 40, 64 << 20, 12) == 64 << 20
+
+
+def test_a_large_file_of_small_spans_is_read_whole(spark, tmp_path, monkeypatch):
+    from millrace.sources import blockfile, delimited
+
+    monkeypatch.setattr(blockfile, "RANGE_BYTES", (64, 4096))
+    text = "a,b\n" + "".join(f'{k},"x\n""{k}"\n' for k in range(20000))
+    (tmp_path / "t.csv").write_text(text)
+    df = delimited.read_delimited(spark, str(tmp_path / "t.csv"), 16)
+    assert df.rdd.getNumPartitions() <= len(text) / 4096 + 2
+    assert sorted((int(r["a"]), r["b"]) for r in df.collect()) == [(k, f'x\n"{k}') for k in range(20000)]
