@@ -158,6 +158,9 @@ def read_shapefile(
         for frame in frames:
             found = []
             for own, first, low, high in frame[["stem", "first", "low", "high"]].itertuples(index=False):
+                if row_id is None and part_id is None:
+                    found.append(_vertices(own, low, high))
+                    continue
                 kept = (len(p) for k, _, parts in _range(own, low, high, first) if row_id in (None, k) for i, p in enumerate(parts) if part_id in (None, i))
                 found.append(sum(kept))
             yield frame.assign(n=found)
@@ -208,6 +211,18 @@ def _range(stem: str, low: int, high: int, first: int) -> Iterator[tuple]:
     return shp_records(data, first)
 
 
+def _vertices(stem: str, low: int, high: int) -> int:
+    """How many vertices the records of a range have, by their heads alone."""
+    with _opened(f"{stem}.shp") as f:
+        data = f.read_at(high - low, low)
+    at, n = 0, 0
+    while at + 12 <= len(data):
+        kind = struct.unpack_from("<I", data, at + 8)[0] % 10
+        n += 1 if kind == POINT else struct.unpack_from("<I", data, at + (44 if kind == MULTIPOINT else 48))[0] if kind in (MULTIPOINT, ARC, POLYGON) else 0
+        at += 8 + 2 * struct.unpack_from(">I", data, at + 4)[0]
+    return n
+
+
 def _rows(stem: str, first: int, last: int) -> list[tuple]:
     """Rows ``first`` to ``last`` (-1: the end) of a table."""
     with _opened(f"{stem}.dbf") as f:
@@ -231,22 +246,19 @@ def _table_head(fields: Sequence[tuple[str, str, int, int]], count: int) -> byte
     return out + b"\x0d"
 
 
-def _record(frames: Sequence[pd.DataFrame], fields: Sequence[tuple[str, str, int, int]], kind: int) -> tuple:
-    """(geometry, attributes, bounds) of a shape whose vertices lie in ``frames``, in order."""
-    frame = pd.concat(frames) if len(frames) > 1 else frames[0]
-    xy = frame[["x", "y"]].to_numpy("<f8")
+def _record(pieces: Sequence[tuple[np.ndarray, np.ndarray, list]], fields: Sequence[tuple[str, str, int, int]], kind: int) -> tuple:
+    """(geometry, attributes, bounds) of a shape from its vertices, their parts and the attributes, in pieces in order."""
+    xy, part = (np.concatenate([p[k] for p in pieces]) if len(pieces) > 1 else pieces[0][k] for k in (0, 1))
     box = (*xy.min(axis=0), *xy.max(axis=0))
     if kind == POINT:
         body = struct.pack("<I2d", kind, *xy[0])
     elif kind == MULTIPOINT:
         body = struct.pack("<I4dI", kind, *box, len(xy)) + xy.tobytes()
     else:
-        part = frame["shape_part_id"].to_numpy()
         starts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1]).astype("<u4")
         body = struct.pack("<I4d2I", kind, *box, len(starts), len(xy)) + starts.tobytes() + xy.tobytes()
     row = b" "
-    for name, letter, size, decimals in fields:
-        v = frame[name].iloc[0]
+    for (_, letter, size, decimals), v in zip(fields, pieces[0][2]):
         text = "" if pd.isna(v) else f"{v:.{decimals}f}" if letter == "N" and decimals else str(int(v)) if letter == "N" else str(v)
         row += (text.rjust(size) if letter == "N" else text.ljust(size)).encode("latin-1", "replace")[:size]
     return body, row, *map(float, box)
@@ -271,6 +283,8 @@ def write_shapefile(df: DataFrame, path: str, attributes: Sequence[str] = (), or
         names = ["body", "row", "x0", "y0", "x1", "y1"]
         for frame in frames:
             ids, out = frame["shape_row_id"].to_numpy(), []
+            # columns as arrays, once for all shapes of a frame
+            xy, part, told = frame[["x", "y"]].to_numpy("<f8"), frame["shape_part_id"].to_numpy(), [frame[f[0]].tolist() for f in fields]
             cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
             for low, high in zip(cuts, cuts[1:]):
                 if low == high:
@@ -278,7 +292,7 @@ def write_shapefile(df: DataFrame, path: str, attributes: Sequence[str] = (), or
                 if held and ids[low] != last:
                     out.append(_record(held, fields, kind))
                     held = []
-                held.append(frame.iloc[low:high])
+                held.append((xy[low:high], part[low:high], [c[low] for c in told]))
                 last = ids[low]
             yield pd.DataFrame(out, columns=names)
         if held:

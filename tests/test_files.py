@@ -417,3 +417,23 @@ def test_a_large_file_of_small_spans_is_read_whole(spark, tmp_path, monkeypatch)
     df = delimited.read_delimited(spark, str(tmp_path / "t.csv"), 16)
     assert df.rdd.getNumPartitions() <= len(text) / 4096 + 2
     assert sorted((int(r["a"]), r["b"]) for r in df.collect()) == [(k, f'x\n"{k}') for k in range(20000)]
+
+
+def test_shapefile_vertices_are_counted_by_heads(spark, tmp_path):
+    """The heads give as many vertices as the parsed records, and a shape's pieces from several frames are one record."""
+    from millrace.sources import shapefile
+
+    rows = [(k, p, i, float(i % 5), float(k), f"n{k}") for k in range(40) for p in range(1 + k % 3) for i in range(2 + k % 7)]
+    df = spark.createDataFrame(rows, "shape_row_id int, shape_part_id int, seq int, x double, y double, name string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for kind in (shapefile.POINT, shapefile.MULTIPOINT, shapefile.ARC, shapefile.POLYGON):
+            stem = f"{tmp_path}/s{kind}"
+            shapefile.write_shapefile(df, f"{stem}.shp", ["name"], kind=kind)
+            data = open(f"{stem}.shp", "rb").read()
+            parsed = [len(v) for _, _, parts in shapefile.read_shp(data) for v in parts]
+            assert shapefile._vertices(stem, 100, len(data)) == sum(parsed) == (40 if kind == shapefile.POINT else len(rows))
+            back = shapefile.read_shapefile(spark, f"{stem}.shp", most=200).groupBy("name").count().collect()
+            assert len(back) == 40 and sum(r["count"] for r in back) == sum(parsed)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
