@@ -22,9 +22,11 @@ def same(left: str, right: str, names: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) for n in names], F.lit(True))
 
 
-def ring_edges(df: DataFrame, keys: Sequence[str], order: str, digits: int = 6) -> DataFrame:
+def ring_edges(df: DataFrame, keys: Sequence[str], order: str, digits: int = 6, place: str | None = None) -> DataFrame:
     """(keys..., px, py, qx, qy): the edges of closed rings, each ring counter-clockwise, its coordinates rounded.
 
+    ``place`` names a column of numbers that grow along each ring.
+
     Vertices without a coordinate are left out; a closing vertex and repeated ones give no edge, nor do rings without
     an area.
     """
@@ -36,13 +38,13 @@ def ring_edges(df: DataFrame, keys: Sequence[str], order: str, digits: int = 6)
     # the first vertex follows the last one
     closing = first.select(*keys, c("n").alias("__i"), c("f.x").alias("qx"), c("f.y").alias("qy"))
     ahead = ahead.where("__i > 0").union(closing)
-    edges = v.alias("t").join(ahead.alias("u"), same("t", "u", [*keys, "__i"])).select(*[f"t.{k}" for k in keys], c("x").alias("px"), c("y").alias("py"), "qx", "qy").where("px <> qx or py <> qy")
+    edges = v.alias("t").join(ahead.alias("u"), same("t", "u", [*keys, "__i"])).select(*[f"t.{k}" for k in keys], "t.__i", c("x").alias("px"), c("y").alias("py"), "qx", "qy").where("px <> qx or py <> qy")
     # cross products from the ring's first vertex: what is far from the origin does not lose digits
     with_first = edges.alias("t").join(first.alias("u"), same("t", "u", keys)).select("t.*", "f")
     cross = (c("px") - c("f.x")) * (c("qy") - c("f.y")) - (c("qx") - c("f.x")) * (c("py") - c("f.y"))
     area = with_first.groupBy(*keys).agg(F.sum(cross).alias("area")).where("area <> 0")
     turned = lambda a, b: F.when(c("area") > 0, c(a)).otherwise(c(b)).alias(a)
-    return edges.alias("t").join(area.alias("u"), same("t", "u", keys)).select(*[f"t.{k}" for k in keys], turned("px", "qx"), turned("py", "qy"), turned("qx", "px"), turned("qy", "py"))
+    return edges.alias("t").join(area.alias("u"), same("t", "u", keys)).select(*[f"t.{k}" for k in keys], turned("px", "qx"), turned("py", "qy"), turned("qx", "px"), turned("qy", "py"), *([F.when(c("area") > 0, c("__i")).otherwise(-c("__i")).alias(place)] if place else []))
 
 
 def cancelled(edges: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -1,8 +1,9 @@
 """Overlay of two layers of shapes: intersection, union, difference and exclusive-or of every pair that meets.
 
-Edges of the two layers meet on grid cells and are cut where they cross; each piece is inside or outside the other
-shape by the number of its edges that a ray from the piece's middle crosses, counted in strips; the pieces that an
-operation keeps are stitched to rings. Everything is an equi join on cells, strips or pairs and an exact test after.
+Edges of the two layers meet on a tree of slabs and are cut where they cross. Along a ring every crossing leads into the
+other shape or out of it, so one piece is judged, by the edges of the other shape that a ray from its middle crosses, and
+the others by the crossings between, counted in a scan. At edges that touch the other shape or run along it every piece
+is judged by its own ray. The pieces that an operation keeps are stitched to rings.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import scans, slabs
 from millrace.operators.outlines import ENDS, ring_edges, stitch
 from millrace.plans.session import stored
 
 OPERATIONS = ("intersection", "union", "difference", "exclusive-or")
-#: Digits of a crossing's coordinates.
-DIGITS = 9
+#: Digits of a crossing's coordinates, and the share of an edge within which a crossing may be at an end.
+DIGITS, NEAR = 9, 1e-9
 
 
 def _cells(low: Column, high: Column, cell: float) -> Column:
@@ -40,54 +42,75 @@ def _pairs(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     return t.join(u, (c("t.cx") == c("u.cx")) & (c("t.cy") == c("u.cy"))).where(meet & here).select("a", "b")
 
 
-def _cuts(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
-    """(a, b, own, e, t, x, y): where edge e of a shape (own: 0 of a, 1 of b) is cut by the other one, at the share t."""
+def _cuts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a, b, own, e, t, x, y, cut, plain): where edge e of a shape (own: 0 of a, 1 of b) meets the other one, at the
+    share t; whether it is cut there; and whether it crosses plainly there, away from the ends of both edges."""
     c = F.col
-
-    def placed(edges: DataFrame, name: str) -> DataFrame:
-        rows = edges.withColumn("cx", F.explode(_cells(F.least("px", "qx"), F.greatest("px", "qx"), cell)))
-        return rows.withColumn("cy", F.explode(_cells(F.least("py", "qy"), F.greatest("py", "qy"), cell))).alias(name)
-
-    x = placed(a, "s").join(placed(b, "r"), (c("s.cx") == c("r.cx")) & (c("s.cy") == c("r.cy")))
+    rings = lambda df, k: df.join(df.groupBy(k).agg(F.min("e").alias("ring")), k)
+    met = slabs.meeting(rings(a, "a"), rings(b, "b"))
+    x = met.join(a.alias("s"), c("ea") == c("s.e")).join(b.alias("r"), c("eb") == c("r.e"))
     apart = (F.greatest("s.px", "s.qx") < F.least("r.px", "r.qx")) | (F.greatest("r.px", "r.qx") < F.least("s.px", "s.qx")) | (F.greatest("s.py", "s.qy") < F.least("r.py", "r.qy")) | (F.greatest("r.py", "r.qy") < F.least("s.py", "s.qy"))
     x = x.where(~apart)
     dx, dy, ex, ey = c("s.qx") - c("s.px"), c("s.qy") - c("s.py"), c("r.qx") - c("r.px"), c("r.qy") - c("r.py")
     wx, wy = c("r.px") - c("s.px"), c("r.py") - c("s.py")
     cross = dx * ey - dy * ex
-    x = x.select(c("s.a").alias("a"), c("r.b").alias("b"), c("s.e").alias("ea"), c("r.e").alias("eb"), *[c(f"{t}.{n}").alias(f"{t}{n}") for t in "sr" for n in ENDS], cross.alias("cross"), (wx * ey - wy * ex).alias("tn"), (wx * dy - wy * dx).alias("un"), (dx * dx + dy * dy).alias("dd"), (ex * ex + ey * ey).alias("ee")).distinct()
+    x = x.select(c("s.a").alias("a"), c("r.b").alias("b"), "ea", "eb", *[c(f"{t}.{n}").alias(f"{t}{n}") for t in "sr" for n in ENDS], cross.alias("cross"), (wx * ey - wy * ex).alias("tn"), (wx * dy - wy * dx).alias("un"), (dx * dx + dy * dy).alias("dd"), (ex * ex + ey * ey).alias("ee"))
     t, u = F.try_divide("tn", "cross"), F.try_divide("un", "cross")
     crossing = (c("cross") != 0) & t.between(0, 1) & u.between(0, 1)
     # a crossing at an end is that end, whatever the rounding
     point = lambda n: F.when(t == 0, c(f"sp{n}")).when(t == 1, c(f"sq{n}")).when(u == 0, c(f"rp{n}")).when(u == 1, c(f"rq{n}")).otherwise(F.round(c(f"sp{n}") + t * (c(f"sq{n}") - c(f"sp{n}")), DIGITS))
     level = (c("cross") == 0) & (c("tn") == 0) & (c("un") == 0)  # on one line: cut at the other's ends
     share = lambda of, end, size: ((c(f"{end}x") - c(f"{of}px")) * (c(f"{of}qx") - c(f"{of}px")) + (c(f"{end}y") - c(f"{of}py")) * (c(f"{of}qy") - c(f"{of}py"))) / c(size)
-    cut = lambda when, own, e, at, px, py: F.when(when, F.struct(F.lit(own).alias("own"), c(e).alias("e"), at.alias("t"), px.alias("x"), py.alias("y")))
+    beside = F.abs("cross") <= NEAR * F.sqrt(c("dd") * c("ee"))
+    plain = ~beside & t.between(NEAR, 1 - NEAR) & u.between(NEAR, 1 - NEAR)
+    near = beside | (t.between(-NEAR, 1 + NEAR) & u.between(-NEAR, 1 + NEAR))
+    cut = lambda when, own, e, at, px, py, is_cut=True: F.when(when, F.struct(F.lit(own).alias("own"), c(e).alias("e"), at.alias("t"), px.alias("x"), py.alias("y"), F.lit(is_cut).alias("cut"), (plain if is_cut else F.lit(False)).alias("plain")))
     cuts = [cut(crossing, 0, "ea", t, point("x"), point("y")), cut(crossing, 1, "eb", u, point("x"), point("y"))]
     for end in ("p", "q"):
         cuts.append(cut(level, 0, "ea", share("s", f"r{end}", "dd"), c(f"r{end}x"), c(f"r{end}y")))
         cuts.append(cut(level, 1, "eb", share("r", f"s{end}", "ee"), c(f"s{end}x"), c(f"s{end}y")))
-    return x.select("a", "b", F.explode(F.array_compact(F.array(*cuts))).alias("k")).select("a", "b", "k.*").where((c("t") > 0) & (c("t") < 1)).distinct()
+    nothing = F.lit(0.0)
+    cuts += [cut(near & ~plain, own, e, nothing, nothing, nothing, False) for own, e in ((0, "ea"), (1, "eb"))]
+    return x.select("a", "b", F.explode(F.array_compact(F.array(*cuts))).alias("k")).select("a", "b", "k.*").where(~c("cut") | ((c("t") > 0) & (c("t") < 1))).distinct()
 
 
 def _pieces(edges: DataFrame, pairs: DataFrame, cuts: DataFrame, own: int) -> DataFrame:
-    """(a, b, own, px, py, qx, qy) of a layer's edges in every pair, in pieces between their cuts."""
+    """(a, b, own, px, py, qx, qy, place, t, turn, unsure) of a layer's edges in every pair, in pieces between their cuts;
+    turn is 1 after a plain crossing, unsure 1 on edges that touch the other shape or run along it."""
     c = F.col
     of = edges.join(pairs, "ab"[own])
-    ends = of.select("a", "b", "e", F.explode(F.array(F.struct(F.lit(0.0).alias("t"), c("px").alias("x"), c("py").alias("y")), F.struct(F.lit(1.0).alias("t"), c("qx").alias("x"), c("qy").alias("y")))).alias("k")).select("a", "b", "e", "k.*")
-    points = ends.union(cuts.where(c("own") == own).select("a", "b", "e", "t", "x", "y"))
-    w = Window.partitionBy("a", "b", "e").orderBy("t", "x", "y")
-    return points.select("a", "b", F.lit(own).alias("own"), c("x").alias("px"), c("y").alias("py"), F.lead("x").over(w).alias("qx"), F.lead("y").over(w).alias("qy")).where("qx is not null and (px <> qx or py <> qy)")
-
-
-def _inside(pieces: DataFrame, edges: DataFrame, other: str, cell: float) -> DataFrame:
-    """Adds inside: whether the piece's middle is in the other shape, by the even-odd rule along a ray."""
+    end = lambda t, x, y: F.struct(F.lit(t).alias("t"), c(x).alias("x"), c(y).alias("y"), F.lit(True).alias("cut"), F.lit(True).alias("plain"))
+    ends = of.select("a", "b", "e", "place", F.explode(F.array(end(0.0, "px", "py"), end(1.0, "qx", "qy"))).alias("k")).select("a", "b", "e", "place", "k.*")
+    met = cuts.where(c("own") == own).join(edges.select("e", "place"), "e")
+    points = ends.union(met.select("a", "b", "e", "place", "t", "x", "y", "cut", "plain"))
+    edge = Window.partitionBy("a", "b", "e")
+    w = edge.orderBy("t", "x", "y")
+    unsure = F.max(F.when(c("plain"), 0).otherwise(1)).over(edge)
+    found = points.withColumn("unsure", unsure).where("cut").groupBy("a", "b", "e", "place", "t", "x", "y", "unsure").agg(F.count("*").alias("n"))
+    turn = F.when(c("t") > 0, c("n")).otherwise(0)
+    return found.select("a", "b", F.lit(own).alias("own"), c("x").alias("px"), c("y").alias("py"), F.lead("x").over(w).alias("qx"), F.lead("y").over(w).alias("qy"), "place", "t", turn.alias("turn"), "unsure").where("qx is not null")
+
+
+def _ray(pieces: DataFrame, edges: DataFrame, other: str, cell: float) -> DataFrame:
+    """Adds odd: whether the piece's middle is in the other shape, by the even-odd rule along a ray."""
     c = F.col
     middle = pieces.withColumns({"id": F.monotonically_increasing_id(), "mx": (c("px") + c("qx")) / 2, "my": (c("py") + c("qy")) / 2})
     middle = stored(middle.withColumn("strip", F.floor(c("my") / cell)))
     rows = edges.select(c(other).alias("o"), *[c(n).alias(f"e{n}") for n in ENDS], F.explode(_cells(F.least("py", "qy"), F.greatest("py", "qy"), cell)).alias("strip_of"))
     hit = ((c("epy") > c("my")) != (c("eqy") > c("my"))) & (c("mx") < (c("eqx") - c("epx")) * (c("my") - c("epy")) / F.when(c("eqy") != c("epy"), c("eqy") - c("epy")) + c("epx"))
     counted = middle.join(rows, (c(other) == c("o")) & (c("strip") == c("strip_of"))).where(hit).groupBy("id").agg((F.count("*") % 2 == 1).alias("odd"))
-    return middle.join(counted, "id", "left").select(*pieces.columns, F.coalesce("odd", F.lit(False)).alias("inside"))
+    return middle.join(counted, "id", "left").select(*pieces.columns, F.coalesce("odd", F.lit(False)).alias("odd"))
+
+
+def _inside(pieces: DataFrame, edges: DataFrame, other: str, cell: float) -> DataFrame:
+    """Adds inside: whether a piece is in the other shape, by the crossings between it and the longest piece of its
+    stretch, whose middle has a ray. A stretch is what follows without an unsure edge, and each piece of such an edge."""
+    c = F.col
+    stretch = ["a", "b", "own", "breaks", "unsure"]
+    along = scans.running_sums(pieces, {"breaks": c("unsure").cast("long"), "turns": c("turn").cast("long")}, ["place", "t", "px", "py"], ["a", "b", "own"]).where("px <> qx or py <> qy")
+    longest = along.groupBy(*stretch).agg(F.max_by(F.struct(*ENDS, "turns"), (c("qx") - c("px")) ** 2 + (c("qy") - c("py")) ** 2).alias("k"))
+    judged = _ray(longest.select(*stretch, "k.*").withColumnRenamed("turns", "from"), edges, other, cell).select(*stretch, "from", "odd")
+    return along.join(judged, stretch).select("a", "b", "own", *ENDS, (c("odd") != (F.abs(c("turns") - c("from")) % 2 == 1)).alias("inside"))
 
 
 def overlay(left: DataFrame, right: DataFrame, left_id: str, right_id: str, order: str, cell: float, operations: Sequence[str] = OPERATIONS) -> DataFrame:
@@ -101,9 +124,9 @@ def overlay(left: DataFrame, right: DataFrame, left_id: str, right_id: str, orde
     unknown = set(operations) - set(OPERATIONS)
     if unknown:
         raise ValueError(f"no such operation: {', '.join(sorted(unknown))}")
-    a, b = (stored(ring_edges(df.where(c(k).isNotNull()).select(c(k).alias(n), c(order).alias("o"), "x", "y"), [n], "o").withColumn("e", F.monotonically_increasing_id())) for df, k, n in ((left, left_id, "a"), (right, right_id, "b")))
+    a, b = (stored(ring_edges(df.where(c(k).isNotNull()).select(c(k).alias(n), c(order).alias("o"), "x", "y"), [n], "o", place="place").withColumn("e", F.monotonically_increasing_id())) for df, k, n in ((left, left_id, "a"), (right, right_id, "b")))
     pairs = stored(_pairs(a, b, cell))
-    cuts = stored(_cuts(a, b, cell))
+    cuts = stored(_cuts(a, b))
     of_a, of_b = _inside(_pieces(a, pairs, cuts, 0), b, "b", cell), _inside(_pieces(b, pairs, cuts, 1), a, "a", cell)
     # pieces that both have, in the same direction or against each other
     forward = F.struct("px", "py") < F.struct("qx", "qy")
@@ -114,14 +137,19 @@ def overlay(left: DataFrame, right: DataFrame, left_id: str, right_id: str, orde
     kind = F.when(shared, F.when(directions == 1, "same").otherwise("against")).otherwise(F.when(c("inside"), "in").otherwise("out"))
     pieces = stored(both.select("a", "b", "own", *ENDS, kind.alias("kind")))
     is_a = c("own") == 0
-    wanted = {  # operation, which of two edge sets, pieces as they run, pieces turned round
-        "intersection": [(0, (c("kind") == "in") | ((c("kind") == "same") & is_a), F.lit(False))],
-        "union": [(0, (c("kind") == "out") | ((c("kind") == "same") & is_a), F.lit(False))],
-        "difference": [(0, is_a & c("kind").isin("out", "against"), ~is_a & (c("kind") == "in"))],
-        "exclusive-or": [(0, is_a & c("kind").isin("out", "against"), ~is_a & (c("kind") == "in")), (1, ~is_a & c("kind").isin("out", "against"), is_a & (c("kind") == "in"))],
+    # each set of edges is stitched once: pieces as they run, pieces turned round
+    sets = {
+        "within": ((c("kind") == "in") | ((c("kind") == "same") & is_a), F.lit(False)),
+        "around": ((c("kind") == "out") | ((c("kind") == "same") & is_a), F.lit(False)),
+        "a less b": (is_a & c("kind").isin("out", "against"), ~is_a & (c("kind") == "in")),
+        "b less a": (~is_a & c("kind").isin("out", "against"), is_a & (c("kind") == "in")),
     }
-    use = [F.when(ahead | turned, F.struct(F.lit(op).alias("operation"), F.lit(side).alias("side"), turned.alias("turned"))) for op in operations for side, ahead, turned in wanted[op]]
+    wanted = {"intersection": ["within"], "union": ["around"], "difference": ["a less b"], "exclusive-or": ["a less b", "b less a"]}
+    needed = {of for op in operations for of in wanted[op]}
+    use = [F.when(ahead | turned, F.struct(F.lit(of).alias("set"), turned.alias("turned"))) for of, (ahead, turned) in sets.items() if of in needed]
     chosen = pieces.select("a", "b", *ENDS, F.explode(F.array_compact(F.array(*use))).alias("k")).select("a", "b", *ENDS, "k.*")
     swap = lambda n, m: F.when(c("turned"), c(m)).otherwise(c(n)).alias(n)
-    found = stitch(chosen.select("operation", "a", "b", "side", swap("px", "qx"), swap("py", "qy"), swap("qx", "px"), swap("qy", "py")), ["operation", "a", "b", "side"])
+    rings = stitch(chosen.select("set", "a", "b", swap("px", "qx"), swap("py", "qy"), swap("qx", "px"), swap("qy", "py")), ["set", "a", "b"])
+    uses = [F.when(c("set") == of, F.struct(F.lit(op).alias("operation"), F.lit(side).alias("side"))) for op in operations for side, of in enumerate(wanted[op])]
+    found = rings.withColumn("k", F.explode(F.array_compact(F.array(*uses)))).select("*", "k.*")
     return found.select("operation", c("a").alias(left_id), c("b").alias(right_id), (2 * c("part") + c("side")).alias("part") if "exclusive-or" in operations else "part", "seq", "x", "y")
