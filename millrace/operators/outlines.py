@@ -22,7 +22,7 @@ def same(left: str, right: str, names: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) for n in names], F.lit(True))
 
 
-def ring_edges(df: DataFrame, keys: Sequence[str], order: str, digits: int = 6, place: str | None = None) -> DataFrame:
+def ring_edges(df: DataFrame, keys: Sequence[str], order: str, digits: int | None = 6, place: str | None = None) -> DataFrame:
     """(keys..., px, py, qx, qy): the edges of closed rings, each ring counter-clockwise, its coordinates rounded.
 
     ``place`` names a column of numbers that grow along each ring.
@@ -31,7 +31,7 @@ def ring_edges(df: DataFrame, keys: Sequence[str], order: str, digits: int = 6,
     an area.
     """
     c = F.col
-    v = df.where("x is not null and y is not null").select(*keys, c(order).alias("__o"), *[(F.round(c(a).cast("double"), digits) + 0.0).alias(a) for a in ("x", "y")])
+    v = df.where("x is not null and y is not null").select(*keys, c(order).alias("__o"), *[((c(a).cast("double") if digits is None else F.round(c(a).cast("double"), digits)) + 0.0).alias(a) for a in ("x", "y")])
     v = stored(scans.numbered(v, ["__o"], keys, "__i"))
     first = v.groupBy(*keys).agg(F.min_by(F.struct("x", "y"), "__i").alias("f"), F.max("__i").alias("n"))
     ahead = v.select(*keys, (c("__i") - 1).alias("__i"), c("x").alias("qx"), c("y").alias("qy"))

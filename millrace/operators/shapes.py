@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators import overlay, rings, scans
+from millrace.operators import outlines, overlay, rings, scans, slabs
 from millrace.plans.session import stored
 
 #: Chords of so many vertices are no longer one window's group; levels of shorter ones that follow in one job.
@@ -110,15 +110,42 @@ def thin_parts(df: DataFrame, keys: Sequence[str], order: str, distance: float,
 
 
 def tessellate(df: DataFrame, shape: str, part: str, order: str) -> DataFrame:
-    """(shape, triangle, corner, x, y): triangles of each shape, its parts being rings and holes."""
-    kind = df.schema[shape].dataType.simpleString()
+    """(shape, triangle, corner, x, y): triangles of each shape, its parts being rings and holes by the odd rule.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = rings.tessellate([_points(g, order) for _, g in pdf.groupby(part, sort=True)])
-        rows = [(pdf[shape].iloc[0], t, k, *p) for t, tri in enumerate(found) for k, p in enumerate(tri)]
-        return pd.DataFrame(rows, columns=[shape, "triangle", "corner", "x", "y"])
-
-    return df.groupBy(shape).applyInPandas(run, f"`{shape}` {kind}, triangle int, corner int, x double, y double")
+    Each vertex is dealt to the edges straight above and below it through the inside. An edge, and the vertices that it
+    was dealt, bound one mountain over that edge, and the mountains part the shape: triangles are cut off each of them
+    along its vertices. No task holds a shape; a mountain is in one.
+    """
+    c = F.col
+    edges = outlines.ring_edges(df.select(c(shape).alias("s"), c(part).alias("p"), c(order).alias("o"), "x", "y"), ["s", "p"], "o", None)
+    edges = stored(edges.withColumn("e", F.monotonically_increasing_id()))
+    names = stored(edges.groupBy("s").agg(F.min("e").alias("ring")))
+    edges = stored(edges.alias("t").join(names.alias("u"), outlines.same("t", "u", ["s"])).select("ring", "e", *outlines.ENDS))
+    places = edges.select("ring", c("e").alias("v"), c("px").alias("x"), c("py").alias("y"))
+    groups = max(1, edges.count() // slabs.GROUP)
+    seen = slabs.seen(edges, places).join(places.drop("ring"), "v").join(edges, "e").withColumn("group", F.pmod(F.xxhash64("e"), F.lit(groups)))
+    corners = ("ax", "ay", "bx", "by", "cx", "cy")
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for (e, side), g in pdf.sort_values(["e", "side", "x", "y"]).groupby(["e", "side"], sort=False):
+            head = g.iloc[0]
+            first, last = sorted([(head["px"], head["py"]), (head["qx"], head["qy"])])
+            kept = [first]
+            for p in [*dict.fromkeys(zip(g["x"].tolist(), g["y"].tolist())), last]:
+                while len(kept) > 1:
+                    a, b = kept[-2:]
+                    if side * ((b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])) <= 0:
+                        break
+                    found.append((head["ring"], e, len(found), *a, *(b + p if side > 0 else p + b)))
+                    kept.pop()
+                kept.append(p)
+        return pd.DataFrame(found, columns=["ring", "e", "k", *corners])
+
+    found = seen.groupBy("group").applyInPandas(cut, "ring bigint, e bigint, k bigint, " + ", ".join(f"{n} double" for n in corners))
+    triangles = scans.numbered(found, ["e", "k"], ["ring"], "n")
+    rows = triangles.join(names, "ring").select("s", (c("n") - 1).cast("int").alias("triangle"), F.posexplode(F.array(*[F.struct(c(f"{n}x").alias("x"), c(f"{n}y").alias("y")) for n in "abc"])).alias("corner", "at"))
+    return rows.select(c("s").alias(shape), "triangle", "corner", "at.x", "at.y")
 
 
 def clip(df: DataFrame, shape: str, order: str, ring: list[tuple[float, float]], *operations: str) -> DataFrame:

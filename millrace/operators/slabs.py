@@ -41,15 +41,15 @@ class Slabs:
         """How many groups share the short edges of a node."""
         return max(1, (2 * self.count >> (self.levels - 1 - level)) // GROUP) if level else 1
 
-    def dealt(self, edges: DataFrame, places: bool = False) -> DataFrame:
-        """Rows of ``edges`` (px, py, qx, qy and others) for their nodes, with node, group, long and leaf; ``places`` are rows that hold only px and py."""
+    def dealt(self, edges: DataFrame) -> DataFrame:
+        """Rows of ``edges`` (px, py, qx, qy and others) for their nodes, with node, group, long and leaf; a place is an edge of no length."""
         own, fields = self, edges.schema.simpleString()[7:-1]
         buckets = max(1, self.count * 2 * self.levels // GROUP)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 px = pdf["px"].to_numpy(float)
-                qx = px if places else pdf["qx"].to_numpy(float)
+                qx = pdf["qx"].to_numpy(float)
                 i, j = own.of(np.minimum(px, qx)), own.of(np.maximum(px, qx))
                 parts = []
                 every = np.arange(len(pdf))
@@ -174,3 +174,46 @@ def meeting(a: DataFrame, b: DataFrame) -> DataFrame:
         return pd.DataFrame({"ea": np.concatenate([f[0] for f in found]), "eb": np.concatenate([f[1] for f in found])})
 
     return slabs.dealt(both).groupBy("group").applyInPandas(run, "ea bigint, eb bigint").distinct()
+
+
+def _seen(pdf: pd.DataFrame, slabs: Slabs) -> pd.DataFrame:
+    """(v, side, n, height, slope, e): for places v of a group and their lists, the n edges above and below, and the next one."""
+    places, edges = pdf[pdf["layer"] == 1], pdf[pdf["layer"] == 0]
+    long, out = Long(edges[edges["long"]], slabs), []
+
+    def add(v: np.ndarray, side: int, n: np.ndarray, x: np.ndarray, c: list[np.ndarray], e: np.ndarray) -> None:
+        with np.errstate(all="ignore"):
+            out.append(pd.DataFrame({"v": v, "side": side, "n": n, "height": height(x, *c), "slope": (c[3] - c[1]) / (c[2] - c[0]), "e": e}))
+
+    met = places.merge(long.lists, on=["node", "ring", "salt"])
+    x, y, start, stop = (met[n].to_numpy() for n in ("px", "py", "start", "stop"))
+    at = long.below(x, y, start, stop)
+    for side, n, place in ((1, stop - at, at), (-1, at - start, at - 1)):
+        has = n > 0
+        add(met["e"].to_numpy()[has], side, n[has], x[has], [v[place[has]] for v in long.c], long.e[place[has]])
+    met = places[places["leaf"]].merge(edges[edges["leaf"]], on=["node", "ring"], suffixes=("", "_e"))
+    x, y = met["px"].to_numpy(), met["py"].to_numpy()
+    c = [met[f"{n}_e"].to_numpy() for n in ("px", "py", "qx", "qy")]
+    between = ((c[0] < x) | ((c[0] == x) & (c[1] < y))) & ((x < c[2]) | ((x == c[2]) & (y < c[3])))
+    turn = (c[2] - c[0]) * (y - c[1]) - (c[3] - c[1]) * (x - c[0])
+    for side, has in ((1, between & (turn < 0)), (-1, between & (turn > 0))):
+        add(met["e"].to_numpy()[has], side, np.ones(has.sum(), int), x[has], [v[has] for v in c], met["e_e"].to_numpy()[has])
+    return pd.concat(out)
+
+
+def seen(edges: DataFrame, places: DataFrame) -> DataFrame:
+    """(v, side, e): the edge of its ring straight above (side 1) or below (-1) each place, where a line on from there
+    crosses an odd number of edges. edges: (ring, e, px, py, qx, qy); places: (ring, v, x, y).
+
+    Edges of one ring must not cross. Straight is as if the plane leant a little, so no two places are above each other.
+    """
+    c = F.col
+    ahead = F.struct("px", "py") < F.struct("qx", "qy")
+    turned = [F.when(ahead, c(n)).otherwise(c(m)).alias(n) for n, m in (("px", "qx"), ("py", "qy"), ("qx", "px"), ("qy", "py"))]
+    of = [edges.select("ring", "e", *turned, F.lit(0).alias("layer")), places.select("ring", c("v").alias("e"), c("x").alias("px"), c("y").alias("py"), c("x").alias("qx"), c("y").alias("qy"), F.lit(1).alias("layer"))]
+    slabs = Slabs(of[0])
+    dealt = slabs.dealt(of[0].union(of[1])).where("layer = 1 or long or leaf")
+    found = dealt.groupBy("group").applyInPandas(lambda pdf: _seen(pdf, slabs), "v bigint, side int, n bigint, height double, slope double, e bigint")
+    # of edges that end at one height, the steeper one is nearer where the plane leans
+    near = F.struct(c("side") * -c("height"), "slope", "e")
+    return found.groupBy("v", "side").agg(F.sum("n").alias("n"), F.max(near).alias("k")).where("n % 2 = 1").select("v", "side", "k.e")
