@@ -2,7 +2,7 @@
 
 import pytest
 
-from millrace.operators import overlay
+from millrace.operators import overlay, shapes
 
 SQUARE = [(0, 0), (2, 0), (2, 2), (0, 2)]
 
@@ -44,3 +44,13 @@ def test_squares(spark):
 def test_operation_names(spark):
     with pytest.raises(ValueError):
         overlay.overlay(layer(spark, {"a": SQUARE}, "l"), layer(spark, {"b": SQUARE}, "r"), "l", "r", "seq", 1.0, ["meld"])
+
+
+def test_vertices_on_the_edge_of_a_box(spark):
+    """A ring that crosses a box's edge at its own vertex, and one that touches it there: areas as on paper."""
+    box = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    given = {"crosses": [(3, 1), (4, 2), (6, 3), (6, 4), (3, 3)], "touches": [(1, 1), (4, 2), (1, 3)]}
+    found = areas(shapes.clip(layer(spark, given, "l"), "l", "seq", box).withColumnRenamed("__clip", "r"))
+    of = lambda s: [sum(found.get((op, s, 0), [])) for op in overlay.OPERATIONS]
+    assert of("touches") == pytest.approx([3, 16, 0, 13])
+    assert of("crosses") == pytest.approx([5 / 3, 20 - 5 / 3, 4 - 5 / 3, 20 - 10 / 3], abs=1e-5)
