@@ -82,8 +82,8 @@ class Slabs:
 
 
 def height(at: np.ndarray, px, py, qx, qy) -> np.ndarray:
-    """y of edges where they pass x."""
-    return py + (qy - py) * ((at - px) / (qx - px))
+    """y of edges where they pass x; at an end exactly that end's, so that edges that meet there tie."""
+    return np.where(at == qx, qy, py + (qy - py) * ((at - px) / (qx - px)))
 
 
 class Long:

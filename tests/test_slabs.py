@@ -25,3 +25,9 @@ def test_edges_that_meet(spark):
     assert len(met) > n // 2 and met <= found
     assert len(found) < slabs.ENDS_A_SLAB * n  # a grid pairs some n * n / 4 of them
     assert slabs.Slabs(a).dealt(a).count() < 4 * n * np.log2(n)
+
+
+def test_heights_at_ends():
+    g = np.random.default_rng(5)
+    px, py, qx, qy = np.round(g.uniform(-1, 1, (4, 5000)), 6)
+    assert np.array_equal(slabs.height(qx, px, py, qx, qy), qy) and np.array_equal(slabs.height(px, px, py, qx, qy), py)
