@@ -15,6 +15,8 @@ from millrace.plans.session import stored
 
 #: Chords of so many vertices are no longer one window's group; levels of shorter ones that follow in one job.
 LONG_CHORD, LEVELS = 1 << 16, 6
+#: Vertices, by estimate, of the mountains that are cut in triangles as one group of rows.
+MOUNTAINS = 8_000
 
 
 def _points(pdf: pd.DataFrame, order: str) -> list[tuple[float, float]]:
@@ -122,27 +124,31 @@ def tessellate(df: DataFrame, shape: str, part: str, order: str) -> DataFrame:
     names = stored(edges.groupBy("s").agg(F.min("e").alias("ring")))
     edges = stored(edges.alias("t").join(names.alias("u"), outlines.same("t", "u", ["s"])).select("ring", "e", *outlines.ENDS))
     places = edges.select("ring", c("e").alias("v"), c("px").alias("x"), c("py").alias("y"))
-    groups = max(1, edges.count() // slabs.GROUP)
+    groups = max(1, edges.count() // MOUNTAINS)
     seen = slabs.seen(edges, places).join(places.drop("ring"), "v").join(edges, "e").withColumn("group", F.pmod(F.xxhash64("e"), F.lit(groups)))
     corners = ("ax", "ay", "bx", "by", "cx", "cy")
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for (e, side), g in pdf.sort_values(["e", "side", "x", "y"]).groupby(["e", "side"], sort=False):
-            head = g.iloc[0]
-            first, last = sorted([(head["px"], head["py"]), (head["qx"], head["qy"])])
+        pdf, found = pdf.sort_values(["e", "side", "x", "y"]), []
+        of = pdf[["e", "side"]].to_numpy()
+        start = np.flatnonzero(np.append(True, (of[1:] != of[:-1]).any(axis=1)))
+        heads = pdf[["ring", "e", "side", *outlines.ENDS]].iloc[start].itertuples(index=False, name=None)
+        places = list(zip(pdf["x"].tolist(), pdf["y"].tolist()))
+        for (ring, e, side, px, py, qx, qy), i, j in zip(heads, start.tolist(), [*start[1:].tolist(), len(pdf)]):
+            first, last = sorted([(px, py), (qx, qy)])
             kept = [first]
-            for p in [*dict.fromkeys(zip(g["x"].tolist(), g["y"].tolist())), last]:
+            for p in [*dict.fromkeys(places[i:j]), last]:
                 while len(kept) > 1:
                     a, b = kept[-2:]
                     if side * ((b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])) <= 0:
                         break
-                    found.append((head["ring"], e, len(found), *a, *(b + p if side > 0 else p + b)))
+                    found.append((ring, e, len(found), *a, *(b + p if side > 0 else p + b)))
                     kept.pop()
                 kept.append(p)
         return pd.DataFrame(found, columns=["ring", "e", "k", *corners])
 
-    found = seen.groupBy("group").applyInPandas(cut, "ring bigint, e bigint, k bigint, " + ", ".join(f"{n} double" for n in corners))
+    # stored: numbering by ranges reads its table twice
+    found = stored(seen.groupBy("group").applyInPandas(cut, "ring bigint, e bigint, k bigint, " + ", ".join(f"{n} double" for n in corners)))
     triangles = scans.numbered(found, ["e", "k"], ["ring"], "n")
     rows = triangles.join(names, "ring").select("s", (c("n") - 1).cast("int").alias("triangle"), F.posexplode(F.array(*[F.struct(c(f"{n}x").alias("x"), c(f"{n}y").alias("y")) for n in "abc"])).alias("corner", "at"))
     return rows.select(c("s").alias(shape), "triangle", "corner", "at.x", "at.y")

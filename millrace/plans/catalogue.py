@@ -23,7 +23,7 @@ from millrace.functions import templates, vectors
 from millrace.operators import aggregates as A
 from millrace.operators import changes, columns, joins, outlines, overlay, rows, scans, sequences, serving, shapes, spectra, voronoi
 from millrace.plans.standins import addresses, points, sql, table, tickets, tracks, triangles
-from millrace.plans.session import shared_folder
+from millrace.plans.session import shared_folder, stored
 from millrace.sources import blockfile, delimited, feeds, files, generate, shapefile, single, writers
 from millrace.streaming import operators as stream
 
@@ -766,7 +766,7 @@ def loop_overlap(spark, d):
 def _rings(spark, d):
     """A star-shaped ring per group: points by their angle around the origin."""
     p = points(spark, d).withColumn("a", F.atan2("y", "x")).where("x <> 0 or y <> 0")
-    return p.withColumn("seq", F.row_number().over(Window.partitionBy("grp").orderBy("a", "row_id"))).select("grp", F.lit(0).alias("part"), "seq", "x", "y")
+    return scans.numbered(p, ["a", "row_id"], ["grp"], "seq").select("grp", F.lit(0).alias("part"), "seq", "x", "y")
 
 
 _RING_AREA = ", r as (select grp, x, y, row_number() over (partition by grp order by atan2(y, x), row_id) s from points where x <> 0 or y <> 0), n as (select *, coalesce(lead(x) over w, first_value(x) over w) nx, coalesce(lead(y) over w, first_value(y) over w) ny from r window w as (partition by grp order by s))"
@@ -852,11 +852,15 @@ def overlay_layers(spark, d):
 def dissolve_shapes(spark, d):
     """The triangles of a ring, put together again: its edges, in order, and no other."""
     t = shapes.tessellate(_rings(spark, d), "grp", "part", "seq")
-    found = outlines.dissolve(t, ["grp"], "triangle", "corner")
-    w = Window.partitionBy("grp", "part").orderBy("seq")
-    ring = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    q = [F.coalesce(F.lead(c).over(w), F.first(c).over(ring)).alias(f"q{c}") for c in ("x", "y")]
-    return found.select("grp", F.count("*").over(Window.partitionBy("grp")).alias("edges"), F.col("x").alias("px"), F.col("y").alias("py"), *q)
+    found = stored(outlines.dissolve(t, ["grp"], "triangle", "corner"))
+    # vertices meet the next ones by their numbers, so no task has a ring; the first follows the last
+    v = found.select("grp", "part", "seq", F.col("x").alias("qx"), F.col("y").alias("qy"))
+    last = found.groupBy("grp", "part").agg(F.max("seq").alias("last"))
+    closing = v.where("seq = 0").alias("t").join(last.alias("u"), outlines.same("t", "u", ["grp", "part"])).select("t.grp", "t.part", F.col("last").alias("seq"), "qx", "qy")
+    ahead = v.where("seq > 0").withColumn("seq", F.col("seq") - 1).union(closing)
+    edges = found.alias("t").join(ahead.alias("u"), outlines.same("t", "u", ["grp", "part", "seq"])).select("t.grp", F.col("x").alias("px"), F.col("y").alias("py"), "qx", "qy")
+    counted = F.broadcast(found.groupBy("grp").agg(F.count("*").alias("edges")))
+    return edges.alias("t").join(counted.alias("u"), outlines.same("t", "u", ["grp"])).select("t.grp", "edges", "px", "py", "qx", "qy")
 
 
 @query("select grp, count(*) cells, 4.0::double area from (select distinct grp, x, y from points) group by 1", "points")

@@ -1,9 +1,14 @@
 """Triangles of shapes as a plan: holes, islands, upright edges, a mountain over one edge, spikes around a centre."""
 
+from collections import Counter
+
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from millrace.operators import outlines, rings, shapes
+from millrace.operators import outlines, rings, scans, shapes
+from millrace.plans import catalogue
 
 SQUARE = [(0, 0), (1, 0), (1, 1), (0, 1)]
 
@@ -42,3 +47,39 @@ def test_shapes(spark, monkeypatch):
     assert len(sizes["spikes"]) == vertices["spikes"] - 2 and len(sizes["hole"]) == 8
     edges = outlines.dissolve(t, ["s"], "triangle", "corner").groupBy("s").count().collect()
     assert {r["s"]: r["count"] for r in edges} == {s: vertices[s] for s in sizes}
+
+
+def test_mountains_are_cut_once(spark, monkeypatch):
+    plans, numbered = [], scans.numbered
+
+    def seen(df, *a, **b):
+        plans.append(df._jdf.queryExecution().analyzed().toString())
+        return numbered(df, *a, **b)
+
+    monkeypatch.setattr(scans, "numbered", seen)
+    rows = [("a", 0, i, float(x), float(y)) for i, (x, y) in enumerate(SQUARE)]
+    assert shapes.tessellate(spark.createDataFrame(rows, "s string, p int, o int, x double, y double"), "s", "p", "o").count() == 6
+    # numbering reads its table twice, once for the ranges
+    assert len(plans) == 2 and not any("FlatMapGroups" in p for p in plans)
+
+
+def test_dissolved_ring_of_one_group_is_in_several_tasks(spark, tmp_path):
+    """One label, copies of points, a point without coordinates: the edges of the SQL, and no task that has all of them."""
+    g = np.random.default_rng(5)
+    xy = g.normal(0, 0.2, (300, 2)).round(6).tolist()
+    vectors = xy + xy[:40] + [[0.0, 0.0], None]
+    rows = [(i, v, 7) for i, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = catalogue._rings(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+        found = catalogue.dissolve_shapes(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sum(r["count"] for r in sizes) == 340 and max(r["count"] for r in sizes) < 250
+    assert max(Counter(r["task"] for r in found).values()) < 250
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.execute(f"select grp, edges, px, py, qx, qy from ({catalogue.SQL['dissolve_shapes']})").fetchall()
+    assert len(want) == 300 and sorted(want) == sorted(tuple(r)[:6] for r in found)
