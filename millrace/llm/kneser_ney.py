@@ -3,7 +3,8 @@
 A 4-gram is exact: its three first code points are one long, its last an int; 0 stands for the ends of a text. Counts,
 continuation counts, contexts and probabilities of every order are tables, joined by n-gram and sharded by it. The
 corpus's distinct 4-grams are looked up in these by joins, with back-off to the lower orders for those that trusted
-text lacks, and each document's distinct 4-grams are joined with the answers and summed: its perplexity. A document
+text lacks. Documents are dealt into chunks by a hash of id and text, as many as keep a chunk's text in CHUNK_BYTES; a
+chunk sends each of its distinct 4-grams once, fetches their answers, and sums them over each text: its perplexity. A document
 is kept if that is at most its language's quantile among the trusted documents. Two models are fitted, on a half of
 the trusted documents each, and none of these is judged by the half that it is in.
 """
@@ -18,7 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import sketch
-from millrace.llm.common import chunks, discard, lean, mix, read_table, text_column, written
+from millrace.llm.common import MASK64, STEP_A, chunk_count, chunks, discard, lean, lean_cogroup, lean_group, mix, read_table, text_column, written
+from millrace.llm.substring import _binary
 
 ORDER, BITS = 4, 21
 #: Rank of the threshold among a language's trusted documents, and of how many of these its own quantile is half the threshold.
@@ -45,59 +47,107 @@ def points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Context and symbol of the 4-gram that ends at each character of each text and at its end, and where each text's begin."""
     data, offsets = points(data, offsets)
-    texts = len(offsets) - 1
-    symbols = np.zeros(len(data) + texts * ORDER + ORDER, dtype=np.int64)
-    at = np.arange(len(data)) + np.repeat(np.arange(1, texts + 1) * (ORDER - 1) + np.arange(texts), np.diff(offsets))
-    symbols[at] = data
-    symbols[at] += 1
-    first = offsets + np.arange(texts + 1) * ORDER  # where the padding of each text begins
-    n = int(first[-1])
-    context = (symbols[:n] << (2 * BITS)) | (symbols[1 : n + 1] << BITS) | symbols[2 : n + 2]
-    # the gram that begins at i ends at i + ORDER - 1; each text has its length + 1 of them from its padding on
-    size = np.diff(offsets) + 1
-    begin = np.concatenate([[0], np.cumsum(size)])
-    index = np.arange(begin[-1]) + np.repeat(first[:-1] - begin[:-1], size)
-    return context[index], symbols[index + ORDER - 1].astype(np.int32), begin
-
-
-def _summed(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, text: np.ndarray | None = None):
-    """Equal 4-grams (of one text) added up, but for those that a hash by chance sets apart: first places and sums."""
-    key = mix(context.view(np.uint64)) ^ symbol.astype(np.uint64)
-    key = mix(key if text is None else key ^ (text.astype(np.uint64) << np.uint64(32)))
-    order = np.argsort(key)
-    c, s, k = context[order], symbol[order], key[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (s[1:] != s[:-1])])
-    if text is not None:
-        t = text[order]
-        new[1:] |= t[1:] != t[:-1]
-    at = np.flatnonzero(new)
-    return order[at], np.add.reduceat(n[order], at)
+    texts = np.arange(len(offsets))
+    # zeros stand before each text, and the first of the next ones ends it
+    zeros = (offsets + texts * (ORDER - 1))[:, None] + np.arange(ORDER - 1)
+    solid = np.ones(len(data) + len(texts) * (ORDER - 1), bool)
+    solid[zeros] = False
+    symbols = np.zeros(len(solid), dtype=np.int64)
+    symbols[solid] = data
+    symbols[solid] += 1
+    symbols = symbols[: 2 - ORDER]
+    context = (symbols[:-3] << (2 * BITS)) | (symbols[1:-2] << BITS) | symbols[2:-1]
+    mine = np.ones(len(context), bool)
+    mine[zeros[1:-1, 1:] - (ORDER - 1)] = False  # would end at a zero beyond a text's end
+    return context[mine], symbols[ORDER - 1 :][mine].astype(np.int32), offsets + texts
+
+
+def _keys(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """A well mixed key of each 4-gram. Two with the same key and the same last symbol are equal."""
+    return mix(context.view(np.uint64)) ^ (symbol.astype(np.uint64) * np.uint64(STEP_A))
+
+
+class Grams:
+    """The distinct ones of some 4-grams in the order of their keys, found from the first bits of these. Equal ones that
+    another with the same key sets apart, by chance, stay two."""
+
+    def __init__(self, context: np.ndarray, symbol: np.ndarray):
+        key = _keys(context, symbol)
+        self.order = np.argsort(key)
+        key, symbol = key[self.order], symbol[self.order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (symbol[1:] != symbol[:-1])
+        self.begin = np.flatnonzero(new)
+        self.place = self.order[self.begin]  # of the first of each among those given
+        self.context, self.symbol = context[self.place], symbol[self.begin]
+        # one more that equals none ends them
+        self._key, self._symbol = np.append(key[self.begin], np.uint64(MASK64)), np.append(self.symbol, np.int32(-1))
+        bits = min(len(self).bit_length() + 2, 22)
+        self._shift = np.uint64(64 - bits)
+        size = np.bincount((self._key[:-1] >> self._shift).view(np.int64), minlength=1 << bits)
+        self._first = (np.cumsum(size) - size).astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.begin)
+
+    def sums(self, n: np.ndarray) -> np.ndarray:
+        """What the equal ones of those given have together."""
+        return np.add.reduceat(n[self.order], self.begin)
+
+    def find(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The place of each 4-gram; the length for one that is not here."""
+        key = _keys(context, symbol)
+        at = self._first[(key >> self._shift).view(np.int64)]
+        left = np.flatnonzero((self._key[at] != key) | (self._symbol[at] != symbol))
+        while len(left):
+            on = (at[left] < len(self)) & (self._key[at[left]] <= key[left])
+            at[left[~on]] = len(self)
+            left = left[on]
+            at[left] += 1
+            left = left[(self._key[at[left]] != key[left]) | (self._symbol[at[left]] != symbol[left])]
+        return at
+
+
+class Counts:
+    """Counts of 4-grams: known ones are added up in place, new ones wait until they are a quarter of the known."""
+
+    def __init__(self):
+        self.grams, self.n = Grams(np.zeros(0, np.int64), np.zeros(0, np.int32)), np.zeros(0, np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, context: np.ndarray, symbol: np.ndarray) -> None:
+        at = self.grams.find(context, symbol)
+        self.n += np.bincount(at, minlength=len(self.grams) + 1)[:-1]
+        new = np.flatnonzero(at == len(self.grams))
+        if len(new):
+            found = Grams(context[new], symbol[new])
+            self.new.append((found.context, found.symbol, found.sums(np.ones(len(new), np.int64))))
+            if sum(len(x[2]) for x in self.new) > len(self.grams) // 4:
+                self.merge()
+
+    def merge(self) -> None:
+        context, symbol, n = (np.concatenate(x) for x in zip((self.grams.context, self.grams.symbol, self.n), *self.new))
+        self.new.clear()
+        self.grams = Grams(context, symbol)
+        self.n = self.grams.sums(n)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of the 4-grams of all texts."""
-    held, size = [], 0
 
     def done() -> pa.RecordBatch:
-        context, symbol, n = (np.concatenate(x) for x in zip(*held))
-        at, n = _summed(context, symbol, n)
-        held.clear()
-        held.append((context[at], symbol[at], n))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["context", "symbol", "n"])
+        held.merge()
+        return pa.RecordBatch.from_arrays([pa.array(held.grams.context), pa.array(held.grams.symbol), pa.array(held.n)], ["context", "symbol", "n"])
 
+    held = Counts()
     for batch in batches:
         for _, _, data, offsets in chunks(text_column(batch, "text")):
             context, symbol, _ = grams(data, offsets)
-            at, n = _summed(context, symbol, np.ones(len(context), np.int64))
-            held.append((context[at], symbol[at], n))
-            size += len(at)
-            if size > 4 * HELD_GRAMS:
-                out = done()
-                size = len(out)
-                if size > HELD_GRAMS:
-                    yield out
-                    held, size = [], 0
-    if held:
+            held.add(context, symbol)
+            if len(held.grams) > HELD_GRAMS:
+                yield done()
+                held = Counts()
+    if len(held.grams):
         yield done()
 
 
@@ -172,38 +222,56 @@ class Model:
             discard(table)
 
 
-_EACH = "row long, doc_id long, lang string, has_text boolean, context long, symbol int, n long"
-_EACH_NAMES = [x.split()[0] for x in _EACH.split(", ")]
+def _seen(table: pa.Table) -> pa.Table:
+    """The distinct 4-grams of a chunk's texts."""
+    held = Counts()
+    for _, _, data, offsets in chunks(_binary(table.column("text"))):
+        context, symbol, _ = grams(data, offsets)
+        held.add(context, symbol)
+    held.merge()
+    chunk = np.full(len(held.grams), table.column("chunk")[0].as_py(), np.int32)
+    return pa.Table.from_arrays([pa.array(chunk), pa.array(held.grams.context), pa.array(held.grams.symbol)], ["chunk", "context", "symbol"])
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct 4-grams of each text with their counts."""
-    for batch in batches:
-        for lo, _, data, offsets in chunks(text_column(batch, "text"), 1 << 17):
+def _score(names: list[str]):
+    """The sums of a chunk's texts over the logarithms of their 4-grams, which the other table has."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = Grams(*(right.column(c).to_numpy() for c in ("context", "symbol")))
+        logs = [right.column(c).to_numpy()[known.place] for c in names]
+        size, sums = [np.zeros(0, np.int64)], [[np.zeros(0)] for _ in names]
+        for _, _, data, offsets in chunks(_binary(left.column("text"))):
             context, symbol, begin = grams(data, offsets)
-            text = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-            at, n = _summed(context, symbol, np.ones(len(context), np.int64), text)
-            row = pa.array(text[at] + lo)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in range(4)), pa.array(context[at]), pa.array(symbol[at]), pa.array(n)], _EACH_NAMES)
+            at = known.find(context, symbol)
+            size.append(np.diff(begin))
+            for log, parts in zip(logs, sums):
+                parts.append(np.add.reduceat(log[at], begin[:-1]))
+        cols = [pa.array(np.concatenate(x)) for x in (size, *sums)]
+        return pa.Table.from_arrays([*(left.column(c) for c in ("doc_id", "lang", "has_text")), *cols], ["doc_id", "lang", "has_text", "n_symbols", *names])
+
+    return run
 
 
 def log_probabilities(docs: DataFrame, models: list[Model]) -> DataFrame:
     """doc_id, lang, has_text, n_symbols (characters and the end) and log_0, log_1, ... by each model, of each row; a
     null text is empty."""
-    wanted = written(counts_of(docs).select("context", "symbol"), "kneser-ney-wanted")
-    answers = wanted
-    for k, model in enumerate(models):
-        answers = answers.join(model.answers(wanted).select("context", "symbol", F.log("p").alias(f"log_{k}")), ["context", "symbol"])
-    answers = written(answers, "kneser-ney-answers")
+    parts, names = chunk_count(docs), [f"log_{k}" for k in range(len(models))]
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
         (F.length(F.coalesce("text", F.lit(""))) > 0).alias("has_text"), F.col("text").cast("binary").alias("text"),
     )
-    met = rows.mapInArrow(lean(_each), _EACH).join(bounded(answers), ["context", "symbol"])
-    logs = [F.sum(F.col("n") * F.col(f"log_{k}")).alias(f"log_{k}") for k in range(len(models))]
-    found = written(met.groupBy("row", "doc_id", "lang", "has_text").agg(F.sum("n").alias("n_symbols"), *logs).drop("row"), "kneser-ney-scored")
-    discard(answers)
-    discard(wanted)
+    by_chunk = lambda df: df.repartitionById(parts, F.col("chunk")).groupBy("chunk")
+    seen = written(by_chunk(rows.select("chunk", "text")).applyInArrow(lean_group(_seen), "chunk int, context long, symbol int"), "kneser-ney-seen")
+    wanted = written(seen.select("context", "symbol").distinct(), "kneser-ney-wanted")
+    answers = wanted
+    for name, model in zip(names, models):
+        answers = answers.join(model.answers(wanted).select("context", "symbol", F.log("p").alias(name)), ["context", "symbol"])
+    answers = written(answers, "kneser-ney-answers")
+    told = by_chunk(seen.join(bounded(answers), ["context", "symbol"]))
+    fields = "doc_id long, lang string, has_text boolean, n_symbols long" + "".join(f", {x} double" for x in names)
+    found = written(by_chunk(rows).cogroup(told).applyInArrow(lean_cogroup(_score(names)), fields), "kneser-ney-scored")
+    for table in (seen, wanted, answers):
+        discard(table)
     return found
 
 

@@ -70,6 +70,47 @@ def test_op1_tells_letters_beyond_ascii():
     assert begin.tolist() == [0, 6, 8]
 
 
+def shuffled(spark, job) -> int:
+    """Rows that the stages of a job write for others to fetch."""
+    sc, jvm, gateway = spark.sparkContext._jsc.sc(), spark._jvm, spark.sparkContext._gateway
+
+    def rows() -> dict[int, int]:
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = rows()
+    job()
+    return sum(n for k, n in rows().items() if k not in before)
+
+
+def test_op1_sends_no_row_for_a_document_and_gram(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "BROADCAST_ROWS", 0)
+    model = kneser_ney.Model(spark.createDataFrame([(cases.text(k),) for k in range(3)], "text string"))
+    few, many = (cases.table(spark, [(k, cases.text(1, 80), "en", "s", 1) for k in range(n)]) for n in (40, 240))
+    more = shuffled(spark, lambda: kneser_ney.log_probabilities(many, [model])) - shuffled(spark, lambda: kneser_ney.log_probabilities(few, [model]))
+    assert more < 10 * 200  # each of the copies has more than a hundred distinct 4-grams
+
+
+def test_op1_finds_grams_whose_keys_agree(monkeypatch):
+    monkeypatch.setattr(kneser_ney, "_keys", lambda context, symbol: (context // 40).astype(np.uint64) << np.uint64(57))
+    rng = np.random.default_rng(5)
+    texts = [(np.repeat(rng.integers(0, 80, 30) * 40, 3), np.tile(np.arange(3, dtype=np.int32), 30)) for _ in range(20)]
+    counts, wanted = kneser_ney.Counts(), {}
+    for context, symbol in texts:
+        counts.add(context, symbol)
+        for x in zip(context.tolist(), symbol.tolist()):
+            wanted[x] = wanted.get(x, 0) + 1
+    counts.merge()
+    found = {}
+    for x, y, n in zip(counts.grams.context.tolist(), counts.grams.symbol.tolist(), counts.n.tolist()):
+        found[x, y] = found.get((x, y), 0) + n
+    assert found == wanted
+    at = counts.grams.find(*texts[0])
+    assert (counts.grams.context[at] == texts[0][0]).all() and (counts.grams.symbol[at] == texts[0][1]).all()
+    assert (counts.grams.find(np.array([81 * 40, 40]), np.array([0, 3], np.int32)) == len(counts.grams)).all()
+
+
 def test_op2_fences_follow_the_group(spark):
     def lined(i, short):
         return "\n".join(" ".join(f"w{i:03d}{k * 10 + j:02d}" for j in range(10)) + "\n" + x for k, x in enumerate(short))
