@@ -12,6 +12,7 @@ the trusted documents each, and none of these is judged by the half that it is i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ RANK, BLEND = 0.995, 50
 BROADCAST_ROWS = 1_000_000
 #: Distinct n-grams that a task holds before it sends them on.
 HELD_GRAMS = 1_000_000
+#: Rounds in which the chunks are taken if all cores have one in each: so little of the texts is in shuffle files at a time.
+ROUNDS = 4
 
 
 def points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,23 +259,29 @@ def log_probabilities(docs: DataFrame, models: list[Model]) -> DataFrame:
     """doc_id, lang, has_text, n_symbols (characters and the end) and log_0, log_1, ... by each model, of each row; a
     null text is empty."""
     parts, names = chunk_count(docs), [f"log_{k}" for k in range(len(models))]
+    rounds = max(1, min(ROUNDS, parts // docs.sparkSession.sparkContext.defaultParallelism))
+    size = -(-parts // rounds)
+    dealt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(size * rounds)).cast("int")
     rows = docs.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
+        (dealt % rounds).alias("round"), F.floor(dealt / rounds).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
         (F.length(F.coalesce("text", F.lit(""))) > 0).alias("has_text"), F.col("text").cast("binary").alias("text"),
     )
-    by_chunk = lambda df: df.repartitionById(parts, F.col("chunk")).groupBy("chunk")
-    seen = written(by_chunk(rows.select("chunk", "text")).applyInArrow(lean_group(_seen), "chunk int, context long, symbol int"), "kneser-ney-seen")
-    wanted = written(seen.select("context", "symbol").distinct(), "kneser-ney-wanted")
+    by_chunk = lambda df: df.repartitionById(size, F.col("chunk")).groupBy("chunk")
+    of_round = [rows.where(F.col("round") == k).drop("round") for k in range(rounds)]
+    seen = [written(by_chunk(x.select("chunk", "text")).applyInArrow(lean_group(_seen), "chunk int, context long, symbol int"), "kneser-ney-seen") for x in of_round]
+    wanted = written(reduce(DataFrame.union, seen).select("context", "symbol").distinct(), "kneser-ney-wanted")
     answers = wanted
     for name, model in zip(names, models):
         answers = answers.join(model.answers(wanted).select("context", "symbol", F.log("p").alias(name)), ["context", "symbol"])
     answers = written(answers, "kneser-ney-answers")
-    told = by_chunk(seen.join(bounded(answers), ["context", "symbol"]))
     fields = "doc_id long, lang string, has_text boolean, n_symbols long" + "".join(f", {x} double" for x in names)
-    found = written(by_chunk(rows).cogroup(told).applyInArrow(lean_cogroup(_score(names)), fields), "kneser-ney-scored")
-    for table in (seen, wanted, answers):
+    found, known = [], bounded(answers)
+    for x, its in zip(of_round, seen):
+        told = by_chunk(its.join(known, ["context", "symbol"]))
+        found.append(written(by_chunk(x).cogroup(told).applyInArrow(lean_cogroup(_score(names)), fields), "kneser-ney-scored"))
+    for table in (*seen, wanted, answers):
         discard(table)
-    return found
+    return reduce(DataFrame.union, found)
 
 
 def classify(docs: DataFrame, labels: DataFrame, trusted: int | None = None) -> DataFrame:

@@ -70,26 +70,41 @@ def test_op1_tells_letters_beyond_ascii():
     assert begin.tolist() == [0, 6, 8]
 
 
-def shuffled(spark, job) -> int:
-    """Rows that the stages of a job write for others to fetch."""
+def shuffled(spark, job) -> list[tuple[int, int]]:
+    """Rows and bytes that each stage of a job writes for others to fetch."""
     sc, jvm, gateway = spark.sparkContext._jsc.sc(), spark._jvm, spark.sparkContext._gateway
 
-    def rows() -> dict[int, int]:
+    def stages_so_far() -> dict[int, tuple[int, int]]:
         sc.listenerBus().waitUntilEmpty()
         stages = sc.statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
-        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+        stages = [stages.apply(i) for i in range(stages.size())]
+        return {x.stageId(): (x.shuffleWriteRecords(), x.shuffleWriteBytes()) for x in stages}
 
-    before = rows()
+    before = stages_so_far()
     job()
-    return sum(n for k, n in rows().items() if k not in before)
+    return [x for k, x in stages_so_far().items() if k not in before]
 
 
 def test_op1_sends_no_row_for_a_document_and_gram(spark, monkeypatch):
     monkeypatch.setattr(kneser_ney, "BROADCAST_ROWS", 0)
     model = kneser_ney.Model(spark.createDataFrame([(cases.text(k),) for k in range(3)], "text string"))
     few, many = (cases.table(spark, [(k, cases.text(1, 80), "en", "s", 1) for k in range(n)]) for n in (40, 240))
-    more = shuffled(spark, lambda: kneser_ney.log_probabilities(many, [model])) - shuffled(spark, lambda: kneser_ney.log_probabilities(few, [model]))
-    assert more < 10 * 200  # each of the copies has more than a hundred distinct 4-grams
+    rows = [sum(n for n, _ in shuffled(spark, lambda: kneser_ney.log_probabilities(x, [model]))) for x in (few, many)]
+    assert rows[1] - rows[0] < 10 * 200  # each of the copies has more than a hundred distinct 4-grams
+
+
+def test_op1_shuffles_part_of_the_texts_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = ["".join(map(chr, rng.integers(97, 101, 20_000))) for _ in range(64)]
+    docs = cases.table(spark, [(k, x, "en", "s", 1) for k, x in enumerate([*texts, None, ""])])
+    model = kneser_ney.Model(spark.createDataFrame([(x,) for x in texts[:2]], "text string"))
+    whole, dealt = [], []
+    at_once = max(n for _, n in shuffled(spark, lambda: whole.extend(kneser_ney.log_probabilities(docs, [model]).collect())))
+    monkeypatch.setattr(kneser_ney, "chunk_count", lambda docs: 10 * spark.sparkContext.defaultParallelism)
+    in_rounds = max(n for _, n in shuffled(spark, lambda: dealt.extend(kneser_ney.log_probabilities(docs, [model]).collect())))
+    assert in_rounds < at_once / 2
+    by_id = lambda rows: sorted((r["doc_id"], r["has_text"], r["n_symbols"], r["log_0"]) for r in rows)
+    assert len(dealt) == 66 and by_id(dealt) == by_id(whole)
 
 
 def test_op1_finds_grams_whose_keys_agree(monkeypatch):
