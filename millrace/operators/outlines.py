@@ -62,14 +62,21 @@ def stitch(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Parts are numbered from 0 by their smallest vertex, which is where a ring begins. Where several edges leave a
     vertex, the one of the sharpest left turn goes on, so rings that touch stay apart. As many edges must enter a
-    vertex as leave it.
+    vertex as leave it; an edge that finds no other, as ends of crossings may that rounding put side by side, goes on
+    where one begins that none has found.
     """
     c = F.col
     e = stored(scans.numbered(edges.select(*keys, *ENDS), [*keys, *ENDS], (), "id"))
     back, on = F.atan2(c("t.py") - c("t.qy"), c("t.px") - c("t.qx")), F.atan2(c("u.qy") - c("u.py"), c("u.qx") - c("u.px"))
     turn = F.pmod(back - on, F.lit(2 * 3.141592653589793))
     meets = same("t", "u", keys) & (c("t.qx") == c("u.px")) & (c("t.qy") == c("u.py"))
-    ahead = e.alias("t").join(e.alias("u"), meets).groupBy(c("t.id").alias("node")).agg(F.min_by("u.id", F.struct(turn, "u.id")).alias("next"))
+    ahead = stored(e.alias("t").join(e.alias("u"), meets).groupBy(c("t.id").alias("node")).agg(F.min_by("u.id", F.struct(turn, "u.id")).alias("next")))
+    found = ahead.groupBy("next").agg(F.min("node").alias("node"))
+    if found.count() < e.count():
+        found = stored(found)
+        place = lambda df, on, x, y, name: scans.numbered(e.join(df, c("id") == c(on), "left_anti").select(*keys, "id", c(x).alias("x"), c(y).alias("y")), ["x", "y", "id"], keys, "k").select(*keys, "k", c("id").alias(name))
+        ends, starts = place(found, "node", "qx", "qy", "node"), place(found, "next", "px", "py", "next")
+        ahead = stored(found.select("node", "next").union(ends.alias("t").join(starts.alias("u"), same("t", "u", [*keys, "k"])).select("node", "next")))
     ranked = links.rank_cycles(ahead)
     heads = e.join(ranked.where("step = 0").select(c("node").alias("id")), "id", "left_semi").select(*keys, "id")
     parts = scans.numbered(heads, ["id"], keys, "part").select(c("id").alias("start"), (c("part") - 1).cast("int").alias("part"))

@@ -18,8 +18,8 @@ from millrace.operators.outlines import ENDS, ring_edges, stitch
 from millrace.plans.session import stored
 
 OPERATIONS = ("intersection", "union", "difference", "exclusive-or")
-#: Digits of a crossing's coordinates, and the share of an edge within which a crossing may be at an end.
-DIGITS, NEAR = 9, 1e-9
+#: The share of an edge within which a crossing may be at an end, and of its coordinates within which a place is on it.
+NEAR, NOISE = 1e-9, 4e-15
 
 
 def _cells(low: Column, high: Column, cell: float) -> Column:
@@ -44,7 +44,12 @@ def _pairs(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
 
 def _cuts(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a, b, own, e, t, x, y, cut, plain): where edge e of a shape (own: 0 of a, 1 of b) meets the other one, at the
-    share t; whether it is cut there; and whether it crosses plainly there, away from the ends of both edges."""
+    share t; whether it is cut there; and whether it crosses plainly there, away from the ends of both edges.
+
+    Two edges are cut where they cross within both, by their coordinates' floating values. At a vertex on the other
+    shape's edge these may see a crossing by either edge of the vertex, by both or by none; where a ring that goes over
+    to the other side there would be lost by all, the edge is cut at the vertex.
+    """
     c = F.col
     rings = lambda df, k: df.join(df.groupBy(k).agg(F.min("e").alias("ring")), k)
     met = slabs.meeting(rings(a, "a"), rings(b, "b"))
@@ -56,22 +61,37 @@ def _cuts(a: DataFrame, b: DataFrame) -> DataFrame:
     cross = dx * ey - dy * ex
     x = x.select(c("s.a").alias("a"), c("r.b").alias("b"), "ea", "eb", *[c(f"{t}.{n}").alias(f"{t}{n}") for t in "sr" for n in ENDS], cross.alias("cross"), (wx * ey - wy * ex).alias("tn"), (wx * dy - wy * dx).alias("un"), (dx * dx + dy * dy).alias("dd"), (ex * ex + ey * ey).alias("ee"))
     t, u = F.try_divide("tn", "cross"), F.try_divide("un", "cross")
-    crossing = (c("cross") != 0) & t.between(0, 1) & u.between(0, 1)
-    # a crossing at an end is that end, whatever the rounding
-    point = lambda n: F.when(t == 0, c(f"sp{n}")).when(t == 1, c(f"sq{n}")).when(u == 0, c(f"rp{n}")).when(u == 1, c(f"rq{n}")).otherwise(F.round(c(f"sp{n}") + t * (c(f"sq{n}") - c(f"sp{n}")), DIGITS))
+    crossing = F.coalesce((t > 0) & (t < 1) & (u > 0) & (u < 1), F.lit(False))
+    point = lambda n: c(f"sp{n}") + t * (c(f"sq{n}") - c(f"sp{n}"))
     level = (c("cross") == 0) & (c("tn") == 0) & (c("un") == 0)  # on one line: cut at the other's ends
     share = lambda of, end, size: ((c(f"{end}x") - c(f"{of}px")) * (c(f"{of}qx") - c(f"{of}px")) + (c(f"{end}y") - c(f"{of}py")) * (c(f"{of}qy") - c(f"{of}py"))) / c(size)
     beside = F.abs("cross") <= NEAR * F.sqrt(c("dd") * c("ee"))
     plain = ~beside & t.between(NEAR, 1 - NEAR) & u.between(NEAR, 1 - NEAR)
     near = beside | (t.between(-NEAR, 1 + NEAR) & u.between(-NEAR, 1 + NEAR))
-    cut = lambda when, own, e, at, px, py, is_cut=True: F.when(when, F.struct(F.lit(own).alias("own"), c(e).alias("e"), at.alias("t"), px.alias("x"), py.alias("y"), F.lit(is_cut).alias("cut"), (plain if is_cut else F.lit(False)).alias("plain")))
+
+    def off(of: str, end: str) -> Column:
+        """Which side of an edge a place is on; 0 on its line, as far as its coordinates tell."""
+        run, rise = c(f"{of}qx") - c(f"{of}px"), c(f"{of}qy") - c(f"{of}py")
+        turn = (c(f"{of}px") - c(f"{end}x")) * rise - (c(f"{of}py") - c(f"{end}y")) * run
+        return F.when(F.abs(turn) > NOISE * F.greatest(*[F.abs(f"{of}{n}") for n in ENDS]) * (F.abs(run) + F.abs(rise)), F.signum(turn)).otherwise(0.0)
+
+    def cut(when: Column, own: int, e: str, at: Column, px: Column, py: Column, is_cut: bool = True, side: Column | None = None) -> Column:
+        held = F.lit(False) if side is not None or not is_cut else plain
+        return F.when(when, F.struct(F.lit(own).alias("own"), c(e).alias("e"), at.alias("t"), px.alias("x"), py.alias("y"), F.lit(is_cut).alias("cut"), held.alias("plain"), (F.lit(None).cast("double") if side is None else side).alias("side")))
+
     cuts = [cut(crossing, 0, "ea", t, point("x"), point("y")), cut(crossing, 1, "eb", u, point("x"), point("y"))]
-    for end in ("p", "q"):
+    for end, far in (("p", "q"), ("q", "p")):
         cuts.append(cut(level, 0, "ea", share("s", f"r{end}", "dd"), c(f"r{end}x"), c(f"r{end}y")))
         cuts.append(cut(level, 1, "eb", share("r", f"s{end}", "ee"), c(f"s{end}x"), c(f"s{end}y")))
+        # a vertex on an edge, with the side that its own edge comes from or goes to
+        for own, e, of, to, size in ((0, "ea", "s", "r", "dd"), (1, "eb", "r", "s", "ee")):
+            cuts.append(cut(off(of, f"{to}{end}") == 0, own, e, share(of, f"{to}{end}", size), c(f"{to}{end}x"), c(f"{to}{end}y"), side=off(of, f"{to}{far}")))
     nothing = F.lit(0.0)
     cuts += [cut(near & ~plain, own, e, nothing, nothing, nothing, False) for own, e in ((0, "ea"), (1, "eb"))]
-    return x.select("a", "b", F.explode(F.array_compact(F.array(*cuts))).alias("k")).select("a", "b", "k.*").where(~c("cut") | ((c("t") > 0) & (c("t") < 1))).distinct()
+    k = x.select("a", "b", crossing.alias("seen"), F.explode(F.array_compact(F.array(*cuts))).alias("k")).select("a", "b", "seen", "k.*").where(~c("cut") | ((c("t") > 0) & (c("t") < 1)))
+    names = ["a", "b", "own", "e", "t", "x", "y", "cut", "plain"]
+    met_once = k.groupBy(*names, c("side").isNotNull().alias("vertex")).agg(F.max("seen").alias("seen"), F.min("side").alias("low"), F.max("side").alias("high"))
+    return met_once.where("not vertex or (not seen and low <= 0 and high >= 0)").select(*names).distinct()
 
 
 def _pieces(edges: DataFrame, pairs: DataFrame, cuts: DataFrame, own: int) -> DataFrame:
