@@ -19,8 +19,8 @@ from millrace.sources.single import join_parts, part_files, removed_folder, stag
 POINT, ARC, POLYGON, MULTIPOINT = 1, 3, 5, 8
 KINDS = {POINT: "points", ARC: "line_strip", POLYGON: "line_loop", MULTIPOINT: "points"}
 
-#: Bytes of geometry that a task reads.
-SHAPE_BYTES = 32 << 20
+#: Bytes of geometry that a task reads, and entries of an index that are held at a time.
+SHAPE_BYTES, INDEX_ENTRIES = 32 << 20, 1 << 20
 
 
 def read_dbf(data: bytes) -> tuple[list[tuple[str, str, int, int]], list[tuple]]:
@@ -185,24 +185,40 @@ def _opened(file: str):
     return store.open_input_file(at)
 
 
+def _starts(stem: str, shp, size: int) -> Iterator[np.ndarray]:
+    """Where records begin, some at a time, by the index, or by the records' own heads where there is none."""
+    try:
+        with _opened(f"{stem}.shx") as shx:
+            shx.seek(100)
+            while len(entries := shx.read(8 * INDEX_ENTRIES)) >= 8:
+                yield np.frombuffer(entries, ">u4", len(entries) // 8 * 2)[::2].astype(np.int64) * 2
+            return
+    except FileNotFoundError:
+        pass
+    found, at = [], 100
+    while at + 12 <= size:
+        found.append(at)
+        at += 8 + 2 * struct.unpack(">I", shp.read_at(4, at + 4))[0]
+        if len(found) == INDEX_ENTRIES:
+            yield np.asarray(found, np.int64)
+            found = []
+    yield np.asarray(found, np.int64)
+
+
 def shape_extents(stem: str, most: int) -> Iterator[tuple[int, int, int]]:
-    """(first record, low, high): ranges of whole records by the index, or by the records' own heads where there is none."""
+    """(first record, low, high): ranges of whole records of at most ``most`` bytes, or of one record."""
     with _opened(f"{stem}.shp") as shp:
         size = min(struct.unpack(">I", shp.read_at(4, 24))[0] * 2, shp.size())
-        try:
-            with _opened(f"{stem}.shx") as shx:
-                starts = np.frombuffer(shx.read()[100:], ">i4").reshape(-1, 2)[:, 0].astype(np.int64) * 2
-        except FileNotFoundError:
-            found, at = [], 100
-            while at + 12 <= size:
-                found.append(at)
-                at += 8 + 2 * struct.unpack(">I", shp.read_at(4, at + 4))[0]
-            starts = np.asarray(found, np.int64)
-    first = 0
-    while first < len(starts):
-        following = max(first + 1, int(np.searchsorted(starts, starts[first] + most, "left")) - 1) if starts[-1] >= starts[first] + most else len(starts)
-        yield first, int(starts[first]), int(starts[following]) if following < len(starts) else size
-        first = following
+        first, held = 0, np.empty(0, np.int64)
+        for some in _starts(stem, shp, size):
+            held, at = np.concatenate([held, some]), 0
+            while at < len(held) and held[-1] >= held[at] + most:
+                following = max(at + 1, int(np.searchsorted(held, held[at] + most, "left")) - 1)
+                yield first + at, int(held[at]), int(held[following])
+                at = following
+            first, held = first + at, held[at:]
+        if len(held):
+            yield first, int(held[0]), size
 
 
 def _range(stem: str, low: int, high: int, first: int) -> Iterator[tuple]:

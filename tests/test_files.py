@@ -437,3 +437,22 @@ def test_shapefile_vertices_are_counted_by_heads(spark, tmp_path):
             assert len(back) == 40 and sum(r["count"] for r in back) == sum(parsed)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_shapefile_index_beyond_four_gigabytes(tmp_path, monkeypatch):
+    """Offsets are unsigned words of two bytes, so ranges go on behind 4 GB; the index is read some entries at a time."""
+    stem, size, each = str(tmp_path / "big"), 6 << 30, 300 << 20
+    at = list(range(100, size - each, each))
+    end = at[-1] + each
+    with open(f"{stem}.shp", "wb") as f:  # sparse: null shapes, then a point
+        f.write(struct.pack(">7I", 9994, 0, 0, 0, 0, 0, (end + 28) // 2))
+        f.seek(end)
+        f.write(struct.pack(">2I", len(at) + 1, 10) + struct.pack("<I2d", shapefile.POINT, 1.5, 2.5))
+    with open(f"{stem}.shx", "wb") as f:
+        f.write(bytes(100) + b"".join(struct.pack(">2I", p // 2, each // 2 - 4) for p in at) + struct.pack(">2I", end // 2, 10))
+    for entries in (1, 4, 1 << 20):
+        monkeypatch.setattr(shapefile, "INDEX_ENTRIES", entries, raising=False)
+        found = list(shapefile.shape_extents(stem, 700 << 20))
+        assert all(high - low <= 700 << 20 for _, low, high in found) and len(found) == len(at) // 2
+        assert [low for _, low, _ in found] == [[*at, end][k] for k, _, _ in found] and [high for *_, high in found] == [*[low for _, low, _ in found[1:]], end + 28]
+    assert list(shapefile._range(stem, end, end + 28, len(at))) == [(len(at), shapefile.POINT, [[(1.5, 2.5)]])]
