@@ -276,6 +276,20 @@ def test_copies_for_shared_keys_shuffle_no_pairs(spark):
     assert "__key" in next(line for line in plan.splitlines() if "Join" in line)  # the outermost join is under the shared key
 
 
+def test_copies_for_many_owners_are_cut_in_blocks(spark, tmp_path, monkeypatch):
+    """A key of thousands of owners: every copy is there once, and a file of them repeats itself within short distances."""
+    owners = spark.range(4000).selectExpr("id * 7919 as own", "if(id < 3000, 1, id) as key")
+    rows_ = spark.range(300).selectExpr("id as r", "id % 150 * 7919 as own")
+    found = joins.duplicate_for_shared_key(rows_, owners, "own", "key", "own")
+    found.write.parquet(str(tmp_path / "copies"))
+    back = spark.read.parquet(str(tmp_path / "copies"))
+    assert back.count() == back.distinct().count() == 300 * 3000 and back.agg(F.sum("own")).first()[0] == 300 * 7919 * sum(range(3000))
+    assert sum(f.stat().st_size for f in (tmp_path / "copies").glob("*.parquet")) < 0.6 * 300 * 3000
+    monkeypatch.setattr(joins, "BLOCKS", (8, 5))
+    cut = joins.duplicate_for_shared_key(rows_, owners, "own", "key", "own")
+    assert cut.exceptAll(back).isEmpty() and back.exceptAll(cut).isEmpty()
+
+
 def test_nearest_of_crowds_and_copies(spark):
     """Many points within one cell and many at one place are not all paired: places are one row each, cells shrink."""
     import random
